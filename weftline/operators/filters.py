@@ -84,6 +84,10 @@ LANGUAGE_PROFILES = {
 }
 
 
+def _among(values: list[str]):
+    return lambda w: w.isin(values)
+
+
 def detect_language(c: Column | str, profiles: dict[str, list[str]] | None = None) -> Column:
     """Language whose function words occur most often; null if none occurs (ties: first by code)."""
     profiles = profiles or LANGUAGE_PROFILES
@@ -94,7 +98,7 @@ def detect_language(c: Column | str, profiles: dict[str, list[str]] | None = Non
     hits = F.array(
         *[
             F.struct(
-                F.size(F.filter(toks, lambda w, k=k: w.isin(profiles[k]))).alias("n"),
+                F.size(F.filter(toks, _among(profiles[k]))).alias("n"),
                 F.lit(-i).alias("first"),
                 F.lit(k).alias("lang"),
             )
