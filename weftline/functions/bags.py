@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.edit import let
+from weftline.functions.scoped import let
 
 
 def numbered(bag: Column) -> Column:

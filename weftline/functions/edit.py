@@ -14,17 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.scoped import let
+
 _FIRST = 0x100
 _SURROGATES = 0xD800
 _SURROGATE_SPAN = 0x800
 MAX_DISTINCT = 0xFFFF - _FIRST - _SURROGATE_SPAN
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _coded(tokens: Column, vocabulary: Column) -> Column:
     def code(w: Column) -> Column:
         p = F.array_position(vocabulary, w) + _FIRST

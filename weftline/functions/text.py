@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.scoped import let
 from weftline.functions.seeded import seeded_int, seeded_uniform
 
 # Whitespace, punctuation and replacement sets.
@@ -355,9 +356,13 @@ def punctuation_free(c: Column | str) -> Column:
 
 def fragments(tokens: Column, length: int, step: int) -> Column:
     """Overlapping slices of ``length`` words every ``step`` words; the last one may be short."""
-    n = F.size(tokens)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    return F.transform(F.filter(starts, lambda s: s < n), lambda s: F.array_join(F.slice(tokens, s + 1, F.lit(length)), " "))
+
+    def cut(toks: Column) -> Column:
+        n = F.size(toks)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: s < n)
+        return F.transform(starts, lambda s: F.array_join(F.slice(toks, s + 1, F.lit(length)), " "))
+
+    return let(tokens, cut)
 
 
 def typo_noise(c: Column | str, id_col: str, seed: int, p_swap: float, p_drop: float) -> Column:
@@ -404,23 +409,24 @@ def sentence_text(c: Column | str, remove_brackets: bool = True) -> Column:
 def quote_pieces(c: Column) -> Column:
     """Phrases in curly quotes become pieces of their own."""
     marked = F.regexp_replace(c, r"(“[A-Za-z ?]+.*?”)", "\u0001$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def split_sentences(c: Column | str, extra: list[str] | None = None, remove_brackets: bool = True) -> Column:
     """Sentences of a text; ``extra`` delimiters split further, short comma pieces are merged back."""
     pieces = quote_pieces(sentence_text(c, remove_brackets))
     out = F.flatten(F.transform(pieces, lambda p: F.split(p, SENTENCE_BREAK)))
-    out = F.filter(F.transform(out, F.trim), lambda s: s != "")
+    out = F.filter(F.transform(out, lambda x: F.trim(x)), lambda s: s != "")
     for mark in extra or []:
         out = F.flatten(F.transform(out, lambda s: _split_keep(s, mark)))
-    return F.filter(F.transform(out, F.trim), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    return F.filter(F.transform(out, lambda x: F.trim(x)), lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
 def _split_keep(s: Column, mark: str) -> Column:
-    parts = F.split(s, re.escape(mark) + " ")
-    n = F.size(parts)
-    kept = F.transform(parts, lambda p, i: F.when(i < n - 1, F.concat(p, F.lit(mark))).otherwise(p))
+    kept = let(
+        F.split(s, re.escape(mark) + " "),
+        lambda parts: F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(mark))).otherwise(p)),
+    )
     if "," not in mark:
         return kept
     short = lambda x: F.size(words(x)) <= 2
@@ -466,7 +472,7 @@ def stamped_plain(c: Column | str) -> Column:
     """The text without time marks; unmarked text passes through trimmed."""
     text = F.trim(_col(c))
     found = F.regexp_extract_all(text, F.lit(STAMPED_WORD), F.lit(2))
-    joined = F.array_join(F.filter(F.transform(found, F.trim), lambda w: w != ""), " ")
+    joined = F.array_join(F.filter(F.transform(found, lambda x: F.trim(x)), lambda w: w != ""), " ")
     return F.when(F.size(found) == 0, text).otherwise(joined)
 
 

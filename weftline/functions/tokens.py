@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.scoped import let
 from weftline.functions.text import words
 
 
@@ -41,14 +42,24 @@ def char_tokens(c: Column | str, special: list[str] | None = None) -> Column:
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    last = F.length(c) - n
-    return F.when(
-        last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(c, i + 1, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+    """All character n-grams, empty for shorter texts."""
+
+    def cut(x: Column) -> Column:
+        last = F.length(x) - n
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substr(x, i + 1, F.lit(n)))
+        return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(c, cut)
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n
-    return F.when(
-        last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    """All word n-grams joined by a space, empty for shorter rows."""
+
+    def cut(x: Column) -> Column:
+        last = F.size(x) - n
+        grams = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(x, i + 1, F.lit(n)), " ")
+        )
+        return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, cut)

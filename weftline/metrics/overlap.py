@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.bags import bag_overlap, f1
-from weftline.functions.edit import lcs_length, let
+from weftline.functions.edit import lcs_length
+from weftline.functions.scoped import let
 from weftline.functions.text import normalize_answer, words
 from weftline.functions.tokens import word_ngrams
 
