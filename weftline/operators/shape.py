@@ -302,8 +302,8 @@ def next_sentence_pairs(df: DataFrame, id_col: str, text: str, seed: int, max_to
     trimmed, at its front or back by seed, until both fit."""
     numbered = running(df.select(id_col, F.col(text).alias("a")), [id_col], row_no="n", lead={"succ": F.col("a")})
     total = df.count()
-    own = seeded_uniform(seed, "t", id_col) < 0.5
-    rows = numbered.withColumn("is_next", own & F.col("succ").isNotNull()).withColumn("pick", seeded_int(seed, "p", id_col) % total + 1)
+    own = seeded_uniform(seed, F.lit("t"), id_col) < 0.5
+    rows = numbered.withColumn("is_next", own & F.col("succ").isNotNull()).withColumn("pick", seeded_int(seed, F.lit("p"), id_col) % total + 1)
     rows = rows.select(*[c for c in rows.columns if c != "pick"], F.col("pick"))
     other = numbered.select(F.col("n").alias("pick"), F.col("a").alias("random"))
     joined = rows.join(other, "pick").withColumn("b", F.when(F.col("is_next"), F.col("succ")).otherwise(F.col("random")))
@@ -311,7 +311,7 @@ def next_sentence_pairs(df: DataFrame, id_col: str, text: str, seed: int, max_to
     half = F.floor(F.lit(max_tokens) / 2)
     keep_a = F.when(na + nb <= max_tokens, na).when(nb <= half, F.lit(max_tokens) - nb).when(na <= half, na).otherwise(F.ceil(F.lit(max_tokens) / 2)).cast("int")
     keep_b = F.least(nb, F.lit(max_tokens) - keep_a).cast("int")
-    front = seeded_uniform(seed, "f", id_col) < 0.5
+    front = seeded_uniform(seed, F.lit("f"), id_col) < 0.5
     cut = lambda x, k: F.when(front, F.slice(x, F.size(x) - k + 1, k)).otherwise(F.slice(x, F.lit(1), k))
     return joined.select(id_col, "is_next", cut(F.col("a"), keep_a).alias("a"), cut(F.col("b"), keep_b).alias("b"))
 
