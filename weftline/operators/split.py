@@ -100,21 +100,22 @@ def resample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 def weighted_draws(df: DataFrame, id_col: str, weight: str, n: int, seed: int) -> DataFrame:
     """``n`` draws with replacement, probability proportional to an integer or float weight.
 
-    A draw falls on the row whose cumulative weight range holds it. The match is an equi-join on a
-    grid of the weight line: rows list the cells they touch, a draw has one cell.
+    A draw falls on the row whose cumulative weight range holds it: rows and draws are laid on one
+    line and every draw takes the last row before it. A dominating row costs nothing extra.
     """
-    cum = running(df.select(id_col, F.col(weight).cast("double").alias("_w")), [id_col], sums={"_hi": F.col("_w")})
-    total = df.agg(F.sum(F.col(weight).cast("double"))).first()[0]
-    rows = df.count()
-    cell = total / max(rows, 1)
-    lo = F.col("_hi") - F.col("_w")
-    ranges = cum.filter(F.col("_w") > 0).withColumn("_lo", lo)
-    # an item of weight w covers w / cell + 1 cells: rows + total / cell cells over all items
-    ranges = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / cell), F.floor(F.col("_hi") / cell))))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (seeded_uniform(seed, F.lit("w"), F.col("id")) * total).alias("_u"))
-    draws = draws.withColumn("_cell", F.floor(F.col("_u") / cell))
-    hit = draws.join(ranges, "_cell").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-    return hit.select("draw", id_col)
+    items = df.filter(F.col(weight) > 0).select(id_col, F.col(weight).cast("double").alias("_w"))
+    cum = running(items, [id_col], sums={"_hi": F.col("_w")})
+    total = items.agg(F.sum("_w")).first()[0]
+    none = F.lit(None).cast("long")
+    rows = cum.select((F.col("_hi") - F.col("_w")).alias("_at"), F.lit(0).alias("_kind"), none.alias("draw"), F.col(id_col))
+    draws = df.sparkSession.range(n).select(
+        (seeded_uniform(seed, F.lit("w"), F.col("id")) * total).alias("_at"),
+        F.lit(1).alias("_kind"),
+        F.col("id").alias("draw"),
+        F.lit(None).cast(df.schema[id_col].dataType).alias(id_col),
+    )
+    line = running(rows.unionByName(draws), ["_at", "_kind", "draw"], last={"_owner": F.col(id_col)})
+    return line.filter(F.col("_kind") == 1).select("draw", F.col("_owner").alias(id_col))
 
 
 def blend_bins(weights: list[float], bins: int = 100) -> list[tuple[int, int, int]]:
@@ -148,50 +149,43 @@ def blend_stride(df_spark, weights: list[float], sizes: list[int], size: int, bi
     )
 
 
-def blend_greedy(spark, weights: list[float], sizes: list[int], size: int, chunk: int = 100_000) -> DataFrame:
-    """Greedy blend: position ``i`` goes to the dataset furthest below ``weight * (i + 1)``; samples wrap.
+def _greedy(shares: list[int], total: int, first: int, n: int) -> list[int]:
+    """Datasets at positions ``first .. first + n``, starting from zero deficits; integer arithmetic."""
+    counts = [0] * len(shares)
+    out = []
+    for j in range(n):
+        at = max(first + j, 1) - first
+        best = max(range(len(shares)), key=lambda d: (shares[d] * at - counts[d] * total, -d))
+        counts[best] += 1
+        out.append(best)
+    return out
 
-    The greedy counts never leave their exact shares by more than the number of datasets, so the
-    state at a position is a rounding of ``weight * i``; each chunk starts a little early from that
-    rounding and has forgotten it when its own rows begin only if the walk synchronises. That is not
-    guaranteed, so the chunk starts are walked once on the driver: it is counts per dataset (at most
-    255), in vectorised steps, and the rows themselves are built in the tasks.
-    """
-    import numpy as np
-    import pyarrow as pa
 
+def blend_greedy(spark, weights: list[float], sizes: list[int], size: int, precision: int = 1000) -> DataFrame:
+    """Greedy blend: position ``i`` goes to the dataset furthest below ``weight * max(i, 1)``, samples wrap.
+
+    Weights are taken as multiples of 1/``precision``. No dataset is ever more than one sample ahead,
+    so after ``precision`` positions every deficit is back at zero: the sequence is one opening
+    period and then one period repeated. Two periods are walked; positions are arithmetic on them.
+    """
     if len(weights) > 255:
         raise ValueError("at most 255 datasets")
-    w = np.asarray(weights, dtype=np.float64) / np.sum(weights)
-
-    def walk(counts: np.ndarray, first: int, n: int, keep: bool):
-        owner = np.empty(n if keep else 0, dtype=np.int64)
-        nth = np.empty(n if keep else 0, dtype=np.int64)
-        for j in range(n):
-            i = first + j
-            d = int(np.argmax(w * max(i, 1) - counts))
-            if keep:
-                owner[j], nth[j] = d, counts[d]
-            counts[d] += 1
-        return owner, nth
-
-    starts, counts = [], np.zeros(len(w), dtype=np.int64)
-    for at in range(0, size, chunk):
-        starts.append((at, min(chunk, size - at), counts.tolist()))
-        if at + chunk < size:
-            walk(counts, at, chunk, keep=False)
-    plan = spark.createDataFrame(starts, "first long, n long, counts array<long>").repartition(max(1, len(starts)))
-
-    def fill(batches):
-        for b in batches:
-            for first, n, c in zip(*(col.to_pylist() for col in b.columns)):
-                owner, nth = walk(np.array(c, dtype=np.int64), first, n, keep=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(first, first + n)), pa.array(owner), pa.array(nth % np.asarray(sizes)[owner])],
-                    names=["idx", "dataset", "sample"],
-                )
-
-    return plan.mapInArrow(fill, "idx long, dataset long, sample long")
+    shares = [int(round(w / sum(weights) * precision)) for w in weights]
+    total = sum(shares)
+    rows = []
+    for part, seq in ((0, _greedy(shares, total, 0, total)), (1, _greedy(shares, total, total, total))):
+        seen = [0] * len(shares)
+        for j, d in enumerate(seq):
+            rows.append((part, j, d, seen[d], shares[d], sizes[d]))
+            seen[d] += 1
+    table = spark.createDataFrame(rows, "part int, j long, dataset long, nth long, share long, n long")
+    idx = spark.range(size).select(
+        F.col("id").alias("idx"), (F.col("id") % total).alias("j"), F.floor(F.col("id") / total).alias("period")
+    ).withColumn("part", F.when(F.col("period") > 0, 1).otherwise(0))
+    # 2 * precision rows
+    return idx.join(F.broadcast(table), ["part", "j"]).select(
+        "idx", "dataset", ((F.col("period") * F.col("share") + F.col("nth")) % F.col("n")).cast("long").alias("sample")
+    )
 
 
 def sample_counts(weights: DataFrame, n: int, weight: str = "weight", margin: float = 1.005) -> DataFrame:
