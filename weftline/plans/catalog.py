@@ -52,7 +52,7 @@ def load_all() -> dict[str, Query]:
 
     for part in (
         "manifests", "filtering", "texts", "tokenising", "joining", "scoring",
-        "statistics", "ordering", "splitting", "shaping", "streams",
+        "conversing", "statistics", "ordering", "splitting", "shaping", "streams",
     ):
         if importlib.util.find_spec(f"weftline.plans.{part}"):
             importlib.import_module(f"weftline.plans.{part}")
