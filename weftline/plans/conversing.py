@@ -152,13 +152,11 @@ def _(t):
 @query(
     "sentence_accuracy",
     "F33",
-    f"""WITH s AS (SELECT conv_id, turn, lower(text) AS ref, CASE WHEN turn % 3 = 0 THEN lower(text) || ' 7' WHEN turn % 3 = 1 THEN replace(lower(text), ' ', '_') ELSE lower(text) || ' x' END AS pred FROM conversations WHERE role <> 'system'),
+    f"""WITH s AS (SELECT conv_id, turn, lower(text) AS ref, CASE WHEN turn % 3 = 0 THEN lower(text) || ' 7' WHEN turn % 3 = 1 THEN replace(lower(text), ' ', '  ') ELSE lower(text) || ' x' END AS pred FROM conversations WHERE role <> 'system'),
     j AS (SELECT *, regexp_replace(ref, '\\D', '', 'g') = regexp_replace(pred, '\\D', '', 'g') OR regexp_replace(ref || ' alt', '\\D', '', 'g') = regexp_replace(pred, '\\D', '', 'g') AS d,
       translate(ref, '_ ', '') = translate(pred, '_ ', '') OR translate(ref || ' alt', '_ ', '') = translate(pred, '_ ', '') AS same, len({ansi.words('ref')}) AS n, turn % 3 AS k FROM s)
     SELECT count(*) AS sentences, CAST(count(*) FILTER (WHERE d AND same) AS BIGINT) AS correct, CAST(count(*) FILTER (WHERE NOT d) AS BIGINT) AS digit_errors, CAST(count(*) FILTER (WHERE d AND NOT same) AS BIGINT) AS other_errors,
-    round(sum(CASE WHEN k = 1 THEN n - CASE WHEN n = 1 THEN 1 ELSE 0 END ELSE 1 END) / sum(n), 6) AS wer FROM j""".replace(
-        "CASE WHEN k = 1 THEN n - CASE WHEN n = 1 THEN 1 ELSE 0 END ELSE 1 END", "CASE WHEN k = 1 THEN 0 ELSE 1 END"
-    ).replace("replace(lower(text), ' ', '_')", "replace(lower(text), ' ', '  ')"),
+    round(sum(CASE WHEN k = 1 THEN 0 ELSE 1 END) / sum(n), 6) AS wer FROM j""",
 )
 def _(t):
     low = F.lower("text")

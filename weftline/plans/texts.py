@@ -150,10 +150,8 @@ def _(t):
     "stamped_words",
     "C13",
     ansi.with_views(ansi.LINES, f"w AS (SELECT doc_id, pos, {ansi.words('utt')} AS w FROM utterances)")
-    + """SELECT doc_id, pos, CAST(len(w) AS BIGINT) AS words, array_to_string(w, ' ') AS plain, CAST(max(len(w), 0) AS BIGINT) AS last_end,
-    round(coalesce(len(w), 0) * 0.08, 6) AS last_second FROM w WHERE len(w) > 0""".replace("max(len(w), 0)", "3 * len(w)").replace(
-        "coalesce(len(w), 0) * 0.08", "3 * len(w) * 0.08::DOUBLE"
-    ),
+    + """SELECT doc_id, pos, CAST(len(w) AS BIGINT) AS words, array_to_string(w, ' ') AS plain, CAST(3 * len(w) AS BIGINT) AS last_end,
+    round(3 * len(w) * 0.08::DOUBLE, 6) AS last_second FROM w WHERE len(w) > 0""",
 )
 def _(t):
     marked = F.array_join(
