@@ -19,8 +19,12 @@ def numbered(bag: Column) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
-    return F.size(F.array_intersect(numbered(a), numbered(b))).cast("long")
+    """Size of the multiset intersection; sets (no repeats on either side) skip the numbering."""
+    plain = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    both = lambda x, y: F.when(plain(x) | plain(y), F.size(F.array_intersect(x, y))).otherwise(
+        F.size(F.array_intersect(numbered(x), numbered(y)))
+    )
+    return let(a, lambda x: let(b, lambda y: both(x, y))).cast("long")
 
 
 def f1(overlap: Column, n_pred: Column, n_ref: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.ordered import running
+from weftline.session import cut_lineage
 
 
 def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -20,7 +21,7 @@ def ranking_areas(df: DataFrame, truth: str, score: str) -> DataFrame:
 
     ROC area is 0.5 with a single class, the precision areas are 0 without their class.
     """
-    table = _by_score(df, truth, score).withColumn("fall", -F.col("score"))
+    table = cut_lineage(_by_score(df, truth, score).withColumn("fall", -F.col("score")))
     up = running(table, ["score"], sums={"pos_up": F.col("pos"), "neg_up": F.col("neg")})
     both = running(up, ["fall"], sums={"pos_down": F.col("pos"), "neg_down": F.col("neg")})
     roc = F.sum(F.col("pos") * (F.col("neg_up") - F.col("neg") / 2))

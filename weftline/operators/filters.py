@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.scoped import let
 from weftline.functions.seeded import seeded_uniform
 from weftline.functions.text import is_blank, words
 from weftline.operators.ordered import number_rows
@@ -89,24 +90,22 @@ def _among(values: list[str]):
 
 
 def detect_language(c: Column | str, profiles: dict[str, list[str]] | None = None) -> Column:
-    """Language whose function words occur most often; null if none occurs (ties: first by code)."""
+    """Language whose function words occur most often; null if none occurs (ties: first by code).
+
+    One split and one set lookup per word leave only function words; the languages count on those.
+    """
     profiles = profiles or LANGUAGE_PROFILES
-    toks = F.filter(
-        F.split(F.lower(F.col(c) if isinstance(c, str) else c), r"[^\p{L}]+"), lambda w: w != ""
-    )
-    codes = sorted(profiles)
-    hits = F.array(
-        *[
-            F.struct(
-                F.size(F.filter(toks, _among(profiles[k]))).alias("n"),
-                F.lit(-i).alias("first"),
-                F.lit(k).alias("lang"),
-            )
-            for i, k in enumerate(codes)
+    every = sorted({w for ws in profiles.values() for w in ws})
+    known = F.filter(F.split(F.lower(F.col(c) if isinstance(c, str) else c), r"[^\p{L}]+"), _among(every))
+
+    def best(found: Column) -> Column:
+        scores = [
+            F.struct(F.size(F.filter(found, _among(profiles[k]))).alias("n"), F.lit(-i).alias("first"), F.lit(k).alias("lang"))
+            for i, k in enumerate(sorted(profiles))
         ]
-    )
-    best = F.array_max(hits)
-    return F.when(best["n"] > 0, best["lang"])
+        return F.greatest(*scores)
+
+    return let(let(known, best), lambda x: F.when(x["n"] > 0, x["lang"]))
 
 
 def filter_language(df: DataFrame, checks: list[tuple[str, str | Column]], detector=detect_language) -> DataFrame:

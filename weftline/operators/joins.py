@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from weftline.functions.seeded import seeded_int, seeded_uniform
 from weftline.functions.tokens import char_ngrams
 from weftline.operators.ordered import running, seeded_rank
+from weftline.session import cut_lineage
+
+
+#: an index with at most this many n-grams is compiled into the expression
+MAX_GRAM_LITERALS = 2_000
 
 
 def keep_and_attach(df: DataFrame, keep: DataFrame, key: str, override: list[str] = ()) -> DataFrame:
@@ -89,15 +94,27 @@ def phrase_index(phrases: DataFrame, phrase: str, n: int, max_phrases: int | Non
     return index
 
 
-def frequent_grams(texts: DataFrame, text: Column, n: int, min_count: int) -> DataFrame:
-    """n-grams that occur in at least ``min_count`` texts."""
-    grams = texts.select(F.explode(F.array_distinct(char_ngrams(F.regexp_replace(text, r"\s+", "_"), n))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
+def _own_grams(text: Column, n: int, among: DataFrame | None) -> Column:
+    """Distinct n-grams of a text; when ``among`` is small, the others go inside the row, before
+    anything is exploded."""
+    own = char_ngrams(F.regexp_replace(text, r"\s+", "_"), n)
+    if among is not None:
+        known = [r["gram"] for r in among.select("gram").distinct().limit(MAX_GRAM_LITERALS + 1).collect()]
+        if len(known) <= MAX_GRAM_LITERALS:
+            return F.array_intersect(own, F.array(*[F.lit(g) for g in known]).cast("array<string>"))
+    return F.array_distinct(own)
+
+
+def frequent_grams(texts: DataFrame, text: Column, n: int, min_count: int, among: DataFrame | None = None) -> DataFrame:
+    """n-grams (of ``among``, if given) that occur in at least ``min_count`` texts, counted map-side
+    before the shuffle and written out: the list is small and read several times."""
+    grams = texts.select(F.explode(_own_grams(text, n, among)).alias("gram"))
+    return cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count))
 
 
 def phrase_candidates(fragments: DataFrame, keys: list[str], text: Column, index: DataFrame, n: int, top: int = 10) -> DataFrame:
     """Best ``top`` phrases per fragment by number of shared n-grams (ties by phrase)."""
-    grams = fragments.select(*keys, F.explode(F.array_distinct(char_ngrams(F.regexp_replace(text, r"\s+", "_"), n))).alias("gram"))
+    grams = fragments.select(*keys, F.explode(_own_grams(text, n, index)).alias("gram"))
     hits = grams.join(index, "gram").groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("shared"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("shared"), "phrase"))
     return hits.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.seeded import seeded_int, seeded_key, seeded_uniform
 from weftline.operators.ordered import number_rows, running
+from weftline.session import cut_lineage
 
 #: a length histogram is folded on the driver; its size is the number of distinct lengths
 MAX_LENGTHS = 2_000_000
@@ -26,11 +27,12 @@ def label_quota(df: DataFrame, order: str, labels: Column, cap: int) -> DataFram
     """Flag rows that hold a label seen fewer than ``cap`` times before them.
 
     A label's counter rises with every occurrence until the cap whatever the other labels do, so a
-    row is kept if any of its occurrences is among the first ``cap`` of its label.
+    row is kept if any of its occurrences is among the first ``cap`` of its label. The rank limit is
+    applied in every map task, so a hot label sends at most ``cap`` rows from each.
     """
     flat = df.select(order, F.posexplode(labels).alias("_i", "_label"))
-    numbered = running(flat, [order, "_i"], ["_label"], row_no="_n")
-    kept = numbered.filter(F.col("_n") <= cap).select(order).distinct().withColumn("_kept", F.lit(True))
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(order, "_i"))
+    kept = flat.withColumn("_n", rank).filter(F.col("_n") <= cap).select(order).distinct().withColumn("_kept", F.lit(True))
     return df.join(kept, order, "left").withColumn("kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
 
 
@@ -44,8 +46,11 @@ def pattern_quota(df: DataFrame, order: str, patterns: dict[str, tuple[Column, i
     target = None
     for k, (_, n) in patterns.items():
         target = F.when(F.col("_p") == k, n) if target is None else target.when(F.col("_p") == k, n)
-    numbered = running(flat, [order], ["_p"], row_no="_n")
-    kept = numbered.filter(F.col("_n") <= target).select(order).distinct()
+    top = max(n for _, n in patterns.values())
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    # the constant limit prunes in the map tasks, the own target decides
+    first = flat.withColumn("_n", rank).filter(F.col("_n") <= top)
+    kept = first.filter(F.col("_n") <= target).select(order).distinct()
     return df.join(kept, order, "left_semi")
 
 
@@ -92,8 +97,9 @@ def token_budget_batches(df: DataFrame, id_col: str, length: str, budget: int) -
 
     Within one length every batch holds ``budget // length`` rows, so only the carry from one length
     to the next is sequential: it is folded over the length histogram, and rows find their batch
-    from their rank within their length.
+    from their rank within their length. ``df`` is written out once, so pass ids and lengths only.
     """
+    df = cut_lineage(df)
     hist = df.groupBy(F.col(length).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("c")).limit(MAX_LENGTHS + 1).collect()
     if len(hist) > MAX_LENGTHS:
         raise ValueError("too many distinct lengths for a driver-side fold")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.ordered import running
+from weftline.session import cut_lineage
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles (one row, or one per group) named by the keys of ``probs``."""
     by = by or []
     hist = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = cut_lineage(hist)
     upto = running(hist, ["_v"], by, sums={"_u": F.col("_c")})
     if by:
         totals = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))

@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from weftline.functions.scoped import let
 from weftline.functions.seeded import seeded_int, seeded_key, seeded_uniform
 from weftline.operators.ordered import running
+from weftline.session import cut_lineage
 
 IGNORE = -100
 
 
 def _positions(df: DataFrame, order: str, tokens: str) -> DataFrame:
-    """Add ``_start``: number of tokens before the row over the whole corpus."""
-    out = running(df.withColumn("_len", F.size(tokens).cast("long")), [order], sums={"_end": F.col("_len")})
-    return out.withColumn("_start", F.col("_end") - F.col("_len"))
+    """Add ``_len``, ``_start`` and ``_end``: token positions of the row over the whole corpus.
+
+    The running sum works on (order, length) only; the token arrays meet it in one join, which is a
+    broadcast while the lengths are small and shuffles the arrays once when they are not.
+    """
+    narrow = cut_lineage(df.select(order, F.size(tokens).cast("long").alias("_len")))
+    at = running(narrow, [order], sums={"_end": F.col("_len")})
+    return df.join(at.withColumn("_start", F.col("_end") - F.col("_len")), order)
 
 
 def pack_contiguous(df: DataFrame, order: str, tokens: str, size: int, pad: int = 0) -> DataFrame:
@@ -29,12 +35,19 @@ def pack_contiguous(df: DataFrame, order: str, tokens: str, size: int, pad: int
     """
     at = _positions(df, order, tokens).filter(F.col("_len") > 0)
     first, last = F.floor(F.col("_start") / size).cast("long"), F.floor((F.col("_end") - 1) / size).cast("long")
-    rows = at.withColumn("pack", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("pack") * size - F.col("_start"), F.lit(0))
-    hi = F.least((F.col("pack") + 1) * size - F.col("_start"), F.col("_len"))
-    piece = F.slice(tokens, (lo + 1).cast("int"), (hi - lo).cast("int"))
-    positions = F.transform(F.sequence(lo, hi - 1), lambda p: p % size)
-    rows = rows.select("pack", F.col("_start").alias("s"), piece.alias("t"), positions.alias("p"))
+
+    def piece(pack: Column) -> Column:
+        lo = F.greatest(pack * size - F.col("_start"), F.lit(0))
+        hi = F.least((pack + 1) * size - F.col("_start"), F.col("_len"))
+        return F.struct(
+            pack.alias("pack"),
+            F.col("_start").alias("s"),
+            F.slice(tokens, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("t"),
+            F.transform(F.sequence(lo, hi - 1), lambda p: p % size).alias("p"),
+        )
+
+    # cut first, then explode: the exploded rows carry their piece, not the whole document
+    rows = at.select(F.inline(F.transform(F.sequence(first, last), piece)))
     packs = rows.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("s", "t", "p"))).alias("x"))
     body = F.flatten(F.transform("x", lambda r: r["t"]))
     pos = F.flatten(F.transform("x", lambda r: r["p"]))
@@ -180,28 +193,32 @@ def sliding_windows(df: DataFrame, order: str, tokens: str, length: int, step: i
     count = max((n - length) // step, 0)
     first = F.greatest(F.ceil((F.col("_start") - length) / step), F.lit(0)).cast("long")
     last = F.least(F.floor((F.col("_end") - 1) / step), F.lit(count - 1)).cast("long")
-    rows = at.filter(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("window") * step - F.col("_start"), F.lit(0))
-    hi = F.least(F.col("window") * step + length + 1 - F.col("_start"), F.col("_len"))
-    piece = F.slice(tokens, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
-    parts = rows.select("window", F.struct(F.col("_start").alias("s"), piece.alias("t")).alias("x"))
+
+    def piece(w: Column) -> Column:
+        lo = F.greatest(w * step - F.col("_start"), F.lit(0))
+        hi = F.least(w * step + length + 1 - F.col("_start"), F.col("_len"))
+        part = F.slice(tokens, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+        return F.struct(w.alias("window"), F.struct(F.col("_start").alias("s"), part.alias("t")).alias("x"))
+
+    parts = at.filter(first <= last).select(F.inline(F.transform(F.sequence(first, last), piece)))
     full = parts.groupBy("window").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda r: r["t"])).alias("x"))
     return full.select("window", F.slice("x", 1, length).alias("input"), F.slice("x", 2, length).alias("label"))
 
 
 def retrieval_chunks(df: DataFrame, id_col: str, tokens: str, size: int, stride: int) -> DataFrame:
     """Chunks of ``size`` tokens every ``stride``, numbered over the corpus in document order."""
-    n = F.size(tokens)
-    rows = df.filter(n > 0)
-    counted = running(rows.withColumn("_c", F.ceil(n / stride).cast("long")), [id_col], sums={"_upto": F.col("_c")})
-    starts = F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)
-    out = counted.select(id_col, tokens, "_upto", "_c", F.explode(starts).alias("part"))
-    return out.select(
-        (F.col("_upto") - F.col("_c") + F.col("part")).alias("chunk_id"),
-        id_col,
-        "part",
-        F.slice(tokens, (F.col("part") * stride + 1).cast("int"), F.lit(size)).alias("chunk"),
+    narrow = cut_lineage(df.select(id_col, F.ceil(F.size(tokens) / stride).cast("long").alias("_c")))
+    counted = df.join(running(narrow.filter(F.col("_c") > 0), [id_col], sums={"_upto": F.col("_c")}), id_col)
+    chunks = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("_c") - 1),
+        lambda k: F.struct(
+            (F.col("_upto") - F.col("_c") + k).alias("chunk_id"),
+            F.col(id_col).alias(id_col),
+            k.alias("part"),
+            F.slice(tokens, (k * stride + 1).cast("int"), F.lit(size)).alias("chunk"),
+        ),
     )
+    return counted.select(F.inline(chunks))
 
 
 def shard_range(total: int, shards: int, shard: int) -> tuple[int, int]:

@@ -69,6 +69,8 @@ def vocabulary(df: DataFrame, tokens: Column, order: list[str], by: list[str] |
         seen = seen.join(known.select("token"), "token", "left_anti")
         base = known.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
     flat = seen.select(*by, "token", *[F.col(f"_first.{o}").alias(f"_o_{o}") for o in order], F.col("_first._pos").alias("_pos"))
+    # the vocabulary is read several times below, the corpus only once
+    flat = cut_lineage(flat)
     ranked = running(flat, [*[f"_o_{o}" for o in order], "_pos"], by, row_no="id")
     fresh = ranked.select(*by, "token", (F.col("id") - 1 + base).alias("id"))
     return fresh if known is None else known.select("token", "id").unionByName(fresh)
@@ -77,7 +79,7 @@ def vocabulary(df: DataFrame, tokens: Column, order: list[str], by: list[str] |
 def frequency_vocabulary(df: DataFrame, token: str, reserved: list[str]) -> DataFrame:
     """Reserved labels first, then labels by falling frequency, ties by label."""
     counts = df.filter(~F.col(token).isin(reserved)).groupBy(F.col(token).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(counts.withColumn("_neg", -F.col("n")), ["_neg", "token"], row_no="id")
+    ranked = running(cut_lineage(counts.withColumn("_neg", -F.col("n"))), ["_neg", "token"], row_no="id")
     rest = ranked.select("token", (F.col("id") - 1 + len(reserved)).alias("id"))
     head = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(reserved)], "token string, id long")
     return head.unionByName(rest)

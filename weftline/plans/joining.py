@@ -211,7 +211,7 @@ def _(t):
 )
 def _(t):
     frag = views.utterances(t.documents).select("doc_id", "pos", F.array_join(words(F.lower("utt")), "_").alias("s"))
-    banned = jn.frequent_grams(frag, F.col("s"), 3, 3000)
+    banned = jn.frequent_grams(frag, F.col("s"), 3, 3000, among=jn.phrase_index(t.part, "p_name", 3))
     index = jn.phrase_index(t.part, "p_name", 3, max_phrases=20, banned=banned)
     return jn.phrase_candidates(frag, ["doc_id", "pos"], F.col("s"), index, 3)
 
