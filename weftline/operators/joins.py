@@ -137,9 +137,13 @@ def class_pairs(df: DataFrame, id_col: str, label: str, text: str, n: int, seed:
     """
     ranked = seeded_rank(df.select(id_col, label, text), seed, id_col, by=[label])
     sizes = _sizes(df, label)
-    a = sizes.select(F.col(label).alias("a"), F.col("m").alias("ma"))
-    b = sizes.select(F.col(label).alias("b"), F.col("m").alias("mb"))
-    pairs = a.join(b, F.col("a") < F.col("b"))
+    # one row per class: every class lists the places of the classes before it
+    placed = sizes.withColumn("_p", F.row_number().over(Window.orderBy(label)))
+    a = placed.select(F.col(label).alias("a"), F.col("m").alias("ma"), "_p")
+    b = placed.filter(F.col("_p") > 1).select(
+        F.col(label).alias("b"), F.col("m").alias("mb"), F.explode(F.sequence(F.lit(1), F.col("_p") - 1)).alias("_p")
+    )
+    pairs = a.join(b, "_p").drop("_p")
     total = F.col("ma") * F.col("mb")
     take = F.least(total, F.lit(n).cast("long"))
     drawn = pairs.withColumn("take", take).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)))

@@ -100,22 +100,29 @@ def knn(
                     yield from found.to_batches()
 
         return _final(q.mapInArrow(search, OUT), k)
+    sizes = (F.lit(-(-q.count() // block)).cast("long"), F.lit(-(-n // block)).cast("long"))
     one = F.lit(0).cast("long")
-    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, metric, exclude, block)
+    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, metric, exclude, block, sizes)
 
 
-def _blocked(q: DataFrame, x: DataFrame, k: int, metric: str, exclude: bool, block: int) -> DataFrame:
+def _blocked(
+    q: DataFrame, x: DataFrame, k: int, metric: str, exclude: bool, block: int, sizes: tuple[Column, Column] | None = None
+) -> DataFrame:
     """Top k within equal ``list`` values, list by list cut into blocks of about ``block`` rows per side.
 
     Block counts are one row per list; a list that holds most of the data gets proportionally more
     blocks, so no task grows with it.
     """
     blocks = lambda d, name: d.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias(name))
-    plan = blocks(q, "nq").join(blocks(x, "nx"), "list")
+    if sizes is None:
+        plan = blocks(q, "nq").join(blocks(x, "nx"), "list")
+        sized = lambda d: d.join(plan, "list")
+    else:
+        sized = lambda d: d.withColumns({"nq": sizes[0], "nx": sizes[1]})
     hash_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = q.join(plan, "list").withColumn("qb", hash_of("qid", "nq")).withColumn("xb", upto("nx")).drop("nq", "nx")
-    right = x.join(plan, "list").withColumn("xb", hash_of("nid", "nx")).withColumn("qb", upto("nq")).drop("nq", "nx")
+    left = sized(q).withColumn("qb", hash_of("qid", "nq")).withColumn("xb", upto("nx")).drop("nq", "nx")
+    right = sized(x).withColumn("xb", hash_of("nid", "nx")).withColumn("qb", upto("nq")).drop("nq", "nx")
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:

@@ -171,12 +171,12 @@ def encode_tokens(df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | No
 
 
 def _encode_by_join(df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | None, out: str, key: list[str]) -> DataFrame:
-    flat = df.select(*key, F.posexplode(tokens).alias("_pos", "token"))
-    coded = flat.join(vocab.select("token", "id"), "token", "left")
+    flat = df.select(*key, F.posexplode(tokens).alias("_pos", "_token"))
+    coded = flat.join(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code")), "_token", "left")
     if unk is None:
-        coded = coded.filter(F.col("id").isNotNull())
-    pair = F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id"))
-    lists = coded.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["id"]).alias(out))
+        coded = coded.filter(F.col("_code").isNotNull())
+    pair = F.struct("_pos", F.coalesce("_code", F.lit(unk)).alias("_code"))
+    lists = coded.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["_code"]).alias(out))
     return df.join(lists, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<bigint>")))
 
 
@@ -208,9 +208,8 @@ def token_length_stats(df: DataFrame, n: str, probs: dict[str, float]) -> DataFr
         F.count(n).alias("rows"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"),
         F.min(n).cast("long").alias("min"), F.max(n).cast("long").alias("max"),
     )
-    quantiles = exact_quantiles(df, n, probs)
-    # two single rows side by side
-    return moments.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    quantiles = exact_quantiles(df, n, probs).first()
+    return moments.select("*", *[F.lit(quantiles[k]).cast("double").alias(k) for k in probs])
 
 
 # ---------------------------------------------------------------- column codes

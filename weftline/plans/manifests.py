@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.functions.prompts import PromptFormats
 from weftline.functions.text import words
 from weftline.operators.ordered import number_rows
 from weftline.plans import ansi
@@ -330,3 +331,35 @@ def _(t):
 @query("running_ids", "A1", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS row_no FROM conversations")
 def _(t):
     return number_rows(t.conversations.select("conv_id", "turn"), ["conv_id", "turn"])
+
+
+@query(
+    "free_form_manifest",
+    "M2 A1",
+    "SELECT event_id AS row_no, value AS duration, 'user_id=' || user_id || ',zone=' || event_type AS custom FROM events",
+)
+def _(t):
+    line = F.to_json(F.struct(F.col("value").alias("duration"), "user_id", F.col("event_type").alias("zone")))
+    lines = t.events.select(F.lit("f").alias("file"), F.col("event_id").alias("row_no"), line.alias("value"))
+    out = mf.parse_lines(lines, mf.MANIFEST_SCHEMA, on_error="quarantine", keep_unknown=True)
+    pairs = F.transform(F.array_sort(F.map_entries("custom")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select("row_no", "duration", F.array_join(pairs, ",").alias("custom"))
+
+
+@query(
+    "prompt_formats",
+    "U5",
+    """SELECT conv_id, turn, CASE role WHEN 'system' THEN '[SYS] ' || text WHEN 'user' THEN 'Q: ' || text ELSE text END AS prompt FROM conversations""",
+)
+def _(t):
+    formats = PromptFormats({"system": "turn", "user": "turn", "assistant": "turn"})
+    formats.register("system", "plain", "[SYS] {text}")
+    formats.register("user", "plain", "Q: {text}")
+    formats.register("turn", None, "{text}")
+    columns = t.conversations.columns
+    prompt = None
+    for role in ("system", "user", "assistant"):
+        value = formats.get(role, "plain", columns)
+        hit = F.col("role") == role
+        prompt = F.when(hit, value) if prompt is None else prompt.when(hit, value)
+    return t.conversations.select("conv_id", "turn", prompt.alias("prompt"))

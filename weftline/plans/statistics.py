@@ -243,7 +243,8 @@ def _(t):
     with_views(ansi.TURNS, "x AS (SELECT length(src) + length(tgt) AS n FROM turns)", "m AS (SELECT count(*) AS rows, avg(n) AS mean, stddev_pop(n) AS std, max(n) AS longest FROM x)",
     "p AS (SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS c FROM x) WHERE r = ceil(c * 0.995))")
     + """SELECT rows, round(mean, 6) AS mean, round(std, 6) AS std, longest, p.n AS p995, CAST(floor(greatest(least(mean + 2 * std, longest), p.n) / 4) + 100 AS BIGINT) AS max_seq_length,
-    CASE WHEN rows <= 100 THEN 1024 WHEN rows <= 1000 THEN 2048 ELSE 4096 END AS hidden_size, 128 AS max_batch FROM m, p""",
+    CASE WHEN rows <= 100 THEN 1024 WHEN rows <= 1000 THEN 2048 ELSE 4096 END AS hidden_size,
+    CASE WHEN rows >= 128 OR rows * 0.9 > 128 THEN 128 WHEN rows * 0.9 > 64 THEN 64 WHEN rows * 0.9 > 32 THEN 32 WHEN rows * 0.9 > 16 THEN 16 WHEN rows * 0.9 > 12 THEN 12 WHEN rows * 0.9 > 8 THEN 8 WHEN rows * 0.9 > 4 THEN 4 ELSE 2 END AS max_batch FROM m, p""",
 )
 def _(t):
     out = st.size_report(views.turn_pairs(t.conversations), F.length("src") + F.length("tgt"))

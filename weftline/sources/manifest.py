@@ -42,16 +42,18 @@ def parse_lines(
     schema: T.StructType,
     on_error: str = "fail",
     parse: Callable[[Column], Column] | None = None,
+    keep_unknown: bool = False,
 ) -> DataFrame:
     """Parse JSON lines (columns ``file``, ``row_no``, ``value``); blank lines are skipped.
 
     ``fail`` counts malformed lines per file and raises if there are any; ``quarantine`` keeps them
     with ``malformed`` set and their fields null. ``parse`` replaces the JSON parser by any
-    expression giving a struct (null for a bad line).
+    expression giving a struct (null for a bad line). ``keep_unknown`` collects undeclared keys as
+    text in a ``custom`` map.
     """
     kept = lines.filter(F.trim("value") != "")
-    item = parse(F.col("value")) if parse else F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     if parse:
+        item = parse(F.col("value"))
         bad = F.col("_item").isNull()
     else:
         with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
@@ -62,7 +64,12 @@ def parse_lines(
         counts = parsed.filter("malformed").groupBy("file").count().orderBy("file").limit(20).collect()
         if counts:
             raise ManifestError("malformed lines: " + ", ".join(f"{r['file']}: {r['count']}" for r in counts))
-    return parsed.select("file", "row_no", *[F.col(f"_item.{f.name}").alias(f.name) for f in schema.fields], "malformed")
+    out = ["file", "row_no", *[F.col(f"_item.{f.name}").alias(f.name) for f in schema.fields], "malformed"]
+    if keep_unknown:
+        known = [f.name for f in schema.fields]
+        extra = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: ~k.isin(known))
+        out.append(extra.alias("custom"))
+    return parsed.select(*out)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -90,9 +97,10 @@ def read_manifest(
     on_error: str = "fail",
     schema: T.StructType = MANIFEST_SCHEMA,
     parse: Callable[[Column], Column] | None = None,
+    keep_unknown: bool = False,
 ) -> DataFrame:
     """JSON-lines manifests with ``id``, the running line number over all files."""
-    return parse_lines(read_lines(spark, paths), schema, on_error, parse).withColumnRenamed("row_no", "id")
+    return parse_lines(read_lines(spark, paths), schema, on_error, parse, keep_unknown).withColumnRenamed("row_no", "id")
 
 
 def normalize_manifest(df: DataFrame) -> DataFrame:
