@@ -13,12 +13,14 @@ from weftline.sources import importers as im
 from weftline.sources import manifest as mf
 from weftline.sources import views
 
-AUDIO = F.concat(F.lit("clip_"), F.col("event_id").cast("string"), F.lit(".wav"))
+
+def audio_name():
+    return F.concat(F.lit("clip_"), F.col("event_id").cast("string"), F.lit(".wav"))
 
 
 def manifest_lines(t):
     """Events as manifest lines of one file per event type; some blank, some broken."""
-    item = F.to_json(F.struct(AUDIO.alias("audio_filepath"), F.col("value").alias("duration"), F.col("event_type").alias("text"), F.col("user_id").cast("string").alias("speaker")))
+    item = F.to_json(F.struct(audio_name().alias("audio_filepath"), F.col("value").alias("duration"), F.col("event_type").alias("text"), F.col("user_id").cast("string").alias("speaker")))
     value = F.when(F.col("event_id") % 101 == 0, F.lit("  ")).when(F.col("event_id") % 97 == 0, F.lit('{"duration": ')).otherwise(item)
     return t.events.select(F.col("event_type").alias("file"), F.col("event_id").alias("row_no"), value.alias("value"))
 
@@ -46,7 +48,7 @@ def _(t):
     rows = t.events.select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/abs/"), F.col("event_id").cast("string"))).alias("audio_filename"),
-        AUDIO.alias("audio_filepath"),
+        audio_name().alias("audio_filepath"),
         F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("duration"),
         F.col("value").alias("context_duration"),
         F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("normalized_text"),
