@@ -48,10 +48,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _class(chars: str) -> str:
-    return "[" + "".join("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch for ch in chars) + "]"
-
-
 def words(c: Column | str) -> Column:
     """Whitespace-separated words, no empty ones."""
     return F.filter(F.split(_col(c), WHITESPACE), lambda w: w != "")

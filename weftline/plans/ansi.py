@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weftline.functions import text as tx
+
 
 def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w_: w_ <> '')"
@@ -64,3 +66,31 @@ PAIR_ERRORS = "(len(r) - len(h) + len(list_filter(h, lambda w_: w_ = '<unk>')))"
 
 def with_views(*views: str) -> str:
     return "WITH RECURSIVE " + ", ".join(views) + " "
+
+
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def lower_clean_sql(x: str) -> str:
+    spaces = "".join(ch for ch in dict.fromkeys(tx.LABEL_TO_SPACE) if ch not in tx.LABEL_TO_BLANK)
+    out = f"lower(trim({x}))"
+    for ch in dict.fromkeys(tx.LABEL_TO_BLANK):
+        out = f"replace({out}, {quote(ch)}, '')"
+    return f"translate({out}, {quote(spaces)}, {quote(' ' * len(spaces))})"
+
+
+def clean_label_sql(x: str) -> str:
+    names = "[" + ", ".join(quote(w) for w in tx.DIGIT_WORDS) + "]"
+    spell = (
+        f"array_to_string(list_transform(list_filter(string_split(ltrim(w_, '0'), ''), lambda d_: d_ <> ''), "
+        f"lambda d_: {names}[CAST(d_ AS INTEGER) + 1]), ' ')"
+    )
+    spelled = f"list_transform({words(lower_clean_sql(x))}, lambda w_: CASE WHEN regexp_full_match(w_, '[0-9]+') THEN {spell} ELSE w_ END)"
+    return f"array_to_string(list_filter({spelled}, lambda w_: w_ <> ''), ' ')"
+
+
+def normal_answer(x: str) -> str:
+    """Answer normalisation in SQL."""
+    plain = f"regexp_replace(lower({x}), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    return f"array_to_string(list_filter({words(plain)}, lambda w_: w_ NOT IN ('a', 'an', 'the')), ' ')"

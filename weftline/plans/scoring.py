@@ -75,14 +75,21 @@ def _(t):
     return rounded(out, "wer", "ins_rate", "del_rate", "sub_rate")
 
 
+def _normal_pairs() -> str:
+    plain = "lower(regexp_replace(utt, '[^ -~]', '', 'g'))"
+    return PAIRS.replace(ansi.words(plain), ansi.words(ansi.clean_label_sql(plain)))
+
+
 @query(
     "scored_manifest",
     "F5",
+    with_views(_normal_pairs(), "s AS (SELECT doc_id, pos, len(r) AS n, len(r) - len(h) AS d, len(list_filter(h, lambda w_: w_ = '<unk>')) AS s FROM pairs)")
+    + """SELECT doc_id, pos, CAST(n AS BIGINT) AS tokens, CAST(d + s AS BIGINT) AS errors, round((d + s) / n, 6) AS wer, 0.0::DOUBLE AS ins_rate,
+    round(d / n, 6) AS del_rate, round(s / n, 6) AS sub_rate FROM s""",
 )
 def _(t):
-    clean = views.pairs_view(t.documents).withColumns(
-        {c: words(clean_label(F.array_join(c, " "))) for c in ("r", "h")}
-    )
+    pairs = views.pairs_view(t.documents, clean_label)
+    clean = pairs.withColumns({c: words(clean_label(F.array_join(c, " "))) for c in ("r", "h")})
     out = er.error_detail(clean).select("doc_id", "pos", "tokens", "errors", "wer", "ins_rate", "del_rate", "sub_rate")
     return rounded(out, "wer", "ins_rate", "del_rate", "sub_rate")
 
@@ -188,14 +195,8 @@ def _(t):
     return rounded(out, "rouge1", "rouge2", "rougeL")
 
 
-def _normal(x: str) -> str:
-    """Answer normalisation in SQL."""
-    plain = f"regexp_replace(lower({x}), '[!-/:-@\\[-`{{-~]', '', 'g')"
-    return f"array_to_string(list_filter({ansi.words(plain)}, lambda w_: w_ NOT IN ('a', 'an', 'the')), ' ')"
-
-
 ANSWERS = (
-    "ans AS (SELECT conv_id, turn, " + _normal("src") + " AS a, " + _normal("tgt") + " AS b FROM turns), "
+    "ans AS (SELECT conv_id, turn, " + ansi.normal_answer("src") + " AS a, " + ansi.normal_answer("tgt") + " AS b FROM turns), "
     "tok AS (SELECT conv_id, turn, 0 AS side, unnest(" + ansi.words("a") + ") AS w FROM ans UNION ALL "
     "SELECT conv_id, turn, 1, unnest(" + ansi.words("b") + ") FROM ans), "
     "cnt AS (SELECT conv_id, turn, w, count(*) FILTER (WHERE side = 0) AS x, count(*) FILTER (WHERE side = 1) AS y FROM tok GROUP BY ALL), "
@@ -219,7 +220,7 @@ def _(t):
     "qa_report",
     "F13",
     with_views(
-        "j AS (SELECT conv_id, turn, " + _normal("text") + " AS b, CASE WHEN turn % 3 = 0 THEN '' ELSE " + _normal("lag_text") + " END AS a, turn % 3 <> 0 AS has FROM "
+        "j AS (SELECT conv_id, turn, " + ansi.normal_answer("text") + " AS b, CASE WHEN turn % 3 = 0 THEN '' ELSE " + ansi.normal_answer("lag_text") + " END AS a, turn % 3 <> 0 AS has FROM "
         "(SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS lag_text FROM conversations) WHERE lag_text IS NOT NULL)",
         "tok AS (SELECT conv_id, turn, 0 AS side, unnest(" + ansi.words("a") + ") AS w FROM j UNION ALL SELECT conv_id, turn, 1, unnest(" + ansi.words("b") + ") FROM j)",
         "cnt AS (SELECT conv_id, turn, w, count(*) FILTER (WHERE side = 0) AS x, count(*) FILTER (WHERE side = 1) AS y FROM tok GROUP BY ALL)",

@@ -77,19 +77,25 @@ def _(t):
     return out.select("conv_id", "turn", F.size("p").cast("long").alias("n"), F.array_join(F.filter("p", lambda x: x != ""), " ").alias("body"))
 
 
-PACK = 2048
+PACK = 512
 
 
-def short_utterances(t):
-    return views.utterances(t.documents).select(
-        (F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), F.size(words("utt")).cast("long").alias("n"), words("utt").alias("w")
-    ).filter("n > 0 and n <= 2048")
+def utterance_pieces(t):
+    """Word counts of all utterances; those over a pack are cut into pieces of a pack."""
+    n = F.size(words("utt")).cast("long")
+    rows = views.utterances(t.documents).select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), n.alias("total")).filter("total > 0")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / PACK).cast("long") - 1))
+    rows = rows.withColumn("piece", piece)
+    return rows.select(
+        (F.col("utt_id") * 1000 + F.col("piece")).alias("utt_id"), F.least(F.col("total") - F.col("piece") * PACK, F.lit(PACK)).cast("long").alias("n")
+    )
 
 
 def _pack_keys(seed: int) -> str:
     return (
-        f"u AS (SELECT doc_id * 1000000 + pos AS id, len({ansi.words('utt')}) AS n FROM utterances), "
-        f"k AS (SELECT id, n, {ansi.key(seed, 'id')} AS k, {ansi.seeded_int(seed, 'id')} % greatest(1, (count(*) OVER () + 19999) // 20000) AS chunk FROM u WHERE n > 0 AND n <= {PACK})"
+        f"l AS (SELECT doc_id * 1000000 + pos AS id, len({ansi.words('utt')}) AS n FROM utterances), "
+        f"u AS (SELECT id * 1000 + p AS id, least(n - p * {PACK}, {PACK}) AS n FROM (SELECT id, n, unnest(range((n + {PACK - 1}) // {PACK})) AS p FROM l)), "
+        f"k AS (SELECT id, n, {ansi.key(seed, 'id')} AS k, {ansi.seeded_int(seed, 'id')} % greatest(1, (count(*) OVER () + 19999) // 20000) AS chunk FROM u)"
     )
 
 
@@ -105,18 +111,18 @@ def _pack_keys(seed: int) -> str:
     + "SELECT chunk, bin, count(*) AS samples, CAST(max(used) AS BIGINT) AS used FROM f GROUP BY 1, 2",
 )
 def _(t):
-    packed = sh.pack_chunks(short_utterances(t), "utt_id", "n", PACK, "sequential", seed=5)
+    packed = sh.pack_chunks(utterance_pieces(t), "utt_id", "n", PACK, "sequential", seed=5)
     return packed.groupBy("chunk", "bin").agg(F.count(F.lit(1)).alias("samples"), F.sum("n").cast("long").alias("used"))
 
 
 @query("pack_first_fit_decreasing", "I2 G20")
 def _(t):
-    return sh.pack_report(sh.pack_chunks(short_utterances(t), "utt_id", "n", PACK, "first_fit_decreasing", seed=5), PACK)
+    return sh.pack_report(sh.pack_chunks(utterance_pieces(t), "utt_id", "n", PACK, "first_fit_decreasing", seed=5), PACK)
 
 
 @query("pack_first_fit_shuffle", "I2 G20")
 def _(t):
-    return sh.pack_report(sh.pack_chunks(short_utterances(t), "utt_id", "n", PACK, "first_fit_shuffle", seed=5), PACK)
+    return sh.pack_report(sh.pack_chunks(utterance_pieces(t), "utt_id", "n", PACK, "first_fit_shuffle", seed=5), PACK)
 
 
 @query(
@@ -132,7 +138,7 @@ def _(t):
     + f"SELECT count(*) AS packs, round(sum(samples) / count(*), 6) AS packing_factor, round(sum(used) / count(*) / {PACK}, 6) AS efficiency, max(samples) AS max_samples, CAST(max(used) AS BIGINT) AS max_used FROM b",
 )
 def _(t):
-    return sh.pack_report(sh.pack_chunks(short_utterances(t), "utt_id", "n", PACK, "sequential", seed=5), PACK)
+    return sh.pack_report(sh.pack_chunks(utterance_pieces(t), "utt_id", "n", PACK, "sequential", seed=5), PACK)
 
 
 @query(
@@ -143,7 +149,7 @@ def _(t):
         f"u AS (SELECT conv_id * 100 + turn AS id, {ansi.words('src')} AS a, {ansi.words('tgt')} AS b FROM turns)",
         f"k AS (SELECT id, len(a) + len(b) AS n, {ansi.key(6, 'id')} AS k, array_to_string(list_concat(a, b), ' ') AS t, len(b) AS nb FROM u)",
         "o AS (SELECT id, n, t, nb, row_number() OVER (ORDER BY k) AS r FROM k)",
-        "f AS (SELECT r, CAST(0 AS BIGINT) AS bin, n AS used, CAST(0 AS BIGINT) AS st FROM o WHERE r = 1 UNION ALL SELECT o.r, CASE WHEN f.used + o.n > 1024 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + o.n > 1024 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 1024 THEN 0 ELSE f.used END FROM f JOIN o ON o.r = f.r + 1)",
+        "f AS (SELECT r, CAST(0 AS BIGINT) AS bin, n AS used, CAST(0 AS BIGINT) AS st FROM o WHERE r = 1 UNION ALL SELECT o.r, CASE WHEN f.used + o.n > 4096 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + o.n > 4096 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 4096 THEN 0 ELSE f.used END FROM f JOIN o ON o.r = f.r + 1)",
     )
     + """SELECT bin, string_agg(t, ' ' ORDER BY f.r) AS input_ids, CAST(sum(nb + 1) AS BIGINT) AS learned, string_agg(CAST(st AS VARCHAR), ' ' ORDER BY f.r) AS seq_start_id FROM f JOIN o USING (r) GROUP BY 1""",
 )
@@ -151,7 +157,7 @@ def _(t):
     rows = views.turn_pairs(t.conversations).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(words("src"), words("tgt")).alias("t"), F.size(words("src")).alias("a")
     ).withColumn("n", F.size("t"))
-    packed = sh.pack_chunks(rows, "id", "n", 1024, "sequential", seed=6)
+    packed = sh.pack_chunks(rows, "id", "n", 4096, "sequential", seed=6)
     out = sh.fill_packs(packed, rows, "id", "t", "a", "<pad>")
     return out.select(
         "bin",

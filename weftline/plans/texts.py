@@ -8,33 +8,10 @@ from weftline.functions import text as tx
 from weftline.metrics.overlap import tokenize_13a
 from weftline.plans import ansi
 from weftline.plans.catalog import query
-from weftline.plans.scoring import _normal
 from weftline.sources import views
 
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def lower_clean_sql(x: str) -> str:
-    spaces = "".join(ch for ch in dict.fromkeys(tx.LABEL_TO_SPACE) if ch not in tx.LABEL_TO_BLANK)
-    out = f"lower(trim({x}))"
-    for ch in dict.fromkeys(tx.LABEL_TO_BLANK):
-        out = f"replace({out}, {_quote(ch)}, '')"
-    return f"translate({out}, {_quote(spaces)}, {_quote(' ' * len(spaces))})"
-
-
-def clean_label_sql(x: str) -> str:
-    names = "[" + ", ".join(_quote(w) for w in tx.DIGIT_WORDS) + "]"
-    spell = (
-        f"array_to_string(list_transform(list_filter(string_split(ltrim(w_, '0'), ''), lambda d_: d_ <> ''), "
-        f"lambda d_: {names}[CAST(d_ AS INTEGER) + 1]), ' ')"
-    )
-    words = f"list_transform({ansi.words(lower_clean_sql(x))}, lambda w_: CASE WHEN regexp_full_match(w_, '[0-9]+') THEN {spell} ELSE w_ END)"
-    return f"array_to_string(list_filter({words}, lambda w_: w_ <> ''), ' ')"
-
-
-@query("normalize_answer", "C1", f"SELECT doc_id, {_normal('text')} AS answer FROM documents")
+@query("normalize_answer", "C1", f"SELECT doc_id, {ansi.normal_answer('text')} AS answer FROM documents")
 def _(t):
     return t.documents.select("doc_id", tx.normalize_answer("text").alias("answer"))
 
@@ -58,7 +35,7 @@ def _(t):
     return t.documents.select("doc_id", tx.remove_punctuation(tx.strip_space_before_punctuation("text")).alias("plain"))
 
 
-@query("clean_label", "C4 C5", f"SELECT doc_id, {clean_label_sql('text')} AS label FROM documents")
+@query("clean_label", "C4 C5", f"SELECT doc_id, {ansi.clean_label_sql('text')} AS label FROM documents")
 def _(t):
     return t.documents.select("doc_id", tx.clean_label("text").alias("label"))
 
@@ -102,7 +79,7 @@ def _(t):
 @query(
     "conditional_normalize",
     "C10",
-    f"SELECT doc_id, CASE WHEN lang = 'en' THEN {clean_label_sql('text')} ELSE lower(text) END AS normalized_text FROM documents",
+    f"SELECT doc_id, CASE WHEN lang = 'en' THEN {ansi.clean_label_sql('text')} ELSE lower(text) END AS normalized_text FROM documents",
 )
 def _(t):
     value = F.when(F.col("lang") == "en", tx.clean_label("text")).otherwise(F.lower("text"))
@@ -196,7 +173,7 @@ def choice_sql(x: str) -> str:
     parts = []
     for template in tx.CHOICE_TEMPLATES:
         for c in "abcd":
-            needle = _quote(template.replace("[CHOICE]", c)).replace("\n", "' || chr(10) || '")
+            needle = ansi.quote(template.replace("[CHOICE]", c)).replace("\n", "' || chr(10) || '")
             parts.append(f"WHEN contains({x}, {needle}) THEN '{c.upper()}'")
     for c in "abcd":
         parts.append(f"WHEN regexp_matches({x}, '^{c}([.,:)]|$)') THEN '{c.upper()}'")

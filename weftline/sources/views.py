@@ -29,13 +29,14 @@ def utterances(documents: DataFrame) -> DataFrame:
     ).withColumn("pos", F.col("pos").cast("long"))
 
 
-def pairs_view(documents: DataFrame) -> DataFrame:
+def pairs_view(documents: DataFrame, normalise=None) -> DataFrame:
     """Reference and hypothesis words of every utterance.
 
     The reference is the lower-cased ASCII text. In the hypothesis every 7th word is missing and
-    every 5th of the others is unknown.
+    every 5th of the others is unknown. ``normalise`` is applied to the text first.
     """
-    ref = words(F.lower(F.regexp_replace("utt", "[^ -~]", "")))
+    text = F.lower(F.regexp_replace("utt", "[^ -~]", ""))
+    ref = words(normalise(text) if normalise else text)
     hyp = F.filter(
         F.transform(
             F.col("r"),
