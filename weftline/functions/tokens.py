@@ -48,6 +48,8 @@ def char_ngrams(c: Column, n: int) -> Column:
 
 def word_ngrams(tokens: Column, n: int) -> Column:
     """All word n-grams joined by a space, empty for shorter rows."""
+    if n == 1:
+        return tokens
 
     def cut(x: Column) -> Column:
         last = F.size(x) - n
