@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.bags import bag_overlap, f1
 from weftline.functions.edit import lcs_length
@@ -31,11 +35,30 @@ def tokenize_13a(c: Column) -> Column:
     return words(out)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def ngram_matches(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Clipped n-gram matches of orders 1 to 4. Counting is linear in the words; the same in array
+    expressions measured several times slower."""
+    return pd.Series([[_clipped(list(r), list(h), n) for n in range(1, MAX_ORDER + 1)] for r, h in zip(ref, hyp)])
+
+
+def _clipped(ref: list, hyp: list, n: int) -> int:
+    grams = lambda x: zip(*[x[i:] for i in range(n)])
+    left = Counter(grams(ref))
+    hits = 0
+    for g in grams(hyp):
+        if left.get(g, 0) > 0:
+            left[g] -= 1
+            hits += 1
+    return hits
+
+
 def bleu_counts(ref: Column, hyp: Column) -> dict[str, Column]:
     """Per-row sufficient statistics of corpus BLEU."""
     out = {"ref_len": F.size(ref).cast("long"), "hyp_len": F.size(hyp).cast("long")}
+    matches = ngram_matches(ref, hyp)
     for n in range(1, MAX_ORDER + 1):
-        out[f"match_{n}"] = bag_overlap(word_ngrams(ref, n), word_ngrams(hyp, n))
+        out[f"match_{n}"] = matches[n - 1]
         out[f"total_{n}"] = F.greatest(F.size(hyp) - n + 1, F.lit(0)).cast("long")
     return out
 
