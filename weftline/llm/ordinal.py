@@ -29,7 +29,6 @@ LEAST_TEXTS = 12
 SHAPE_SCALE = 8.0
 REMEMBERED = 400_000
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LETTERS = re.compile(r"[\W_]+")
 _FOLD = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "9"))
 
@@ -52,7 +51,7 @@ class Hasher:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers and values of one text; no features without words."""
-        known, counts = self.known, Counter(_WORD(text or ""))
+        known, counts = self.known, Counter((text or "").split())
         if not counts:
             return np.empty(0, np.int64), np.empty(0, np.float32)
         if len(known) > REMEMBERED:

@@ -12,7 +12,6 @@ only a spanning forest of the links found leaves the task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,13 +34,12 @@ BLOCKS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
 #: An anchor with more fingerprints is cut into slices that are compared pair by pair in tasks of their own.
 SLICE = 4096
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of the word shingles of a text (null or no word: 0)."""
-    words = _WORDS((text or "").encode("utf-8", "replace").translate(_UPPER))
+    words = (text or "").encode("utf-8", "replace").translate(_UPPER).split()  # at the six ASCII white-space bytes
     if not words:
         return 0
     line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
