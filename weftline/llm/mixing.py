@@ -75,6 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     per_id = drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
     offset = F.pmod(F.xxhash64("_id"), F.col("_rows"))
     times = F.floor((F.col("_all") + offset) / F.col("_rows")).cast("int")
-    joined = docs.join(per_id.withColumn("_times", times).drop("_all", "_rows"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    copies = joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    per_id = per_id.select("_id", times.alias("_times")).filter("_times > 0")
+    joined = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id["_id"]))
+    copies = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), per_id["_times"])).alias("_copy"))
     return copies.select(*[docs[c] for c in docs.columns])

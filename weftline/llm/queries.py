@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import mixing, ordinal, packing, simhash
+from weftline.llm import language, licenses, mixing, multiset_hash, ordinal, packing, pii, quality_rules, repeats, simhash
 from weftline.llm.common import table
-from weftline.llm.sql import MIXING
+from weftline.llm.sql import LICENSES, MIXING, QUALITY_RULES
 
 #: Name of the vocabulary file in the folder of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -25,10 +25,37 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, folder, "documents"), tokenizer_path()))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, F.coalesce(~held_out, F.lit(True)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.fingerprints(table(spark, folder, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove(table(spark, folder, "documents")).drop("kept")
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return ordinal.rate(table(spark, folder, "documents"), ordinal.graded(table(spark, folder, "labels")))
 
@@ -48,10 +75,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_quality_rules,
+        op3_language_id,
         op4_simhash_near_dedup,
+        op5_document_fingerprints,
+        op6_license_scan,
+        op7_pii,
+        op8_suffix_array_dedup,
         op9_quality_classifier,
         op10_mix_to_target_weights,
     )
 }
 
-SQL: dict[str, str] = {"op10_mix_to_target_weights": MIXING}
+SQL: dict[str, str] = {
+    "op2_quality_rules": QUALITY_RULES,
+    "op6_license_scan": LICENSES,
+    "op10_mix_to_target_weights": MIXING,
+}

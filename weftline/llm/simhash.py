@@ -212,12 +212,12 @@ def keep_first(docs: DataFrame, limit: int = THRESHOLD) -> DataFrame:
     kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     kept = cut_lineage(kept)
     chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    twice = chosen.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    twice = chosen.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
     return drop_repeats(chosen, cut_lineage(twice))
 
 
 def drop_repeats(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """One row for each id of ``ids``; the other rows as they are."""
-    once = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_anti")
-    twice = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    once = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_twice"]), "left_anti")
+    twice = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_twice"]), "left_semi")
     return once.unionByName(twice.dropDuplicates(["doc_id"]))

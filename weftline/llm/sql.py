@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weftline.llm.licenses import COVERAGE, DRIFT, NOTICES, PHRASES, STRETCH
+
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -28,3 +30,87 @@ drawn AS (
   FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (floor(k * ratio + u) - floor((k - 1) * ratio + u))::BIGINT * size AS taken FROM drawn
 """
+
+QUALITY_RULES = r"""
+WITH base AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+wins AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM base)),
+twice AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM wins JOIN twice USING (doc_id, win), range(0, 5) r(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS again
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+feats AS (
+  SELECT b.doc_id, coalesce(lang, '') || CASE WHEN lang IS NULL THEN '1' ELSE '0' END AS lang,
+         coalesce(source, '') || CASE WHEN source IS NULL THEN '1' ELSE '0' END AS source,
+         len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(again, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM base b LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)),
+marked AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         n_symbols * 1000000 // greatest(word_chars, 1) AS m1, n_dup_lines * 1000000 // greatest(n_lines, 1) AS m2,
+         word_chars * 1000 // greatest(n_words, 1) AS m3 FROM feats),
+entries AS (
+  SELECT lang, source, metric, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END AS bucket
+  FROM (SELECT lang, source, unnest([1, 2, 3]) AS metric, unnest([m1, m2, m3]) AS v FROM marked WHERE NOT base_failed)),
+sketch AS (
+  SELECT lang, source, metric, bucket, count(*) AS n, grouping(lang, source) AS lv FROM entries
+  GROUP BY GROUPING SETS ((lang, source, metric, bucket), (lang, metric, bucket), (metric, bucket))),
+sums AS (
+  SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY bucket) AS upto,
+         sum(n) OVER (PARTITION BY lv, lang, source, metric) AS al FROM sketch),
+quart AS (
+  SELECT lv, lang, source, metric, max(al) AS al, min(bucket) FILTER (upto * 4 >= al) AS b1, min(bucket) FILTER (upto * 4 >= al * 3) + 1 AS b4
+  FROM sums GROUP BY lv, lang, source, metric),
+q AS (
+  SELECT lv, lang, source, metric, al, CASE WHEN b1 < 32 THEN b1 ELSE (b1 % 16 + 16) << (b1 // 16 - 1)::INT END AS q1,
+         CASE WHEN b4 < 32 THEN b4 ELSE (b4 % 16 + 16) << (b4 // 16 - 1)::INT END - 1 AS q3 FROM quart),
+picked AS (
+  SELECT o.lang, o.source, o.metric,
+         CASE WHEN o.al >= 200 THEN o.q1 WHEN l.al >= 200 THEN l.q1 ELSE c.q1 END AS q1,
+         CASE WHEN o.al >= 200 THEN o.q3 WHEN l.al >= 200 THEN l.q3 ELSE c.q3 END AS q3
+  FROM q o JOIN q l ON l.lv = 1 AND l.lang = o.lang AND l.metric = o.metric JOIN q c ON c.lv = 3 AND c.metric = o.metric WHERE o.lv = 0),
+limits AS (
+  SELECT *, greatest((q3 - q1) * 3, CASE metric WHEN 1 THEN 20000 WHEN 2 THEN 250000 ELSE 1500 END) AS w FROM picked),
+verdict AS (
+  SELECT lang, source, max(q1 - w) FILTER (metric = 1) AS l1, max(q3 + w) FILTER (metric = 1) AS h1,
+         max(q1 - w) FILTER (metric = 2) AS l2, max(q3 + w) FILTER (metric = 2) AS h2,
+         max(q1 - w) FILTER (metric = 3) AS l3, max(q3 + w) FILTER (metric = 3) AS h3 FROM limits GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(m1 BETWEEN l1 AND h1 AND m2 BETWEEN l2 AND h2 AND m3 BETWEEN l3 AND h3, false) AS kept
+FROM marked LEFT JOIN verdict USING (lang, source)
+"""
+
+_TEMPLATES = ", ".join(f"({t}, '{label}', '{phrase}')" for t, (label, phrase) in enumerate(PHRASES + NOTICES))
+
+LICENSES = rf"""
+WITH templates(template, label, phrase) AS (VALUES {_TEMPLATES}),
+pos AS (
+  SELECT template, label, len(w) AS size, j - 1 AS j, w[j] || ' ' || w[j + 1] AS pair
+  FROM (SELECT template, label, string_split(phrase, ' ') AS w, unnest(range(1, len(string_split(phrase, ' ')))) AS j FROM templates)),
+worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pairs AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM worded)),
+votes AS (
+  SELECT doc_id, template, label, size, i - j AS diagonal, min(i) AS lo, max(i) AS hi, list(DISTINCT j) AS js
+  FROM pairs JOIN pos USING (pair) GROUP BY doc_id, template, label, size, diagonal),
+runs AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM (
+    SELECT *, CASE WHEN template < {len(PHRASES)} OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal), 99) > {DRIFT}
+              THEN 1 ELSE 0 END AS fresh FROM votes)),
+spans AS (
+  SELECT doc_id, template < {len(PHRASES)} AS base, label, min(lo) AS lo, len(list_distinct(flatten(list(js))))::DOUBLE / (size - 1) AS share,
+         max(hi) - min(lo) + 2 <= size * {STRETCH} AS tight
+  FROM runs GROUP BY doc_id, template, label, size, run),
+good AS (SELECT * FROM spans WHERE CASE WHEN base THEN share = 1 ELSE share >= {COVERAGE} AND tight END)
+SELECT w.doc_id, len(any_value(w.w))::BIGINT AS n_words, count(lo) FILTER (base)::BIGINT AS n_base, min(lo) FILTER (base)::BIGINT AS first_word,
+       max(lo) FILTER (base)::BIGINT AS last_word, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ','), '') AS labels, coalesce(max(share), 0.0) AS score
+FROM worded w LEFT JOIN good g ON w.doc_id = g.doc_id GROUP BY w.doc_id
+"""
