@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.seeded import seeded_mod
 from weftline.llm.common import cut_lineage
 
 ORDER = 4
 HASH_BITS = 18
 #: Share of a language's training texts that calibrated rejection lets pass.
 PASS = 0.995
+FOLDS, SEED = 10, 3
 MARK = "\x02"
 #: Spread of the uniform distribution under the lowest order: letters a model may meet.
 ALPHABET = 2048
@@ -206,19 +208,21 @@ def identify(docs: DataFrame, train: Column, order: int = ORDER, keep: float = P
 
     Models are learned from the rows where ``train`` holds; lang is used for learning only. lang_pred is
     ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned. ``rejected``
-    marks texts above the calibrated cross-entropy of their language: the ``keep`` quantile of the training
-    texts that were given that language. Repeated rows get the same answer; an empty table an empty one.
+    marks texts above the calibrated cross-entropy of their language: the ``keep`` quantile among the texts
+    given that language in one of ``FOLDS`` folds of the training rows, which the counts leave out. A
+    language without such texts rejects none. Repeated rows get the same answer; an empty table an empty one.
     """
     learned = F.coalesce(train, F.lit(False)) & F.col("lang").isNotNull()
-    model = fit(docs.filter(learned), order)
+    aside = F.coalesce(seeded_mod(SEED, FOLDS, "doc_id") == 0, F.lit(False))
+    model = fit(docs.filter(learned & ~aside), order)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         und = docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
         return und
-    scored = cut_lineage(costs(docs, model, [F.col("doc_id"), has_letter.alias("_letter"), (learned & (F.col("lang") != "")).alias("_train")]))
+    scored = cut_lineage(costs(docs, model, [F.col("doc_id"), has_letter.alias("_letter"), (learned & aside).alias("_train")]))
     given = F.when(F.col("_letter"), F.col("_c.lang"))
     rows = scored.select("doc_id", given.alias("lang_pred"), "_c.score", F.col("_c.entropy").alias("cross_entropy"), "_train")
-    # exact ranks of small integers: milli-bits per character
+    # milli-bits per character: exact ranks from counts of small integers
     marks = rows.filter("_train and lang_pred is not null").groupBy("lang_pred", F.floor(F.col("cross_entropy") * 1000).cast("long").alias("m")).count()
     limits: dict[str, float] = {}
     found = sorted(tuple(r) for r in marks.collect())  # at most 40,000 values of each language
@@ -232,5 +236,5 @@ def identify(docs: DataFrame, train: Column, order: int = ORDER, keep: float = P
     limit = F.lit(None).cast("double")
     for lang, v in limits.items():
         limit = F.when(F.col("lang_pred") == lang, v).otherwise(limit)
-    rejected = F.col("lang_pred").isNull() | F.coalesce(F.col("cross_entropy") > limit, F.lit(True))
+    rejected = F.col("lang_pred").isNull() | F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
     return rows.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.when(F.col("lang_pred").isNull(), 0.0).otherwise(F.col("score")).alias("score"), "cross_entropy", rejected.alias("rejected"))
