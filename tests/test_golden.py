@@ -315,17 +315,19 @@ def test_chat_mask(spark):
     assert learned == "yo\n"
 
 
-def test_split_cuts():
-    assert sp.split_cuts("949,50,1", 1000) == [0, 949, 999, 1000]
-    assert sp.split_cuts("80/20", 11)[-1] == 11
-    assert sp.split_cuts("1", 5) == [0, 5, 5, 5]
-
-
-def test_blend_bins_repeat_one_sample():
-    bins = sp.blend_bins([1, 1, 1], 100)
-    assert len(bins) == 100
-    last = [k for _, d, k in bins if d == 2]
-    assert last[32] == last[33] == 32
+def test_split_ends():
+    assert sp.split_ends("949,50,1", 1000) == (949, 999)
+    assert sp.split_ends("8/1/1", 11) == (9, 10)
+    for spec in ("80/20", "1", "0,0,0"):
+        with pytest.raises(ValueError):
+            sp.split_ends(spec, 11)
+
+
+def test_blend_stride_repeats_one_sample(spark):
+    rows = [tuple(r) for r in sp.blend_stride(spark, [1, 1, 1], [1000] * 3, 200).orderBy("idx").collect()]
+    assert len(rows) == 200
+    last = [s for _, d, s in rows if d == 2]
+    assert last == [*range(33), 32, *range(34, 67), 66]
 
 
 def test_blend_greedy_matches_walk(spark):

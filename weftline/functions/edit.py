@@ -22,13 +22,17 @@ _SURROGATE_SPAN = 0x800
 MAX_DISTINCT = 0xFFFF - _FIRST - _SURROGATE_SPAN
 
 
-def _coded(tokens: Column, vocabulary: Column) -> Column:
+#: of a pair; beyond it the distance would take more than 10^12 steps
+MAX_WIDE = 0x10FFFF - _FIRST - _SURROGATE_SPAN
+
+
+def _coded(tokens: Column, vocabulary: Column, wide: bool = False) -> Column:
     def code(w: Column) -> Column:
         p = F.array_position(vocabulary, w) + _FIRST
         p = F.when(p >= _SURROGATES, p + _SURROGATE_SPAN).otherwise(p)
-        return F.lpad(F.hex(p), 4, "0")
+        return F.lpad(F.hex(p), 8 if wide else 4, "0")
 
-    return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-16BE")
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-32" if wide else "UTF-16BE")
 
 
 @F.pandas_udf(T.LongType())
@@ -37,11 +41,13 @@ def _plain_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance. Pairs with over 60 thousand distinct words take a vectorised path."""
+    """Word-level edit distance. Words of a pair are code points of two bytes, of four where they are many."""
+
     def coded(vocabulary: Column) -> Column:
         fast = F.levenshtein(_coded(ref, vocabulary), _coded(hyp, vocabulary)).cast("long")
-        return F.when(F.size(vocabulary) <= MAX_DISTINCT, fast).otherwise(
-            F.raise_error(F.lit("more than 60000 distinct words in a pair: use long_word_distance"))
+        wide = F.levenshtein(_coded(ref, vocabulary, True), _coded(hyp, vocabulary, True)).cast("long")
+        return F.when(F.size(vocabulary) <= MAX_DISTINCT, fast).when(F.size(vocabulary) <= MAX_WIDE, wide).otherwise(
+            F.raise_error(F.lit("more than a million distinct words in a pair: use long_word_distance"))
         )
 
     return (

@@ -14,9 +14,7 @@ from weftline.functions.seeded import seeded_int, seeded_uniform
 WHITESPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TRANSCRIPT_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-CJK_PUNCTUATION = (
-    "，。：？！（）「」《》【】；“”‘’、…—～·"
-)
+CJK_PUNCTUATION = "‘’“”…、。〈〉《》「」『』【】〔〕！（），．：；？"
 LABEL_TO_BLANK = "`¨´‘’“”ʻ\""
 LABEL_TO_SPACE = "/?*\",.:=?_{|}~¨«·»¡¿„…‧‹›≪≫!:;ː→"
 DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
@@ -83,9 +81,8 @@ def normalize_answer(c: Column | str) -> Column:
 
 
 def normalize_answer_zh(c: Column | str) -> Column:
-    """Lower, drop western and CJK punctuation, then one character per word."""
-    plain = drop_chars(F.lower(_col(c)), ASCII_PUNCTUATION + CJK_PUNCTUATION)
-    return F.array_join(F.filter(F.split(plain, ""), lambda x: F.trim(x) != ""), " ")
+    """Drop Chinese punctuation, then one character per word; case and western marks stay."""
+    return F.array_join(chars_of(drop_chars(c, CJK_PUNCTUATION)), " ")
 
 
 def remove_punctuation(c: Column | str, marks: str | None = None) -> Column:
@@ -221,7 +218,7 @@ def _spell_token(tok: Column) -> Column:
     whole = F.regexp_replace(F.when(has_decimal, F.regexp_replace(tok, r"[.,][0-9]{1,2}$", "")).otherwise(tok), r"[.$]", "")
     whole_n = F.coalesce(F.regexp_replace(whole, "[^0-9]", "").try_cast("long"), F.lit(0))
     money = F.concat(
-        number_words(whole_n),
+        _run_words(whole),
         F.when(whole_n == 1, F.lit(" dollar")).otherwise(" dollars"),
         F.when(
             has_decimal,
@@ -385,6 +382,7 @@ def typo_noise(c: Column | str, id_col: str, seed: int, p_swap: float, p_drop: f
 
 # ---------------------------------------------------------------- sentences
 
+# Where a sentence ends.
 SENTENCE_BREAK = (
     r"(?<![\p{L}\p{N}_]\.[\p{L}\p{N}_].)(?<![A-Z][a-z]\.)(?<![A-Z]\.)(?<=\.|\?|!|\.”|\?”|!”) "
 )
@@ -393,6 +391,7 @@ SENTENCE_BREAK = (
 def sentence_text(c: Column | str, remove_brackets: bool = True) -> Column:
     """Line breaks, ellipses, dashes and quote ends made regular before splitting."""
     out = _col(c)
+    # fixed values: replacements before the split
     for old, new in (("\n", " "), ("\t", " "), ("…", "..."), ("\\", " "), ("--", " -- "), (". . .", "...")):
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.regexp_replace(out, r"""([.?!])(["'”])""", "$2$1 ")

@@ -81,12 +81,12 @@ def detail_totals(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def slot_label(value: Column, slots: list) -> Column:
-    """Name of the first slot a value falls into: ``(a, b)`` is ``[a, b)``, a list is a set of values."""
+    """Name of the first slot a value falls into: ``(a, b)`` is ``[a, b)``, without a bound if b is None; a list is a set of values."""
     out = None
     for s in slots:
         if isinstance(s, tuple):
             lo, hi = s
-            name, hit = f"[{lo},{hi})", (value >= lo) & (value < hi)
+            name, hit = f"[{lo},{'inf' if hi is None else hi})", (value >= lo) if hi is None else (value >= lo) & (value < hi)
         else:
             name, hit = "|".join(map(str, s)), value.isin(list(s))
         out = F.when(hit, name) if out is None else out.when(hit, name)

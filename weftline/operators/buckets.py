@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,16 +97,7 @@ def fold_bounds(hist: list[tuple[int, int]], n: int) -> list[int]:
 
 def merge_bounds(bounds: list[float], top: float) -> list[tuple[float, int]]:
     """(bound, how many equal bounds it stands for), closed by the overall maximum."""
-    out: list[tuple[float, int]] = []
-    skipped = 1
-    for i, b in enumerate(bounds):
-        nxt = bounds[i + 1] if i + 1 < len(bounds) else top
-        if nxt == b:
-            skipped += 1
-            continue
-        out.append((b, skipped))
-        skipped = 1
-    return [*out, (top, skipped)]
+    return sorted(Counter([*bounds, top]).items())
 
 
 def buckets_2d(df: DataFrame, duration: str, tokens: str, n: int, n_sub: int, outlier: float = 4.0) -> DataFrame:
@@ -118,6 +110,8 @@ def buckets_2d(df: DataFrame, duration: str, tokens: str, n: int, n_sub: int, ou
     """
     ms = df.select(F.round(F.col(duration) * 1000).cast("long").alias("ms"), F.col(tokens).cast("long").alias("n")).filter(F.col("ms") > 0)
     top = ms.agg(F.max("ms")).first()[0]
+    if top is None:  # no rows with a duration
+        return ms.limit(0).select(F.lit(0.0).alias("bound"), F.lit(0).cast("long").alias("tokens"), F.lit(0.0).alias("max_tps"))
     plan = merge_bounds(equal_mass_bounds(ms, "ms", n), top)
     index = None
     for i, (b, _) in enumerate(plan[:-1]):
@@ -155,6 +149,8 @@ def token_buckets_2d(df: DataFrame, source: str, target: str, n: int, n_sub: int
     """Input-token buckets cut by output tokens; each closes with ``ceil(bound * max ratio)``."""
     rows = df.select(F.col(source).cast("long").alias("i"), F.col(target).cast("long").alias("n")).filter(F.col("i") > 0)
     edge = rows.agg(F.max("i").alias("top"), F.max(F.col("n") / F.col("i")).alias("ratio")).first()
+    if edge["top"] is None:
+        return rows.limit(0).select(F.col("i").alias("source"), F.col("n").alias("target"))
     bounds = [*equal_mass_bounds(rows, "i", n), edge["top"]]
     index = None
     for i, b in enumerate(bounds[:-1]):

@@ -105,11 +105,11 @@ def _own_grams(text: Column, n: int, among: DataFrame | None) -> Column:
     return F.array_distinct(own)
 
 
-def frequent_grams(texts: DataFrame, text: Column, n: int, min_count: int, among: DataFrame | None = None) -> DataFrame:
-    """n-grams (of ``among``, if given) that occur in at least ``min_count`` texts, counted map-side
+def frequent_grams(texts: DataFrame, text: Column, n: int, percent: int, among: DataFrame | None = None) -> DataFrame:
+    """n-grams (of ``among``, if given) that occur in at least ``percent`` % of the texts, counted map-side
     before the shuffle and written out: the list is small and read several times."""
     grams = texts.select(F.explode(_own_grams(text, n, among)).alias("gram"))
-    return cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count))
+    return cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 100 >= percent * texts.count()))
 
 
 def phrase_candidates(fragments: DataFrame, keys: list[str], text: Column, index: DataFrame, n: int, top: int = 10) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.seeded import seeded_key
 
 #: largest index (bytes of float64) that is broadcast
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -147,14 +146,12 @@ def neighbour_lists(found: DataFrame, queries: DataFrame, id_col: str, k: int) -
     return out.select("qid", F.slice(F.concat(F.coalesce("neighbors", F.array().cast("array<bigint>")), pad), 1, k).alias("neighbors"))
 
 
-def coarse_centroids(df: DataFrame, vec: str, n_lists: int, id_col: str, seed: int, sample: int = 100_000) -> np.ndarray:
-    """k-means centroids of a seeded sample; ``n_lists`` vectors come to the driver."""
+def coarse_centroids(df: DataFrame, vec: str, n_lists: int, seed: int) -> np.ndarray:
+    """k-means centroids of all vectors; ``n_lists`` vectors come to the driver."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = df.count()
-    keep = df if n <= sample else df.filter(F.conv(F.substring(seeded_key(seed, id_col), 1, 8), 16, 10).cast("long") < int(2**32 * sample / n))
-    model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(keep.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features")))
+    model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features")))
     return np.array(model.clusterCenters())
 
 
@@ -191,7 +188,7 @@ def approximate_knn(
     block: int = 8192,
 ) -> DataFrame:
     """Search the ``n_probe`` nearest lists of every query and re-rank exactly inside them."""
-    centroids = coarse_centroids(index, vec, n_lists, id_col, seed)
+    centroids = coarse_centroids(index, vec, n_lists, seed)
     q = _assign(_side(queries, id_col, vec, exclude_same, "q"), centroids, "qv", n_probe)
     x = _assign(_side(index, id_col, vec, exclude_same, "n"), centroids, "nv", 1)
     return _blocked(q, x, k, metric, exclude_same is not None, block)
@@ -213,13 +210,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def pca(df: DataFrame, vec: str, id_col: str, k: int, seed: int, sample: int = 100_000, out: str = "reduced") -> DataFrame:
-    """Fit principal components on a seeded sample and project every vector."""
+def pca(df: DataFrame, vec: str, k: int, out: str = "reduced") -> DataFrame:
+    """Fit principal components on all vectors and project every one."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = df.withColumn("_f", array_to_vector(F.col(vec).cast("array<double>")))
-    n = df.count()
-    part = rows if n <= sample else rows.filter(F.conv(F.substring(seeded_key(seed, id_col), 1, 8), 16, 10).cast("long") < int(2**32 * sample / n))
-    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(part)
+    model = PCA(k=k, inputCol="_f", outputCol="_p").fit(rows)
     return model.transform(rows).withColumn(out, vector_to_array("_p")).drop("_f", "_p")

@@ -10,7 +10,6 @@ from weftline.operators.ordered import number_rows, running
 from weftline.session import cut_lineage
 
 #: a length histogram is folded on the driver; its size is the number of distinct lengths
-MAX_LENGTHS = 2_000_000
 
 
 def keep_first(df: DataFrame, cols: list[str], order: str) -> DataFrame:
@@ -23,34 +22,36 @@ def keep_first(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     return df.join(first.select(order), order, "left_semi")
 
 
-def label_quota(df: DataFrame, order: str, labels: Column, cap: int) -> DataFrame:
+def label_quota(df: DataFrame, order: str | list[str], labels: Column, cap: int) -> DataFrame:
     """Flag rows that hold a label seen fewer than ``cap`` times before them.
 
     A label's counter rises with every occurrence until the cap whatever the other labels do, so a
     row is kept if any of its occurrences is among the first ``cap`` of its label. The rank limit is
     applied in every map task, so a hot label sends at most ``cap`` rows from each.
     """
-    flat = df.select(order, F.posexplode(labels).alias("_i", "_label"))
-    rank = F.row_number().over(Window.partitionBy("_label").orderBy(order, "_i"))
-    kept = flat.withColumn("_n", rank).filter(F.col("_n") <= cap).select(order).distinct().withColumn("_kept", F.lit(True))
+    order = [order] if isinstance(order, str) else order
+    flat = df.select(*order, F.posexplode(labels).alias("_i", "_label"))
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(*order, "_i"))
+    kept = flat.withColumn("_n", rank).filter(F.col("_n") <= cap).select(*order).distinct().withColumn("_kept", F.lit(True))
     return df.join(kept, order, "left").withColumn("kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
 
 
-def pattern_quota(df: DataFrame, order: str, patterns: dict[str, tuple[Column, int]]) -> DataFrame:
+def pattern_quota(df: DataFrame, order: str | list[str], patterns: dict[str, tuple[Column, int]]) -> DataFrame:
     """Take sentences while one of their patterns is below its own target.
 
     ``patterns``: name -> (predicate, target count).
     """
+    order = [order] if isinstance(order, str) else order
     names = F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, (hit, _) in patterns.items()]))
-    flat = df.select(order, F.explode(names).alias("_p"))
+    flat = df.select(*order, F.explode(names).alias("_p"))
     target = None
     for k, (_, n) in patterns.items():
         target = F.when(F.col("_p") == k, n) if target is None else target.when(F.col("_p") == k, n)
     top = max(n for _, n in patterns.values())
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     # the constant limit prunes in the map tasks, the own target decides
     first = flat.withColumn("_n", rank).filter(F.col("_n") <= top)
-    kept = first.filter(F.col("_n") <= target).select(order).distinct()
+    kept = first.filter(F.col("_n") <= target).select(*order).distinct()
     return df.join(kept, order, "left_semi")
 
 
@@ -61,6 +62,8 @@ def semi_sorted_batches(
     the ranks with seeded repeats, deal positions to the ranks by stride and cut each rank's share.
     """
     span = df.agg(F.min(duration).alias("lo"), F.max(duration).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if span["lo"] is None:  # nothing to batch
+        return df.limit(0).select(id_col, F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("batch"))
     bound, n = (span["hi"] - span["lo"]) * noise / 2, span["n"]
     jitter = (seeded_uniform(seed, id_col) * 2 - 1) * bound
     sorted_ = running(df.select(id_col, (F.col(duration) + jitter).alias("_key")), ["_key", id_col], row_no="_n")
@@ -98,11 +101,14 @@ def token_budget_batches(df: DataFrame, id_col: str, length: str, budget: int) -
     Within one length every batch holds ``budget // length`` rows, so only the carry from one length
     to the next is sequential: it is folded over the length histogram, and rows find their batch
     from their rank within their length. ``df`` is written out once, so pass ids and lengths only.
+    A row longer than the budget is an error.
     """
     df = cut_lineage(df)
-    hist = df.groupBy(F.col(length).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("c")).limit(MAX_LENGTHS + 1).collect()
-    if len(hist) > MAX_LENGTHS:
-        raise ValueError("too many distinct lengths for a driver-side fold")
+    longest = df.agg(F.max(F.col(length).cast("long"))).first()[0]
+    if longest is not None and longest > budget:
+        raise ValueError(f"a row of {longest} tokens exceeds the budget of {budget} tokens")
+    # at most one row per length up to the budget
+    hist = df.groupBy(F.col(length).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()
     plan = _fold_lengths(sorted((r["n"], r["c"]) for r in hist), budget)
     table = df.sparkSession.createDataFrame([(n, b, f) for n, _, b, f in plan], "_len long, _batch long, _filled long")
     ranked = running(df.withColumn("_len", F.col(length).cast("long")), [id_col], ["_len"], row_no="_r")
@@ -146,15 +152,15 @@ def fused_score(parts: list[tuple[Column, float]], length: Column, alpha: float
     return total / F.pow((length + 5) / 6, F.lit(alpha))
 
 
-def rerank(df: DataFrame, query: str, score: Column, best: list[str], tie: Column) -> DataFrame:
-    """Best candidate per query (ties: smallest ``tie``) in one aggregation."""
+def rerank(df: DataFrame, query: str, score: Column, best: list[str], tie: list[Column]) -> DataFrame:
+    """Best candidate per query (ties: smallest ``tie``, column by column) in one aggregation."""
     return df.groupBy(query).agg(
-        *[F.max_by(c, F.struct(score.alias("s"), (-tie).alias("t"))).alias(c) for c in best], F.max(score).alias("score")
+        *[F.max_by(c, F.struct(score.alias("s"), *[-c for c in tie])).alias(c) for c in best], F.max(score).alias("score")
     )
 
 
 def coefficient_search(
-    df: DataFrame, query: str, first: Column, second: Column, errors: Column, tokens: Column, grid: list[float], tie: Column
+    df: DataFrame, query: str, first: Column, second: Column, errors: Column, tokens: Column, grid: list[float], tie: list[Column]
 ) -> DataFrame:
     """Error rate of the best candidate at every coefficient; the first minimum is flagged.
 
@@ -162,7 +168,7 @@ def coefficient_search(
     never multiplied by the grid.
     """
     picks = [
-        F.max_by(errors, F.struct((first + second * c).alias("s"), (-tie).alias("t"))).alias(f"_e{i}") for i, c in enumerate(grid)
+        F.max_by(errors, F.struct((first + second * c).alias("s"), *[-k for k in tie])).alias(f"_e{i}") for i, c in enumerate(grid)
     ]
     per = df.groupBy(query).agg(*picks, F.max(tokens).alias("_n"))
     sums = per.agg(F.sum("_n").alias("_n"), *[F.sum(f"_e{i}").alias(f"_e{i}") for i in range(len(grid))])

@@ -10,12 +10,14 @@ everything in one task. Here the order is cut into value buckets first:
 
 Buckets come from row values alone (digest prefix, or literal quantile bounds), so a recomputed
 partition lands in the same bucket. A value that is itself hot is cut again by the second order
-column. ``by`` columns must not be null.
+column. Strings are cut by their first six bytes, structs by their first field. Null groups are groups.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +29,26 @@ _SUB = 1_000_000
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
+    return _number(F.col(name), df.schema[name].dataType)
+
+
+def _number(c: Column, kind: T.DataType) -> Column:
+    """A double that never falls where the order of ``c`` rises."""
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.StringType):  # the first six bytes, in the order of strings
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.StructType):
+        first = kind.fields[0]
+        return _number(c[first.name], first.dataType)
+    return c.cast("double")
 
 
 def bucket_count(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(2000, 2 * n))
+    return max(8, min(10_000, 2 * n))
 
 
 def _quantiles(df: DataFrame, names: list[str], n: int) -> dict[str, list[float]]:
@@ -66,11 +77,10 @@ def _below(bounds: list[float], value: Column) -> Column:
 def order_bucket(df: DataFrame, order: list[str], hashed: bool = False, buckets: int | None = None) -> Column:
     """Bucket number of each row, monotone in ``order``."""
     if hashed:
-        return F.conv(F.substring(F.col(order[0]), 1, 3), 16, 10).cast("long")
+        digits = 3 if bucket_count(df) <= 4096 else 4
+        return F.conv(F.substring(F.col(order[0]), 1, digits), 16, 10).cast("long")
     n = buckets or bucket_count(df)
-    numeric = [c for c in order[:2] if not isinstance(df.schema[c].dataType, T.StringType)]
-    if order[0] not in numeric:
-        raise ValueError("the first order column must be numeric or a digest (hashed=True)")
+    numeric = order[:2]
     found = _quantiles(df, numeric, n)
     bounds = found[order[0]]
     hot = sorted({b for b in bounds if bounds.count(b) > 1})
@@ -145,11 +155,12 @@ def running(
         carry.append(F.last(f"_t_{name}", ignorenulls=True).over(before).alias(f"_ct_{name}"))
         outs[name] = F.coalesce(F.last(expr, ignorenulls=True).over(upto), F.col(f"_ct_{name}"))
 
-    summary = work.groupBy(*keys).agg(*totals).select(*keys, *carry)
+    summary = work.groupBy(*keys).agg(*totals).select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *carry)
     if not by:
         # at most one row per bucket, whatever the data size
         summary = F.broadcast(summary)
-    joined = work.join(summary, keys)
+    same = [work[k].eqNullSafe(summary[f"_key{i}"]) for i, k in enumerate(keys)]
+    joined = work.join(summary, functools.reduce(operator.and_, same))
     return joined.select(*df.columns, *[c.alias(k) for k, c in outs.items()])
 
 

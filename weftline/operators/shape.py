@@ -314,16 +314,17 @@ def mask_words(df: DataFrame, tokens: str, id_col: str, seed: int, mask: str, vo
     )
 
 
-def next_sentence_pairs(df: DataFrame, id_col: str, text: str, seed: int, max_tokens: int) -> DataFrame:
+def next_sentence_pairs(df: DataFrame, id_col: str, text: str, seed: int, max_tokens: int, order: list[str] | None = None) -> DataFrame:
     """Sentence pairs: half the true successor, half a seeded random sentence; the longer side is
-    trimmed, at its front or back by seed, until both fit."""
-    numbered = running(df.select(id_col, F.col(text).alias("a")), [id_col], row_no="n", lead={"succ": F.col("a")})
+    trimmed, at its front or back by seed, until both fit. Sentences stand in ``order`` (the id)."""
+    order = order or [id_col]
+    numbered = running(df.select(*{id_col: 0, **dict.fromkeys(order)}, F.col(text).alias("a")), order, row_no="n")
     total = df.count()
-    own = seeded_uniform(seed, F.lit("t"), id_col) < 0.5
-    rows = numbered.withColumn("is_next", own & F.col("succ").isNotNull()).withColumn("pick", seeded_int(seed, F.lit("p"), id_col) % total + 1)
-    rows = rows.select(*[c for c in rows.columns if c != "pick"], F.col("pick"))
-    other = numbered.select(F.col("n").alias("pick"), F.col("a").alias("random"))
-    joined = rows.join(other, "pick").withColumn("b", F.when(F.col("is_next"), F.col("succ")).otherwise(F.col("random")))
+    # the successor is looked up by its number too, so sentences move once and never with the carries
+    own = (seeded_uniform(seed, F.lit("t"), id_col) < 0.5) & (F.col("n") < total)
+    drawn = seeded_int(seed, F.lit("p"), id_col) % total + 1
+    rows = numbered.select(id_col, "a", own.alias("is_next"), F.when(own, F.col("n") + 1).otherwise(drawn).alias("pick"))
+    joined = rows.join(numbered.select(F.col("n").alias("pick"), F.col("a").alias("b")), "pick")
     na, nb = F.size("a"), F.size("b")
     half = F.floor(F.lit(max_tokens) / 2)
     keep_a = F.when(na + nb <= max_tokens, na).when(nb <= half, F.lit(max_tokens) - nb).when(na <= half, na).otherwise(F.ceil(F.lit(max_tokens) / 2)).cast("int")

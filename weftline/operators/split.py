@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,10 @@ from weftline.functions.seeded import seeded_int, seeded_uniform
 from weftline.operators.ordered import number_rows, running, seeded_rank
 
 
+#: copies of a row that one task writes
+COPIES = 1000
+
+
 def exact_split(df: DataFrame, id_col: str, p: float, seed: int = 42) -> DataFrame:
     """Flag exactly ``int(p * n)`` seeded rows as ``val``, the rest as ``train``."""
     n_val = int(p * df.count())
@@ -26,39 +33,37 @@ def ratio_split(df: DataFrame, id_col: str, test: float, val: float, seed: int =
     return ranked.withColumn("split", label).drop("rank")
 
 
-def split_cuts(spec: str, size: int) -> list[int]:
-    """Cut indices of a split string ``a,b,c`` or ``a/b/c``; the rounding error moves every later cut."""
-    for sep in (",", "/"):
-        if sep in spec:
-            shares = [float(s) for s in spec.split(sep)]
-            break
-    else:
-        shares = [float(spec)]
-    shares = (shares + [0.0, 0.0, 0.0])[:3]
-    total = sum(shares)
-    cuts = [0]
-    for s in shares:
-        cuts.append(cuts[-1] + int(round(s / total * float(size))))
-    shift = cuts[-1] - size
-    cuts = [cuts[0]] + [c - shift for c in cuts[1:]]
-    if len(cuts) != 4 or cuts[-1] != size:
-        raise ValueError(f"bad split {spec!r}")
-    return cuts
+def split_ends(spec: str, size: int) -> tuple[int, int]:
+    """Ends of the train and validation ranges for shares ``a,b,c`` or ``a/b/c``.
+
+    Validation and test get their rounded shares at the end of the order; train takes what is left.
+    """
+    shares = [float(s) for s in re.split("[,/]", spec)]
+    if len(shares) != 3 or min(shares) < 0 or not sum(shares):
+        raise ValueError(f"a split needs three shares, got {spec!r}")
+    val, test = (round(s / sum(shares) * size) for s in shares[1:])
+    if val + test > size:
+        raise ValueError(f"the shares of {spec!r} leave no room in {size} rows")
+    return size - val - test, size - test
 
 
 def string_split(df: DataFrame, order: str, spec: str) -> DataFrame:
     """Contiguous train, validation and test ranges of the row order."""
-    cuts = split_cuts(spec, df.count())
-    at = F.col("row_no") - 1
-    label = F.when(at < cuts[1], "train").when(at < cuts[2], "val").otherwise("test")
+    train, val = split_ends(spec, df.count())
+    label = F.when(F.col("row_no") <= train, "train").when(F.col("row_no") <= val, "val").otherwise("test")
     return number_rows(df, [order]).withColumn("split", label).drop("row_no")
 
 
+def _with_sizes(ranked: DataFrame, df: DataFrame, by: str) -> DataFrame:
+    """Add the size ``_n`` of each row's group; null is a group."""
+    sizes = df.groupBy(F.col(by).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.join(sizes, ranked[by].eqNullSafe(sizes["_of"])).drop("_of")
+
+
 def stratified_split(df: DataFrame, id_col: str, stratum: str, p: float, seed: int) -> DataFrame:
     """``int(p * n)`` seeded rows of every stratum as ``val``."""
     ranked = seeded_rank(df, seed, id_col, by=[stratum])
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(sizes, stratum)
+    out = _with_sizes(ranked, df, stratum)
     return out.withColumn("split", F.when(F.col("rank") <= F.floor(F.col("_n") * p), "val").otherwise("train")).drop("rank", "_n")
 
 
@@ -77,12 +82,15 @@ def group_split(df: DataFrame, group: str, p: float, seed: int) -> DataFrame:
 def rebalance(df: DataFrame, id_col: str, label: str, seed: int) -> DataFrame:
     """Repeat rows until every class is as large as the largest: full copies plus a seeded remainder."""
     ranked = seeded_rank(df, seed, id_col, by=[label])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.agg(F.max("_n")).first()[0]
-    out = ranked.join(sizes, label)
+    top = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
+    out = _with_sizes(ranked, df, label)
     copies = F.floor(F.lit(top) / F.col("_n")) + F.when(F.col("rank") <= F.lit(top) % F.col("_n"), 1).otherwise(0)
-    rows = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
-    return rows.withColumn("copy", F.col("copy") - 1).drop("rank", "_n")
+    # blocks of copies are dealt out before they are written, so a rare row's copies aren't made in one task
+    zero = F.lit(0).cast("long")
+    out = out.withColumn("_copies", copies.cast("long")).withColumn("_at", F.explode(F.sequence(zero, F.col("_copies") - 1, F.lit(COPIES).cast("long"))))
+    out = out.repartition(F.col(id_col), F.col("_at"))
+    upto = F.least(F.col("_at") + COPIES, F.col("_copies")) - 1
+    return out.withColumn("copy", F.explode(F.sequence(F.col("_at"), upto))).drop("rank", "_n", "_copies", "_at")
 
 
 def resample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
@@ -118,35 +126,26 @@ def weighted_draws(df: DataFrame, id_col: str, weight: str, n: int, seed: int) -
     return line.filter(F.col("_kind") == 1).select("draw", F.col("_owner").alias(id_col))
 
 
-def blend_bins(weights: list[float], bins: int = 100) -> list[tuple[int, int, int]]:
-    """(bin, dataset, bias) of the stride blend. Left-over bins go to the last dataset and start at its
-    last bias, so one sample is repeated."""
-    total = sum(weights)
-    owner: list[int] = []
-    bias: list[int] = []
-    for i, w in enumerate(weights):
-        n = int(w / total * bins)
-        owner += [i] * n
-        bias += list(range(n))
-    short = bins - len(owner)
-    owner += [len(weights) - 1] * short
-    bias += list(range(bias[-1], bias[-1] + short))
-    if set(owner) != set(range(len(weights))):
+def blend_stride(spark, weights: list[float], sizes: list[int], size: int, bins: int = 100) -> DataFrame:
+    """Dataset and sample of every position of a blend, by arithmetic on the position alone.
+
+    Positions repeat in a cycle of ``bins``, in which every dataset holds the whole part of its share. What
+    rounding leaves at the end of the cycle goes to the last dataset, one sample behind, so one is repeated.
+    """
+    cycle = min(bins, size)
+    held = [int(w / sum(weights) * cycle) for w in weights]
+    if not all(held):
         raise ValueError("a dataset has no bin: raise the number of bins or its weight")
-    return [(b, d, k) for b, (d, k) in enumerate(zip(owner, bias))]
-
-
-def blend_stride(df_spark, weights: list[float], sizes: list[int], size: int, bins: int = 100) -> DataFrame:
-    """Dataset and sample of every position of a blend, by arithmetic on the position alone."""
-    table = blend_bins(weights, min(bins, size))
-    n = len(table)
-    own = [sum(1 for _, d, _ in table if d == i) for i in range(len(weights))]
-    rows = [(b, d, k, own[d], sizes[d]) for b, d, k in table]
-    lookup = df_spark.createDataFrame(rows, "bin long, dataset int, bias long, per long, n long")
-    idx = df_spark.range(size).select(F.col("id").alias("idx"), (F.col("id") % n).alias("bin"))
-    return idx.join(F.broadcast(lookup), "bin").select(
-        "idx", "dataset", ((F.col("bias") + F.floor(F.col("idx") / n) * F.col("per")) % F.col("n")).cast("long").alias("sample")
-    )
+    ends = list(accumulate(held))
+    per_cycle = [*held[:-1], held[-1] + cycle - ends[-1]]
+    of = lambda values, k: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), k + 1)
+
+    at = spark.range(size).select(F.col("id").alias("idx"), (F.col("id") % cycle).alias("_at"), F.floor(F.col("id") / cycle).alias("_turn"))
+    owner = F.size(F.filter(F.array(*[F.lit(e) for e in ends[:-1]]), lambda e: e <= F.col("_at"))) if len(held) > 1 else F.lit(0)
+    placed = at.withColumn("dataset", owner)
+    nth = F.col("_at") - of([e - h for e, h in zip(ends, held)], F.col("dataset")) - F.when(F.col("_at") >= ends[-1], 1).otherwise(0)
+    sample = (nth + F.col("_turn") * of(per_cycle, F.col("dataset"))) % of(sizes, F.col("dataset"))
+    return placed.select("idx", "dataset", sample.cast("long").alias("sample"))
 
 
 def _greedy(shares: list[int], total: int, first: int, n: int) -> list[int]:

@@ -82,10 +82,15 @@ def feature_stats(df: DataFrame, speaker: str, values: Column, skip_zero: bool =
     return out.select(F.when(F.col("_g") == 1, "default").otherwise(F.col("speaker")).alias("speaker"), "frames", "mean", "std")
 
 
-def length_histogram(df: DataFrame, length: Column, max_len: int) -> DataFrame:
-    """Rows per length - 1, zero-filled up to ``max_len``."""
-    counts = df.groupBy((length - 1).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("rows"))
-    grid = df.sparkSession.range(max_len + 1).select(F.col("id").alias("length"))
+def length_histogram(df: DataFrame, length: Column, max_len: int | None = None) -> DataFrame:
+    """Rows per length - 1, zero-filled up to the longest row.
+
+    With ``max_len`` longer rows are counted together in one more row, ``max_len + 1``.
+    """
+    n = (length - 1).cast("long")
+    counts = df.groupBy((n if max_len is None else F.least(n, F.lit(max_len + 1))).alias("length")).agg(F.count(F.lit(1)).alias("rows"))
+    top = counts.agg(F.max("length")).first()[0] if max_len is None else max_len + 1
+    grid = df.sparkSession.range(0 if top is None else top + 1).select(F.col("id").alias("length"))
     return grid.join(counts, "length", "left").fillna(0, ["rows"])
 
 
@@ -222,11 +227,12 @@ def invented_share(calls: DataFrame, name: str, known: list[str]) -> DataFrame:
 
 
 def multi_reference_vocabulary(tokens: DataFrame, cls: str, spoken: str, written: str, min_count: int = 1) -> DataFrame:
-    """(class, spoken) -> written with counts, plus the identity form of every spoken text."""
-    rows = tokens.filter((F.col(spoken) != "") & (F.col(written) != ""))
+    """(class, spoken) -> written with counts, plus the identity form of every spoken text,
+    counted once. Unchanged tokens (``<self>``) and spoken texts of 100 words or more stay out."""
+    rows = tokens.filter((F.col(spoken) != "") & (F.col(written) != "") & (F.col(spoken) != "<self>") & (F.size(F.split(spoken, " ")) < 100))
     seen = rows.groupBy(F.col(cls).alias("cls"), F.col(spoken).alias("spoken"), F.col(written).alias("written")).agg(F.count(F.lit(1)).alias("n"))
     seen = seen.filter(F.col("n") >= min_count)
-    identity = seen.select("cls", "spoken").distinct().select("cls", "spoken", F.col("spoken").alias("written"), F.lit(0).cast("long").alias("n"))
+    identity = seen.select("cls", "spoken").distinct().select("cls", "spoken", F.col("spoken").alias("written"), F.lit(1).cast("long").alias("n"))
     both = seen.unionByName(identity)
     return both.groupBy("cls", "spoken", "written").agg(F.max("n").alias("n"))
 

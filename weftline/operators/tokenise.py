@@ -138,20 +138,24 @@ def encode_tokens(df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | No
     spark = df.sparkSession
     size = vocab.limit(MAX_BROADCAST_VOCAB + 1).count()
     if size > MAX_BROADCAST_VOCAB:
-        return _encode_by_join(df, tokens, vocab, unk, out, key or [])
+        if not key:
+            # numbers are written out, so a recomputed partition can't change them
+            numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+            return _encode_by_join(numbered, tokens, vocab, unk, out, ["_row"]).drop("_row")
+        return _encode_by_join(df, tokens, vocab, unk, out, key)
     pairs = vocab.select("token", "id").toArrow()
     table = spark.sparkContext.broadcast((pairs.column("token").combine_chunks(), pairs.column("id").combine_chunks()))
     source = df.withColumn(out, tokens)
     schema = T.StructType([f if f.name != out else T.StructField(out, T.ArrayType(T.LongType())) for f in source.schema.fields])
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids = table.value
+        known = dict(zip(*(x.to_pylist() for x in table.value)))  # once per task
         for batch in batches:
             at = batch.schema.get_field_index(out)
             column = batch.column(at)
-            flat = column.flatten()
-            found = pc.index_in(flat, value_set=names.cast(flat.type))
-            value = pc.take(ids, found)
+            coded = column.flatten().dictionary_encode()
+            ids = pa.array([known.get(w) for w in coded.dictionary.to_pylist()], pa.int64())
+            value = pc.take(ids, coded.indices)
             lengths = pc.fill_null(pc.list_value_length(column), 0)
             if unk is None:
                 keep = pc.is_valid(value)
@@ -181,9 +185,14 @@ def _encode_by_join(df: DataFrame, tokens: Column, vocab: DataFrame, unk: int |
 
 
 def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, sep: str, out: str = "text") -> DataFrame:
-    """Inverse of :func:`encode_tokens` for broadcast-sized vocabularies."""
+    """Inverse of :func:`encode_tokens`; ids that aren't in the vocabulary give empty words."""
     if vocab.limit(MAX_BROADCAST_VOCAB + 1).count() > MAX_BROADCAST_VOCAB:
-        raise ValueError("vocabulary too large to broadcast: join the exploded ids instead")
+        rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+        flat = rows.select("_row", F.posexplode(ids).alias("_pos", "_id"))
+        named = flat.join(vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token")), "_id", "left")
+        pair = F.struct("_pos", F.coalesce("_token", F.lit("")).alias("_token"))
+        text = named.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["_token"]), sep).alias(out))
+        return rows.join(text, "_row", "left").withColumn(out, F.coalesce(out, F.lit(""))).drop("_row")
     pairs = vocab.select("id", "token").toArrow()
     table = df.sparkSession.sparkContext.broadcast((pairs.column("id").combine_chunks(), pairs.column("token").combine_chunks()))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])

@@ -193,14 +193,14 @@ def _(t):
     "B14",
     ansi.with_views(
         ansi.LINES,
-        f"ok AS (SELECT doc_id * 1000000 + pos AS id, {ansi.words('utt')} AS w FROM utterances WHERE regexp_matches(trim(utt), '^[A-Z][A-Za-z.,''?\\s]+$'))",
-        f"cut AS (SELECT id, CASE WHEN {ansi.uniform(7, 'id')} < 0.3 THEN array_to_string(w[1:len(w) // 2], ' ') ELSE array_to_string(w, ' ') END AS utt, row_number() OVER (ORDER BY id) AS n FROM ok)",
+        f"ok AS (SELECT doc_id, pos, {ansi.words('utt')} AS w FROM utterances WHERE regexp_matches(trim(utt), '^[A-Z][A-Za-z.,''?\\s]+$'))",
+        f"cut AS (SELECT CASE WHEN {ansi.uniform(7, 'doc_id', 'pos')} < 0.3 THEN array_to_string(w[1:len(w) // 2], ' ') ELSE array_to_string(w, ' ') END AS utt, row_number() OVER (ORDER BY doc_id, pos) AS n FROM ok)",
     )
     + "SELECT CAST((n - 1) // 3 AS BIGINT) AS row, string_agg(utt, ' ' ORDER BY n) AS utt FROM cut GROUP BY 1",
 )
 def _(t):
-    utt = views.utterances(t.documents).select((F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), "utt")
-    return fl.clean_sentences(utt, "utt", ["id"], seed=7, p_cut=0.3, n_combine=3)
+    utt = views.utterances(t.documents).select("doc_id", "pos", "utt")
+    return fl.clean_sentences(utt, "utt", ["doc_id", "pos"], seed=7, p_cut=0.3, n_combine=3)
 
 
 @query(

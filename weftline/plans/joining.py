@@ -203,7 +203,7 @@ def _(t):
         "g AS (SELECT DISTINCT phrase, s[i:i + 2] AS gram FROM (SELECT phrase, s, unnest(range(1, length(s) - 1)) AS i FROM names))",
         f"f AS (SELECT doc_id, pos, array_to_string({ansi.words('lower(utt)')}, '_') AS s FROM utterances)",
         "fg AS (SELECT DISTINCT doc_id, pos, s[i:i + 2] AS gram FROM (SELECT doc_id, pos, s, unnest(range(1, length(s) - 1)) AS i FROM f))",
-        "ban AS (SELECT gram FROM fg GROUP BY 1 HAVING count(*) >= 3000)",
+        "ban AS (SELECT gram FROM fg GROUP BY 1 HAVING 100 * count(*) >= 8 * (SELECT count(*) FROM f))",
         "idx AS (SELECT phrase, gram FROM (SELECT phrase, gram, row_number() OVER (PARTITION BY gram ORDER BY phrase) AS r FROM g WHERE gram NOT IN (SELECT gram FROM ban)) WHERE r <= 20)",
         "hits AS (SELECT doc_id, pos, phrase, count(*) AS shared FROM fg JOIN idx USING (gram) GROUP BY 1, 2, 3)",
     )
@@ -211,7 +211,7 @@ def _(t):
 )
 def _(t):
     frag = views.utterances(t.documents).select("doc_id", "pos", F.array_join(words(F.lower("utt")), "_").alias("s"))
-    banned = jn.frequent_grams(frag, F.col("s"), 3, 3000, among=jn.phrase_index(t.part, "p_name", 3))
+    banned = jn.frequent_grams(frag, F.col("s"), 3, 8, among=jn.phrase_index(t.part, "p_name", 3))
     index = jn.phrase_index(t.part, "p_name", 3, max_phrases=20, banned=banned)
     return jn.phrase_candidates(frag, ["doc_id", "pos"], F.col("s"), index, 3)
 
@@ -285,7 +285,7 @@ def _(t):
 
 @query("pca_vectors", "V1")
 def _(t):
-    out = nb.pca(t.embeddings, "embedding", "vec_id", 8, seed=1)
+    out = nb.pca(t.embeddings, "embedding", 8)
     norm = F.aggregate("reduced", F.lit(0.0), lambda a, x: a + x * x)
     return out.select("vec_id", F.round(norm, 5).alias("energy"))
 

@@ -106,7 +106,7 @@ def _(t):
         lambda u: F.struct(
             F.array(
                 F.struct(F.array_join(F.slice(ws(u), 1, 2), " ").alias("text"), F.lit("head").alias("entity")),
-                F.struct(F.array_join(F.slice(ws(u), 3, 1_000_000), " ").alias("text"), F.lit(None).cast("string").alias("entity")),
+                F.struct(F.array_join(F.slice(ws(u), F.lit(3), F.size(ws(u)) + 1), " ").alias("text"), F.lit(None).cast("string").alias("entity")),
             ).alias("data")
         ),
     )
@@ -119,13 +119,13 @@ def tagged_lines(t):
     """Word lines with a break line after every document."""
     toks = t.documents.select("doc_id", F.posexplode(words("text")).alias("i", "token"))
     body = toks.select(
-        (F.col("doc_id") * 100000 + F.col("i")).alias("line_no"),
+        F.struct("doc_id", F.lit(False).alias("end"), "i").alias("line_no"),
         "token",
         F.when(F.col("token").rlike("^[A-Z]"), "B-NAME").otherwise("O").alias("label"),
         F.concat_ws("\t", F.lit("PLAIN"), "token", F.lower("token")).alias("value"),
     )
     ends = t.documents.select(
-        (F.col("doc_id") * 100000 + 99999).alias("line_no"), F.lit("").alias("token"), F.lit("").alias("label"), F.lit("<eos>").alias("value")
+        F.struct("doc_id", F.lit(True).alias("end"), F.lit(0).alias("i")).alias("line_no"), F.lit("").alias("token"), F.lit("").alias("label"), F.lit("<eos>").alias("value")
     )
     return body.unionByName(ends)
 
@@ -302,7 +302,7 @@ def _(t):
     ansi.with_views(
         ansi.LINES,
         f"w AS (SELECT doc_id, pos AS utt, unnest(range(len(w))) AS i, unnest(w) AS w FROM (SELECT doc_id, pos, {ansi.words('utt')} AS w FROM utterances))",
-        "s AS (SELECT doc_id * 100000 + utt AS utt_id, i AS pos, w, i * 0.1::DOUBLE AS a, i * 0.1::DOUBLE + length(w) * 0.01::DOUBLE AS b FROM w WHERE i % 9 <> 8)",
+        "s AS (SELECT doc_id || ':' || utt AS utt_id, i AS pos, w, i * 0.1::DOUBLE AS a, i * 0.1::DOUBLE + length(w) * 0.01::DOUBLE AS b FROM w WHERE i % 9 <> 8)",
         "t AS (SELECT utt_id, pos, w, CASE WHEN b - a < 0.05::DOUBLE THEN greatest((a + b) / 2 - 0.025::DOUBLE, 0) ELSE a END AS s2, a, b FROM s)",
     )
     + """SELECT utt_id, pos, round(s2, 6) AS "start", round(CASE WHEN b - a < 0.05::DOUBLE THEN greatest((a + b) / 2 + 0.025::DOUBLE, s2 + 0.05::DOUBLE) ELSE b END, 6) AS "end", w AS word FROM t""",
@@ -316,7 +316,7 @@ def _(t):
             F.when(i % 9 == 8, F.lit(-1.0)).otherwise(i * F.lit(0.1) + F.length(w) * F.lit(0.01)).alias("end"),
         ),
     )
-    rows = views.utterances(t.documents).select((F.col("doc_id") * 100000 + F.col("pos")).alias("utt_id"), seg.alias("seg"))
+    rows = views.utterances(t.documents).select(F.concat_ws(":", "doc_id", "pos").alias("utt_id"), seg.alias("seg"))
     out = mf.ctm_rows(rows, "seg", "utt_id", min_dur=0.05)
     return out.select("utt_id", "pos", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.split("line", " ")[4].alias("word"))
 

@@ -20,13 +20,13 @@ def _(t):
     "label_quota",
     "W2 S4",
     ansi.with_views(ansi.LINES)
-    + f""", t AS (SELECT doc_id * 1000000 + pos AS id, unnest({ansi.words('lower(utt)')}) AS w, unnest(range(len({ansi.words('lower(utt)')}))) AS i FROM utterances),
-    n AS (SELECT id, row_number() OVER (PARTITION BY w ORDER BY id, i) AS n FROM t)
-    SELECT doc_id * 1000000 + pos AS id, coalesce(bool_or(n <= 5), false) AS kept FROM utterances LEFT JOIN n ON n.id = doc_id * 1000000 + pos GROUP BY 1""",
+    + f""", t AS (SELECT doc_id, pos, unnest({ansi.words('lower(utt)')}) AS w, unnest(range(len({ansi.words('lower(utt)')}))) AS i FROM utterances),
+    n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos, i) AS n FROM t)
+    SELECT doc_id, pos, coalesce(bool_or(n <= 5), false) AS kept FROM utterances LEFT JOIN n USING (doc_id, pos) GROUP BY doc_id, pos""",
 )
 def _(t):
-    utt = views.utterances(t.documents).select((F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), "utt")
-    return od.label_quota(utt, "id", words(F.lower("utt")), 5).select("id", "kept")
+    utt = views.utterances(t.documents).select("doc_id", "pos", "utt")
+    return od.label_quota(utt, ["doc_id", "pos"], words(F.lower("utt")), 5).select("doc_id", "pos", "kept")
 
 
 PATTERNS = {"digit": ("[0-9]", 40), "mail": ("@", 30), "question": ("[?]", 20), "upper": ("[A-Z]{2}", 25)}
@@ -34,19 +34,19 @@ PATTERNS = {"digit": ("[0-9]", 40), "mail": ("@", 30), "question": ("[?]", 20),
 
 def _pattern_sql() -> str:
     parts = [
-        f"SELECT id, '{k}' AS p, row_number() OVER (ORDER BY id) AS n, {n} AS target FROM u WHERE regexp_matches(utt, '{rx}')"
+        f"SELECT doc_id, pos, '{k}' AS p, row_number() OVER (ORDER BY doc_id, pos) AS n, {n} AS target FROM u WHERE regexp_matches(utt, '{rx}')"
         for k, (rx, n) in PATTERNS.items()
     ]
     return (
-        ansi.with_views(ansi.LINES, "u AS (SELECT doc_id * 1000000 + pos AS id, utt FROM utterances)", "h AS (" + " UNION ALL ".join(parts) + ")")
-        + "SELECT DISTINCT id FROM h WHERE n <= target"
+        ansi.with_views(ansi.LINES, "u AS (SELECT doc_id, pos, utt FROM utterances)", "h AS (" + " UNION ALL ".join(parts) + ")")
+        + "SELECT DISTINCT doc_id, pos FROM h WHERE n <= target"
     )
 
 
 @query("pattern_quota", "W3", _pattern_sql())
 def _(t):
-    utt = views.utterances(t.documents).select((F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), "utt")
-    return od.pattern_quota(utt, "id", {k: (F.col("utt").rlike(rx), n) for k, (rx, n) in PATTERNS.items()}).select("id")
+    utt = views.utterances(t.documents).select("doc_id", "pos", "utt")
+    return od.pattern_quota(utt, ["doc_id", "pos"], {k: (F.col("utt").rlike(rx), n) for k, (rx, n) in PATTERNS.items()}).select("doc_id", "pos")
 
 
 @query(
@@ -68,12 +68,12 @@ def _(t):
     "W5",
     f"""WITH RECURSIVE w AS (SELECT doc_id, len({ansi.words('text')}) AS n FROM documents), o AS (SELECT doc_id, n, row_number() OVER (ORDER BY n, doc_id) AS r FROM w),
     f AS (SELECT r, doc_id, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS filled FROM o WHERE r = 1
-      UNION ALL SELECT o.r, o.doc_id, CASE WHEN o.n * (f.filled + 1) > 4000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN o.n * (f.filled + 1) > 4000 THEN 1 ELSE f.filled + 1 END FROM f JOIN o ON o.r = f.r + 1)
+      UNION ALL SELECT o.r, o.doc_id, CASE WHEN o.n * (f.filled + 1) > 40000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN o.n * (f.filled + 1) > 40000 THEN 1 ELSE f.filled + 1 END FROM f JOIN o ON o.r = f.r + 1)
     SELECT doc_id, batch FROM f""",
 )
 def _(t):
     rows = t.documents.select("doc_id", F.size(words("text")).alias("n"))
-    return od.token_budget_batches(rows, "doc_id", "n", 4000).select("doc_id", "batch")
+    return od.token_budget_batches(rows, "doc_id", "n", 40000).select("doc_id", "batch")
 
 
 @query(
@@ -115,15 +115,14 @@ FUSED = "(l_extendedprice * 0.001::DOUBLE + l_discount * 2.0::DOUBLE + l_tax * 3
 @query(
     "noisy_channel_rerank",
     "W8",
-    f"""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, {FUSED} AS score, l_linenumber * 10000000 + l_partkey AS tie FROM lineitem)
-    SELECT l_orderkey, arg_max(l_partkey, (score, -tie)) AS l_partkey, round(max(score), 6) AS score FROM s GROUP BY 1""",
+    f"""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, {FUSED} AS score, struct_pack(a := -l_linenumber, b := -l_partkey) AS tie FROM lineitem)
+    SELECT l_orderkey, arg_max(l_partkey, (score, tie)) AS l_partkey, round(max(score), 6) AS score FROM s GROUP BY 1""",
 )
 def _(t):
     score = od.fused_score(
         [(F.col("l_extendedprice"), 0.001), (F.col("l_discount"), 2.0), (F.col("l_tax"), 3.0)], F.col("l_quantity"), alpha=0.6
     )
-    tie = (F.col("l_linenumber") * 10000000).cast("long") + F.col("l_partkey")
-    return od.rerank(t.lineitem, "l_orderkey", score, ["l_partkey"], tie).withColumn("score", F.round("score", 6))
+    return od.rerank(t.lineitem, "l_orderkey", score, ["l_partkey"], [F.col("l_linenumber"), F.col("l_partkey")]).withColumn("score", F.round("score", 6))
 
 
 GRID = [0.0, 0.5, 1.0, 2.0, 4.0]
@@ -132,9 +131,9 @@ GRID = [0.0, 0.5, 1.0, 2.0, 4.0]
 @query(
     "coefficient_search",
     "W9",
-    "WITH s AS (SELECT *, l_linenumber * 10000000 + l_partkey AS tie FROM lineitem), "
+    "WITH s AS (SELECT *, struct_pack(a := -l_linenumber, b := -l_partkey) AS tie FROM lineitem), "
     + ", ".join(
-        f"g{i} AS (SELECT {c}::DOUBLE AS coefficient, sum(e) / sum(n) AS rate FROM (SELECT arg_max(l_suppkey % 7, (l_discount + l_tax * {c}::DOUBLE, -tie)) AS e, max(l_quantity) AS n FROM s GROUP BY l_orderkey))"
+        f"g{i} AS (SELECT {c}::DOUBLE AS coefficient, sum(e) / sum(n) AS rate FROM (SELECT arg_max(l_suppkey % 7, (l_discount + l_tax * {c}::DOUBLE, tie)) AS e, max(l_quantity) AS n FROM s GROUP BY l_orderkey))"
         for i, c in enumerate(GRID)
     )
     + ", u AS ("
@@ -142,7 +141,7 @@ GRID = [0.0, 0.5, 1.0, 2.0, 4.0]
     + ") SELECT coefficient, round(rate, 6) AS rate, row_number() OVER (ORDER BY rate, coefficient) = 1 AS best FROM u",
 )
 def _(t):
-    tie = (F.col("l_linenumber") * 10000000).cast("long") + F.col("l_partkey")
+    tie = [F.col("l_linenumber"), F.col("l_partkey")]
     out = od.coefficient_search(
         t.lineitem, "l_orderkey", F.col("l_discount"), F.col("l_tax"), F.col("l_suppkey") % 7, F.col("l_quantity"), GRID, tie
     )

@@ -23,8 +23,8 @@ def rounded(df, *cols, digits: int = 6):
     )
 
 
-SLOTS = [(0, 5), (5, 15), (15, 1_000_000)]
-SLOT_SQL = "CASE WHEN len(r) < 5 THEN '[0,5)' WHEN len(r) < 15 THEN '[5,15)' ELSE '[15,1000000)' END"
+SLOTS = [(0, 5), (5, 15), (15, None)]
+SLOT_SQL = "CASE WHEN len(r) < 5 THEN '[0,5)' WHEN len(r) < 15 THEN '[5,15)' ELSE '[15,inf)' END"
 
 
 @query(
@@ -334,7 +334,7 @@ def _(t):
     g AS (SELECT w, count(*) AS c FROM w GROUP BY 1), tot AS (SELECT sum(c) AS n FROM g),
     d AS (SELECT source, w, count(*) AS k FROM w GROUP BY 1, 2)
     SELECT source, CAST(sum(k) AS BIGINT) AS tokens, round(exp(sum(k * -ln(c / n)) / sum(k)), 4) AS perplexity
-    FROM d JOIN g USING (w), tot WHERE c >= 2 GROUP BY 1""",
+    FROM d JOIN g USING (w), tot GROUP BY 1""",
 )
 def _(t):
     per = (
@@ -344,8 +344,7 @@ def _(t):
     )
     vocab = per.groupBy("w").agg(F.sum("k").alias("c"))
     total = vocab.agg(F.sum("c")).first()[0]
-    # words seen once are outside the vocabulary and are ignored
-    model = vocab.filter(F.col("c") >= 2).select("w", (-F.log(F.col("c") / total)).alias("nll"))
+    model = vocab.select("w", (-F.log(F.col("c") / total)).alias("nll"))
     scored = per.join(model, "w")
     return rounded(cl.perplexity(scored, F.col("k") * F.col("nll"), F.col("k"), ["source"]), "perplexity", digits=4)
 

@@ -83,18 +83,18 @@ PACK = 512
 def utterance_pieces(t):
     """Word counts of all utterances; those over a pack are cut into pieces of a pack."""
     n = F.size(words("utt")).cast("long")
-    rows = views.utterances(t.documents).select((F.col("doc_id") * 1000000 + F.col("pos")).alias("utt_id"), n.alias("total")).filter("total > 0")
+    rows = views.utterances(t.documents).select("doc_id", "pos", n.alias("total")).filter("total > 0")
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / PACK).cast("long") - 1))
     rows = rows.withColumn("piece", piece)
     return rows.select(
-        (F.col("utt_id") * 1000 + F.col("piece")).alias("utt_id"), F.least(F.col("total") - F.col("piece") * PACK, F.lit(PACK)).cast("long").alias("n")
+        F.concat_ws(":", "doc_id", "pos", "piece").alias("utt_id"), F.least(F.col("total") - F.col("piece") * PACK, F.lit(PACK)).cast("long").alias("n")
     )
 
 
 def _pack_keys(seed: int) -> str:
     return (
-        f"l AS (SELECT doc_id * 1000000 + pos AS id, len({ansi.words('utt')}) AS n FROM utterances), "
-        f"u AS (SELECT id * 1000 + p AS id, least(n - p * {PACK}, {PACK}) AS n FROM (SELECT id, n, unnest(range((n + {PACK - 1}) // {PACK})) AS p FROM l)), "
+        f"l AS (SELECT doc_id || ':' || pos AS id, len({ansi.words('utt')}) AS n FROM utterances), "
+        f"u AS (SELECT id || ':' || p AS id, least(n - p * {PACK}, {PACK}) AS n FROM (SELECT id, n, unnest(range((n + {PACK - 1}) // {PACK})) AS p FROM l)), "
         f"k AS (SELECT id, n, {ansi.key(seed, 'id')} AS k, {ansi.seeded_int(seed, 'id')} % greatest(1, (count(*) OVER () + 19999) // 20000) AS chunk FROM u)"
     )
 
@@ -146,7 +146,7 @@ def _(t):
     "I3",
     ansi.with_views(
         ansi.TURNS,
-        f"u AS (SELECT conv_id * 100 + turn AS id, {ansi.words('src')} AS a, {ansi.words('tgt')} AS b FROM turns)",
+        f"u AS (SELECT conv_id || ':' || turn AS id, {ansi.words('src')} AS a, {ansi.words('tgt')} AS b FROM turns)",
         f"k AS (SELECT id, len(a) + len(b) AS n, {ansi.key(6, 'id')} AS k, array_to_string(list_concat(a, b), ' ') AS t, len(b) AS nb FROM u)",
         "o AS (SELECT id, n, t, nb, row_number() OVER (ORDER BY k) AS r FROM k)",
         "f AS (SELECT r, CAST(0 AS BIGINT) AS bin, n AS used, CAST(0 AS BIGINT) AS st FROM o WHERE r = 1 UNION ALL SELECT o.r, CASE WHEN f.used + o.n > 4096 THEN f.bin + 1 ELSE f.bin END, CASE WHEN f.used + o.n > 4096 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 4096 THEN 0 ELSE f.used END FROM f JOIN o ON o.r = f.r + 1)",
@@ -155,7 +155,7 @@ def _(t):
 )
 def _(t):
     rows = views.turn_pairs(t.conversations).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(words("src"), words("tgt")).alias("t"), F.size(words("src")).alias("a")
+        F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(words("src"), words("tgt")).alias("t"), F.size(words("src")).alias("a")
     ).withColumn("n", F.size("t"))
     packed = sh.pack_chunks(rows, "id", "n", 4096, "sequential", seed=6)
     out = sh.fill_packs(packed, rows, "id", "t", "a", "<pad>")
@@ -257,7 +257,7 @@ def triples(t):
     """Query, positives and negatives per document, as words of the document itself."""
     sents = F.filter(F.split("text", r"[.!?]\s+|\n"), lambda s: F.trim(s) != "")
     return t.documents.select("doc_id", sents.alias("s")).filter(F.size("s") > 1).select(
-        "doc_id", F.col("s")[0].alias("query"), F.slice("s", 2, 1).alias("positives"), F.slice("s", 3, 100000).alias("negatives")
+        "doc_id", F.col("s")[0].alias("query"), F.slice("s", 2, 1).alias("positives"), F.slice("s", F.lit(3), F.size("s")).alias("negatives")
     )
 
 
@@ -328,8 +328,8 @@ def _(t):
     "I11",
     ansi.with_views(
         ansi.LINES,
-        f"u AS (SELECT doc_id * 1000000 + pos AS id, {ansi.words('utt')} AS a FROM utterances)",
-        "n AS (SELECT id, a, row_number() OVER (ORDER BY id) AS n, lead(a) OVER (ORDER BY id) AS succ, count(*) OVER () AS total FROM u)".replace("'t'", "'t'"),
+        f"u AS (SELECT doc_id, pos, doc_id || ':' || pos AS id, {ansi.words('utt')} AS a FROM utterances)",
+        "n AS (SELECT id, a, row_number() OVER (ORDER BY doc_id, pos) AS n, lead(a) OVER (ORDER BY doc_id, pos) AS succ, count(*) OVER () AS total FROM u)".replace("'t'", "'t'"),
         "r AS (SELECT *, "
         + ansi.uniform(31, "'t'", "id") + " < 0.5 AND succ IS NOT NULL AS is_next, "
         + ansi.seeded_int(31, "'p'", "id") + " % total + 1 AS pick, " + ansi.uniform(31, "'f'", "id") + " < 0.5 AS front FROM n)",
@@ -340,8 +340,8 @@ def _(t):
     + "SELECT id, is_next, array_to_string(CASE WHEN front THEN a[len(a) - ka + 1:] ELSE a[1:ka] END, ' ') AS a, array_to_string(CASE WHEN front THEN b[len(b) - kb + 1:] ELSE b[1:kb] END, ' ') AS b FROM m",
 )
 def _(t):
-    utt = views.utterances(t.documents).select((F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), words("utt").alias("w"))
-    out = sh.next_sentence_pairs(utt, "id", "w", 31, 24)
+    utt = views.utterances(t.documents).select("doc_id", "pos", F.concat_ws(":", "doc_id", "pos").alias("id"), words("utt").alias("w"))
+    out = sh.next_sentence_pairs(utt, "id", "w", 31, 24, order=["doc_id", "pos"])
     return out.withColumns({c: F.array_join(c, " ") for c in ("a", "b")})
 
 

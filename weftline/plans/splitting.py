@@ -161,13 +161,12 @@ def _(t):
 @query(
     "mixed_samples",
     "H13",
-    f"""WITH r AS (SELECT event_id, event_type, CAST(round(value * 1000) AS BIGINT) AS ms, {ansi.key(29, 'event_id')} AS k FROM events WHERE event_type IN ('click', 'view') AND value <= 120),
+    f"""WITH r AS (SELECT event_id, event_type, CAST(round(value * 1000) AS BIGINT) AS ms, {ansi.key(29, 'event_id')} AS k FROM events WHERE value <= 120),
     c AS (SELECT *, sum(ms) OVER (ORDER BY k, event_id) AS e FROM r), p AS (SELECT *, (e - ms) // 60000 AS sample FROM c)
     SELECT CAST(sample AS BIGINT) AS sample, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY k) AS ids, string_agg(event_type, ' ' ORDER BY k) AS langs, CAST(sum(ms) AS BIGINT) AS total_ms FROM p GROUP BY 1 HAVING sum(ms) BETWEEN 60000 AND 120000""",
 )
 def _(t):
-    two = t.events.filter(F.col("event_type").isin("click", "view"))
-    out = sp.mixed_samples(two, "event_id", "event_type", "value", 60, 120, 29)
+    out = sp.mixed_samples(t.events, "event_id", "event_type", "value", 60, 120, 29)
     return out.select("sample", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.array_join("langs", " ").alias("langs"), "total_ms")
 
 

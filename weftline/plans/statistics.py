@@ -108,11 +108,11 @@ def _(t):
 @query(
     "class_weights",
     "G3",
-    """WITH c AS (SELECT length(text) % 10 AS label, count(*) AS n FROM documents GROUP BY 1 HAVING label <> 7), s AS (SELECT sum(n) AS total, count(*) AS k FROM c)
+    """WITH c AS (SELECT length(text) % 10 AS label, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT sum(n) AS total, count(*) AS k FROM c)
     SELECT i AS label, round(coalesce(total / (k * n), 1.0), 6)::DOUBLE AS weight FROM (SELECT unnest(range(12)) AS i) LEFT JOIN c ON c.label = i, s""",
 )
 def _(t):
-    labelled = t.documents.select((F.length("text") % 10).alias("label")).filter(F.col("label") != 7)
+    labelled = t.documents.select((F.length("text") % 10).alias("label"))
     return rounded(st.class_weights(labelled, "label", 12), "weight")
 
 
@@ -176,10 +176,10 @@ def _(t):
     "length_histogram",
     "G11",
     with_views(ansi.LINES, f"c AS (SELECT len({ansi.words('utt')}) - 1 AS n, count(*) AS c FROM utterances GROUP BY 1)")
-    + "SELECT i AS length, coalesce(c, 0) AS rows FROM (SELECT unnest(range(101)) AS i) LEFT JOIN c ON n = i",
+    + "SELECT i AS length, coalesce(c, 0) AS rows FROM (SELECT unnest(range((SELECT max(n) FROM c) + 1)) AS i) LEFT JOIN c ON n = i",
 )
 def _(t):
-    return st.length_histogram(views.utterances(t.documents), F.size(words("utt")), 100)
+    return st.length_histogram(views.utterances(t.documents), F.size(words("utt")))
 
 
 SWEEP = (
@@ -283,11 +283,11 @@ def _(t):
 @query(
     "multi_reference_vocabulary",
     "G19",
-    with_views(TAGGED, "s AS (SELECT cls, spoken, written, count(*) AS n FROM tagged WHERE spoken <> '' AND written <> '' GROUP BY 1, 2, 3 HAVING count(*) >= 2)", "u AS (SELECT * FROM s UNION ALL SELECT DISTINCT cls, spoken, spoken, 0 FROM s)")
+    with_views(TAGGED, "s AS (SELECT cls, spoken, written, count(*) AS n FROM tagged WHERE spoken <> '' AND written <> '' AND spoken <> '<self>' AND len(string_split(spoken, ' ')) < 100 GROUP BY 1, 2, 3)", "u AS (SELECT * FROM s UNION ALL SELECT DISTINCT cls, spoken, spoken, 1 FROM s)")
     + "SELECT cls, spoken, written, max(n) AS n FROM u GROUP BY 1, 2, 3",
 )
 def _(t):
-    return st.multi_reference_vocabulary(tagged_words(t), "cls", "spoken", "written", min_count=2)
+    return st.multi_reference_vocabulary(tagged_words(t), "cls", "spoken", "written")
 
 
 @query(

@@ -19,11 +19,10 @@ def _(t):
 @query(
     "normalize_answer_zh",
     "C2",
-    "SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), ''), "
-    "lambda c_: trim(c_, ' \n') <> ''), ' ') AS answer FROM documents",
+    "SELECT doc_id, array_to_string(string_split(regexp_replace(text, '[‘’“”…、。〈〉《》「」『』【】〔〕！（），．：；？]', '', 'g'), ''), ' ') AS answer FROM documents",
 )
 def _(t):
-    return t.documents.select("doc_id", F.regexp_replace(tx.normalize_answer_zh("text"), "\n ", "").alias("answer"))
+    return t.documents.select("doc_id", tx.normalize_answer_zh("text").alias("answer"))
 
 
 @query(

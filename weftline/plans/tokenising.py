@@ -53,7 +53,7 @@ def _(t):
 
 VOCAB = (
     f"tok AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {WORDS} AS w FROM documents)), "
-    "firsts AS (SELECT token, min(doc_id * 1000000 + pos) AS f FROM tok GROUP BY 1), "
+    "firsts AS (SELECT token, min((doc_id, pos)) AS f FROM tok GROUP BY 1), "
     "vocab AS (SELECT token, row_number() OVER (ORDER BY f) - 1 AS id FROM firsts)"
 )
 
@@ -67,15 +67,14 @@ def _(t):
     "vocabulary_extend",
     "D6",
     f"""WITH tok AS (SELECT item_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT item_id, {WORDS} AS w FROM benchmark)),
-    old AS (SELECT token, row_number() OVER (ORDER BY min(item_id * 1000000 + pos)) - 1 AS id FROM tok GROUP BY token),
-    t2 AS (SELECT page, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT conv_id * 100 + turn AS page, {WORDS} AS w FROM conversations)),
-    fresh AS (SELECT token, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY min(page * 1000000 + pos)) - 1 AS id FROM t2 WHERE token NOT IN (SELECT token FROM old) GROUP BY token)
+    old AS (SELECT token, row_number() OVER (ORDER BY min((item_id, pos))) - 1 AS id FROM tok GROUP BY token),
+    t2 AS (SELECT page, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT (conv_id, turn) AS page, {WORDS} AS w FROM conversations)),
+    fresh AS (SELECT token, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY min((page, pos))) - 1 AS id FROM t2 WHERE token NOT IN (SELECT token FROM old) GROUP BY token)
     SELECT * FROM old UNION ALL SELECT * FROM fresh""",
 )
 def _(t):
     old = op.vocabulary(t.benchmark, words(F.lower("text")), ["item_id"])
-    turns = t.conversations.withColumn("page", F.col("conv_id") * 100 + F.col("turn"))
-    return op.vocabulary(turns, words(F.lower("text")), ["page"], known=old)
+    return op.vocabulary(t.conversations, words(F.lower("text")), ["conv_id", "turn"], known=old)
 
 
 def _coded_sql(tokens: str, source: str, key: str, unk: str) -> str:
@@ -89,12 +88,11 @@ def _coded_sql(tokens: str, source: str, key: str, unk: str) -> str:
 @query(
     "word_tokens",
     "D3",
-    f"""WITH {VOCAB.replace('FROM documents', "FROM documents WHERE lang = 'en'")}, v AS (SELECT token, id + 1 AS id FROM vocab), {_coded_sql(WORDS, 'documents', 'doc_id', '0')}
+    f"""WITH {VOCAB}, v AS (SELECT token, id + 1 AS id FROM vocab), {_coded_sql(WORDS, 'documents', 'doc_id', '0')}
     SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i) AS ids FROM coded GROUP BY 1""",
 )
 def _(t):
-    english = t.documents.filter(F.col("lang") == "en")
-    vocab = op.vocabulary(english, words(F.lower("text")), ["doc_id"]).withColumn("id", F.col("id") + 1)
+    vocab = op.vocabulary(t.documents, words(F.lower("text")), ["doc_id"]).withColumn("id", F.col("id") + 1)
     out = op.encode_tokens(t.documents.select("doc_id", "text"), words(F.lower("text")), vocab, unk=0)
     return out.filter(F.size("ids") > 0).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -124,7 +122,7 @@ REGEX = "[A-Za-z]+|[0-9]|[^A-Za-z0-9\\s]"
     "regex_tokens",
     "D5",
     f"""WITH tok AS (SELECT page_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT page_id, regexp_extract_all(url, '{REGEX}') AS w FROM pages)),
-    v AS (SELECT token, row_number() OVER (ORDER BY min(page_id * 1000000 + pos)) - 1 AS id FROM tok GROUP BY token)
+    v AS (SELECT token, row_number() OVER (ORDER BY min((page_id, pos))) - 1 AS id FROM tok GROUP BY token)
     SELECT page_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM tok JOIN v USING (token) GROUP BY 1""",
 )
 def _(t):
@@ -147,7 +145,7 @@ def _(t):
 
 LANG_VOCAB = (
     f"tok AS (SELECT doc_id, lang, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, lang, {WORDS} AS w FROM documents)), "
-    "v AS (SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY min(doc_id * 1000000 + pos)) - 1 AS id FROM tok GROUP BY lang, token), "
+    "v AS (SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY min((doc_id, pos))) - 1 AS id FROM tok GROUP BY lang, token), "
     "o AS (SELECT lang, count(*) AS size FROM v GROUP BY 1), "
     "f AS (SELECT lang, size, CAST(coalesce(sum(size) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM o), "
     "agg AS (SELECT v.lang, token, v.id AS local_id, v.id + f.\"offset\" AS id FROM v JOIN f USING (lang))"

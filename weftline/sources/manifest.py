@@ -61,9 +61,11 @@ def parse_lines(
         bad = F.col("_item._bad").isNotNull()
     parsed = kept.withColumn("_item", item).withColumn("malformed", bad)
     if on_error == "fail":
-        counts = parsed.filter("malformed").groupBy("file").count().orderBy("file").limit(20).collect()
-        if counts:
-            raise ManifestError("malformed lines: " + ", ".join(f"{r['file']}: {r['count']}" for r in counts))
+        counts = parsed.filter("malformed").groupBy("file").count()
+        total = counts.agg(F.count(F.lit(1)).alias("files"), F.sum("count").alias("lines")).first()
+        if total["files"]:
+            first = counts.orderBy("file").limit(20).collect()  # of the message; the totals are of all files
+            raise ManifestError(f"{total['lines']} malformed lines in {total['files']} files: " + ", ".join(f"{r['file']}: {r['count']}" for r in first))
     out = ["file", "row_no", *[F.col(f"_item.{f.name}").alias(f.name) for f in schema.fields], "malformed"]
     if keep_unknown:
         known = [f.name for f in schema.fields]
@@ -236,7 +238,6 @@ def ctm_rows(df: DataFrame, segments: str, utt_id: str, min_dur: float = 0.0, ke
 
 
 def ordinal_map(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct values to 0-based ordinals. The value list is the result, so it must be small
-    enough to sort: speakers, labels, categories."""
+    """Sorted distinct values to 0-based ordinals."""
     values = df.select(F.col(col).alias("value")).filter(F.col(col).isNotNull()).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("ordinal"))
+    return number_rows(values, ["value"]).select("value", (F.col("row_no") - 1).alias("ordinal"))
