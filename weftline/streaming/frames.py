@@ -90,22 +90,27 @@ def multiplex(frames: DataFrame, stream: str, frame_no: str, is_last: str) -> Da
 def rolling_buffer(frames: DataFrame, stream: str, frame_no: str, samples: str, size: int) -> DataFrame:
     """Batch buffers: the last ``size`` samples up to every frame, and how much of it is padding.
 
-    All frames have the same number of samples. Each frame goes to the frames whose buffer it is in
-    (a fixed number), so no stream is sorted as a whole.
+    Frames may differ in length. Each gets the place of its last sample in the stream; a frame reaches
+    the buffers that end less than ``size`` samples later, so it is met in its own block of ``size``
+    samples and in the next. No stream is sorted as a whole.
     """
     width = frames.select(F.max(F.size(samples))).first()[0] or 1
     if width > size:
         raise ValueError(f"frame size ({width}) exceeds buffer size ({size})")
-    reach = -(-size // width)
-    spread = frames.select(
-        stream, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reach - 1).cast("long"))).alias("_k"), F.col(frame_no).alias("_f"), F.col(samples).alias("_s")
-    ).withColumn(frame_no, F.col("_f") + F.col("_k"))
-    grouped = spread.groupBy(stream, frame_no).agg(F.array_sort(F.collect_list(F.struct("_f", "_s"))).alias("_x"), F.min("_k").alias("_own"))
+    placed = running(frames.select(stream, frame_no, samples), [frame_no], [stream], sums={"_end": F.size(samples).cast("long")})
+    block = F.floor(F.col("_end") / size)
+    held = placed.select(
+        F.col(stream).alias("_k"), F.col(frame_no).alias("_f"), F.col("_end").alias("_at"), F.col(samples).alias("_s"),
+        F.explode(F.array(block, block + 1)).alias("_b"),
+    )
+    ends = placed.select(stream, frame_no, "_end", block.alias("_block"))
+    near = ends.join(held, ends[stream].eqNullSafe(held["_k"]) & (ends["_block"] == held["_b"]))
+    near = near.filter((F.col("_f") <= F.col(frame_no)) & (F.col("_at") > F.col("_end") - size) | (F.col("_f") == F.col(frame_no)))
+    grouped = near.groupBy(stream, frame_no).agg(F.array_sort(F.collect_list(F.struct("_f", "_s"))).alias("_x"))
     flat = F.flatten(F.transform("_x", lambda x: x["_s"]))
     padding = F.greatest(F.lit(size) - F.size(flat), F.lit(0))
-    zeros = F.array_repeat(F.lit(0.0), padding)
-    own = grouped.filter(F.col("_own") == 0)
-    return own.select(stream, frame_no, F.slice(F.concat(zeros, flat), -size, size).alias("buffer"), padding.cast("long").alias("left_padding"))
+    filled = F.slice(F.concat(F.array_repeat(F.lit(0.0), padding), flat), -size, size)
+    return grouped.select(stream, frame_no, filled.alias("buffer"), padding.cast("long").alias("left_padding"))
 
 
 def rolling_buffer_stream(frames: DataFrame, stream: str, frame_no: str, samples: str, size: int, is_last: str | None = None) -> DataFrame:
