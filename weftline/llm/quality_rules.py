@@ -22,8 +22,8 @@ from weftline.llm.common import SPACE, cut_lineage, word_list
 PPM = 1_000_000
 METRICS: dict[str, tuple[str, int]] = {
     "symbol_ppm": (f"n_symbols * {PPM} div greatest(word_chars, 1)", 20_000),
-    "line_ppm": (f"n_dup_lines * {PPM} div greatest(n_lines, 1)", 250_000),
-    "word_milli": ("word_chars * 1000 div greatest(n_words, 1)", 1_500),
+    "line_ppm": (f"n_dup_lines * {PPM} div greatest(n_lines, 1)", 500_000),
+    "word_milli": ("word_chars * 1000 div greatest(n_words, 1)", 2_500),
 }
 SPREAD = 3
 LEAST = 200

@@ -76,7 +76,7 @@ picked AS (
          CASE WHEN o.al >= 200 THEN o.q3 WHEN l.al >= 200 THEN l.q3 ELSE c.q3 END AS q3
   FROM q o JOIN q l ON l.lv = 1 AND l.lang = o.lang AND l.metric = o.metric JOIN q c ON c.lv = 3 AND c.metric = o.metric WHERE o.lv = 0),
 limits AS (
-  SELECT *, greatest((q3 - q1) * 3, CASE metric WHEN 1 THEN 20000 WHEN 2 THEN 250000 ELSE 1500 END) AS w FROM picked),
+  SELECT *, greatest((q3 - q1) * 3, CASE metric WHEN 1 THEN 20000 WHEN 2 THEN 500000 ELSE 2500 END) AS w FROM picked),
 verdict AS (
   SELECT lang, source, max(q1 - w) FILTER (metric = 1) AS l1, max(q3 + w) FILTER (metric = 1) AS h1,
          max(q1 - w) FILTER (metric = 2) AS l2, max(q3 + w) FILTER (metric = 2) AS h2,
