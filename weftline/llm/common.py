@@ -10,7 +10,7 @@ from weftline.session import cut_lineage
 #: White space that separates words in most contracts: space and \t\n\v\f\r.
 SPACE = "\\x20\\x09-\\x0D"
 
-__all__ = ["SPACE", "cut_lineage", "place_in_order", "table", "word_list"]
+__all__ = ["SPACE", "cut_lineage", "place_in_order", "salted_join", "table", "word_list"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,3 +40,14 @@ def place_in_order(df: DataFrame, by: str, value: str, ids: list[str], out: str
     local = Window.partitionBy("_g", value, "_s").orderBy("_h", *ids)
     placed = work.join(starts, ["_g", value, "_s"]).withColumn(out, (F.col("_from") + F.row_number().over(local) - 1).cast("long"))
     return placed.select(*df.columns, out)
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join ``rows`` with one row per group on ``keys`` (not null).
+
+    Every group's row is repeated ``salts`` times and the rows are spread by a digest of their ``salt``
+    column, so a group that holds a third of all rows is joined in as many tasks.
+    """
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts).cast("long")))
+    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")

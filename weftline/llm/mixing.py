@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.seeded import seeded_int
-from weftline.llm.common import SPACE, cut_lineage, place_in_order
+from weftline.llm.common import SPACE, cut_lineage, place_in_order, salted_join
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -59,7 +59,7 @@ def mix_counts(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS
     sized = cut_lineage(docs.select("doc_id", named.alias("_source"), size.alias("size")))
     sizes = sized.groupBy("_source").agg(F.sum("size").cast("long").alias("source_size"))
     targets = source_targets(sizes, weights, most, seed)
-    placed = place_in_order(sized, "_source", "size", ["doc_id"], "_place").join(targets, "_source")
+    placed = salted_join(place_in_order(sized, "_source", "size", ["doc_id"], "_place"), targets, ["_source"], "doc_id")
     crossed = lambda k: F.floor(k * F.col("_ratio") + F.col("_u"))
     copies = (crossed(F.col("_place") + 1) - crossed(F.col("_place"))).cast("long")
     return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scoped import let
-from weftline.llm.common import SPACE, cut_lineage, word_list
+from weftline.llm.common import SPACE, cut_lineage, salted_join, word_list
 
 #: metric -> (rate from feature columns, slack in its unit)
 PPM = 1_000_000
@@ -139,6 +139,5 @@ def judge(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) -> DataFram
     for m, (rate, _) in METRICS.items():
         inside = inside & F.expr(rate).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     verdict = F.coalesce(inside, F.lit(False)) & ~F.col("base_failed")
-    # thresholds are small or the join is dealt out by group; adaptive execution splits a hot one
-    joined = features.join(limits, ["_lang", "_source"], "left").withColumn("kept", verdict)
+    joined = salted_join(features, limits, ["_lang", "_source"], "doc_id", "left").withColumn("kept", verdict)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
