@@ -168,8 +168,9 @@ def filter_words(df: DataFrame, col: str, lo: int, hi: int, id_col: str, part: i
         return df.filter(n.between(lo, hi))
     total = df.count()
     first, last = total * part // parts, total * (part + 1) // parts
-    numbered = number_rows(df, [id_col])
-    return numbered.filter((F.col("row_no") > first) & (F.col("row_no") <= last) & n.between(lo, hi)).drop("row_no")
+    # ids are numbered alone; texts stay where they are until few are left
+    inside = number_rows(df.select(id_col), [id_col]).filter((F.col("row_no") > first) & (F.col("row_no") <= last))
+    return df.filter(n.between(lo, hi)).join(inside.select(id_col), id_col, "left_semi")
 
 
 def word_report(df: DataFrame, col: str, lo: int, hi: int) -> DataFrame:

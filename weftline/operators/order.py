@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.seeded import seeded_int, seeded_key, seeded_uniform
 from weftline.operators.ordered import number_rows, running
@@ -16,9 +17,11 @@ def keep_first(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     """First row of every distinct value combination.
 
     The winner per combination comes from an aggregation (partial on the map side), so a value that
-    fills the table is no hot spot.
+    fills the table is no hot spot. Strings are grouped by their SHA-256 digest.
     """
-    first = df.groupBy(*cols).agg(F.min(order).alias(order))
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    keys = [F.sha2(c, 256).alias(c) if c in text else F.col(c) for c in cols]
+    first = df.groupBy(*keys).agg(F.min(order).alias(order))
     return df.join(first.select(order), order, "left_semi")
 
 

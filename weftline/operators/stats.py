@@ -143,9 +143,12 @@ def imbalance_report(df: DataFrame, col: str, top: int = 5) -> DataFrame:
 
 def quality_issues(df: DataFrame, order: str, cols: list[str], required: str) -> DataFrame:
     """Row numbers (from 0) of empty values and of repeated rows, one row per issue."""
-    numbered = number_rows(df.select(order, *cols), [order]).withColumn("row", F.col("row_no") - 1)
-    empty = numbered.filter(F.coalesce(F.col(required), F.lit("")) == "").select("row", F.lit("empty").alias("issue"))
-    first = numbered.groupBy(*cols).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("_c"))
+    # a digest of the values moves in their place
+    digest = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    short = df.select(order, digest.alias("_d"), (F.coalesce(F.col(required), F.lit("")) == "").alias("_empty"))
+    numbered = number_rows(short, [order]).withColumn("row", F.col("row_no") - 1)
+    empty = numbered.filter("_empty").select("row", F.lit("empty").alias("issue"))
+    first = numbered.groupBy("_d").agg(F.min("row").alias("row"))
     repeated = numbered.select("row").join(first.select("row"), "row", "left_anti").select("row", F.lit("duplicate").alias("issue"))
     return empty.unionByName(repeated)
 

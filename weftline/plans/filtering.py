@@ -90,7 +90,7 @@ def _(t):
     return fl.mark_length_ratio(t.documents, "text", None).select("doc_id", "kept")
 
 
-def _language_sql(text: str) -> str:
+def _language_sql(text: str, keys: str = "doc_id, lang", table: str = "documents") -> str:
     tok = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}]+'), lambda w_: w_ <> '')"
     codes = sorted(fl.LANGUAGE_PROFILES)
     lists = {k: "[" + ", ".join(f"'{w}'" for w in fl.LANGUAGE_PROFILES[k]) + "]" for k in codes}
@@ -99,8 +99,8 @@ def _language_sql(text: str) -> str:
     )
     best = "greatest(" + ", ".join(f"n_{k}" for k in codes) + ")"
     case = " ".join(f"WHEN n_{k} = {best} THEN '{k}'" for k in codes)
-    return f"""SELECT doc_id, lang, CASE WHEN {best} = 0 THEN NULL {case} END AS detected FROM
-    (SELECT doc_id, lang, {counts} FROM (SELECT doc_id, lang, {tok} AS toks FROM documents))"""
+    return f"""SELECT {keys}, CASE WHEN {best} = 0 THEN NULL {case} END AS detected FROM
+    (SELECT {keys}, {counts} FROM (SELECT {keys}, {tok} AS toks FROM {table}))"""
 
 
 @query("filter_language", "B8", f"SELECT doc_id FROM ({_language_sql('text')}) WHERE detected = lang")
@@ -108,6 +108,18 @@ def _(t):
     return fl.filter_language(t.documents, [("text", F.col("lang"))]).select("doc_id")
 
 
+@query(
+    "filter_language_pairs",
+    "B8",
+    ansi.with_views(ansi.TURNS, f"a AS ({_language_sql('src', 'conv_id, turn', 'turns')})", f"b AS ({_language_sql('tgt', 'conv_id, turn', 'turns')})")
+    + """SELECT a.conv_id, a.turn, coalesce(a.detected = 'en' AND b.detected = 'en', false) AS kept FROM a JOIN b USING (conv_id, turn)""",
+)
+def _(t):
+    pairs = views.turn_pairs(t.conversations)
+    good = fl.filter_language(pairs, [("src", "en"), ("tgt", "en")]).select("conv_id", "turn", F.lit(True).alias("kept"))
+    return pairs.select("conv_id", "turn").join(good, ["conv_id", "turn"], "left").fillna(False, ["kept"])
+
+
 @query(
     "filter_min_count",
     "B11",

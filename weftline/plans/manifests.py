@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.functions.prompts import PromptFormats
@@ -9,6 +11,7 @@ from weftline.functions.text import words
 from weftline.operators.ordered import number_rows
 from weftline.plans import ansi
 from weftline.plans.catalog import query
+from weftline.session import ensure_checkpoint_dir
 from weftline.sources import importers as im
 from weftline.sources import manifest as mf
 from weftline.sources import views
@@ -38,6 +41,53 @@ def _(t):
     )
 
 
+def scratch(t, name: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "manifest_files",
+    "A1",
+    """SELECT CAST(count(*) AS BIGINT) AS items, CAST(count(DISTINCT event_id) AS BIGINT) AS ids, CAST(count(*) FILTER (WHERE event_id % 97 = 0) AS BIGINT) AS malformed,
+    round(sum(value) FILTER (WHERE event_id % 97 <> 0), 4) AS seconds, count(DISTINCT user_id) FILTER (WHERE event_id % 97 <> 0) AS speakers FROM events WHERE event_id % 101 <> 0""",
+)
+def _(t):
+    folder = scratch(t, "manifest")
+    manifest_lines(t).repartition(5, "file").select("value").write.text(folder)
+    out = mf.read_manifest(t.spark, folder, on_error="quarantine")
+    return out.agg(
+        F.count(F.lit(1)).alias("items"), F.countDistinct("id").alias("ids"), F.sum(F.col("malformed").cast("long")).alias("malformed"),
+        F.round(F.sum("duration"), 4).alias("seconds"), F.countDistinct("speaker").alias("speakers"),
+    )
+
+
+@query("prepared_files", "A18", "SELECT doc_id % 10 < 8 AS train, CAST(doc_id AS BIGINT) AS doc_id, length(text) AS chars FROM documents")
+def _(t):
+    path = scratch(t, "prepared")
+    docs = t.documents.select("doc_id", "text")
+    mf.write_prepared(docs, path, train=F.col("doc_id") % 10 < 8)
+    back = [t.spark.read.schema(docs.schema).json(f"{path}_{part}").withColumn("train", F.lit(part == "train")) for part in ("train", "val")]
+    return back[0].unionByName(back[1]).select("train", "doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query("prediction_files", "A19", f"""SELECT lang AS dataset, array_to_string(({ansi.words('text')})[1:doc_id % 7], ' ') AS tokens FROM documents""")
+def _(t):
+    path = scratch(t, "predictions")
+    rows = t.documents.select(F.col("lang").alias("dataset"), words("text").alias("tokens"), (F.col("doc_id") % 7).cast("int").alias("n"))
+    mf.write_predictions(mf.prediction_rows(rows, "tokens", F.col("n")), path)
+    back = t.spark.read.schema("dataset string, tokens array<string>").json(path)
+    return back.select("dataset", F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " ").alias("tokens"))
+
+
+@query("shard_files", "A16", "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 300 AS shard FROM events")
+def _(t):
+    path = scratch(t, "shards")
+    mf.write_shards(t.events.select("event_id", "value"), path, ["event_id"], 300)
+    return t.spark.read.parquet(f"{path}/data").select("event_id", F.col("shard_id").cast("long").alias("shard"))
+
+
 @query(
     "manifest_normalize",
     "A2 A3",
