@@ -62,6 +62,45 @@ def _bounds_sql(source: str, n: int) -> str:
     return ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT {i - 1} AS i, CAST(v AS BIGINT) AS bound FROM b{i}" for i in range(1, n))
 
 
+def _cuts_sql(rows: str, size: str, n: int, parts: int) -> tuple[str, list[str]]:
+    """Buckets of ``rows`` (size, inner value n) at equal-mass bounds of the size, and the bounds of n inside each.
+
+    A bucket that stands for k equal bounds is cut into k * ``parts``.
+    """
+    ctes = [
+        f"rows_ AS ({rows})",
+        f"marks AS (SELECT bound FROM ({'WITH ' + _bounds_sql(f'SELECT {size} AS v FROM rows_', n)}) UNION ALL SELECT max({size}) FROM rows_)",
+        "plan AS (SELECT bound AS top, count(*) AS k, row_number() OVER (ORDER BY bound) - 1 AS bucket FROM marks GROUP BY bound)",
+        f"placed AS (SELECT r.*, (SELECT count(*) FROM plan p WHERE p.top <= r.{size} AND p.bucket < (SELECT max(bucket) FROM plan)) AS bucket FROM rows_ r)",
+    ]
+    return ", ".join(ctes), [
+        f"o AS (SELECT i.*, row_number() OVER w AS r, sum(n) OVER w - n AS below, sum(n) OVER (PARTITION BY bucket) / (k * {parts}.0) AS share "
+        "FROM (SELECT x.*, k, top FROM inner_ x JOIN plan USING (bucket)) i WINDOW w AS (PARTITION BY bucket ORDER BY n ROWS UNBOUNDED PRECEDING))",
+        "c0 AS (SELECT bucket, CAST(0 AS BIGINT) AS r, CAST(0 AS HUGEINT) AS below, CAST(0 AS BIGINT) AS n FROM plan)",
+        *[
+            f"c{i} AS (SELECT o.bucket, min(o.r) AS r, arg_min(o.below, o.r) AS below, arg_min(o.n, o.r) AS n FROM o JOIN c{i - 1} p USING (bucket) WHERE o.r > p.r AND o.below - p.below > share GROUP BY o.bucket)"
+            for i in range(1, n * parts)
+        ],
+        "inside AS (" + " UNION ALL ".join(f"SELECT bucket, n FROM c{i}" for i in range(1, n * parts)) + ")",
+    ]
+
+
+def _buckets_2d_sql() -> str:
+    first, rest = _cuts_sql("SELECT CAST(round(duration * 1000) AS BIGINT) AS ms, CAST(num_tokens AS BIGINT) AS n FROM utt WHERE round(duration * 1000) > 0", "ms", 5, 3)
+    kept = (
+        "rated AS (SELECT *, n / (ms / 1000.0::DOUBLE) AS tps FROM placed), dev AS (SELECT bucket, avg(tps) AS mu, stddev_pop(tps) AS sd FROM rated GROUP BY 1), "
+        "inner_ AS (SELECT r.* FROM rated r JOIN dev USING (bucket) WHERE sd = 0 OR (tps - mu) / sd <= 4)"
+    )
+    ctes = ", ".join([first, kept, *rest, "fast AS (SELECT bucket, max(tps) AS tps, max(n) AS last FROM inner_ GROUP BY 1)", "ends AS (SELECT bucket, n FROM inside UNION ALL SELECT bucket, last FROM fast)"])
+    return with_views(UTT)[:-1] + f", {ctes} SELECT top / 1000.0::DOUBLE AS bound, CAST(n AS BIGINT) AS tokens, round(tps, 6) AS max_tps FROM ends JOIN plan USING (bucket) JOIN fast USING (bucket)"
+
+
+def _token_buckets_2d_sql() -> str:
+    first, rest = _cuts_sql("SELECT CAST(input_length AS BIGINT) AS i, CAST(output_length AS BIGINT) AS n FROM lens WHERE input_length > 0", "i", 5, 3)
+    ctes = ", ".join([first, "inner_ AS (SELECT * FROM placed)", *rest, "ratio AS (SELECT max(n / i) AS q FROM rows_)"])
+    return with_views(CHAT_LENGTHS)[:-1] + f", {ctes} SELECT CAST(top AS BIGINT) AS source, CAST(n AS BIGINT) AS target FROM inside JOIN plan USING (bucket) UNION ALL SELECT CAST(top AS BIGINT), CAST(ceil(top * q) AS BIGINT) FROM plan, ratio"
+
+
 def bounds_frame(t, bounds):
     return t.spark.createDataFrame([(i, int(b)) for i, b in enumerate(bounds)], "i int, bound long")
 
@@ -77,12 +116,12 @@ def _(t):
     return bounds_frame(t, bk.token_buckets(chat_lengths(t), "total_length", 6))
 
 
-@query("buckets_2d", "G6")
+@query("buckets_2d", "G6", _buckets_2d_sql())
 def _(t):
     return rounded(bk.buckets_2d(views.manifest_view(t.events), "duration", "num_tokens", 5, 3), "max_tps")
 
 
-@query("token_buckets_2d", "G7")
+@query("token_buckets_2d", "G7", _token_buckets_2d_sql())
 def _(t):
     return bk.token_buckets_2d(chat_lengths(t), "input_length", "output_length", 5, 3)
 

@@ -311,6 +311,9 @@ def _(t):
 @query(
     "bleu_tokens",
     "F9 U3",
+    f"""WITH a AS (SELECT doc_id, ' ' || replace(replace(replace(replace(replace(replace(replace(text, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ' AS s FROM documents),
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '([{{-~\\[-` -&(-+:-@/])', ' \\1 ', 'g'), '([^0-9])([.,])', '\\1 \\2 ', 'g'), '([.,])([^0-9])', ' \\1 \\2', 'g'), '([0-9])(-)', '\\1 \\2 ', 'g') AS s FROM a)
+    SELECT doc_id, array_to_string({ansi.words('s')}, ' ') AS tokens FROM b""",
 )
 def _(t):
     return t.documents.select("doc_id", F.array_join(tokenize_13a(F.col("text")), " ").alias("tokens"))
