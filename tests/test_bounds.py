@@ -103,3 +103,10 @@ def test_ngram_matches_against_counters(spark):
     for (r, h), (m,) in zip(rows, got):
         grams = lambda x, n: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
         assert m == [sum((grams(r, n) & grams(h, n)).values()) for n in range(1, 5)]
+
+
+def test_small_datasets_get_samples(spark):
+    rows = sp.blend_greedy(spark, [0.9996, 0.0004], [10_000, 10], 20_000).groupBy("dataset").count().collect()
+    assert {r["dataset"]: r["count"] for r in rows} == {0: 19_992, 1: 8}
+    with pytest.raises(ValueError):
+        sp.blend_greedy(spark, [1.0, 1e-9], [10, 10], 100)

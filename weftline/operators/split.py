@@ -160,16 +160,24 @@ def _greedy(shares: list[int], total: int, first: int, n: int) -> list[int]:
     return out
 
 
-def blend_greedy(spark, weights: list[float], sizes: list[int], size: int, precision: int = 1000) -> DataFrame:
+def _whole_shares(weights: list[float]) -> list[int]:
+    """Weights as whole numbers: exact where at most six digits do, else within 1 % for the smallest."""
+    total = sum(weights)
+    for scale in (1000, 10_000, 100_000, 1_000_000):
+        scaled = [w / total * scale for w in weights]
+        if all(x >= 100 or round(x) and abs(x - round(x)) < 1e-6 for x in scaled):
+            return [round(x) for x in scaled]
+    raise ValueError("a dataset has less than a ten-thousandth of the weight")
+
+
+def blend_greedy(spark, weights: list[float], sizes: list[int], size: int) -> DataFrame:
     """Greedy blend: position ``i`` goes to the dataset furthest below ``weight * max(i, 1)``, samples wrap.
 
-    Weights are taken as multiples of 1/``precision``. No dataset is ever more than one sample ahead,
-    so after ``precision`` positions every deficit is back at zero: the sequence is one opening
-    period and then one period repeated. Two periods are walked; positions are arithmetic on them.
+    Weights are taken as whole numbers. No dataset is ever more than one sample ahead, so after as many
+    positions as they sum to every deficit is back at zero: the sequence is one opening period and then
+    one period repeated. Two periods are walked; positions are arithmetic on them.
     """
-    if len(weights) > 255:
-        raise ValueError("at most 255 datasets")
-    shares = [int(round(w / sum(weights) * precision)) for w in weights]
+    shares = _whole_shares(weights)
     total = sum(shares)
     rows = []
     for part, seq in ((0, _greedy(shares, total, 0, total)), (1, _greedy(shares, total, total, total))):
@@ -181,7 +189,7 @@ def blend_greedy(spark, weights: list[float], sizes: list[int], size: int, preci
     idx = spark.range(size).select(
         F.col("id").alias("idx"), (F.col("id") % total).alias("j"), F.floor(F.col("id") / total).alias("period")
     ).withColumn("part", F.when(F.col("period") > 0, 1).otherwise(0))
-    # 2 * precision rows
+    # two periods: at most two million rows
     return idx.join(F.broadcast(table), ["part", "j"]).select(
         "idx", "dataset", ((F.col("period") * F.col("share") + F.col("nth")) % F.col("n")).cast("long").alias("sample")
     )
