@@ -36,8 +36,7 @@ def test_classifier_on_odd_rows(spark, odd, empty):
     assert ordinal.rate(empty, ratings).count() == 0
 
 
-def test_kneser_ney_against_plain_sums(docs_of, monkeypatch):
-    monkeypatch.setattr(language, "HASH_BITS", 18)
+def test_kneser_ney_against_plain_sums(docs_of):
     words = {"a": "abba abab baba abba", "b": "bbbb cab cab"}
     model = language.fit(docs_of([(i, t, lang) for i, (lang, t) in enumerate(words.items())]), order=3)
     assert model.langs == ("a", "b")
@@ -68,9 +67,9 @@ def test_kneser_ney_against_plain_sums(docs_of, monkeypatch):
         for word in ("abba", "cab", "zz"):
             w = f"\x02{word}\x02"
             want = -sum(np.log2(p(w[max(0, e - 3) : e - 1], w[e - 1])) for e in range(2, len(w) + 1))
-            bits, chars = model.word_cost([word])
-            assert chars[0] == len(word) + 1
-            assert bits[0, j] == pytest.approx(want, rel=1e-4)
+            cost = model.word_cost(["other", word])[1]
+            assert cost[-1] == len(word) + 1
+            assert cost[j] == pytest.approx(want, rel=1e-4)
 
 
 def test_held_out_languages(spark):
@@ -80,6 +79,9 @@ def test_held_out_languages(spark):
     known = [r["lang_pred"] == truth[r["doc_id"]] for r in rows if truth[r["doc_id"]]]
     assert np.mean(known) > 0.95
     assert np.mean([r["rejected"] for r in rows]) < 0.1
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    half = language.identify(docs, F.lit(True), keep=0.5).collect()
+    assert 0.2 < np.mean([r["rejected"] for r in half]) < 0.8
 
 
 def test_language_of_odd_rows(odd, empty, monkeypatch):

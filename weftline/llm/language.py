@@ -3,8 +3,8 @@
 One model of order ``ORDER`` per language over the letters of words, each word between two boundary marks.
 Counts come from all training texts: distinct words are counted first, then character n-grams of words. The
 highest order has raw counts, lower orders count distinct left neighbours (n-grams that open a word keep
-raw counts, as nothing stands before them). N-grams are hashed to ``HASH_BITS`` bits and kept in sorted hash
-arrays with one column per language, so the arrays have at most 2^HASH_BITS rows however large the corpus.
+raw counts, as nothing stands before them). N-grams are hashed to ``HASHES`` values and kept in sorted hash
+arrays with one column per language, so the arrays have at most that many rows however large the corpus.
 
 A text goes to the language with the lowest cross-entropy per character. Texts whose cross-entropy lies
 above what nearly all training texts of that language stay under are marked as rejected.
@@ -13,7 +13,6 @@ above what nearly all training texts of that language stay under are marked as r
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,9 @@ from weftline.functions.seeded import seeded_mod
 from weftline.llm.common import cut_lineage
 
 ORDER = 4
-HASH_BITS = 18
+#: Values of the n-gram hash (a prime), and what a code is mixed with before: codes are regular, so the
+#: primes lie far from powers of two.
+HASHES, MIX, SPREAD = 249_989, 1_500_450_271, 1_000_000_007
 #: Share of a language's training texts that calibrated rejection lets pass.
 PASS = 0.995
 FOLDS, SEED = 10, 3
@@ -35,6 +36,8 @@ MARK = "\x02"
 #: Spread of the uniform distribution under the lowest order: letters a model may meet.
 ALPHABET = 2048
 REMEMBERED = 300_000
+#: Words that are taken apart at a time.
+CHUNK = 20_000
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -43,66 +46,80 @@ def _words(text: str | None) -> list[str]:
     return _LETTERS((text or "").lower())
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) over all rows with a text and a language, summed inside each batch first."""
+def _codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(word, place in the word, codes of the n-grams of 1, 2, ... characters that end there).
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            by: dict[str, Counter] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                by.setdefault(lang, Counter()).update(_words(text.as_py()))
-            rows = [(lang, w, n) for lang, c in by.items() for w, n in c.items()]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "word", "n"])
+    Every character after the opening mark counts. A code holds 16 bits of each character, so a context is
+    the code without its last 16 bits, and a shorter n-gram has leading zeros. At places nearer to the start
+    of a word than n characters the code of n is not meant.
+    """
+    marked = "".join(f"{MARK}{w}{MARK}" for w in words)
+    chars = np.frombuffer(marked.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) & np.uint64(0xFFFF)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
+    codes = [chars]
+    for k in range(1, order):
+        before = np.zeros_like(chars)
+        before[k:] = chars[: len(chars) - k]
+        codes.append(codes[-1] | before << np.uint64(16 * k))
+    inner = place > 0
+    return owner[inner], place[inner], [c[inner] for c in codes]
 
-    read = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string"), "text")
-    return read.mapInArrow(count, "lang string, word string, n long")
+
+def _hash(code: np.ndarray) -> np.ndarray:
+    return code.view(np.int64) % MIX * SPREAD % HASHES
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): raw counts of the n-grams that end at each character; short ones open a word."""
+    """(lang, k, code, n): raw counts of the n-grams that end at each character; short ones open a word."""
+    if not 1 <= order <= 4:
+        raise ValueError("a code holds at most four characters")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: Counter = Counter()
-            for lang, word, n in zip(*(b.column(k).to_pylist() for k in range(3))):
-                w = MARK + word + MARK
-                for i in range(2, len(w) + 1):
-                    by[lang, w[max(0, i - order) : i]] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.string()), pa.array([k[1] for k in by], pa.string()), pa.array(by.values(), pa.int64())], names=["lang", "gram", "n"])
-
-    grams = word_counts(docs).mapInArrow(cut, "lang string, gram string, n long")
-    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
+            by: dict[str, Counter] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                by.setdefault(lang, Counter()).update(_words(text.as_py()))
+            for lang, counts in by.items():
+                words, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+                for lo in range(0, len(words), CHUNK):
+                    owner, place, codes = _codes(words[lo : lo + CHUNK], order)
+                    longest = np.minimum(place + 1, order)
+                    code = np.choose(longest - 1, codes)
+                    grams, first, at = np.unique(code, return_index=True, return_inverse=True)
+                    n = np.bincount(at, times[lo : lo + CHUNK][owner]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(longest[first].astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "k", "code", "n"])
 
-def _hash(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "replace")) & ((1 << HASH_BITS) - 1)
+    read = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string"), "text")
+    return read.mapInArrow(cut, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n"))
 
 
 def model_rows(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(k, lang, hash, alpha, gamma): discounted probability of each n-gram and back-off weight of each context.
+    """(k, lang, h, alpha, gamma): discounted probability of each n-gram and back-off weight of each context.
 
     The n-gram tables are joined and summed on the cluster; hashing bounds what comes out of them.
     """
     raw = cut_lineage(gram_counts(docs, order))
-    levels = {order: raw.filter(F.length("gram") == order)}
+    levels = {order: raw.filter(F.col("k") == order).select("lang", "code", "n")}
     for k in range(order - 1, 0, -1):
-        above = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        opening = raw.filter(F.length("gram") == k)
-        levels[k] = above.unionByName(opening).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    h = lambda c: F.crc32(F.encode(c, "UTF-8")).bitwiseAND((1 << HASH_BITS) - 1)
+        suffix = F.col("code").bitwiseAND(F.lit((1 << 16 * k) - 1).cast("long"))
+        above = levels[k + 1].groupBy("lang", suffix.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        opening = raw.filter(F.col("k") == k).select("lang", "code", "n")
+        levels[k] = above.unionByName(opening).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    whole = lambda n: F.lit(n).cast("long")
+    h = lambda c: F.pmod(F.pmod(c, whole(MIX)) * whole(SPREAD), whole(HASHES))
+    none = F.lit(None).cast("double")
     out = None
     for k in range(order, 0, -1):
-        table = levels[k].withColumn("h", h(F.col("gram"))).withColumn("c", h(F.substring("gram", 1, k - 1)))
-        hashed = table.groupBy("lang", "h", "c").agg(F.sum("n").alias("n"))
+        hashed = levels[k].groupBy("lang", h(F.col("code")).alias("h"), h(F.shiftrightunsigned("code", 16)).alias("c")).agg(F.sum("n").alias("n"))
         ones = hashed.groupBy("lang").agg(F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2"))
         discount = F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))))
         hashed = hashed.join(F.broadcast(ones.select("lang", discount.alias("d"))), "lang")  # a row per language
         ctx = hashed.groupBy("lang", "c", "d").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         alpha = hashed.join(ctx, ["lang", "c", "d"]).groupBy("lang", "h").agg(F.sum((F.col("n") - F.col("d")) / F.col("total")).alias("alpha"))
-        part = alpha.select(F.lit(k).alias("k"), "lang", "h", "alpha", F.lit(None).cast("double").alias("gamma")).unionByName(
-            ctx.select(F.lit(k).alias("k"), "lang", F.col("c").alias("h"), F.lit(None).cast("double").alias("alpha"), (F.col("d") * F.col("kinds") / F.col("total")).alias("gamma"))
-        )
+        part = alpha.select(F.lit(k).alias("k"), "lang", "h", "alpha", none.alias("gamma"))
+        part = part.unionByName(ctx.select(F.lit(k).alias("k"), "lang", F.col("c").alias("h"), none.alias("alpha"), (F.col("d") * F.col("kinds") / F.col("total")).alias("gamma")))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -115,24 +132,34 @@ class LanguageModel:
     alphas: tuple[tuple[np.ndarray, np.ndarray], ...]
     gammas: tuple[tuple[np.ndarray, np.ndarray], ...]
 
-    def word_cost(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each word under each language, and its characters (with the closing mark)."""
-        order, grams, owner = len(self.alphas), [], []
-        for i, word in enumerate(words):
-            w = MARK + word + MARK
-            owner += [i] * (len(w) - 1)
-            grams += [[w[max(0, e - k) : e] if e >= k else "" for k in range(1, order + 1)] for e in range(2, len(w) + 1)]
-        known = {g: _hash(g) for g in {g for row in grams for g in row} | {g[:-1] for row in grams for g in row}}
-        p = np.full((len(grams), len(self.langs)), 1.0 / ALPHABET)
-        for k in range(order):
-            here = np.array([bool(row[k]) for row in grams])
-            h = np.array([known[row[k]] for row in grams])
-            c = np.array([known[row[k][:-1]] for row in grams])
-            alpha, gamma = _look(self.alphas[k], h, 0.0), _look(self.gammas[k], c, 1.0)
-            p = np.where(here[:, None], alpha + gamma * p, p)
-        owner = np.array(owner)
-        bits = np.stack([np.bincount(owner, -np.log2(np.maximum(p[:, j], 1e-12)), len(words)) for j in range(len(self.langs))], 1)
-        return bits, np.bincount(owner, minlength=len(words)).astype(np.float64)
+    def word_cost(self, words: list[str]) -> np.ndarray:
+        """Bits of each word under each language, and in the last column its characters (with the closing mark)."""
+        owner, place, codes = _codes(words, len(self.alphas))
+        p = np.full((len(owner), len(self.langs)), 1.0 / ALPHABET)
+        for k, code in enumerate(codes):
+            alpha = _look(self.alphas[k], _hash(code), 0.0)
+            gamma = _look(self.gammas[k], _hash(code >> np.uint64(16)), 1.0)
+            p = np.where((place >= k)[:, None], alpha + gamma * p, p)
+        bits = [np.bincount(owner, -np.log2(np.maximum(p[:, j], 1e-12)), len(words)) for j in range(len(self.langs))]
+        return np.stack([*bits, np.bincount(owner, minlength=len(words))], 1)
+
+
+class Scorer:
+    """Costs of whole texts, remembering those of words."""
+
+    def __init__(self, model: LanguageModel) -> None:
+        self.model, self.known, self.table = model, {}, np.empty((0, len(model.langs) + 1))
+
+    def __call__(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """Bits under each language and characters of each text, given as words (None: no words)."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.table = {}, self.table[:0]
+        new = list(set().union(*texts).difference(self.known))
+        costs = [self.model.word_cost(new[lo : lo + CHUNK]) for lo in range(0, len(new), CHUNK)]
+        self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+        self.table = np.concatenate([self.table, *costs])
+        known, table = self.known, self.table
+        return [table[[known[w] for w in ws]].sum(0) if ws else None for ws in texts]
 
 
 def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
@@ -146,7 +173,7 @@ def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float
 def fit(docs: DataFrame, order: int = ORDER) -> LanguageModel | None:
     """Model of all languages of ``docs`` (None: no row with a language and letters).
 
-    The driver receives the hashed arrays only: at most 2^HASH_BITS rows per order and language.
+    The driver receives the hashed arrays only: at most HASHES rows per order and language.
     """
     got = model_rows(docs, order).toArrow()
     langs = tuple(sorted(set(got["lang"].to_pylist())))
@@ -173,31 +200,23 @@ def costs(docs: DataFrame, model: LanguageModel, columns: list[Column]) -> DataF
     Texts without letters have null values.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    memory: dict[str, tuple[np.ndarray, float]] = {}
+    cell: list[Scorer] = []
 
     @F.arrow_udf("struct<lang:string,entropy:double,score:double>")
     def of(batch: pa.Array) -> pa.Array:
-        m = shared.value
-        texts = [_words(t.as_py()) for t in batch]
-        new = list({w for ws in texts for w in ws}.difference(memory))
-        if len(memory) > REMEMBERED:
-            memory.clear()
-            new = list({w for ws in texts for w in ws})
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            bits, chars = m.word_cost(part)
-            memory.update(zip(part, np.concatenate((bits, chars[:, None]), 1)))
+        if not cell:
+            cell.append(Scorer(shared.value))
         out = []
-        for ws in texts:
-            if not ws:
-                out.append(None)
-                continue
-            total = sum(memory[w] * n for w, n in Counter(ws).items())
-            rate = total[:-1] / total[-1]
-            best = int(np.argmin(rate))
-            # evidence grows with the text, but letters of a word aren't independent: the square root of their number
-            lift = np.exp2(np.maximum(-60, (rate[best] - rate) * np.sqrt(total[-1])))
-            out.append({"lang": m.langs[best], "entropy": float(rate[best]), "score": float(1 / lift.sum())})
+        for lo in range(0, len(batch), 512):
+            for total in cell[0]([_words(t.as_py()) for t in batch[lo : lo + 512]]):
+                if total is None:
+                    out.append(None)
+                    continue
+                rate = total[:-1] / total[-1]
+                best = int(np.argmin(rate))
+                # evidence grows with the text, but its letters aren't independent: the square root of their number
+                lift = np.exp2(np.maximum(-60, (rate[best] - rate) * np.sqrt(total[-1])))
+                out.append({"lang": shared.value.langs[best], "entropy": float(rate[best]), "score": float(1 / lift.sum())})
         return pa.array(out, pa.struct([("lang", pa.string()), ("entropy", pa.float64()), ("score", pa.float64())]))
 
     return docs.select(*columns, of("text").alias("_c"))
@@ -210,7 +229,7 @@ def identify(docs: DataFrame, train: Column, order: int = ORDER, keep: float = P
     ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned. ``rejected``
     marks texts above the calibrated cross-entropy of their language: the ``keep`` quantile among the texts
     given that language in one of ``FOLDS`` folds of the training rows, which the counts leave out. A
-    language without such texts rejects none. Repeated rows get the same answer; an empty table an empty one.
+    language with too few of them for that quantile rejects none. Repeated rows get the same answer; an empty table an empty one.
     """
     learned = F.coalesce(train, F.lit(False)) & F.col("lang").isNotNull()
     aside = F.coalesce(seeded_mod(SEED, FOLDS, "doc_id") == 0, F.lit(False))
@@ -230,7 +249,7 @@ def identify(docs: DataFrame, train: Column, order: int = ORDER, keep: float = P
         total, seen = sum(n for x, _, n in found if x == lang), 0
         for m in (f for f in found if f[0] == lang):
             seen += m[2]
-            if seen >= keep * total:
+            if seen >= keep * (total + 1):
                 limits[lang] = (m[1] + 1) / 1000
                 break
     limit = F.lit(None).cast("double")
