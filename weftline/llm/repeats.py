@@ -26,10 +26,11 @@ Stretches are compared by 64-bit digests of their bytes, windows of the index by
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,6 +185,24 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text).alias("_d"), text.alias("text"))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Rows of :func:`_key` with the text compressed, as texts are moved twice to meet what was found in them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            packed = pa.array([squeeze(t.as_py()) for t in b.column(3).cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], names=["doc_id", "_id", "_d", "packed"])
+
+    return _key(docs).mapInArrow(pack, f"doc_id {kind}, _id long, _d long, packed binary")
+
+
+def _unpack() -> Callable[[pa.Scalar], bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return lambda x: expand(x.as_py())
+
+
 _RUN = "m long, s long, kept boolean, _id long, _d long, first int, count int, lead int"
 
 
@@ -287,17 +306,18 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 _MARK = "_id long, _d long, first int, count int"
 
 
-def _compare(rows: DataFrame, met: DataFrame, length: int) -> DataFrame:
+def _compare(docs: DataFrame, met: DataFrame, length: int) -> DataFrame:
     """Marks of single windows, from the stretches that were left open."""
     asked = met.filter("open > 0").groupBy("_id", "_d").agg(F.collect_list(F.struct("m", "open", "kept", "first", "count")).alias("asked"))  # at most a text's runs
-    joined = rows.select("_id", "_d", "text").join(asked, ["_id", "_d"])
+    joined = _packed(docs).select("_id", "_d", "packed").join(asked, ["_id", "_d"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("m", pa.int64()), ("w", pa.int64()), ("kept", pa.bool_()), ("_id", pa.int64()), ("_d", pa.int64()), ("first", pa.int32()), ("part", pa.binary())])
+        unpack = _unpack()
         for b in batches:
             out: list[tuple] = []
-            for rid, dig, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3)):
-                raw = text.as_buffer().to_pybytes()
+            for rid, dig, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                raw = unpack(text)
                 for a in asks.as_py():
                     part = raw[a["first"] : a["first"] + a["count"] - 1 + length]
                     if a["open"] == 1:
@@ -359,9 +379,8 @@ def _marks(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_id, _d, marks): byte spans [from, to) of each text that repeated passages cover, unmerged."""
-    rows = _key(docs)
-    met = cut_lineage(_meet(_runs_of(rows, length)))
-    marks = met.filter("open = 0").select("_id", "_d", "first", "count").unionByName(_compare(rows, met, length))
+    met = cut_lineage(_meet(_runs_of(_key(docs), length)))
+    marks = met.filter("open = 0").select("_id", "_d", "first", "count").unionByName(_compare(docs, met, length))
     return marks.groupBy("_id", "_d").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
 
 
@@ -372,15 +391,16 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shorter than ``length`` keep all bytes. An empty table gives an empty table.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _key(docs).join(repeated_spans(docs, length), ["_id", "_d"], "left").select("doc_id", "text", "marks")
+    joined = _packed(docs).join(repeated_spans(docs, length), ["_id", "_d"], "left").select("doc_id", "packed", "marks")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpack()
         for b in batches:
             out: list[list] = [[] for _ in names[1:]]
             marks = b.column(2)
-            for i, text in enumerate(b.column(1).cast(pa.binary())):
-                raw = text.as_py()
+            for i, text in enumerate(b.column(1)):
+                raw = unpack(text)
                 kept, removed, spans = raw, 0, 0
                 if marks[i].is_valid:
                     first = np.asarray(marks[i].values.field("first"))
