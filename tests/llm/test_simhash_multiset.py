@@ -6,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import multiset_hash, queries, simhash
+import corpus_pipeline
+from weftline.llm import multiset_hash, queries, shingles, simhash
 from weftline.llm.components import components
 
 
@@ -87,6 +88,54 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_kept(rows):
+    """Ids that stay when every two texts of Jaccard similarity 0.8 or more are linked."""
+    rows = sorted(rows)
+    sets, name = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+    holders = {}
+    for i, s in enumerate(sets):
+        for j in {j for x in s or {None} for j in holders.get(x, ())}:
+            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = [new if n == old else n for n in name]
+        for x in s or {None}:
+            holders.setdefault(x, []).append(i)
+    return {rows[n][0] for n in name}
+
+
+def test_stage_keeps_one_of_near_copies(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(plain_kept([tuple(r) for r in docs.select("doc_id", "text").collect()]))
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
+    ids = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd, "").collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 7, 8, 9, 10] and ids.count(None) == 1
+
+
+@pytest.mark.parametrize("few, slice_size", [(32, 1024), (2, 5)])
+def test_near_copies_of_a_large_group(docs_of, monkeypatch, few, slice_size):
+    monkeypatch.setattr(shingles, "FEW", few)
+    monkeypatch.setattr(shingles, "SLICE", slice_size)
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(6):  # chains of texts that differ in one or two of 60 words, with similarities about 0.8
+        words = [f"w{k}.{i}" for i in range(60)]
+        for _ in range(40):
+            for at in rng.choice(60, rng.integers(1, 3), replace=False):
+                words[at] = f"n{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    rows = [(int(i), str(t)) for i, t in rows]
+    kept = {r["doc_id"] for r in shingles.keep_first(docs_of(rows)).collect()}
+    want = plain_kept(rows)
+    assert kept == want and 6 < len(want) < 200
+
+
 def test_fingerprints_are_homomorphic():
     h = multiset_hash.Hasher()
     a, b, c = "first line here\nsecond", "third one", "and a fourth\n"

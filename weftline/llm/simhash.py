@@ -37,9 +37,14 @@ SLICE = 4096
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def ascii_words(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8, with ASCII letters in lower case."""
+    return (text or "").encode("utf-8", "replace").translate(_UPPER).split()  # at the six ASCII white-space bytes
+
+
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of the word shingles of a text (null or no word: 0)."""
-    words = (text or "").encode("utf-8", "replace").translate(_UPPER).split()  # at the six ASCII white-space bytes
+    words = ascii_words(text)
     if not words:
         return 0
     line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
@@ -196,11 +201,20 @@ def near_duplicates(docs: DataFrame, limit: int = THRESHOLD) -> DataFrame:
     marked = cut_lineage(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = cut_lineage(first)
-    roots = components(links(distinct, limit))
+    named = name_components(marked, distinct, links(distinct, limit))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def name_components(marked: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id for every row of ``marked``.
+
+    ``distinct`` has the least doc_id of each fp, ``linked`` links (a, b) between fps.
+    """
+    roots = components(linked)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = named.join(least, "root").select("fp", "component_id")
-    return marked.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, limit: int = THRESHOLD) -> DataFrame:
@@ -208,7 +222,11 @@ def keep_first(docs: DataFrame, limit: int = THRESHOLD) -> DataFrame:
 
     Of repeated rows with that id one stays. Rows without an id stay only if their component has no id.
     """
-    classes = near_duplicates(docs, limit)
+    return keep_named(docs, near_duplicates(docs, limit))
+
+
+def keep_named(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` after which the components of ``classes`` (doc_id, component_id) are named."""
     kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     kept = cut_lineage(kept)
     chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
