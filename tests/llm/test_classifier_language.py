@@ -92,3 +92,10 @@ def test_language_of_odd_rows(odd, empty, monkeypatch):
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert {r["lang_pred"] for r in language.identify(odd, F.lit(False)).collect()} == {"und"}
     assert language.identify(empty, F.lit(True)).count() == 0
+
+
+def test_every_training_text_is_learned_from(docs_of):
+    # languages of one text each, with letters of their own; some texts lie in the fold that calibrates
+    rows = [(i, " ".join(chr(0x4E00 + 40 * i + (k * k + k // 7) % 40) * 2 for k in range(60)), f"l{i}") for i in range(40)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs_of(rows), F.lit(True)).collect()}
+    assert got == {i: f"l{i}" for i in range(40)}

@@ -95,12 +95,11 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return read.mapInArrow(cut, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n"))
 
 
-def model_rows(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def model_rows(raw: DataFrame, order: int = ORDER) -> DataFrame:
     """(k, lang, h, alpha, gamma): discounted probability of each n-gram and back-off weight of each context.
 
-    The n-gram tables are joined and summed on the cluster; hashing bounds what comes out of them.
+    ``raw`` has the rows of ``gram_counts``. The n-gram tables are joined and summed on the cluster; hashing bounds what comes out of them.
     """
-    raw = cut_lineage(gram_counts(docs, order))
     levels = {order: raw.filter(F.col("k") == order).select("lang", "code", "n")}
     for k in range(order - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << 16 * k) - 1).cast("long"))
@@ -171,11 +170,16 @@ def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> LanguageModel | None:
-    """Model of all languages of ``docs`` (None: no row with a language and letters).
+    """Model of all languages of ``docs`` (None: no row with a language and letters)."""
+    return fit_counts(cut_lineage(gram_counts(docs, order)), order)
+
+
+def fit_counts(raw: DataFrame, order: int = ORDER) -> LanguageModel | None:
+    """Model of the languages of n-gram counts (None: no count).
 
     The driver receives the hashed arrays only: at most HASHES rows per order and language.
     """
-    got = model_rows(docs, order).toArrow()
+    got = model_rows(raw, order).toArrow()
     langs = tuple(sorted(set(got["lang"].to_pylist())))
     if not langs:
         return None
@@ -228,23 +232,31 @@ def identify(docs: DataFrame, train: Column, order: int = ORDER, keep: float = P
     Models are learned from the rows where ``train`` holds; lang is used for learning only. lang_pred is
     ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned. ``rejected``
     marks texts above the calibrated cross-entropy of their language: the ``keep`` quantile among the texts
-    given that language in one of ``FOLDS`` folds of the training rows, which the counts leave out. A
+    given that language in one of ``FOLDS`` folds of the training rows, by models of the other folds. The
+    counts of that fold are added before anything is predicted. A
     language with too few of them for that quantile rejects none. Repeated rows get the same answer; an empty table an empty one.
     """
     learned = F.coalesce(train, F.lit(False)) & F.col("lang").isNotNull()
     aside = F.coalesce(seeded_mod(SEED, FOLDS, "doc_id") == 0, F.lit(False))
-    model = fit(docs.filter(learned & ~aside), order)
+    others = cut_lineage(gram_counts(docs.filter(learned & ~aside), order))
+    every = others.unionByName(gram_counts(docs.filter(learned & aside), order)).groupBy("lang", "k", "code").agg(F.sum("n").alias("n"))
+    model, trial = fit_counts(cut_lineage(every), order), fit_counts(others, order)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         und = docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
         return und
-    scored = cut_lineage(costs(docs, model, [F.col("doc_id"), has_letter.alias("_letter"), (learned & aside).alias("_train")]))
-    given = F.when(F.col("_letter"), F.col("_c.lang"))
-    rows = scored.select("doc_id", given.alias("lang_pred"), "_c.score", F.col("_c.entropy").alias("cross_entropy"), "_train")
-    # milli-bits per character: exact ranks from counts of small integers
-    marks = rows.filter("_train and lang_pred is not null").groupBy("lang_pred", F.floor(F.col("cross_entropy") * 1000).cast("long").alias("m")).count()
+
+    def judged(rows: DataFrame, by: LanguageModel) -> DataFrame:
+        scored = cut_lineage(costs(rows, by, [F.col("doc_id"), has_letter.alias("_letter")]))
+        return scored.select("doc_id", F.when(F.col("_letter"), F.col("_c.lang")).alias("lang_pred"), "_c.score", F.col("_c.entropy").alias("cross_entropy"))
+
+    rows, found = judged(docs, model), []
+    if trial is not None:
+        # milli-bits per character: exact ranks from counts of small integers
+        tried = judged(docs.filter(learned & aside), trial).filter("lang_pred is not null")
+        marks = tried.groupBy("lang_pred", F.floor(F.col("cross_entropy") * 1000).cast("long").alias("m")).count()
+        found = sorted(tuple(r) for r in marks.collect())  # at most 40,000 values of each language
     limits: dict[str, float] = {}
-    found = sorted(tuple(r) for r in marks.collect())  # at most 40,000 values of each language
     for lang in model.langs:
         total, seen = sum(n for x, _, n in found if x == lang), 0
         for m in (f for f in found if f[0] == lang):
