@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, licenses, mixing, multiset_hash, ordinal, packing, pii, quality_rules, repeats, simhash
+from weftline.llm import bpe, conversations, language, lexical, licenses, mixing, multiset_hash, ordinal, packing, pii, quality_rules, repeats, simhash
 from weftline.llm.common import table
-from weftline.llm.sql import LICENSES, MIXING, QUALITY_RULES
+from weftline.llm.sql import CONVERSATIONS, LEXICAL, LICENSES, MIXING, QUALITY_RULES
 
 #: Name of the vocabulary file in the folder of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +65,21 @@ def op10_mix_to_target_weights(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path()
+    rows = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_array_dedup,
         op9_quality_classifier,
         op10_mix_to_target_weights,
+        op11_lexical_search,
+        op12_bpe_round_trip,
+        op13_conversation_repair,
     )
 }
 
@@ -91,4 +109,6 @@ SQL: dict[str, str] = {
     "op2_quality_rules": QUALITY_RULES,
     "op6_license_scan": LICENSES,
     "op10_mix_to_target_weights": MIXING,
+    "op11_lexical_search": LEXICAL,
+    "op13_conversation_repair": CONVERSATIONS,
 }

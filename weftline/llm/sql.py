@@ -114,3 +114,88 @@ SELECT w.doc_id, len(any_value(w.w))::BIGINT AS n_words, count(lo) FILTER (base)
        coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ','), '') AS labels, coalesce(max(share), 0.0) AS score
 FROM worded w LEFT JOIN good g ON w.doc_id = g.doc_id GROUP BY w.doc_id
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+WITH worded AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents),
+asked AS (SELECT i, any_value(item_id) AS item_id, term, count(*) AS times
+          FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY i, term),
+corpus AS (SELECT count(*) FILTER (len(words) > 0)::BIGINT AS n_docs, sum(len(words))::BIGINT AS n_words FROM worded),
+posted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM worded)
+           WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM posted, corpus GROUP BY term),
+scored AS (
+  SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(words) * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN posted USING (term) JOIN weights USING (term) JOIN worded USING (r), corpus GROUP BY i, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _least(*moves: str) -> str:
+    """The cheapest of (cost, edits) structs, of equal costs the least edits."""
+    return f"list_min([{', '.join(moves)}])"
+
+
+def _move(place: str, cost: str, edits: str, allowed: str = "true") -> str:
+    return f"CASE WHEN {place} IS NOT NULL AND {allowed} THEN {{'c': {place}.c + {cost}, 'a': {place}.a || '{edits}'}} END"
+
+
+_EDIT = "STRUCT(c BIGINT, a VARCHAR)"
+
+CONVERSATIONS = rf"""
+WITH RECURSIVE crcs AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc),
+marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+                         lambda x, b: xor(crc[(xor(x, b) & 255) + 1], x >> 8), 4294967295), 4294967295) % 20 AS d
+  FROM conversations, crcs),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM marked WHERE d <> 0),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+         right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending FROM hurt),
+judged AS (
+  SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM placed),
+costed AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late FROM judged),
+steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': ''}}::{_EDIT} AS p0, NULL::{_EDIT} AS p1, NULL::{_EDIT} AS p2, NULL::{_EDIT} AS p3 FROM conversations
+  UNION ALL
+  SELECT conv_id, k, {_move("p0", "2", "D")},
+         {_least(_move("p1", "2", "D"), _move("p0", "late", "K", "NOT must AND initial = 's'"))},
+         {_least(_move("e2", "2", "D"), *(_move(p, *m) for p in ("p0", "p1", "e3") for m in (("late", "K", "NOT must AND initial = 'u'"), ("late + 1", "R", "NOT must"))))},
+         {_least(_move("e3", "2", "D"), _move("e2", "late", "K", "NOT must AND initial = 'a'"), _move("e2", "late + 1", "R", "NOT must"))}
+  FROM (SELECT s.conv_id, r.k, p0, p1, {_least("p2", _move("p0", "5", "I"), _move("p1", "5", "I"), _move("p3", "5", "I"))} AS e2,
+               {_least("p3", _move("p2", "5", "I"), _move("p0", "10", "II"), _move("p1", "10", "II"))} AS e3, initial, must, late
+        FROM steps s JOIN costed r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.k = s.k + 1)),
+ended AS (
+  SELECT conv_id, {_least("p0", "p3", _move("p2", "5", "I"), _move("p1", "10", "II"))} AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS back FROM steps) WHERE back = 1),
+edits AS (
+  SELECT conv_id, j, e, count(*) FILTER (e <> 'I') OVER w AS k, count(*) FILTER (e <> 'D') OVER w AS o
+  FROM (SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS j, best.a[j] AS e FROM ended) WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+kept AS (
+  SELECT e.conv_id, j, e, o, role, text, bool_or(o = 1 AND e = 'K' AND initial = 's') OVER (PARTITION BY e.conv_id) AS opened
+  FROM edits e LEFT JOIN costed r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.k AND e.e <> 'I' WHERE e <> 'D'),
+mended AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - opened::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS text
+  FROM kept GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM costed GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit,
+       sha256(coalesce(m.text, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
