@@ -38,7 +38,7 @@ def test_classifier_on_odd_rows(spark, odd, empty):
 
 def test_kneser_ney_against_plain_sums(docs_of):
     words = {"a": "abba abab baba abba", "b": "bbbb cab cab"}
-    model = language.fit(docs_of([(i, t, lang) for i, (lang, t) in enumerate(words.items())]), order=3)
+    model = language.fit(docs_of([(i, t, lang) for i, (lang, t) in enumerate(words.items())]), order=3).read()
     assert model.langs == ("a", "b")
     for j, text in enumerate(words.values()):
         raw, grams = {}, {}
@@ -84,8 +84,7 @@ def test_held_out_languages(spark):
     assert 0.2 < np.mean([r["rejected"] for r in half]) < 0.8
 
 
-def test_language_of_odd_rows(odd, empty, monkeypatch):
-    monkeypatch.setattr(language, "FOLDS", 1_000_003)  # a language of one row is learned from it
+def test_language_of_odd_rows(odd, empty):
     rows = language.identify(odd, F.lit(True)).collect()
     got = [(r["doc_id"], r["lang_pred"]) for r in rows]
     assert len(got) == 10 and {(5, "und"), (1, "und"), (2, "und"), (9, "de"), (3, "en")} <= set(got)
@@ -94,6 +93,22 @@ def test_language_of_odd_rows(odd, empty, monkeypatch):
     assert language.identify(empty, F.lit(True)).count() == 0
 
 
+def test_models_too_large_to_read_are_joined(spark, odd, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 60")
+    answer = lambda df: {(r["doc_id"], r["lang_pred"], r["rejected"], round(r["score"], 5), r["cross_entropy"] and round(r["cross_entropy"], 4)) for r in df.collect()}
+    want = [answer(language.identify(d, F.lit(True), keep=0.7)) for d in (docs, odd)]
+    monkeypatch.setattr(language, "CELLS", 0)
+    assert [answer(language.identify(d, F.lit(True), keep=0.7)) for d in (docs, odd)] == want
+
+
+def test_ngrams_of_any_letters():
+    grams = ["a", "ab", "\U00020000b", "\u0000b", "\x02ab\x02", "", "ba"]
+    assert len(set(language.gram_hashes(grams).tolist())) == len(grams)
+    marked, owner, place, at, hashes = language._grams(["ab", "\U00020000"], 3)
+    want = language.gram_hashes([marked[e - 1 : e + 1] for e in at])
+    assert hashes[2][at].tolist() == want.tolist()
+
+
 def test_every_training_text_is_learned_from(docs_of):
     # languages of one text each, with letters of their own; some texts lie in the fold that calibrates
     rows = [(i, " ".join(chr(0x4E00 + 40 * i + (k * k + k // 7) % 40) * 2 for k in range(60)), f"l{i}") for i in range(40)]

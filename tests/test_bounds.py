@@ -108,5 +108,23 @@ def test_ngram_matches_against_counters(spark):
 def test_small_datasets_get_samples(spark):
     rows = sp.blend_greedy(spark, [0.9996, 0.0004], [10_000, 10], 20_000).groupBy("dataset").count().collect()
     assert {r["dataset"]: r["count"] for r in rows} == {0: 19_992, 1: 8}
+    # weights whose period is as long as a billion positions; the walk is as long as the blend
+    rows = sp.blend_greedy(spark, [1.0, 1e-9], [10, 10], 100).groupBy("dataset").count().collect()
+    assert {r["dataset"]: r["count"] for r in rows} == {0: 100}
     with pytest.raises(ValueError):
-        sp.blend_greedy(spark, [1.0, 1e-9], [10, 10], 100)
+        sp.blend_greedy(spark, [1.0, -1.0], [10, 10], 100)
+
+
+def test_greedy_blend_of_fine_weights(spark, monkeypatch):
+    """A weight of a millionth of the others, against the walk; and a longer blend by a rounded period."""
+    weights, n = [0.5, 0.499999, 0.000001], 3000
+    whole, counts, want = [500_000, 499_999, 1], [0, 0, 0], []
+    for i in range(n):
+        d = max(range(3), key=lambda k: (whole[k] * max(i, 1) - counts[k] * 1_000_000, -k))
+        want.append((i, d, counts[d] % 50))
+        counts[d] += 1
+    assert [tuple(r) for r in sp.blend_greedy(spark, weights, [50, 50, 50], n).orderBy("idx").collect()] == want
+    monkeypatch.setattr(sp, "MOST_PERIOD", 1000)
+    rows = sp.blend_greedy(spark, weights, [50, 50, 50], n).groupBy("dataset").count().collect()
+    assert {r["dataset"] for r in rows} == {0, 1, 2}
+    assert sum(r["count"] for r in rows) == n

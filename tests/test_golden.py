@@ -471,6 +471,9 @@ def test_approximate_knn_recall(spark):
     exact = pairs(nb.knn(df, df, 5, metric="l2"))
     near = pairs(nb.approximate_knn(df, df, 5, 6, 2, seed=1, metric="l2", block=40))
     assert len(exact & near) / len(exact) > 0.9
+    near = pairs(nb.approximate_knn(df, df, 5, 6, 4, seed=1, block=40, parts=4))
+    exact = pairs(nb.knn(df, df, 5))
+    assert len(exact & near) / len(exact) > 0.9
 
 
 def test_synonym_pairs_are_distinct(spark):

@@ -1,150 +1,100 @@
-"""Edit distance and overlap of word arrays.
+"""Edit distance, alignment and overlap of word arrays and texts.
 
-Words of a pair are numbered and written as one code point each, so the built-in ``levenshtein``
-(two integer rows, compiled) computes the word distance of whole texts.
+Word lists go to Arrow functions that number the words of a whole batch and run the kernels of
+``functions/pairs``. Short texts are compared by the built-in ``levenshtein``, long ones by bit vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import pairs
 from weftline.functions.scoped import let
 
-_FIRST = 0x100
-_SURROGATES = 0xD800
-_SURROGATE_SPAN = 0x800
-MAX_DISTINCT = 0xFFFF - _FIRST - _SURROGATE_SPAN
-
-
-#: of a pair; beyond it the distance would take more than 10^12 steps
-MAX_WIDE = 0x10FFFF - _FIRST - _SURROGATE_SPAN
-
+#: Cells of a text pair's cost matrix up to which the built-in distance is the faster one.
+CHAR_CELLS = 1 << 20
 
-def _coded(tokens: Column, vocabulary: Column, wide: bool = False) -> Column:
-    def code(w: Column) -> Column:
-        p = F.array_position(vocabulary, w) + _FIRST
-        p = F.when(p >= _SURROGATES, p + _SURROGATE_SPAN).otherwise(p)
-        return F.lpad(F.hex(p), 8 if wide else 4, "0")
 
-    return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-32" if wide else "UTF-16BE")
+@F.arrow_udf(T.LongType())
+def word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Word-level edit distance of two word lists (null: empty)."""
+    return pa.array(pairs.distances(pairs.Words.of(ref, hyp)), pa.int64())
 
 
-@F.pandas_udf(T.LongType())
-def _plain_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([int(_alignment_cost(list(r), list(h))[0]) for r, h in zip(ref, hyp)])
+def filler_distance(ref: Column, hyp: Column) -> Column:
+    """Word-level edit distance of two short word lists, for use inside array functions, where no Arrow function can be.
 
+    Words of the pair become letters by their first place in it, so the cost is quadratic in its words.
+    """
 
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance. Words of a pair are code points of two bytes, of four where they are many."""
+    def letters(tokens: Column, vocabulary: Column) -> Column:
+        # from U+10000 on no number is a surrogate
+        code = lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0xFFFF), 8, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-32")
 
-    def coded(vocabulary: Column) -> Column:
-        fast = F.levenshtein(_coded(ref, vocabulary), _coded(hyp, vocabulary)).cast("long")
-        wide = F.levenshtein(_coded(ref, vocabulary, True), _coded(hyp, vocabulary, True)).cast("long")
-        return F.when(F.size(vocabulary) <= MAX_DISTINCT, fast).when(F.size(vocabulary) <= MAX_WIDE, wide).otherwise(
-            F.raise_error(F.lit("more than a million distinct words in a pair: use long_word_distance"))
-        )
+    return let(F.array_distinct(F.concat(ref, hyp)), lambda v: F.levenshtein(letters(ref, v), letters(hyp, v)).cast("long"))
 
-    return (
-        F.when(F.size(ref) == 0, F.size(hyp).cast("long"))
-        .when(F.size(hyp) == 0, F.size(ref).cast("long"))
-        .otherwise(let(F.array_distinct(F.concat(ref, hyp)), coded))
-    )
 
+@F.arrow_udf(T.LongType())
+def _long_char_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    def codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
-def long_word_distance(df: DataFrame, ref: str, hyp: str, out: str = "errors") -> DataFrame:
-    """:func:`word_distance` without the limit on distinct words."""
-    return df.withColumn(out, _plain_distance(F.col(ref), F.col(hyp)))
+    out: list[int | None] = []
+    for a, b in zip(ref, hyp):
+        a, b = a.as_py(), b.as_py()
+        out.append(None if a is None or b is None else pairs.long_distance(codes(a), codes(b)))
+    return pa.array(out, pa.int64())
 
 
 def char_distance(ref: Column, hyp: Column) -> Column:
-    return F.levenshtein(ref, hyp).cast("long")
+    """Character-level edit distance; only long pairs leave the JVM."""
+    long = F.length(ref).cast("long") * F.length(hyp) > CHAR_CELLS
+    return F.when(long, _long_char_distance(F.when(long, ref), F.when(long, hyp))).otherwise(F.levenshtein(ref, hyp).cast("long"))
 
 
-def _alignment_cost(ref: list, hyp: list) -> tuple[int, int]:
-    """(distance, insertions + deletions) of the alignment with most substitutions among the best.
+_KINDS = ("errors", "insertions", "deletions", "substitutions")
 
-    One pass with the two numbers packed into one integer; the left neighbour of a row is a running
-    minimum, so each row is a handful of array operations.
-    """
-    n, m = len(ref), len(hyp)
-    unit = n + m + 1
-    ids: dict = {}
-    r = np.fromiter((ids.setdefault(w, len(ids)) for w in ref), dtype=np.int64, count=n)
-    h = np.fromiter((ids.setdefault(w, len(ids)) for w in hyp), dtype=np.int64, count=m)
-    step = np.arange(m + 1, dtype=np.int64) * (unit + 1)
-    row = step.copy()
-    for i in range(n):
-        best = row + (unit + 1)
-        np.minimum(best[1:], row[:-1] + np.where(h == r[i], 0, unit), out=best[1:])
-        row = np.minimum.accumulate(best - step) + step
-    return int(row[m]) // unit, int(row[m]) % unit
-
-
-@F.pandas_udf(
-    T.StructType([T.StructField(n, T.LongType()) for n in ("errors", "insertions", "deletions", "substitutions")])
-)
-def edit_parts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in _KINDS]))
+def edit_parts(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """Insertions, deletions and substitutions of the best alignment (ties: most substitutions)."""
-    rows = []
-    for r, h in zip(ref, hyp):
-        total, indels = _alignment_cost(list(r), list(h))
-        extra = len(h) - len(r)
-        rows.append((total, (indels + extra) // 2, (indels - extra) // 2, total - indels))
-    return pd.DataFrame(rows, columns=["errors", "insertions", "deletions", "substitutions"])
-
-
-def _lcs(a: list, b: list) -> int:
-    """Longest common subsequence length, a row at a time."""
-    ids: dict = {}
-    x = np.fromiter((ids.setdefault(w, len(ids)) for w in a), dtype=np.int64, count=len(a))
-    y = np.fromiter((ids.setdefault(w, len(ids)) for w in b), dtype=np.int64, count=len(b))
-    row = np.zeros(len(y) + 1, dtype=np.int64)
-    for w in x:
-        take = row[:-1] + (y == w)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], take))
-    return int(row[-1])
-
-
-@F.pandas_udf(T.LongType())
-def lcs_length(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
-
-
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def correct_marks(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Per hypothesis word: is it matched in the alignment (match first, then sub, del, ins)?"""
-    return pd.Series([_marks(list(r), list(h)) for r, h in zip(ref, hyp)])
-
-
-def _marks(ref: list, hyp: list) -> list[bool]:
-    n, m = len(ref), len(hyp)
-    unit = n + m + 1
-    rows = [np.arange(m + 1, dtype=np.int64) * (unit + 1)]
-    step = rows[0]
-    same = []
-    for i in range(n):
-        eq = np.array([w == ref[i] for w in hyp], dtype=bool)
-        same.append(eq)
-        best = rows[-1] + (unit + 1)
-        np.minimum(best[1:], rows[-1][:-1] + np.where(eq, 0, unit), out=best[1:])
-        rows.append(np.minimum.accumulate(best - step) + step)
-    out = [False] * m
-    i, j = n, m
-    while i > 0 and j > 0:
-        here = rows[i][j]
-        eq = bool(same[i - 1][j - 1])
-        if here == rows[i - 1][j - 1] + (0 if eq else unit):
-            out[j - 1] = eq
-            i, j = i - 1, j - 1
-        elif here == rows[i - 1][j] + unit + 1:
-            i -= 1
-        else:
-            j -= 1
-    return out
+    words = pairs.Words.of(ref, hyp)
+    errors, moved = pairs.error_kinds(words)
+    extra = words.size[1] - words.size[0]
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (errors, (moved + extra) // 2, (moved - extra) // 2, errors - moved)], names=list(_KINDS))
+
+
+@F.arrow_udf(T.LongType())
+def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence of two lists."""
+    return pa.array(pairs.common_lengths(pairs.Words.of(a, b)), pa.int64())
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def correct_marks(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Per hypothesis word: is it matched in the alignment (from the end: match or sub, then del, then ins)?"""
+    words = pairs.Words.of(ref, hyp)
+    marks = np.zeros(int(words.size[1].sum()), bool)
+    for i, path in pairs.alignments(words, kinds=True):
+        both = path[(path >= 0).all(1)]
+        at = words.start[1][i] + both[:, 1]
+        marks[at] = words.codes[0][words.start[0][i] + both[:, 0]] == words.codes[1][at]
+    offsets = np.append(words.start[1], len(marks)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(marks))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
+def align_words(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Alignment of two word lists as index pairs; -1 marks a missing side."""
+    paths: list[np.ndarray] = [np.empty((0, 2), np.int64)] * len(ref)
+    for i, path in pairs.alignments(pairs.Words.of(ref, hyp), kinds=False):
+        paths[i] = path
+    flat = np.concatenate([*paths, np.empty((0, 2), np.int64)]).astype(np.int32)
+    offsets = np.cumsum([0, *(len(p) for p in paths)]).astype(np.int32)
+    ends = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["i", "j"])
+    return pa.ListArray.from_arrays(pa.array(offsets), ends)

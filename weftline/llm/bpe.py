@@ -19,18 +19,20 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Words whose ids one worker remembers, their longest length, and token pairs in the table of pairs.
-REMEMBERED, LONGEST, PAIRS = 1_000_000, 64, 2_000_000
+#: Words whose ids one worker remembers, with and without the marks at them (about 250 bytes each), their longest
+#: length, and token pairs in the table of pairs.
+REMEMBERED, LONGEST, PAIRS = 240_000, 64, 500_000
 #: Bytes of values after which a batch leaves the task.
-BATCH = 16 << 20
+BATCH = 4 << 20
 #: Stands for the end of a word; no byte of a text is written so.
 END = "\n"
 
@@ -100,6 +102,23 @@ class OffsetTable:
         return b"".join(out)
 
 
+class _Memory(dict):
+    """Ids of words met lately: what isn't met again between two turns is forgotten at the second."""
+
+    older: dict[str, bytes] = {}
+
+    def at(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        found = self.get(key) or self.older.get(key)
+        if found is None:
+            found = make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Encoder and decoder of one tokenizer file with word ends and a byte-level alphabet."""
 
@@ -128,7 +147,7 @@ class Encoder:
         for t, i in (self.ids | self.added).items():
             texts[i] = t.encode() + b" "
         self.texts = OffsetTable(texts)
-        self.known: dict[str, bytes] = {}
+        self.known, self.pieces = _Memory(), _Memory()
 
     def _build(self, suffix: str, merges: list[tuple[str, str]]) -> None:
         made = {a + b for a, b in merges}
@@ -163,30 +182,40 @@ class Encoder:
         self.automaton.make_automaton()
 
     def word(self, form: str) -> list[int]:
-        """Token numbers of one word, given in byte letters with END behind it."""
-        size, shorter, fits = self.size, self.shorter, self.pairs.fits
-        longest = [-1] * len(form)
-        for stop, t in self.automaton.iter(form):
-            longest[stop + 1 - size[t]] = t  # stops ascend, so the longest stays
-        dead = bytearray(len(form) + 1)
-        dead[len(form) - 1] = 1  # END isn't a token of its own
-        out, at = [], 0
-        token = longest[0]
-        while at < len(form):
-            while token >= 0 and (dead[at + size[token]] or out and not fits(out[-1], token)):
+        """Token numbers of one word, given in byte letters with END behind it.
+
+        The automaton runs on along its longest matches, and anew from a place where another token was taken.
+        """
+        size, shorter, pairs, search = self.size, self.shorter, self.pairs, self.automaton.iter_long
+        known, fits, n = pairs.known, pairs.fits, len(form)
+        dead = bytearray(n + 1)
+        dead[n - 1] = 1  # END isn't a token of its own
+        out, at, last = [], 0, -1
+        longest = search(form)
+        token = next(longest)[1]
+        while True:
+            first = token
+            while token >= 0:
+                if not dead[at + size[token]]:
+                    fit = last < 0 or known.get(last << 32 | token)
+                    if fit or fit is None and fits(last, token):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                token = longest[at] if at < len(form) else -1
+                last = token
+                if at == n:
+                    return out
+                if token != first or longest is None:
+                    longest = search(form, at)
+                token = next(longest)[1]
             else:
                 dead[at] = 1
                 token = out.pop()
                 at -= size[token]
-        return out
-
-    def _ids(self, form: str) -> bytes:
-        return self.id_of[self.word(form + END)].tobytes()
+                last = out[-1] if out else -1
+                longest = None
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit numbers."""
@@ -199,28 +228,27 @@ class Encoder:
         return b"".join(out)
 
     def _plain(self, text: str) -> list[bytes]:
-        known, letters = self.known, self.letters
-        if self.odd(text):  # the splitter returns byte letters; a blank keeps them apart from words as they are
-            return [self._remember(" " + p, p) for p, _ in self.split(self.normalize(text))]
-        words = self.words(text.lower())
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        found = {w: known.get(w) or self._remember(w, "".join([letters[b] for b in w.encode()])) for w in set(words)}
-        return [found[w] for w in words]
-
-    def _remember(self, key: str, form: str) -> bytes:
-        found = self.known.get(key)
-        if found is None:
-            found = self._ids(form)
-            if len(form) <= LONGEST:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.known[key] = found
-        return found
+        if self.odd(text):
+            return [self._ids(p) for p, _ in self.split(self.normalize(text))]
+        words = text.lower().split()  # no piece holds a blank
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = self.known.at(words[i], self._spelled)
+        return ids
+
+    def _spelled(self, word: str) -> bytes:
+        """Ids of a word with the marks at it."""
+        return b"".join([self.pieces.at(p, self._piece) for p in self.words(word)])
+
+    def _piece(self, piece: str) -> bytes:
+        # printable ASCII letters stand for themselves
+        return self._ids(piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()]))
+
+    def _ids(self, form: str) -> bytes:
+        """Ids of a piece in byte letters."""
+        return self.id_of[self.word(form + END)].tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of ids; the file names no decoder, so tokens are joined by blanks. Unknown ids are left out."""
@@ -234,49 +262,51 @@ def encoder(path: str) -> Encoder:
     return _WORKER[path]
 
 
-def _batches(batch: pa.RecordBatch, values: Iterator[tuple[int, object]], kind: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` with a further column of (bytes, value), cut where the values grow large."""
-    lo, held, weight = 0, [], 0
-    for size, v in values:
-        held.append(v)
-        weight += size
-        if weight >= BATCH:
-            part = batch.slice(lo, len(held))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, kind)], names=[*part.schema.names, name])
-            lo, held, weight = lo + len(held), [], 0
-    if held:
-        part = batch.slice(lo, len(held))
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, kind)], names=[*part.schema.names, name])
-
-
-def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` without ``text``, with the ids (array<int>) of the whole text instead; a null text has none.
 
-    ``tokenizer_path`` must be readable on the executors. A column already named ``out`` is replaced.
+    With ``decoded`` a column of that name holds the text that the ids decode to, made in the same pass.
+    ``tokenizer_path`` must be readable on the executors. Columns already named so are replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, out)]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    kept = [c for c in docs.columns if c not in (text, out, decoded)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(tokenizer_path)
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            ids = (np.frombuffer(tok.encode(t.as_py() or ""), "<i4") for t in texts)
-            yield from _batches(b.select(kept), ((x.nbytes, x) for x in ids), pa.list_(pa.int32()), out)
+    def values(tok: Encoder, column: pa.Array) -> Iterator[tuple[int, tuple]]:
+        for t in column:
+            ids = np.frombuffer(tok.encode(t.as_py() or ""), "<i4")
+            row = (ids, tok.decode(ids).decode()) if decoded else (ids,)
+            yield ids.nbytes + len(row[-1]), row
 
-    return docs.select(*kept, docs[text].alias(text)).mapInArrow(run, schema)
+    return _mapped(docs.select(*kept, docs[text].alias(text)), values, added, kept, tokenizer_path)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids`` added; null or no ids give an empty text."""
     kept = [c for c in rows.columns if c not in (ids, out)]
-    schema = T.StructType([*(rows.schema[c] for c in kept), rows.schema[ids], T.StructField(out, T.StringType())])
+
+    def values(tok: Encoder, column: pa.Array) -> Iterator[tuple[int, tuple]]:
+        for x in column:
+            text = tok.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b""
+            yield len(text), (text.decode(),)
+
+    return _mapped(rows.select(*kept, ids), values, [T.StructField(out, T.StringType())], [*kept, ids], tokenizer_path)
+
+
+def _mapped(rows: DataFrame, values: Callable, added: list[T.StructField], kept: list[str], tokenizer_path: str) -> DataFrame:
+    """Columns ``kept`` of ``rows`` and those that ``values`` makes of the last column; batches are cut where these grow large."""
+    kinds = [to_arrow_type(f.dataType) for f in added]
+    names = [*kept, *(f.name for f in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer_path)
         for b in batches:
-            column = b.column(b.num_columns - 1)
-            texts = (tok.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int32)) for x in column)
-            yield from _batches(b, ((len(x), x.decode()) for x in texts), pa.string(), out)
-
-    return rows.select(*kept, ids).mapInArrow(run, schema)
+            lo, held, weight = 0, [], 0
+            for size, row in values(tok, b.column(b.num_columns - 1)):
+                held.append(row)
+                weight += size
+                if weight >= BATCH or lo + len(held) == b.num_rows:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*held), kinds)]
+                    yield pa.RecordBatch.from_arrays([*b.select(kept).slice(lo, len(held)).columns, *columns], names=names)
+                    lo, held, weight = lo + len(held), [], 0
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *added]))

@@ -70,8 +70,7 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    path = tokenizer_path()
-    rows = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    rows = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path(), decoded="decoded")
     written = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

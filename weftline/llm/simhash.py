@@ -75,6 +75,11 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
     return home, words
 
 
+def anchor_homes() -> np.ndarray:
+    """The anchor (number of a code word) within the covering radius of every 23-bit value."""
+    return _golay()[0]
+
+
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor number, is home) of every anchor that each fingerprint (int64) goes to."""
     home, words = _golay()

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftline.functions.bags import bag_overlap
-from weftline.functions.edit import lcs_length, word_distance
+from weftline.functions.edit import align_words, filler_distance, lcs_length, word_distance
 from weftline.functions.seeded import seeded_int
 from weftline.functions.text import apply_tags, extract_choice, words
 
@@ -117,7 +114,7 @@ def understanding_report(df: DataFrame) -> DataFrame:
         def of(g: Column, p: Column) -> Column:
             if kind == "word":
                 a, b = words(g["filler"]), words(p["filler"])
-                return F.least(word_distance(a, b) / F.greatest(F.size(a), F.lit(1)), F.lit(1.0))
+                return F.least(filler_distance(a, b) / F.greatest(F.size(a), F.lit(1)), F.lit(1.0))
             return F.least(F.levenshtein(g["filler"], p["filler"]) / F.greatest(F.length(g["filler"]), F.lit(1)), F.lit(1.0))
 
         return F.transform(
@@ -206,37 +203,6 @@ def average_lagging(delays: Column, duration: Column, n_ref: Column) -> Column:
 
 # ---------------------------------------------------------------- punctuation
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
-def align_words(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Alignment of two word lists as index pairs; -1 marks a missing side."""
-    return pd.Series([_align(list(r), list(h)) for r, h in zip(ref, hyp)])
-
-
-def _align(ref: list, hyp: list) -> list[tuple[int, int]]:
-    n, m = len(ref), len(hyp)
-    if ref == hyp:
-        return [(i, i) for i in range(n)]
-    step = np.arange(m + 1)
-    rows, y = [step.copy()], np.array(hyp, dtype=object)
-    for i in range(n):
-        best = rows[-1] + 1
-        np.minimum(best[1:], rows[-1][:-1] + (y != ref[i]), out=best[1:])
-        rows.append(np.minimum.accumulate(best - step) + step)
-    out, i, j = [], n, m
-    while i or j:
-        here = rows[i][j]
-        if i and j and here == rows[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and here == rows[i - 1][j] + 1:
-            i -= 1
-            out.append((i, -1))
-        else:
-            j -= 1
-            out.append((-1, j))
-    return out[::-1]
-
-
 def punctuation_operations(df: DataFrame, ref: str, hyp: str, marks: str = ".,!?") -> DataFrame:
     """Correct, deleted, inserted and substituted marks, per mark.
 

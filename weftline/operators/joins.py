@@ -82,6 +82,13 @@ def positional_zip(left: DataFrame, right: DataFrame, line: str) -> DataFrame:
     return both.filter(checked).drop("_ok")
 
 
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Left join of ``rows`` to a table with one row per ``key``; a key that most rows hold is met in ``salts`` tasks."""
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts).cast("long")).cast("int"))
+    return spread.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def phrase_index(phrases: DataFrame, phrase: str, n: int, max_phrases: int | None = None, banned: DataFrame | None = None) -> DataFrame:
     """n-gram -> phrase. Banned n-grams go; ``max_phrases`` keeps the first phrases of an n-gram."""
     index = phrases.select(F.col(phrase).alias("phrase")).distinct().select("phrase", F.explode(F.array_distinct(char_ngrams(F.regexp_replace("phrase", r"\s+", "_"), n))).alias("gram"))

@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact by blocks, approximate by coarse centroids.
+"""Nearest neighbours: exact by blocks, approximate by lists of product-quantised codes.
 
 Vectors meet in blocks: a task multiplies one block of queries by one block of the index and emits
 its local top k, so neither all pairs nor a whole list is ever held together. A small index is
@@ -7,7 +7,8 @@ shipped to the executors instead, behind a check of its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 
 #: largest index (bytes of float64) that is broadcast
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+#: vectors an approximate index is fitted on
+FIT_SAMPLE = 65_536
 OUT = "qid long, nid long, score double"
 
 
@@ -101,12 +104,18 @@ def knn(
         return _final(q.mapInArrow(search, OUT), k)
     sizes = (F.lit(-(-q.count() // block)).cast("long"), F.lit(-(-n // block)).cast("long"))
     one = F.lit(0).cast("long")
-    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, metric, exclude, block, sizes)
+    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, _whole_vectors(k, metric, exclude), block, sizes)
 
 
-def _blocked(
-    q: DataFrame, x: DataFrame, k: int, metric: str, exclude: bool, block: int, sizes: tuple[Column, Column] | None = None
-) -> DataFrame:
+#: (list, query numbers, query vectors, query groups, index numbers, index values, index groups) -> local top k
+Compare = Callable[..., pa.Table]
+
+
+def _whole_vectors(k: int, metric: str, exclude: bool) -> Compare:
+    return lambda _, qid, q, qg, nid, x, ng: block_top_k(qid, q, qg, nid, _matrix(x), ng, k, metric, exclude)
+
+
+def _blocked(q: DataFrame, x: DataFrame, k: int, compare: Compare, block: int, sizes: tuple[Column, Column] | None = None) -> DataFrame:
     """Top k within equal ``list`` values, list by list cut into blocks of about ``block`` rows per side.
 
     Block counts are one row per list; a list that holds most of the data gets proportionally more
@@ -126,9 +135,9 @@ def _blocked(
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
             return pa.table({"qid": pa.array([], pa.int64()), "nid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return block_top_k(
-            _numbers(a.column("qid")), _matrix(a.column("qv")), _numbers(a.column("qg")),
-            _numbers(b.column("nid")), _matrix(b.column("nv")), _numbers(b.column("ng")), k, metric, exclude,
+        return compare(
+            a.column("list")[0].as_py(), _numbers(a.column("qid")), _matrix(a.column("qv")), _numbers(a.column("qg")),
+            _numbers(b.column("nid")), b.column("nv"), _numbers(b.column("ng")),
         )
 
     keys = ["list", "qb", "xb"]
@@ -146,15 +155,6 @@ def neighbour_lists(found: DataFrame, queries: DataFrame, id_col: str, k: int) -
     return out.select("qid", F.slice(F.concat(F.coalesce("neighbors", F.array().cast("array<bigint>")), pad), 1, k).alias("neighbors"))
 
 
-def coarse_centroids(df: DataFrame, vec: str, n_lists: int, seed: int) -> np.ndarray:
-    """k-means centroids of all vectors; ``n_lists`` vectors come to the driver."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features")))
-    return np.array(model.clusterCenters())
-
-
 def _assign(side: DataFrame, centroids: np.ndarray, vec: str, n: int) -> DataFrame:
     """Add the ``n`` nearest centroids of every vector, one row each, as ``list``."""
     shipped = side.sparkSession.sparkContext.broadcast(centroids)
@@ -174,6 +174,61 @@ def _assign(side: DataFrame, centroids: np.ndarray, vec: str, n: int) -> DataFra
     return side.mapInArrow(nearest, schema)
 
 
+def _clusters(x: np.ndarray, n: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """k-means centres of a bounded sample; an empty one takes the point that lies farthest from its own."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(n, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        far = (centres * centres).sum(1) - 2 * (x @ centres.T)
+        own = far.argmin(1)
+        size = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        lonely = np.argsort(-far[np.arange(len(x)), own], kind="stable")[: (size == 0).sum()]
+        total[size == 0], size[size == 0] = x[lonely], 1
+        centres = total / size[:, None]
+    return centres
+
+
+@dataclass(frozen=True)
+class ProductIndex:
+    """Coarse centres, and for each slice of the residuals its code words (one byte names one)."""
+
+    centres: np.ndarray
+    books: np.ndarray
+
+    def nearest(self, v: np.ndarray, n: int) -> np.ndarray:
+        c = self.centres
+        return np.argsort((c * c).sum(1) - 2 * (v @ c.T), axis=1, kind="stable")[:, :n]
+
+    def codes(self, v: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        rest = (v - self.centres[lists]).reshape(len(v), len(self.books), -1)
+        far = (self.books**2).sum(2)[None] - 2 * np.einsum("npd,pwd->npw", rest, self.books)
+        return far.argmin(2).astype(np.uint8)
+
+    def scores(self, list_: int, v: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
+        """Scores of one query against the codes of one list, from a table of its slices against all code words."""
+        centre = self.centres[list_]
+        if metric == "l2":
+            rest = (v - centre).reshape(len(self.books), 1, -1)
+            table, base = -((rest - self.books) ** 2).sum(2), 0.0
+        else:
+            table, base = np.einsum("pd,pwd->pw", v.reshape(len(self.books), -1), self.books), float(v @ centre)
+        return base + table[np.arange(len(self.books)), codes].sum(1)
+
+
+def fit_product_index(df: DataFrame, vec: str, n_lists: int, parts: int, seed: int, words: int = 256, sample: int = FIT_SAMPLE) -> ProductIndex:
+    """Centres and code words of at most ``sample`` vectors, those with the smallest digests; every vector can then be coded."""
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.col(vec).cast("string")))
+    x = _matrix(df.select(F.col(vec).cast("array<double>").alias("v"), key.alias("k")).orderBy("k").limit(sample).select("v").toArrow().column("v"))
+    if x.shape[1] % parts:
+        raise ValueError(f"{x.shape[1]} dimensions don't divide into {parts} parts")
+    centres = _clusters(x, n_lists, seed)
+    own = ((centres * centres).sum(1) - 2 * (x @ centres.T)).argmin(1)
+    rest = (x - centres[own]).reshape(len(x), parts, -1)
+    return ProductIndex(centres, np.stack([_clusters(rest[:, p], words, seed + 1 + p) for p in range(parts)]))
+
+
 def approximate_knn(
     queries: DataFrame,
     index: DataFrame,
@@ -186,12 +241,44 @@ def approximate_knn(
     metric: str = "ip",
     exclude_same: str | None = None,
     block: int = 8192,
+    parts: int = 8,
+    widen: int = 10,
 ) -> DataFrame:
-    """Search the ``n_probe`` nearest lists of every query and re-rank exactly inside them."""
-    centroids = coarse_centroids(index, vec, n_lists, seed)
-    q = _assign(_side(queries, id_col, vec, exclude_same, "q"), centroids, "qv", n_probe)
-    x = _assign(_side(index, id_col, vec, exclude_same, "n"), centroids, "nv", 1)
-    return _blocked(q, x, k, metric, exclude_same is not None, block)
+    """k nearest neighbours by product-quantised codes: (qid, nid, score, rank).
+
+    Every vector lies in the list of its nearest centre as ``parts`` bytes. A query looks its slices up
+    against the code words in its ``n_probe`` nearest lists; the ``widen`` * k best by code are scored on the
+    whole vectors. Lists are cut into blocks as in the exact search.
+    """
+    fitted = fit_product_index(index, vec, n_lists, parts, seed)
+    exclude = exclude_same is not None
+    q, x = _side(queries, id_col, vec, exclude_same, "q"), _side(index, id_col, vec, exclude_same, "n")
+    shipped = q.sparkSession.sparkContext.broadcast(fitted)  # n_lists + 256 vectors
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _matrix(b.column(1))
+                lists = shipped.value.nearest(v, 1)[:, 0]
+                codes = [c.tobytes() for c in shipped.value.codes(v, lists)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), b.column(2), pa.array(lists, pa.int64())], names=["nid", "nv", "ng", "list"])
+
+    def near(list_: int, qid, qv, qg, nid, codes, ng) -> pa.Table:
+        table = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(nid), -1)
+        found = []
+        for i in range(len(qid)):
+            s = shipped.value.scores(list_, qv[i], table, metric)
+            s = np.where(ng == qg[i], -np.inf, s) if exclude else s
+            best = np.argpartition(-s, widen * k - 1)[: widen * k] if len(s) > widen * k else np.arange(len(s))
+            best = best[s[best] > -np.inf]
+            found.append(pa.table({"qid": np.full(len(best), qid[i]), "nid": nid[best], "score": s[best]}))
+        return pa.concat_tables(found)
+
+    centres = _assign(q, fitted.centres, "qv", n_probe)
+    rows = _blocked(centres, x.mapInArrow(coded, "nid long, nv binary, ng long, list long"), widen * k, near, block)
+    pairs = rows.select("qid", "nid").join(q.select("qid", "qv"), "qid").join(x.select("nid", "nv"), "nid")
+    dot = F.aggregate(F.zip_with("qv", "nv", lambda a, b: a * b if metric == "ip" else -(a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    return _final(pairs.select("qid", "nid", dot.alias("score")), k)
 
 
 def distinct_concepts(found: DataFrame, concept_of: DataFrame, n: int) -> DataFrame:

@@ -10,11 +10,12 @@ everything in one task. Here the order is cut into value buckets first:
 
 Buckets come from row values alone (digest prefix, or literal quantile bounds), so a recomputed
 partition lands in the same bucket. A value that is itself hot is cut again by the second order
-column. Strings are cut by their first six bytes, structs by their first field. Null groups are groups.
+column. Strings are cut at whole values of a sample, structs by their first field. Null groups are groups.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import operator
@@ -28,22 +29,26 @@ from weftline.functions.seeded import seeded_key
 _SUB = 1_000_000
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    return _number(F.col(name), df.schema[name].dataType)
+#: sampled strings per bucket that the bounds of a string order are taken from
+PER_BUCKET = 32
 
 
-def _number(c: Column, kind: T.DataType) -> Column:
-    """A double that never falls where the order of ``c`` rises."""
+def _as_key(df: DataFrame, name: str) -> tuple[Column, bool]:
+    """What rows are cut by: a double that never falls where the order of the column rises, or a string (True)."""
+    return _key(F.col(name), df.schema[name].dataType)
+
+
+def _key(c: Column, kind: T.DataType) -> tuple[Column, bool]:
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return F.unix_micros(c.cast("timestamp")).cast("double"), False
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(kind, T.StringType):  # the first six bytes, in the order of strings
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return F.unix_micros(c).cast("double"), False
+    if isinstance(kind, T.StringType):
+        return c, True
     if isinstance(kind, T.StructType):
         first = kind.fields[0]
-        return _number(c[first.name], first.dataType)
-    return c.cast("double")
+        return _key(c[first.name], first.dataType)
+    return c.cast("double"), False
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -51,16 +56,40 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(10_000, 2 * n))
 
 
-def _quantiles(df: DataFrame, names: list[str], n: int) -> dict[str, list[float]]:
-    """Bounds as driver literals; at most ``n`` numbers per column."""
+def _quantiles(df: DataFrame, names: list[str], n: int) -> dict[str, list]:
+    """Bounds as driver literals; at most ``n`` of each column, a value that is hot more than once."""
     probs = [i / n for i in range(1, n)]
-    row = df.agg(
-        *[F.percentile_approx(_as_number(df, c), probs, max(10000, 4 * n)).alias(c) for c in names]
-    ).first()
-    return {c: list(row[c] or []) for c in names}
-
-
-def _below(bounds: list[float], value: Column) -> Column:
+    keys = {c: _as_key(df, c) for c in names}
+    numeric = {c: k for c, (k, text) in keys.items() if not text}
+    found: dict[str, list] = {}
+    if numeric:
+        row = df.agg(*[F.percentile_approx(k, probs, max(10000, 4 * n)).alias(c) for c, k in numeric.items()]).first()
+        found = {c: list(row[c] or []) for c in numeric}
+    rows = df.count() if len(numeric) < len(names) else 0
+    for c in (c for c in names if c not in numeric):
+        # which rows are drawn only decides how even the buckets are
+        some = df.select(keys[c][0].alias("v")).filter("v is not null").sample(min(1.0, PER_BUCKET * n / max(rows, 1)), 1)
+        found[c] = string_bounds(sorted(r["v"] for r in some.collect()), n)
+    return found
+
+
+def string_bounds(values: list[str], n: int) -> list[str]:
+    """n - 1 evenly spaced ones of sorted values, each cut to the shortest beginning that still lies above the value before it.
+
+    A value that is drawn more than once is kept whole.
+    """
+    picked = [values[i * len(values) // n] for i in range(1, n)] if values else []
+    out = []
+    for v in picked:
+        at = bisect.bisect_left(values, v)
+        if picked.count(v) == 1 and at:
+            before = values[at - 1]
+            v = next(v[:k] for k in range(1, len(v) + 1) if v[:k] > before)
+        out.append(v)
+    return out
+
+
+def _below(bounds: list, value: Column) -> Column:
     """How many bounds are smaller than ``value``; two short scans in place of one long one."""
     if not bounds:
         return F.lit(0).cast("long")
@@ -85,14 +114,15 @@ def order_bucket(df: DataFrame, order: list[str], hashed: bool = False, buckets:
     bounds = found[order[0]]
     hot = sorted({b for b in bounds if bounds.count(b) > 1})
     bounds = sorted(set(bounds))
-    value = F.coalesce(_as_number(df, order[0]), F.lit(float("-inf")))
+    key, text = _as_key(df, order[0])
+    value = F.coalesce(key, F.lit("" if text else float("-inf")))
     main = _below(bounds, value) * 2
     if not hot:
         return main * _SUB
     is_hot = value.isin(hot)
     sub = F.lit(0).cast("long")
     if len(numeric) > 1:
-        sub = F.when(is_hot, _below(sorted(set(found[order[1]])), _as_number(df, order[1]))).otherwise(sub)
+        sub = F.when(is_hot, _below(sorted(set(found[order[1]])), _as_key(df, order[1])[0])).otherwise(sub)
     return (main + F.when(is_hot, 1).otherwise(0)) * _SUB + sub
 
 

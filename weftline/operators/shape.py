@@ -10,21 +10,37 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scoped import let
 from weftline.functions.seeded import seeded_int, seeded_key, seeded_uniform
-from weftline.operators.ordered import running
+from weftline.operators.ordered import order_bucket, running
 from weftline.session import cut_lineage
 
 IGNORE = -100
 
 
-def _positions(df: DataFrame, order: str, tokens: str) -> DataFrame:
-    """Add ``_len``, ``_start`` and ``_end``: token positions of the row over the whole corpus.
+def _positions(df: DataFrame, order: str, tokens: str, length: Column | None = None) -> DataFrame:
+    """Rows of the corpus in its order, with the token positions they cover.
 
-    The running sum works on (order, length) only; the token arrays meet it in one join, which is a
-    broadcast while the lengths are small and shuffles the arrays once when they are not.
+    Adds ``_b`` (bucket of the order), ``_len`` (tokens, or ``length``), ``_start`` and ``_end`` over the whole corpus,
+    and the bucket's own range ``_lo``, ``_hi``. The rows move once, to their bucket, and are written there; the
+    starts of the buckets are running sums of one number for each.
     """
-    narrow = cut_lineage(df.select(order, F.size(tokens).cast("long").alias("_len")))
-    at = running(narrow, [order], sums={"_end": F.col("_len")})
-    return df.join(at.withColumn("_start", F.col("_end") - F.col("_len")), order)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_b", order_bucket(df, [order])).withColumn("_len", (F.size(tokens) if length is None else length).cast("long"))
+    placed = cut_lineage(dealt.repartition(n, "_b").sortWithinPartitions("_b", order))
+    totals = placed.groupBy("_b").agg(F.sum("_len").alias("_all"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    starts = totals.select(F.col("_b").alias("_at"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_lo"), "_all")
+    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumn("_end", F.sum("_len").over(inside))
+    out = summed.join(F.broadcast(starts), F.col("_b") == F.col("_at"))
+    return out.select(*df.columns, "_b", "_len", (F.col("_lo") + F.col("_end") - F.col("_len")).alias("_start"), (F.col("_lo") + F.col("_end")).alias("_end"), "_lo", (F.col("_lo") + F.col("_all")).alias("_hi"))
+
+
+def _gathered(pieces: DataFrame, key: str, entry: str, inside: str) -> DataFrame:
+    """(key, x): the sorted entries of each key. Those of keys that lie ``inside`` a bucket are gathered where
+    they are; only the pieces of the others move."""
+    entries = F.array_sort(F.collect_list(entry)).alias("x")
+    whole = pieces.filter(inside).groupBy("_b", key).agg(entries).select(key, "x")
+    return whole.unionByName(pieces.filter(f"not {inside}").groupBy(key).agg(entries).select(key, "x"))
 
 
 def pack_contiguous(df: DataFrame, order: str, tokens: str, size: int, pad: int = 0) -> DataFrame:
@@ -39,16 +55,17 @@ def pack_contiguous(df: DataFrame, order: str, tokens: str, size: int, pad: int
     def piece(pack: Column) -> Column:
         lo = F.greatest(pack * size - F.col("_start"), F.lit(0))
         hi = F.least((pack + 1) * size - F.col("_start"), F.col("_len"))
-        return F.struct(
-            pack.alias("pack"),
+        part = F.struct(
             F.col("_start").alias("s"),
             F.slice(tokens, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("t"),
             F.transform(F.sequence(lo, hi - 1), lambda p: p % size).alias("p"),
         )
+        inside = (pack * size >= F.col("_lo")) & ((pack + 1) * size <= F.col("_hi"))
+        return F.struct(pack.alias("pack"), inside.alias("inside"), part.alias("part"))
 
     # cut first, then explode: the exploded rows carry their piece, not the whole document
-    rows = at.select(F.inline(F.transform(F.sequence(first, last), piece)))
-    packs = rows.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("s", "t", "p"))).alias("x"))
+    rows = at.select("_b", F.inline(F.transform(F.sequence(first, last), piece)))
+    packs = _gathered(rows, "pack", "part", "inside")
     body = F.flatten(F.transform("x", lambda r: r["t"]))
     pos = F.flatten(F.transform("x", lambda r: r["p"]))
     lens = F.transform("x", lambda r: F.size(r["t"]).cast("long"))
@@ -189,7 +206,7 @@ def sliding_windows(df: DataFrame, order: str, tokens: str, length: int, step: i
     them. Each row emits its pieces of the windows it touches, so nothing spans the corpus.
     """
     at = _positions(df, order, tokens).filter(F.col("_len") > 0)
-    n = df.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first()[0]
+    n = at.agg(F.coalesce(F.max("_hi"), F.lit(0))).first()[0]
     count = max((n - length) // step, 0)
     first = F.greatest(F.ceil((F.col("_start") - length) / step), F.lit(0)).cast("long")
     last = F.least(F.floor((F.col("_end") - 1) / step), F.lit(count - 1)).cast("long")
@@ -198,21 +215,21 @@ def sliding_windows(df: DataFrame, order: str, tokens: str, length: int, step: i
         lo = F.greatest(w * step - F.col("_start"), F.lit(0))
         hi = F.least(w * step + length + 1 - F.col("_start"), F.col("_len"))
         part = F.slice(tokens, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
-        return F.struct(w.alias("window"), F.struct(F.col("_start").alias("s"), part.alias("t")).alias("x"))
+        inside = (w * step >= F.col("_lo")) & (w * step + length < F.col("_hi"))
+        return F.struct(w.alias("window"), inside.alias("inside"), F.struct(F.col("_start").alias("s"), part.alias("t")).alias("part"))
 
-    parts = at.filter(first <= last).select(F.inline(F.transform(F.sequence(first, last), piece)))
-    full = parts.groupBy("window").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda r: r["t"])).alias("x"))
+    parts = at.filter(first <= last).select("_b", F.inline(F.transform(F.sequence(first, last), piece)))
+    full = _gathered(parts, "window", "part", "inside").select("window", F.flatten(F.transform("x", lambda r: r["t"])).alias("x"))
     return full.select("window", F.slice("x", 1, length).alias("input"), F.slice("x", 2, length).alias("label"))
 
 
 def retrieval_chunks(df: DataFrame, id_col: str, tokens: str, size: int, stride: int) -> DataFrame:
     """Chunks of ``size`` tokens every ``stride``, numbered over the corpus in document order."""
-    narrow = cut_lineage(df.select(id_col, F.ceil(F.size(tokens) / stride).cast("long").alias("_c")))
-    counted = df.join(running(narrow.filter(F.col("_c") > 0), [id_col], sums={"_upto": F.col("_c")}), id_col)
+    counted = _positions(df, id_col, tokens, F.ceil(F.size(tokens) / stride)).filter(F.col("_len") > 0)
     chunks = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("_c") - 1),
+        F.sequence(F.lit(0).cast("long"), F.col("_len") - 1),
         lambda k: F.struct(
-            (F.col("_upto") - F.col("_c") + k).alias("chunk_id"),
+            (F.col("_start") + k).alias("chunk_id"),
             F.col(id_col).alias(id_col),
             k.alias("part"),
             F.slice(tokens, (k * stride + 1).cast("int"), F.lit(size)).alias("chunk"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,26 +152,39 @@ def blend_stride(spark, weights: list[float], sizes: list[int], size: int, bins:
     return placed.select("idx", "dataset", sample.cast("long").alias("sample"))
 
 
+#: positions of the longest period that is walked: weights down to a millionth of their sum are exact
+MOST_PERIOD = 1_000_000
+
+
 def _greedy(shares: list[int], total: int, first: int, n: int) -> list[int]:
     """Datasets at positions ``first .. first + n``, starting from zero deficits; integer arithmetic."""
-    counts = [0] * len(shares)
+    counts, every = [0] * len(shares), range(len(shares))
     out = []
     for j in range(n):
         at = max(first + j, 1) - first
-        best = max(range(len(shares)), key=lambda d: (shares[d] * at - counts[d] * total, -d))
+        behind = [s * at - c * total for s, c in zip(shares, counts)]
+        best = max(every, key=behind.__getitem__)  # of equal ones the first
         counts[best] += 1
         out.append(best)
     return out
 
 
-def _whole_shares(weights: list[float]) -> list[int]:
-    """Weights as whole numbers: exact where at most six digits do, else within 1 % for the smallest."""
-    total = sum(weights)
-    for scale in (1000, 10_000, 100_000, 1_000_000):
-        scaled = [w / total * scale for w in weights]
-        if all(x >= 100 or round(x) and abs(x - round(x)) < 1e-6 for x in scaled):
-            return [round(x) for x in scaled]
-    raise ValueError("a dataset has less than a ten-thousandth of the weight")
+def _whole_shares(weights: list[float], size: int) -> list[int]:
+    """Weights as the smallest whole numbers in their ratio, as written in decimals.
+
+    If neither their sum nor the blend is as short as MOST_PERIOD they are rounded to it; a share moves by one
+    part in MOST_PERIOD then, and no weight above zero becomes zero.
+    """
+    exact = [Fraction(str(w)) for w in weights]
+    if min(exact) < 0 or not any(exact):
+        raise ValueError("weights must not be negative, nor all zero")
+    parts = math.lcm(*(x.denominator for x in exact))
+    whole = [int(x * parts) for x in exact]
+    whole = [x // math.gcd(*whole) for x in whole]
+    total = sum(whole)
+    if min(total, size) <= MOST_PERIOD:
+        return whole
+    return [max(1, round(x * MOST_PERIOD / total)) if x else 0 for x in whole]
 
 
 def blend_greedy(spark, weights: list[float], sizes: list[int], size: int) -> DataFrame:
@@ -177,19 +194,22 @@ def blend_greedy(spark, weights: list[float], sizes: list[int], size: int) -> Da
     positions as they sum to every deficit is back at zero: the sequence is one opening period and then
     one period repeated. Two periods are walked; positions are arithmetic on them.
     """
-    shares = _whole_shares(weights)
+    shares = _whole_shares(weights, size)
     total = sum(shares)
-    rows = []
-    for part, seq in ((0, _greedy(shares, total, 0, total)), (1, _greedy(shares, total, total, total))):
-        seen = [0] * len(shares)
-        for j, d in enumerate(seq):
-            rows.append((part, j, d, seen[d], shares[d], sizes[d]))
-            seen[d] += 1
-    table = spark.createDataFrame(rows, "part int, j long, dataset long, nth long, share long, n long")
+    period = min(total, size)
+    parts = []
+    for part, seq in ((0, _greedy(shares, total, 0, period)), (1, _greedy(shares, total, total, period) if size > total else [])):
+        owner = np.array(seq, np.int64)
+        nth = np.zeros(len(owner), np.int64)
+        for d in range(len(shares)):
+            mine = np.flatnonzero(owner == d)
+            nth[mine] = np.arange(len(mine))
+        parts.append(pa.table({"part": np.full(len(owner), part, np.int32), "j": np.arange(len(owner)), "dataset": owner, "nth": nth, "share": np.array(shares, np.int64)[owner], "n": np.array(sizes, np.int64)[owner]}))
+    table = spark.createDataFrame(pa.concat_tables(parts))
     idx = spark.range(size).select(
         F.col("id").alias("idx"), (F.col("id") % total).alias("j"), F.floor(F.col("id") / total).alias("period")
     ).withColumn("part", F.when(F.col("period") > 0, 1).otherwise(0))
-    # two periods: at most two million rows
+    # two periods: at most 2 * MOST_PERIOD rows of six numbers
     return idx.join(F.broadcast(table), ["part", "j"]).select(
         "idx", "dataset", ((F.col("period") * F.col("share") + F.col("nth")) % F.col("n")).cast("long").alias("sample")
     )

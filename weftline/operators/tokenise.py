@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.scoped import let
 from weftline.functions.text import split_sentences
+from weftline.operators.joins import salted_lookup
 from weftline.operators.ordered import running
 from weftline.operators.quantiles import exact_quantiles
 from weftline.session import cut_lineage
@@ -354,30 +357,72 @@ class FloatCode(IntCode):
 
 @dataclass
 class CategoryCode:
-    """Ordinal of the sorted distinct values. The values are a dimension and come to the driver."""
+    """Ordinal of the sorted distinct values.
+
+    Up to ``limit`` values are sent to the tasks as one sorted array and searched a batch at a time; more
+    stay a table that rows are joined to, with a salt, as a value may be in most of them.
+    """
 
     col: str
     start_id: int
-    values: list[str] = field(default_factory=list)
-    limit: int = 100_000
+    limit: int = 1_000_000
+    size: int = 0
+    values: pa.Array | None = None
+    table: DataFrame | None = None
 
     def fit(self, df: DataFrame) -> "CategoryCode":
-        rows = df.select(F.col(self.col).cast("string").alias("v")).distinct().limit(self.limit + 1).collect()
-        if len(rows) > self.limit:
-            raise ValueError(f"{self.col} is not a category: over {self.limit} values")
-        self.values = sorted(r["v"] for r in rows if r["v"] is not None)
+        found = cut_lineage(df.select(F.col(self.col).cast("string").alias("v")).filter("v is not null").distinct())
+        self.size = found.count()
+        if self.size <= self.limit:
+            values = found.toArrow().column("v").combine_chunks()
+            self.values = values.take(pc.array_sort_indices(values)) if len(values) else values
+        else:
+            self.table = cut_lineage(running(found, ["v"], row_no="_at").select(F.col("v").alias(f"_v_{self.col}"), (F.col("_at") - 1 + self.start_id).alias(f"_id_{self.col}")))
         return self
 
     @property
     def end_id(self) -> int:
-        return self.start_id + len(self.values)
+        return self.start_id + self.size
+
+    def joined(self, df: DataFrame) -> DataFrame:
+        """``df`` with the ordinals of a large dictionary."""
+        if self.table is None:
+            return df
+        return salted_lookup(df.withColumn(f"_v_{self.col}", F.col(self.col).cast("string")), self.table, f"_v_{self.col}").drop(f"_v_{self.col}")
+
+    def decoded(self, df: DataFrame, codes: Column, out: str) -> DataFrame:
+        """``df`` with the values of ``codes``; other numbers have none."""
+        if self.table is None:
+            return df.withColumn(out, _value_at(self.values, self.start_id)(codes[0]))
+        named = self.table.select(F.col(f"_id_{self.col}").alias("_id"), F.col(f"_v_{self.col}").alias(out))
+        return salted_lookup(df.withColumn("_id", codes[0].cast("long")), named, "_id").drop("_id")
 
     def encode(self) -> Column:
-        known = F.array(*[F.lit(v) for v in self.values])
-        return F.array(F.array_position(known, F.col(self.col).cast("string")) - 1 + self.start_id)
+        if self.table is not None:
+            return F.array(F.col(f"_id_{self.col}"))
+        return F.array(_place_of(self.values, self.start_id)(F.col(self.col).cast("string")))
 
-    def decode(self, codes: Column) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in self.values]), (codes[0] - self.start_id).cast("int"))
+
+def _place_of(values: pa.Array, start: int):
+    index: list[pd.Index] = []
+
+    @F.arrow_udf(T.LongType())
+    def place(batch: pa.Array) -> pa.Array:
+        if not index:
+            index.append(pd.Index(values.to_pylist(), dtype=object))
+        at = index[0].get_indexer(batch.to_pylist())
+        return pa.array(at + start, pa.int64(), mask=at < 0)
+
+    return place
+
+
+def _value_at(values: pa.Array, start: int):
+    @F.arrow_udf(T.StringType())
+    def value(batch: pa.Array) -> pa.Array:
+        at = pc.subtract(batch.cast(pa.int64()), start)
+        return values.take(pc.if_else(pc.and_(pc.greater_equal(at, 0), pc.less(at, len(values))), at, None))
+
+    return value
 
 
 def fit_columns(df: DataFrame, specs: list[dict]) -> list:
@@ -396,14 +441,17 @@ def fit_columns(df: DataFrame, specs: list[dict]) -> list:
 def encode_rows(df: DataFrame, codes: list, out: str = "ids", start: int = 0) -> DataFrame:
     """All column codes of a row in one array, columns in cyclic order from ``start``."""
     order = [codes[(start + i) % len(codes)] for i in range(len(codes))]
-    return df.withColumn(out, F.flatten(F.array(*[c.encode() for c in order])))
+    large = [c for c in order if getattr(c, "table", None) is not None]
+    work = functools.reduce(lambda d, c: c.joined(d), large, df)
+    return work.withColumn(out, F.flatten(F.array(*[c.encode() for c in order]))).drop(*[f"_id_{c.col}" for c in large])
 
 
 def decode_rows(df: DataFrame, codes: list, ids: str = "ids") -> DataFrame:
     out, at = df, 1
     for c in codes:
         n = getattr(c, "code_len", 1)
-        out = out.withColumn(f"{c.col}_decoded", c.decode(F.slice(ids, at, n)))
+        part = F.slice(ids, at, n)
+        out = c.decoded(out, part, f"{c.col}_decoded") if isinstance(c, CategoryCode) else out.withColumn(f"{c.col}_decoded", c.decode(part))
         at += n
     return out
 

@@ -40,8 +40,8 @@ PAIRS = (
     + ", refs AS (SELECT doc_id, pos, lang, source, "
     + words("lower(regexp_replace(utt, '[^ -~]', '', 'g'))")
     + " AS r FROM utterances), "
-    "pairs AS (SELECT doc_id, pos, lang, source, r, list_filter(list_transform(r, lambda w_, i_: CASE WHEN i_ % 7 = 0 "
-    "THEN '' WHEN i_ % 5 = 0 THEN '<unk>' ELSE w_ END), lambda w_: w_ <> '') AS h FROM refs WHERE len(r) > 0)"
+    "pairs AS (SELECT doc_id, pos, lang, source, r, flatten(list_transform(r, lambda w_, i_: CASE WHEN i_ % 7 = 0 "
+    "THEN CASE WHEN pos % 2 = 1 THEN [w_, '<added>'] ELSE [] END WHEN i_ % 5 = 0 THEN ['<unk>'] ELSE [w_] END)) AS h FROM refs WHERE len(r) > 0)"
 )
 
 TURNS = (
@@ -59,9 +59,12 @@ SPANS = (
     "round(epoch_us(ts) / 1e6 + value, 3) AS \"end\", event_type AS cls FROM events)"
 )
 
-#: word distance of a pair: every unknown word costs one substitution, every missing word one
-#: deletion, and no alignment can be cheaper (unknown words never match).
-PAIR_ERRORS = "(len(r) - len(h) + len(list_filter(h, lambda w_: w_ = '<unk>')))"
+#: Kinds of errors of a pair. Unknown and added words never match, so no alignment has more matches than there
+#: are other words heard, nor fewer deletions or insertions than the lengths differ by.
+UNKNOWN_WORDS = "len(list_filter(h, lambda w_: w_ = '<unk>'))"
+MISSING, EXTRA = "greatest(len(r) - len(h), 0)", "greatest(len(h) - len(r), 0)"
+HEARD = "len(list_filter(h, lambda w_: w_ NOT IN ('<unk>', '<added>')))"
+PAIR_ERRORS = f"(abs(len(r) - len(h)) + {UNKNOWN_WORDS})"
 
 
 def with_views(*views: str) -> str:

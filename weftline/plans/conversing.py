@@ -8,7 +8,7 @@ from weftline.functions.edit import correct_marks
 from weftline.functions.text import is_blank, words
 from weftline.metrics import dialogue as dg
 from weftline.plans import ansi
-from weftline.plans.ansi import PAIRS, with_views
+from weftline.plans.ansi import HEARD, PAIRS, with_views
 from weftline.plans.catalog import query
 from weftline.plans.scoring import rounded
 from weftline.plans.texts import ANSWER_SQL, answer_text, choice_sql
@@ -51,7 +51,7 @@ def _(t):
 @query(
     "confidence_marks",
     "F28",
-    with_views(PAIRS) + "SELECT lang, CAST(sum(len(h)) AS BIGINT) AS words, CAST(sum(len(list_filter(h, lambda w_: w_ <> '<unk>'))) AS BIGINT) AS correct FROM pairs GROUP BY 1",
+    with_views(PAIRS) + f"SELECT lang, CAST(sum(len(h)) AS BIGINT) AS words, CAST(sum({HEARD}) AS BIGINT) AS correct FROM pairs GROUP BY 1",
 )
 def _(t):
     marks = views.pairs_view(t.documents).select("lang", F.size("h").cast("long").alias("n"), correct_marks("r", "h").alias("m"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import is_blank, word_count, words
 from weftline.operators import filters as fl
+from weftline.operators import language as la
 from weftline.plans import ansi
 from weftline.plans.catalog import Tables, query
 from weftline.sources import views
@@ -120,6 +121,54 @@ def _(t):
     return pairs.select("conv_id", "turn").join(good, ["conv_id", "turn"], "left").fillna(False, ["kept"])
 
 
+def _lined_sql(x: str) -> str:
+    return f"' ' || array_to_string(regexp_extract_all(lower(coalesce({x}, '')), '\\p{{L}}+'), ' ') || ' '"
+
+
+PROFILES = (
+    f"lined AS (SELECT lang, {_lined_sql('text')} AS s FROM documents WHERE lang IS NOT NULL), "
+    "triples AS (SELECT lang, substr(s, i, 3) AS triple FROM (SELECT lang, s, unnest(range(1, length(s) - 1)) AS i FROM lined) WHERE substr(s, i + 1, 1) <> ' '), "
+    "counts AS (SELECT lang, triple, count(*) AS n FROM triples GROUP BY 1, 2), "
+    "totals AS (SELECT lang, CAST(sum(n) + count(*) AS DOUBLE) AS total FROM counts GROUP BY 1), "
+    "profiles AS (SELECT lang, triple, CAST(floor(1000 * ln((n + 1) / total)) AS BIGINT) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, triple) AS r FROM counts) JOIN totals USING (lang) WHERE r <= 1000 "
+    "UNION ALL SELECT lang, NULL, CAST(floor(1000 * ln(1 / total)) AS BIGINT) FROM totals)"
+)
+
+
+def _learned_sql(name: str, text: str, keys: str, source: str) -> str:
+    """View ``name`` with the detected language of ``text`` for each value of ``keys``."""
+    return (
+        f"{name}_t AS (SELECT {keys}, substr(s, i, 3) AS triple FROM (SELECT {keys}, s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT {keys}, {_lined_sql(text)} AS s FROM {source})) WHERE substr(s, i + 1, 1) <> ' '), "
+        f"{name}_n AS (SELECT {keys}, triple, count(*) AS n FROM {name}_t GROUP BY ALL), "
+        f"{name}_s AS (SELECT {keys}, o.lang, sum(n * coalesce(p.weight, o.weight)) AS score FROM {name}_n t JOIN profiles o ON o.triple IS NULL LEFT JOIN profiles p ON p.lang = o.lang AND p.triple = t.triple GROUP BY {keys}, o.lang), "
+        f"{name} AS (SELECT {keys}, lang AS detected FROM {name}_s QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, lang) = 1)"
+    )
+
+
+@query("language_profiles", "B8", ansi.with_views(PROFILES) + "SELECT * FROM profiles")
+def _(t):
+    return la.language_profiles(t.documents, "text", "lang")
+
+
+@query("filter_language_learned", "B8", ansi.with_views(PROFILES, _learned_sql("found", "text", "doc_id", "documents")) + "SELECT doc_id FROM documents JOIN found USING (doc_id) WHERE detected = lang")
+def _(t):
+    detect = la.learned_detector(la.language_profiles(t.documents, "text", "lang"))
+    return fl.filter_language(t.documents, [("text", F.col("lang"))], detect).select("doc_id")
+
+
+@query(
+    "filter_pairs_learned",
+    "B8",
+    ansi.with_views(PROFILES, ansi.TURNS, _learned_sql("a", "src", "conv_id, turn", "turns"), _learned_sql("b", "tgt", "conv_id, turn", "turns"))
+    + "SELECT t.conv_id, t.turn, a.detected AS src_lang, b.detected AS tgt_lang, coalesce(a.detected = 'en' AND b.detected = 'en', false) AS kept FROM turns t LEFT JOIN a USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)",
+)
+def _(t):
+    """Both sides of a pair, accepted and refused ones."""
+    detect = la.learned_detector(la.language_profiles(t.documents, "text", "lang"))
+    pairs = views.turn_pairs(t.conversations).select("conv_id", "turn", detect("src").alias("src_lang"), detect("tgt").alias("tgt_lang"))
+    return pairs.withColumn("kept", F.coalesce((F.col("src_lang") == "en") & (F.col("tgt_lang") == "en"), F.lit(False)))
+
+
 @query(
     "filter_min_count",
     "B11",

@@ -65,10 +65,10 @@ def _(t):
 @query(
     "error_detail",
     "F3",
-    with_views(PAIRS, "s AS (SELECT source, len(r) AS n, len(r) - len(h) AS d, len(list_filter(h, lambda w_: w_ = '<unk>')) AS s FROM pairs)")
-    + """SELECT source, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(d + s) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS insertions,
-    CAST(sum(d) AS BIGINT) AS deletions, CAST(sum(s) AS BIGINT) AS substitutions, round(sum(d + s) / sum(n), 6) AS wer,
-    0.0::DOUBLE AS ins_rate, round(sum(d) / sum(n), 6) AS del_rate, round(sum(s) / sum(n), 6) AS sub_rate FROM s GROUP BY 1""",
+    with_views(PAIRS, f"s AS (SELECT source, len(r) AS n, {ansi.MISSING} AS d, {ansi.EXTRA} AS i, {ansi.UNKNOWN_WORDS} AS s FROM pairs)")
+    + """SELECT source, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(d + i + s) AS BIGINT) AS errors, CAST(sum(i) AS BIGINT) AS insertions,
+    CAST(sum(d) AS BIGINT) AS deletions, CAST(sum(s) AS BIGINT) AS substitutions, round(sum(d + i + s) / sum(n), 6) AS wer,
+    round(sum(i) / sum(n), 6) AS ins_rate, round(sum(d) / sum(n), 6) AS del_rate, round(sum(s) / sum(n), 6) AS sub_rate FROM s GROUP BY 1""",
 )
 def _(t):
     out = er.detail_totals(er.error_detail(views.pairs_view(t.documents)), ["source"])
@@ -83,8 +83,8 @@ def _normal_pairs() -> str:
 @query(
     "scored_manifest",
     "F5",
-    with_views(_normal_pairs(), "s AS (SELECT doc_id, pos, len(r) AS n, len(r) - len(h) AS d, len(list_filter(h, lambda w_: w_ = '<unk>')) AS s FROM pairs)")
-    + """SELECT doc_id, pos, CAST(n AS BIGINT) AS tokens, CAST(d + s AS BIGINT) AS errors, round((d + s) / n, 6) AS wer, 0.0::DOUBLE AS ins_rate,
+    with_views(_normal_pairs(), f"s AS (SELECT doc_id, pos, len(r) AS n, {ansi.MISSING} AS d, {ansi.EXTRA} AS i, {ansi.UNKNOWN_WORDS} AS s FROM pairs)")
+    + """SELECT doc_id, pos, CAST(n AS BIGINT) AS tokens, CAST(d + i + s AS BIGINT) AS errors, round((d + i + s) / n, 6) AS wer, round(i / n, 6) AS ins_rate,
     round(d / n, 6) AS del_rate, round(s / n, 6) AS sub_rate FROM s""",
 )
 def _(t):
@@ -179,8 +179,8 @@ def _grams(x: str, n: int) -> str:
         f"UNION ALL SELECT doc_id, pos, lang, 2, 0, unnest({_grams('r', 2)}) FROM pairs UNION ALL SELECT doc_id, pos, lang, 2, 1, unnest({_grams('h', 2)}) FROM pairs)",
         "c AS (SELECT doc_id, pos, lang, n, g, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM g GROUP BY ALL)",
         "f AS (SELECT doc_id, pos, lang, n, CASE WHEN sum(least(a, b)) > 0 THEN 2.0 * sum(least(a, b)) / (sum(a) + sum(b)) ELSE 0 END AS f FROM c GROUP BY 1, 2, 3, 4)",
-        # the hypothesis is a subsequence of the reference but for the unknown words
-        "l AS (SELECT doc_id, pos, lang, CASE WHEN len(h) = 0 THEN 0.0 ELSE 2.0 * len(list_filter(h, lambda w_: w_ <> '<unk>')) / (len(r) + len(h)) END AS f FROM pairs)",
+        # the hypothesis is a subsequence of the reference but for the unknown and added words
+        f"l AS (SELECT doc_id, pos, lang, CASE WHEN len(h) = 0 THEN 0.0 ELSE 2.0 * {ansi.HEARD} / (len(r) + len(h)) END AS f FROM pairs)",
         "p AS (SELECT q.lang, 100 * avg(coalesce(f1.f, 0)) AS rouge1, 100 * avg(coalesce(f2.f, 0)) AS rouge2, 100 * avg(l.f) AS rougeL FROM pairs q "
         "LEFT JOIN f f1 ON f1.doc_id = q.doc_id AND f1.pos = q.pos AND f1.n = 1 LEFT JOIN f f2 ON f2.doc_id = q.doc_id AND f2.pos = q.pos AND f2.n = 2 "
         "JOIN l ON l.doc_id = q.doc_id AND l.pos = q.pos GROUP BY 1)",

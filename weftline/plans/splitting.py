@@ -134,19 +134,26 @@ def _(t):
     return sp.blend_stride(t.spark, [0.502, 0.304, 0.194], sizes, sum(sizes))
 
 
+#: Weights of the languages in their order, repeating.
+GREEDY = [4.0, 3.0, 2.000001, 1.0]
+
+
 @query(
     "blend_greedy",
     "H11",
-    """WITH RECURSIVE n AS (SELECT count(*) FILTER (WHERE lang = 'de') AS n0, count(*) FILTER (WHERE lang = 'en') AS n1, count(*) FILTER (WHERE lang = 'es') AS n2, count(*) AS n FROM documents),
-    f AS (SELECT CAST(-1 AS BIGINT) AS idx, CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, CAST(0 AS BIGINT) AS c2, CAST(-1 AS BIGINT) AS dataset
-      UNION ALL SELECT idx + 1, c0 + CASE WHEN d = 0 THEN 1 ELSE 0 END, c1 + CASE WHEN d = 1 THEN 1 ELSE 0 END, c2 + CASE WHEN d = 2 THEN 1 ELSE 0 END, d FROM
-      (SELECT idx, c0, c1, c2, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END AS d FROM
-        (SELECT *, 200 * greatest(idx + 1, 1) - 1000 * c0 AS e0, 500 * greatest(idx + 1, 1) - 1000 * c1 AS e1, 300 * greatest(idx + 1, 1) - 1000 * c2 AS e2 FROM f, n WHERE idx + 1 < n * 2)))
-    SELECT idx, dataset, CASE dataset WHEN 0 THEN (c0 - 1) % n0 WHEN 1 THEN (c1 - 1) % n1 ELSE (c2 - 1) % n2 END AS sample FROM f, n WHERE idx >= 0""",
-)
-def _(t):
-    counts = {r["lang"]: r["count"] for r in t.documents.groupBy("lang").count().collect()}
-    return sp.blend_greedy(t.spark, [0.2, 0.5, 0.3], [counts[k] for k in ("de", "en", "es")], 2 * sum(counts.values()))
+    """WITH RECURSIVE g AS (SELECT row_number() OVER (ORDER BY lang NULLS LAST) - 1 AS d, count(*) AS n FROM documents GROUP BY lang),
+    k AS (SELECT list(n ORDER BY d) AS ns, list(([4000000, 3000000, 2000001, 1000000])[d % 4 + 1] ORDER BY d) AS ws, CAST(sum(([4000000, 3000000, 2000001, 1000000])[d % 4 + 1]) AS BIGINT) AS w, CAST(sum(n) AS BIGINT) AS size FROM g),
+    f AS (SELECT CAST(-1 AS BIGINT) AS idx, list_transform(ns, lambda x: CAST(0 AS BIGINT)) AS c, CAST(0 AS BIGINT) AS d FROM k
+      UNION ALL SELECT idx + 1, list_transform(c, lambda x, i: x + CASE WHEN i = d THEN 1 ELSE 0 END), CAST(d AS BIGINT) FROM
+      (SELECT idx, c, list_position(e, list_max(e)) AS d FROM
+        (SELECT idx, c, list_transform(ws, lambda x, i: x * greatest(idx + 1, 1) - w * c[i]) AS e FROM f, k WHERE idx + 1 < size * 2)))
+    SELECT idx, d - 1 AS dataset, (c[d] - 1) % ns[d] AS sample FROM f, k WHERE idx >= 0""",
+)
+def _(t):
+    # a row per language, null among them
+    counts = [r["count"] for r in t.documents.groupBy("lang").count().orderBy(F.col("lang").asc_nulls_last()).collect()]
+    weights = [GREEDY[d % len(GREEDY)] for d in range(len(counts))]
+    return sp.blend_greedy(t.spark, weights, counts, 2 * sum(counts))
 
 
 @query(

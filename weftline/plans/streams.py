@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftline.plans import ansi
@@ -9,6 +11,8 @@ from weftline.plans.catalog import Tables, query
 from weftline.plans.scoring import rounded
 from weftline.streaming import endpoints as ep
 from weftline.streaming import frames as fr
+from weftline.session import ensure_checkpoint_dir, remove_folder
+from weftline.streaming import ordered_stream as ordered
 from weftline.streaming import state as ss
 
 
@@ -17,6 +21,27 @@ def event_stream(t: Tables, **kw):
     return fr.read_frames(t.spark, t.folder, t.events.schema, "events.parquet", **kw)
 
 
+def arriving(t: Tables, *columns):
+    """The events as a stream that arrives in four parts, out of order by up to a day, and ends; ``at`` is its event time."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/arriving-{uuid.uuid4()}"
+    frames = t.events.select(F.col("ts").cast("timestamp").alias("at"), "user_id", "event_id", *columns)
+    ordered.replay(frames, folder, "at", 4, 86_400)
+    return folder, fr.read_frames(t.spark, folder, frames.schema, time="at", delay="1 day", max_files=8)
+
+
+#: Longer than the table's time, so that a user's events are one session.
+GAP = "400 days"
+
+
+def run_arriving(t: Tables, columns: list, build):
+    """``build`` of the arriving events, run to their end."""
+    folder, stream = arriving(t, *columns)
+    out = fr.run_available(build(stream))
+    remove_folder(t.spark, folder)
+    return out
+
+
 FLAGS = (
     "f AS (SELECT event_id, user_id, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_no, "
     "count(*) OVER (PARTITION BY user_id) AS n FROM events)"
@@ -32,11 +57,10 @@ def _(t):
     return numbered(t).select("event_id", "frame_no", "is_first", "is_last")
 
 
-@query("frame_flags_stream", "T1 M14", f"WITH {FLAGS} SELECT event_id, frame_no AS seen, frame_no = 0 AS is_first FROM f")
+@query("frame_flags_stream", "T1 M14", f"WITH {FLAGS} SELECT event_id, frame_no AS seen, frame_no = 0 AS is_first, frame_no = n - 1 AS is_last FROM f")
 def _(t):
-    last = t.events.groupBy("user_id").agg(F.max("event_id").alias("last_id"))
-    frames = event_stream(t).select("user_id", "event_id").join(last, "user_id").select("user_id", "event_id", (F.col("event_id") == F.col("last_id")).alias("is_last"))
-    return fr.run_available(fr.multiplex(frames, "user_id", "event_id", "is_last")).select("event_id", "seen", "is_first")
+    out = run_arriving(t, [], lambda s: fr.multiplex(s, "user_id", "at", "event_id", GAP))
+    return out.select("event_id", "seen", "is_first", "is_last")
 
 
 BUFFER = (
@@ -59,8 +83,7 @@ def _(t):
 
 @query("rolling_buffer_stream", "T2 M14", BUFFER)
 def _(t):
-    frames = event_stream(t).select("user_id", F.col("event_id"), F.array("value").alias("samples"))
-    out = fr.run_available(fr.rolling_buffer_stream(frames, "user_id", "event_id", "samples", 8))
+    out = run_arriving(t, [F.array("value").alias("samples")], lambda s: fr.rolling_buffer_stream(s, "user_id", "at", "event_id", "samples", 8, GAP))
     ids = numbered(t).select("user_id", "event_id", "frame_no")
     return buffer_checks(out.join(ids, ["user_id", "event_id"]))
 
@@ -151,19 +174,34 @@ def _(t):
     return kept.select("user_id", F.col("day").cast("string").alias("day"), "e.is_eou", "e.at")
 
 
-@query("overlap_append_stream", "T7 M14")
+#: The append as a recursion over a user's chunks: state after each (token, time) list of at most three, and the last token after an end.
+APPEND = """WITH RECURSIVE c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+      [CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 5, event_id % 3] AS tok, [event_id + 0.0::DOUBLE, event_id + 1.0::DOUBLE] AS at, event_type = 'error' AS eou FROM events),
+    s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS tail, CAST([] AS DOUBLE[]) AS times, false AS ended, CAST(-1 AS BIGINT) AS last_token, 0.0::DOUBLE AS last_time,
+        CAST([] AS BIGINT[]) AS fresh, CAST([] AS DOUBLE[]) AS placed FROM c GROUP BY user_id
+      UNION ALL SELECT user_id, k, event_id, (tail || fresh)[-3:], (times || placed)[-3:], eou, CASE WHEN len(fresh) > 0 THEN fresh[-1] ELSE last_token END,
+        CASE WHEN len(fresh) > 0 THEN placed[-1] ELSE last_time END, fresh, placed FROM (
+        SELECT *, list_transform(cut, lambda x_: x_ + CASE WHEN len(cut) > 0 AND len(times) > 0 AND greatest(cut[1], 0) <= times[-1] THEN times[-1] + 1 ELSE greatest(cut[1], 0) END - cut[1]) AS placed FROM (
+          SELECT *, tok[skip + 1:] AS fresh, at[skip + 1:] AS cut FROM (
+            SELECT s.user_id, c.k, c.event_id, tail, times, last_token, last_time, eou, tok, at,
+              CASE WHEN ended THEN CASE WHEN last_token = tok[1] AND abs(last_time - at[1]) <= 2 THEN 1 ELSE 0 END
+                WHEN len(tail) >= 2 AND tail[-2:] = tok THEN CASE WHEN at[2] - times[-2] <= 2 THEN 2 ELSE 0 END
+                WHEN len(tail) >= 1 AND tail[-1] = tok[1] AND at[1] - times[-1] <= 2 THEN 1 ELSE 0 END AS skip
+            FROM s JOIN c ON c.user_id = s.user_id AND c.k = s.k + 1))))
+    SELECT user_id, event_id, array_to_string(fresh, ' ') AS tokens, array_to_string(placed, ' ') AS times FROM s WHERE k > 0"""
+
+
+@query("overlap_append_stream", "T7 M14", APPEND)
 def _(t):
     """One chunk per event: its own token and the one before it, as overlapping decoder output."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 5
-    stream = event_stream(t).select(
-        "user_id",
-        "event_id",
+    chunk = [
         F.array(k, (F.col("event_id") % 3).cast("long")).alias("tokens"),
         F.array(F.lit(0.0), F.lit(1.0)).alias("times"),
         F.col("event_id").cast("double").alias("offset"),
         (F.col("event_type") == "error").alias("eou"),
-    )
-    out = fr.run_available(ss.append_stream(stream, "user_id", "event_id"))
+    ]
+    out = run_arriving(t, chunk, lambda s: ss.append_stream(s, "user_id", "at", "event_id", GAP))
     return out.select("user_id", "event_id", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"), F.array_join(F.col("times").cast("array<string>"), " ").alias("times"))
 
 

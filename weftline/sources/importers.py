@@ -155,30 +155,32 @@ def parse_transcript(
     return rows.withColumn("channel", side).drop("_t", value)
 
 
-def tree_threads(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+def tree_threads(nodes: DataFrame) -> DataFrame:
     """Every root-to-leaf path of a message forest as one conversation; single-turn paths go.
 
-    ``nodes``: tree_id, node_id, parent_id (null at the root), role, text. One join per level; each
-    level is written out, so neither the plan nor the recomputation grows with the depth.
+    ``nodes``: tree_id, node_id, parent_id (null at the root), role, text. Ancestors 1, 2, 4, ... steps up
+    are joined from those half as far, so a depth of d takes log2 d joins. From the longest step down, every
+    ancestor found so far adds the one that step above it: each is met once, with its distance, and the turns
+    meet their paths in one join. Nodes whose ancestors end without a root, or never end, are in no path.
     """
-    parents = nodes.filter(F.col("parent_id").isNotNull()).select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = nodes.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id")
-    turn = F.struct("role", "text")
-    level = cut_lineage(nodes.filter(F.col("parent_id").isNull()).select("tree_id", "node_id", F.array(turn).alias("path")))
-    found = None
-    children = nodes.filter(F.col("parent_id").isNotNull()).select(
-        "tree_id", F.col("parent_id").alias("_p"), F.col("node_id").alias("_n"), turn.alias("_t")
-    )
-    for _ in range(max_depth):
-        done = level.join(leaves, ["tree_id", "node_id"], "left_semi")
-        found = done if found is None else found.unionByName(done)
-        nxt = level.withColumnRenamed("node_id", "_p").join(children, ["tree_id", "_p"]).select(
-            "tree_id", F.col("_n").alias("node_id"), F.concat("path", F.array("_t")).alias("path")
-        )
-        level = cut_lineage(nxt)
-        if level.isEmpty():
-            return found.filter(F.size("path") > 1)
-    raise ValueError(f"message tree deeper than {max_depth}")
+    key = ["tree_id", "node_id"]
+    child = nodes.filter(F.col("parent_id").isNotNull())
+    leaves = nodes.join(child.select("tree_id", F.col("parent_id").alias("node_id")).distinct(), key, "left_anti")
+    jumps = [cut_lineage(child.select(*key, F.col("parent_id").alias("up")))]
+    most = jumps[0].count()
+    while 1 << len(jumps) <= most:  # no chain is longer than that, but a circle is
+        half = jumps[-1]
+        step = cut_lineage(half.join(half.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("_up")), ["tree_id", "up"]).select(*key, F.col("_up").alias("up")))
+        if step.isEmpty():
+            break
+        jumps.append(step)
+    on = leaves.select("tree_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).cast("long").alias("above"))
+    for j in range(len(jumps) - 1, -1, -1):
+        more = on.join(jumps[j], key).select("tree_id", "leaf", F.col("up").alias("node_id"), (F.col("above") + (1 << j)).alias("above"))
+        on = cut_lineage(on.unionByName(more))
+    turns = on.join(nodes.select(*key, F.col("parent_id").isNull().alias("root"), F.struct("role", "text").alias("turn")), key)
+    paths = turns.groupBy("tree_id", F.col("leaf").alias("node_id")).agg(F.sort_array(F.collect_list(F.struct("above", "turn")), asc=False).alias("_p"), F.max("root").alias("root"))
+    return paths.filter(F.col("root") & (F.size("_p") > 1)).select(*key, F.transform("_p", lambda x: x["turn"]).alias("path"))
 
 
 def extract_corpus(frames: list[DataFrame], col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import words
 
-UNKNOWN = "<unk>"
+UNKNOWN, ADDED = "<unk>", "<added>"
 
 
 def manifest_view(events: DataFrame) -> DataFrame:
@@ -32,23 +32,23 @@ def utterances(documents: DataFrame) -> DataFrame:
 def pairs_view(documents: DataFrame, normalise=None) -> DataFrame:
     """Reference and hypothesis words of every utterance.
 
-    The reference is the lower-cased ASCII text. In the hypothesis every 7th word is missing and
-    every 5th of the others is unknown. ``normalise`` is applied to the text first.
+    The reference is the lower-cased ASCII text. In the hypothesis every 5th word is unknown, but every 7th
+    is missing in the even utterances of a text and followed by an added one in the odd ones. ``normalise`` is applied
+    to the text first.
     """
     text = F.lower(F.regexp_replace("utt", "[^ -~]", ""))
     ref = words(normalise(text) if normalise else text)
-    hyp = F.filter(
-        F.transform(
-            F.col("r"),
-            lambda w, i: F.when((i + 1) % 7 == 0, F.lit("")).when((i + 1) % 5 == 0, F.lit(UNKNOWN)).otherwise(w),
-        ),
-        lambda w: w != "",
+    seventh = F.col("pos") % 2 == 1
+    heard = lambda w, i: (
+        F.when((i + 1) % 7 == 0, F.when(seventh, F.array(w, F.lit(ADDED))).otherwise(F.array().cast("array<string>")))
+        .when((i + 1) % 5 == 0, F.array(F.lit(UNKNOWN)))
+        .otherwise(F.array(w))
     )
     return (
         utterances(documents)
         .select("doc_id", "pos", "lang", "source", ref.alias("r"))
         .filter(F.size("r") > 0)
-        .withColumn("h", hyp)
+        .withColumn("h", F.flatten(F.transform("r", heard)))
     )
 
 

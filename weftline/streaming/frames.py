@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.ordered import running
-from weftline.session import ensure_checkpoint_dir
+from weftline.session import cut_lineage, ensure_checkpoint_dir, remove_folder
+from weftline.streaming.ordered_stream import in_order
 
 
 def read_frames(
@@ -40,21 +40,40 @@ def read_frames(
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there, then return the result as a batch table in the checkpoint folder.
+    """Process what is there, then return the result as a batch table.
 
-    ``complete`` keeps the last full result.
+    ``complete`` keeps the last full result. The stream's folders in the checkpoint folder are removed at
+    the end; keyed state lies in RocksDB, as timers and lists need it.
     """
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
     out, log = f"{base}/out", f"{base}/log"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    with state_in_rocksdb(spark):
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+        query.awaitTermination()
+    result = cut_lineage(spark.read.schema(stream.schema).parquet(out))
+    remove_folder(spark, base)
+    return result
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, unless the session names a provider."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name, None)
+    named = own is not None and not own.endswith("HDFSBackedStateStoreProvider")
+    if not named:
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if not named:
+            spark.conf.unset(name) if own is None else spark.conf.set(name, own)
 
 
 def frame_flags(frames: DataFrame, stream: str, order: list[str]) -> DataFrame:
@@ -66,25 +85,19 @@ def frame_flags(frames: DataFrame, stream: str, order: list[str]) -> DataFrame:
     )
 
 
-def multiplex(frames: DataFrame, stream: str, frame_no: str, is_last: str) -> DataFrame:
-    """Streaming side of :func:`frame_flags`: numbers frames as they arrive, forgets finished streams.
+def multiplex(frames: DataFrame, stream: str, time: str, order: str, gap: str) -> DataFrame:
+    """Streaming side of :func:`frame_flags`: numbers the frames of every session, marks its first and its last.
 
-    Input needs ``stream``, ``frame_no`` (arrival order within the stream) and ``is_last``.
+    A session ends when no frame came for ``gap`` of event time; then its state is freed.
     """
-    out = T.StructType([*frames.schema.fields, T.StructField("seen", T.LongType()), T.StructField("is_first", T.BooleanType())])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(frame_no)
-        seen = state.get[0] if state.exists else 0
-        pdf["seen"] = range(seen, seen + len(pdf))
-        pdf["is_first"] = pdf["seen"] == 0
-        if pdf[is_last].any():
-            state.remove()
-        else:
-            state.update((seen + len(pdf),))
-        yield pdf
 
-    return frames.groupBy(stream).applyInPandasWithState(step, out, "seen long", "append", GroupStateTimeout.NoTimeout)
+    def fold(seen: int | None, rows: list[dict], ended: bool) -> tuple[int, list[tuple]]:
+        first = seen or 0
+        upto = first + len(rows)
+        return upto, [(n, n == 0, ended and n == upto - 1) for n in range(first, upto)]
+
+    out = [T.StructField("seen", T.LongType()), T.StructField("is_first", T.BooleanType()), T.StructField("is_last", T.BooleanType())]
+    return in_order(frames, stream, time, order, [order], fold, out, gap, hold=True)
 
 
 def rolling_buffer(frames: DataFrame, stream: str, frame_no: str, samples: str, size: int) -> DataFrame:
@@ -113,32 +126,23 @@ def rolling_buffer(frames: DataFrame, stream: str, frame_no: str, samples: str,
     return grouped.select(stream, frame_no, filled.alias("buffer"), padding.cast("long").alias("left_padding"))
 
 
-def rolling_buffer_stream(frames: DataFrame, stream: str, frame_no: str, samples: str, size: int, is_last: str | None = None) -> DataFrame:
-    """Streaming twin of :func:`rolling_buffer`; the state is one buffer per open stream."""
-    key = frames.schema[stream]
-    out = T.StructType(
-        [key, frames.schema[frame_no], T.StructField("buffer", T.ArrayType(T.DoubleType())), T.StructField("left_padding", T.LongType())]
-    )
+def rolling_buffer_stream(frames: DataFrame, stream: str, time: str, order: str, samples: str, size: int, gap: str) -> DataFrame:
+    """Streaming twin of :func:`rolling_buffer`; the state is one buffer per open session."""
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(frame_no)
-        buffer, padding = (list(state.get[0]), state.get[1]) if state.exists else ([0.0] * size, size)
-        rows = []
-        for n, s in zip(pdf[frame_no], pdf[samples]):
-            if len(s) > size:
-                raise ValueError(f"frame size ({len(s)}) exceeds buffer size ({size})")
-            buffer = (buffer + [float(x) for x in s])[-size:]
-            padding = max(0, padding - len(s))
-            rows.append((group[0], n, buffer, padding))
-        if is_last and pdf[is_last].any():
-            state.remove()
-        else:
-            state.update((buffer, padding))
-        yield pd.DataFrame(rows, columns=[stream, frame_no, "buffer", "left_padding"])
+    def fold(state: list | None, rows: list[dict], ended: bool) -> tuple[list, list[tuple]]:
+        buffer, padding = state or ([0.0] * size, size)
+        out = []
+        for r in rows:
+            fresh = r[samples]
+            if len(fresh) > size:
+                raise ValueError(f"frame size ({len(fresh)}) exceeds buffer size ({size})")
+            buffer = [*buffer, *map(float, fresh)][-size:]
+            padding = max(0, padding - len(fresh))
+            out.append((buffer, padding))
+        return [buffer, padding], out
 
-    return frames.groupBy(stream).applyInPandasWithState(
-        step, out, "buffer array<double>, left_padding long", "append", GroupStateTimeout.NoTimeout
-    )
+    out = [T.StructField("buffer", T.ArrayType(T.DoubleType())), T.StructField("left_padding", T.LongType())]
+    return in_order(frames, stream, time, order, [samples], fold, out, gap)
 
 
 def smooth_windows(frames: DataFrame, stream: str, time: str, value: str, size: str, hop: str, median: bool = False) -> DataFrame:
