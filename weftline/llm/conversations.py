@@ -41,13 +41,13 @@ FAULTS = ("", "blank", "duplicate", "truncated")
 def faults(rows: DataFrame) -> DataFrame:
     """``rows`` (conv_id, turn, role, text, gone), dealt by conversation, with ``fault``: the first of blank, duplicate, truncated, or none.
 
-    Rows of a conversation stand by turn (nulls first), then by role and text.
+    Rows of a conversation stand by turn (nulls first), then by role and text; of equal ones the first isn't ``_again``.
     """
     same = Window.partitionBy("conv_id", "role", "text", "gone").orderBy(F.col("turn").asc_nulls_first())
     last = F.substring(F.rtrim(F.col("text"), F.lit(BLANKS)), -1, 1)
     dealt = rows.repartition("conv_id").withColumn("_again", F.row_number().over(same) > 1)
     fault = F.when(last == "", "blank").when(F.col("_again"), "duplicate").when(~last.isin(".", "!", "?"), "truncated").otherwise("")
-    return dealt.withColumn("fault", fault).drop("_again")
+    return dealt.withColumn("fault", fault)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def repair(rows: DataFrame, texts: bool = False) -> DataFrame:
     gives an empty one.
     """
     kind = rows.schema["conv_id"].dataType
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "_again"]
     ready = faults(rows.select("conv_id", "turn", "role", "text", "gone")).sortWithinPartitions(*order)
     # nullable numbers would become floats in pandas
     ready = ready.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"), "role", "text", "fault", "gone")

@@ -161,12 +161,12 @@ hurt AS (
   FROM marked WHERE d <> 0),
 placed AS (
   SELECT conv_id, turn, role, text, left(role, 1) AS initial,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
          right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending FROM hurt),
+counted_again AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS again FROM placed),
 judged AS (
   SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
-         lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM placed),
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM counted_again),
 costed AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late FROM judged),
 steps AS (
   SELECT DISTINCT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': ''}}::{_EDIT} AS p0, NULL::{_EDIT} AS p1, NULL::{_EDIT} AS p2, NULL::{_EDIT} AS p3 FROM conversations
