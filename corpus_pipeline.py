@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing, ordinal, packing, pii, shingles
+from weftline.llm import mixing, near_copies, ordinal, packing, pii
 from weftline.llm.common import table
 from weftline.llm.queries import tokenizer_path
 from weftline.session import ensure_checkpoint_dir
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of every group of near copies: five-word shingles, similarity >= 0.8."""
-    return shingles.keep_first(docs)
+    return near_copies.keep_first(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
