@@ -46,6 +46,14 @@ def test_plan_edges():
     assert len(lay_out({6: 1, 4: 2}, 10)) == 2
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >", "é<|endoftext|>'s", "x<|endoftext|><|endoftext|>"])
+def test_added_tokens_are_read_as_the_tokenizer_reads_them(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordIds(queries.tokenizer_path()).encode(text), "<u4").tolist() == want
+
+
 def test_pieces_are_those_of_the_tokenizer(spark, folder, texts):
     from tokenizers import Tokenizer
 

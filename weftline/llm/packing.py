@@ -36,7 +36,8 @@ class WordIds:
 
     The tokenizer cuts text at white space, contractions, letter runs, digits and punctuation runs before
     it merges, so the ids of a text are those of its pieces. Texts with characters outside ASCII and the
-    Latin-1 letters are given to the tokenizer whole, as their normal form may cross a piece.
+    Latin-1 letters are given to the tokenizer whole, as their normal form may cross a piece; so are texts
+    that hold an added token such as ``<|endoftext|>``, which the tokenizer reads as one id.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,7 +47,7 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.odd = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]").search
         self.pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+").findall
@@ -54,7 +55,7 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if self.odd(text):
+        if self.odd(text) or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, pieces = self.known, self.pieces(text.lower())
         try:
