@@ -64,6 +64,30 @@ def test_license_spans(docs_of):
     assert (got[6]["n_base"], got[6]["first_word"]) == (1, 0)
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Licensed under CC BY 4.0", "cc-by,cc-by-4.0"),
+        ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa-4.0"),
+        ("Licensed under CC BY-NC-SA 3.0", "cc-by"),
+        ("Licensed under the Apache License, Version 1.1", ""),
+        ("In 2024 it was licensed under the Apache License, Version 2.0 3 times", "apache-2.0"),
+        ("2024 under the Apache License, Version 2.0", "apache-2.0"),
+        ("licensed under the apache license version", ""),
+        ("This work is licensed under the GNU Affero General Public License, version 3", "agpl-3.0,gpl"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", "gpl"),
+        ("This work is licensed under the GNU General Public License version 3; also licensed under CC BY-ND 4.0", "cc-by,cc-by-nd-4.0,gpl,gpl-3.0"),
+        ("permission is hereby granted free of any charge to any person obtaining a copy of the software and associated documentation files", "mit"),
+        ("7", ""),
+    ],
+)
+def test_verified_labels(docs_of, text, labels):
+    (row,) = licenses.scan(docs_of([text])).collect()
+    assert row["labels"] == labels
+
+
 def test_licenses_of_odd_rows(odd, empty):
     assert sorted(r["doc_id"] or 0 for r in licenses.scan(odd).collect()) == [0, 1, 2, 3, 3, 5, 7, 8, 9, 10]
     assert licenses.scan(empty).count() == 0

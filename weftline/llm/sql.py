@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm.licenses import COVERAGE, DRIFT, NOTICES, PHRASES, STRETCH
+from weftline.llm.licenses import NOTICES, PHRASES
 
 MIXING = r"""
 WITH sized AS (
@@ -88,29 +88,48 @@ FROM marked LEFT JOIN verdict USING (lang, source)
 
 _TEMPLATES = ", ".join(f"({t}, '{label}', '{phrase}')" for t, (label, phrase) in enumerate(PHRASES + NOTICES))
 
+_TELLS = "(regexp_matches(x, '^[0-9]') OR x IN ('affero', 'lesser', 'nc', 'nd', 'noncommercial', 'noderivs', 'sa', 'sharealike'))"
+
 LICENSES = rf"""
 WITH templates(template, label, phrase) AS (VALUES {_TEMPLATES}),
-pos AS (
-  SELECT template, label, len(w) AS size, j - 1 AS j, w[j] || ' ' || w[j + 1] AS pair
-  FROM (SELECT template, label, string_split(phrase, ' ') AS w, unnest(range(1, len(string_split(phrase, ' ')))) AS j FROM templates)),
+worded_templates AS (SELECT template, label, string_split(phrase, ' ') AS w, len(string_split(phrase, ' ')) AS size FROM templates),
+shape AS (
+  SELECT template, array_to_string(list_filter(w, lambda x: {_TELLS}), ' ') AS told,
+         list_filter(range(size), lambda k: list_transform(w, lambda x: {_TELLS})[k + 1]) AS tj FROM worded_templates),
+pos AS (SELECT template, label, size, j - 1 AS j, w[j] || ' ' || w[j + 1] AS pair FROM (SELECT *, unnest(range(1, size)) AS j FROM worded_templates)),
 worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 pairs AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM worded)),
-votes AS (
-  SELECT doc_id, template, label, size, i - j AS diagonal, min(i) AS lo, max(i) AS hi, list(DISTINCT j) AS js
-  FROM pairs JOIN pos USING (pair) GROUP BY doc_id, template, label, size, diagonal),
-runs AS (
+hits AS (SELECT doc_id, template, label, size, i, j, i - j AS diagonal FROM pairs JOIN pos USING (pair)),
+base AS (
+  SELECT doc_id, label, min(i) AS lo, 1.0::DOUBLE AS share, true AS base FROM hits WHERE template < 3
+  GROUP BY doc_id, template, label, size, diagonal HAVING count(DISTINCT j) = size - 1),
+diagonals AS (
   SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM (
-    SELECT *, CASE WHEN template < {len(PHRASES)} OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal), 99) > {DRIFT}
-              THEN 1 ELSE 0 END AS fresh FROM votes)),
+    SELECT doc_id, template, diagonal, CASE WHEN coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal), 99) > 2 THEN 1 ELSE 0 END AS fresh
+    FROM (SELECT DISTINCT doc_id, template, diagonal FROM hits WHERE template >= 3))),
 spans AS (
-  SELECT doc_id, template < {len(PHRASES)} AS base, label, min(lo) AS lo, len(list_distinct(flatten(list(js))))::DOUBLE / (size - 1) AS share,
-         max(hi) - min(lo) + 2 <= size * {STRETCH} AS tight
-  FROM runs GROUP BY doc_id, template, label, size, run),
-good AS (SELECT * FROM spans WHERE CASE WHEN base THEN share = 1 ELSE share >= {COVERAGE} AND tight END)
-SELECT w.doc_id, len(any_value(w.w))::BIGINT AS n_words, count(lo) FILTER (base)::BIGINT AS n_base, min(lo) FILTER (base)::BIGINT AS first_word,
-       max(lo) FILTER (base)::BIGINT AS last_word, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
+  SELECT doc_id, template, label, size, run, min(i * 1000 + j) AS lo, max(i * 1000 + j) AS hi,
+         len(list_distinct(list_concat(list(j), list(j + 1)))) AS matched
+  FROM hits JOIN diagonals USING (doc_id, template, diagonal) GROUP BY ALL),
+placed AS (
+  SELECT *, lo // 1000 - lo % 1000 AS s, hi // 1000 + size - 1 - hi % 1000 AS e FROM spans),
+near AS (
+  SELECT p.*, 1 - (greatest(size, e - s + 1) - matched) / size AS share, told,
+         CASE WHEN coalesce(list_min(tj), 99) < lo % 1000 THEN s ELSE lo // 1000 END AS a,
+         CASE WHEN coalesce(list_max(tj), -1) > hi % 1000 + 1 THEN e ELSE hi // 1000 + 1 END AS b
+  FROM placed p JOIN shape USING (template) WHERE 10 * (greatest(size, e - s + 1) - matched) <= 3 * size),
+verified AS (
+  SELECT n.* FROM near n JOIN worded d USING (doc_id)
+  WHERE array_to_string(list_filter(d.w[greatest(a, 0) + 1:b + 1], lambda x: {_TELLS}), ' ') = told),
+good AS (
+  SELECT doc_id, label, lo // 1000 AS lo, share, false AS base FROM verified v WHERE NOT EXISTS (
+    SELECT 1 FROM verified o WHERE o.doc_id = v.doc_id AND o.s <= v.e AND o.e >= v.s
+    AND (o.share > v.share OR (o.share = v.share AND (o.size > v.size OR (o.size = v.size AND o.template < v.template)))))
+  UNION ALL SELECT * FROM base)
+SELECT w.doc_id, len(any_value(w.w))::BIGINT AS n_words, count(lo) FILTER (base)::BIGINT AS n_base, (min(lo) FILTER (base))::BIGINT AS first_word,
+       (max(lo) FILTER (base))::BIGINT AS last_word, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ','), '') AS labels, coalesce(max(share), 0.0) AS score
 FROM worded w LEFT JOIN good g ON w.doc_id = g.doc_id GROUP BY w.doc_id
 """
