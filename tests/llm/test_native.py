@@ -41,6 +41,35 @@ def test_thresholds_follow_their_group(docs_of):
     assert not kept[5000] and not kept[5001]
 
 
+def test_limits_come_from_the_data_alone(docs_of, spark):
+    """No fixed width decides: one value gives fences of its bucket, and small groups lean on their language."""
+    words = lambda i, n: " ".join(f"w{(i * 7 + j * j) % 90 + 10}" for j in range(n))
+    rows = [(i, words(i, 40), "en", "a") for i in range(200)] + [(900, words(3, 40), "en", "tiny"), (901, " ".join(f"longer{(j * j) % 90 + 10}" for j in range(40)), "en", "tiny")]
+    rows += [(902, words(5, 38) + " w10#", "en", "a"), (903, words(5, 36) + " w10# #11 #12", "en", "a")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs_of(rows)).collect()}
+    assert all(kept[i] for i in range(200)) and kept[900] and not kept[901]
+    assert kept[902] and not kept[903]  # one symbol refuses no text, three do where none is usual
+
+
+def test_quantiles_are_drawn_smoothly(spark):
+    """A group's limits move without a step as it grows; brute force over one metric."""
+    def limits(n):
+        cols = ("_lang", "_source", "n_symbols", "word_chars", "n_dup_lines", "n_lines", "n_words")
+        rows = [("e", "big", 0, 500, 0, 1, 100)] * 400 + [("e", "own", 0, 900, 0, 1, 100)] * n
+        got = quality_rules.thresholds(spark.createDataFrame(rows, cols)).filter("_source = 'own'").first()
+        return got["low_word_milli"], got["high_word_milli"]
+
+    found = [limits(n) for n in (1, 40, 200)]
+    assert found[0][1] < found[1][1] < found[2][1]
+    # 5000 lies in the bucket 4864..5119, 9000 in 8704..9215: edges of the language and the corpus, then of the group
+    for n, (low, high) in zip((1, 40, 200), found):
+        share = n / (400 + n)
+        at = lambda q, a, b: b if share > 1 - q else a
+        drawn = lambda own, rest: (n * own + 50 * rest) // (n + 50)
+        low10, mid, top = drawn(8704, at(0.1, 4864, 8704)), drawn(8704, at(0.5, 4864, 8704)), drawn(9215, at(0.9, 5119, 9215))
+        assert (low, high) == (low10 - 3 * (drawn(9215, at(0.5, 5119, 9215)) - low10), top + 3 * (top - mid))
+
+
 def test_quality_of_odd_rows(odd, empty):
     rows = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(odd).collect()}
     assert not rows[5, 0]["kept"] and rows[5, 0]["base_failed"] and rows[7, 30_000]["n_repeat_words"] == 30_000

@@ -3,10 +3,13 @@
 Every metric of a text is an integer rate. Its distribution inside a (language, source) group is a
 log-linear bucket sketch: exact below 32, then 16 buckets per power of two (6 % relative error). Sketches
 merge by adding counts, so the sketch of a language or of the whole corpus is the sum of those of its
-sources, and the result does not depend on how rows were dealt out. A group with fewer than ``least`` texts
-takes the thresholds of its language, or else of the corpus.
+sources, and the result does not depend on how rows were dealt out.
 
-A metric is refused outside [q25 - w, q75 + w] with w = max(spread * (q75 - q25), slack).
+The quantiles of a group are drawn towards those of its language, and these towards those of the corpus, as
+if ``prior`` more texts had come from there: a group of a few texts takes its language's, a large one its
+own, without a step between. A metric is refused outside [q10 - w, q90 + v] with w = spread * (q50 - q10) and
+v = spread * (q90 - q50). Quantiles are bucket edges and distances are rounded up to whole buckets; one
+symbol or one repeated line alone never refuses a text.
 Only DataFrame functions are used.
 """
 
@@ -18,15 +21,17 @@ from pyspark.sql import functions as F
 from weftline.functions.scoped import let
 from weftline.llm.common import SPACE, cut_lineage, salted_join, word_list
 
-#: metric -> (rate from feature columns, slack in its unit)
 PPM = 1_000_000
-METRICS: dict[str, tuple[str, int]] = {
-    "symbol_ppm": (f"n_symbols * {PPM} div greatest(word_chars, 1)", 20_000),
-    "line_ppm": (f"n_dup_lines * {PPM} div greatest(n_lines, 1)", 500_000),
-    "word_milli": ("word_chars * 1000 div greatest(n_words, 1)", 2_500),
+#: metric -> (rate from feature columns, case that no upper limit refuses)
+METRICS: dict[str, tuple[str, str]] = {
+    "symbol_ppm": (f"n_symbols * {PPM} div greatest(word_chars, 1)", "n_symbols <= 1"),
+    "line_ppm": (f"n_dup_lines * {PPM} div greatest(n_lines, 1)", "n_dup_lines <= 1"),
+    "word_milli": ("word_chars * 1000 div greatest(n_words, 1)", "false"),
 }
+#: Fences stand so many distances between the median and the outer tenth beyond that tenth.
 SPREAD = 3
-LEAST = 200
+#: Weight of the language in a group's quantiles, and of the corpus in a language's, in texts.
+PRIOR = 50
 WINDOW = 5
 
 
@@ -87,7 +92,7 @@ def _floor(b: str) -> Column:
     return F.expr(f"if({b} < 32, {b}, shiftleft({b} % 16 + 16, cast({b} div 16 - 1 as int)))")
 
 
-def thresholds(features: DataFrame, by: tuple[str, str] = ("_lang", "_source"), least: int = LEAST, spread: int = SPREAD) -> DataFrame:
+def thresholds(features: DataFrame, by: tuple[str, str] = ("_lang", "_source"), prior: int = PRIOR, spread: int = SPREAD) -> DataFrame:
     """(lang, source, and low_/high_ of every metric) for every (lang, source) pair.
 
     ``by`` columns must not be null. Sketches: one partial aggregation over (group, metric, bucket).
@@ -97,33 +102,33 @@ def thresholds(features: DataFrame, by: tuple[str, str] = ("_lang", "_source"),
     entries = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(rate).cast("long").alias("v")) for m, (rate, _) in METRICS.items()]))
     sketch = features.select(*by, entries.alias("e")).select(*by, "e.metric", _bucket("e.v").alias("bucket"))
     sketch = cut_lineage(sketch.groupBy(*by, "metric", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    ends = ("q10", "q50", "q50_top", "q90")
 
-    def quartiles(keys: list[str], name: str) -> DataFrame:
+    def quantiles(keys: list[str], name: str) -> DataFrame:
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
         order = Window.partitionBy(*keys, "metric").orderBy("bucket")
         merged = merged.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys, "metric")))
-        at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket")))
-        q = merged.groupBy(*keys, "metric").agg(F.max("all").alias("all"), at(1).alias("b1"), at(3).alias("b3"))
-        q = q.withColumn("b4", F.col("b3") + 1).select(*keys, "metric", "all", _floor("b1").alias("q1"), (_floor("b4") - 1).alias("q3"))
-        return q.groupBy(*keys).agg(
-            F.max("all").alias(f"{name}_all"),
-            *[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{name}_{c}_{m}") for m in METRICS for c in ("q1", "q3")],
-        )
-
-    groups = quartiles([lang, source], "own").join(quartiles([lang], "lang"), lang)
-    corpus = quartiles([], "corpus").first()  # one row
-
-    def pick(c: str, m: str) -> Column:
-        return F.when(F.col("own_all") >= least, F.col(f"own_{c}_{m}")).when(F.col("lang_all") >= least, F.col(f"lang_{c}_{m}")).otherwise(F.lit(corpus[f"corpus_{c}_{m}"]).cast("long"))
-
-    out = groups
-    for m, (_, slack) in METRICS.items():
-        width = F.greatest((pick("q3", m) - pick("q1", m)) * spread, F.lit(slack))
-        out = out.withColumn(f"low_{m}", pick("q1", m) - width).withColumn(f"high_{m}", pick("q3", m) + width)
-    return out.select(lang, source, *[f"{e}_{m}" for m in METRICS for e in ("low", "high")])
-
-
-def judge(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) -> DataFrame:
+        at = lambda tenth: F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenth, F.col("bucket")))
+        q = merged.groupBy(*keys, "metric").agg(F.max("all").alias("all"), at(1).alias("b1"), at(5).alias("b5"), at(9).alias("b9"))
+        q = q.withColumn("b6", F.col("b5") + 1).withColumn("b10", F.col("b9") + 1)
+        edges = (_floor("b1").alias("q10"), _floor("b5").alias("q50"), (_floor("b6") - 1).alias("q50_top"), (_floor("b10") - 1).alias("q90"))
+        return q.select(*keys, "metric", F.struct("all", *edges).alias(name))
+
+    def drawn(own: Column, to: Column) -> Column:
+        """Quantiles of ``own`` drawn towards ``to``."""
+        value = lambda c: F.floor((own["all"] * own[c] + prior * to[c]) / (own["all"] + prior)).cast("long")
+        return F.struct(own["all"].alias("all"), *[value(c).alias(c) for c in ends])
+
+    corpus = F.broadcast(quantiles([], "corpus"))  # a row per metric
+    langs = quantiles([lang], "per_lang").join(corpus, "metric").select(lang, "metric", drawn(F.col("per_lang"), F.col("corpus")).alias("to"))
+    q = quantiles([lang, source], "own").join(langs, [lang, "metric"]).select(*by, "metric", drawn(F.col("own"), F.col("to")).alias("q")).select(*by, "metric", "q.*")
+    low = F.col("q10") - (F.col("q50_top") - F.col("q10")) * spread
+    high = F.col("q90") + (F.col("q90") - F.col("q50")) * spread
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, c))
+    return q.groupBy(*by).agg(*[of(m, c).alias(f"{e}_{m}") for m in METRICS for e, c in (("low", low), ("high", high))])
+
+
+def judge(docs: DataFrame, prior: int = PRIOR, spread: int = SPREAD) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of ``docs``.
 
     Null languages and sources are groups of their own. Rows that fail the fixed base rules stay out of
@@ -134,10 +139,10 @@ def judge(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) -> DataFram
     features = text_features(docs).withColumn("_lang", named("lang")).withColumn("_source", named("source")).drop("lang", "source")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     features = cut_lineage(features.withColumn("base_failed", failed))
-    limits = thresholds(features.filter(~F.col("base_failed")), least=least, spread=spread)
+    limits = thresholds(features.filter(~F.col("base_failed")), prior=prior, spread=spread)
     inside = F.lit(True)
-    for m, (rate, _) in METRICS.items():
-        inside = inside & F.expr(rate).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+    for m, (rate, allowed) in METRICS.items():
+        inside = inside & (F.expr(rate) >= F.col(f"low_{m}")) & (F.expr(allowed) | (F.expr(rate) <= F.col(f"high_{m}")))
     verdict = F.coalesce(inside, F.lit(False)) & ~F.col("base_failed")
     joined = salted_join(features, limits, ["_lang", "_source"], "doc_id", "left").withColumn("kept", verdict)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

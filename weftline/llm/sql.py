@@ -64,25 +64,26 @@ sketch AS (
 sums AS (
   SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY bucket) AS upto,
          sum(n) OVER (PARTITION BY lv, lang, source, metric) AS al FROM sketch),
-quart AS (
-  SELECT lv, lang, source, metric, max(al) AS al, min(bucket) FILTER (upto * 4 >= al) AS b1, min(bucket) FILTER (upto * 4 >= al * 3) + 1 AS b4
-  FROM sums GROUP BY lv, lang, source, metric),
+quant AS (
+  SELECT lv, lang, source, metric, max(al) AS al, min(bucket) FILTER (upto * 10 >= al) AS b1, min(bucket) FILTER (upto * 10 >= al * 5) AS b5,
+         min(bucket) FILTER (upto * 10 >= al * 9) + 1 AS b9 FROM sums GROUP BY lv, lang, source, metric),
 q AS (
   SELECT lv, lang, source, metric, al, CASE WHEN b1 < 32 THEN b1 ELSE (b1 % 16 + 16) << (b1 // 16 - 1)::INT END AS q1,
-         CASE WHEN b4 < 32 THEN b4 ELSE (b4 % 16 + 16) << (b4 // 16 - 1)::INT END - 1 AS q3 FROM quart),
-picked AS (
-  SELECT o.lang, o.source, o.metric,
-         CASE WHEN o.al >= 200 THEN o.q1 WHEN l.al >= 200 THEN l.q1 ELSE c.q1 END AS q1,
-         CASE WHEN o.al >= 200 THEN o.q3 WHEN l.al >= 200 THEN l.q3 ELSE c.q3 END AS q3
-  FROM q o JOIN q l ON l.lv = 1 AND l.lang = o.lang AND l.metric = o.metric JOIN q c ON c.lv = 3 AND c.metric = o.metric WHERE o.lv = 0),
-limits AS (
-  SELECT *, greatest((q3 - q1) * 3, CASE metric WHEN 1 THEN 20000 WHEN 2 THEN 500000 ELSE 2500 END) AS w FROM picked),
+         CASE WHEN b5 < 32 THEN b5 ELSE (b5 % 16 + 16) << (b5 // 16 - 1)::INT END AS q5,
+         CASE WHEN b5 + 1 < 32 THEN b5 + 1 ELSE ((b5 + 1) % 16 + 16) << ((b5 + 1) // 16 - 1)::INT END - 1 AS q6,
+         CASE WHEN b9 < 32 THEN b9 ELSE (b9 % 16 + 16) << (b9 // 16 - 1)::INT END - 1 AS q9 FROM quant),
+langs AS (
+  SELECT l.lang, l.metric, (l.al * l.q1 + 50 * c.q1) // (l.al + 50) AS q1, (l.al * l.q5 + 50 * c.q5) // (l.al + 50) AS q5, (l.al * l.q6 + 50 * c.q6) // (l.al + 50) AS q6, (l.al * l.q9 + 50 * c.q9) // (l.al + 50) AS q9
+  FROM q l JOIN q c ON c.lv = 3 AND c.metric = l.metric WHERE l.lv = 1),
+drawn AS (
+  SELECT o.lang, o.source, o.metric, (o.al * o.q1 + 50 * l.q1) // (o.al + 50) AS q1, (o.al * o.q5 + 50 * l.q5) // (o.al + 50) AS q5, (o.al * o.q6 + 50 * l.q6) // (o.al + 50) AS q6, (o.al * o.q9 + 50 * l.q9) // (o.al + 50) AS q9
+  FROM q o JOIN langs l ON l.lang = o.lang AND l.metric = o.metric WHERE o.lv = 0),
+limits AS (SELECT lang, source, metric, q1 - 3 * (q6 - q1) AS lo, q9 + 3 * (q9 - q5) AS hi FROM drawn),
 verdict AS (
-  SELECT lang, source, max(q1 - w) FILTER (metric = 1) AS l1, max(q3 + w) FILTER (metric = 1) AS h1,
-         max(q1 - w) FILTER (metric = 2) AS l2, max(q3 + w) FILTER (metric = 2) AS h2,
-         max(q1 - w) FILTER (metric = 3) AS l3, max(q3 + w) FILTER (metric = 3) AS h3 FROM limits GROUP BY lang, source)
+  SELECT lang, source, max(lo) FILTER (metric = 1) AS l1, max(hi) FILTER (metric = 1) AS h1, max(lo) FILTER (metric = 2) AS l2,
+         max(hi) FILTER (metric = 2) AS h2, max(lo) FILTER (metric = 3) AS l3, max(hi) FILTER (metric = 3) AS h3 FROM limits GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(m1 BETWEEN l1 AND h1 AND m2 BETWEEN l2 AND h2 AND m3 BETWEEN l3 AND h3, false) AS kept
+       NOT base_failed AND coalesce(m1 >= l1 AND m2 >= l2 AND m3 >= l3 AND (m1 <= h1 OR n_symbols <= 1) AND (m2 <= h2 OR n_dup_lines <= 1) AND m3 <= h3, false) AS kept
 FROM marked LEFT JOIN verdict USING (lang, source)
 """
 
