@@ -17,8 +17,8 @@ def bucket_of(buckets: list, length: Column, second: Column | None = None, stric
 
     One length: first bound >= length. Two lengths, strict: the first bucket whose first bound fits
     decides the group of equal first bounds, and only that group is searched for the second; an
-    optional ratio second/length is checked against the bucket found. Lenient: the first bucket that
-    fits both. The buckets are a handful of literals, so this is a CASE expression.
+    optional ratio second/length is checked against the bucket found (a length of zero has none, so fits
+    no bucket). Lenient: the first bucket that fits both. The buckets are a handful of literals, so this is a CASE expression.
     """
     out = None
     add = lambda acc, hit, value: F.when(hit, value) if acc is None else acc.when(hit, value)
@@ -37,7 +37,7 @@ def bucket_of(buckets: list, length: Column, second: Column | None = None, stric
                 continue
             value = F.lit(i)
             if max_ratio is not None:
-                value = F.when(second / length <= max_ratio[i], value)
+                value = F.when(F.try_divide(second, length) <= max_ratio[i], value)
             inner = add(inner, second <= b, value)
         out = add(out, length <= dim0, inner)
     return out
