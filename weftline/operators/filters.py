@@ -43,10 +43,13 @@ def filter_tokens(df: DataFrame, lo: float, hi: float, total: bool = False, stri
 
 
 def filter_ratio(df: DataFrame, num: Column, den: Column, lo: float, hi: float | list | None) -> DataFrame:
-    """Keep ``lo <= num/den <= hi``; a list-valued or absent upper bound switches the filter off."""
+    """Keep ``lo <= num/den <= hi``; a list-valued or absent upper bound switches the filter off.
+
+    A row whose denominator is zero has no ratio and goes.
+    """
     if hi is None or isinstance(hi, (list, tuple)):
         return df
-    return df.filter((num / den).between(lo, hi))
+    return df.filter(F.try_divide(num, den).between(lo, hi))
 
 
 def filter_tokens_per_second(df: DataFrame, lo: float, hi: float | list | None) -> DataFrame:
