@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from fractions import Fraction
 from itertools import accumulate
 
@@ -152,15 +153,20 @@ def blend_stride(spark, weights: list[float], sizes: list[int], size: int, bins:
     return placed.select("idx", "dataset", sample.cast("long").alias("sample"))
 
 
-#: positions of the longest period that is walked: weights down to a millionth of their sum are exact
+#: positions of the longest period whose sequence is sent to the tasks; of a longer one they get the counts at every
+#: ``WALK``-th position and walk on from there
 MOST_PERIOD = 1_000_000
+WALK = 100_000
 
 
-def _greedy(shares: list[int], total: int, first: int, n: int) -> list[int]:
-    """Datasets at positions ``first .. first + n``, starting from zero deficits; integer arithmetic."""
-    counts, every = [0] * len(shares), range(len(shares))
+def _greedy(shares: list[int], total: int, first: int, n: int, counts: list[int] | None = None, at: int = 0) -> list[int]:
+    """Datasets at the ``n`` positions from ``first + at``, where zero deficits were at ``first``; integer arithmetic.
+
+    ``counts`` are the samples of every dataset since ``first`` and are moved on.
+    """
+    counts, every = [0] * len(shares) if counts is None else counts, range(len(shares))
     out = []
-    for j in range(n):
+    for j in range(at, at + n):
         at = max(first + j, 1) - first
         behind = [s * at - c * total for s, c in zip(shares, counts)]
         best = max(every, key=behind.__getitem__)  # of equal ones the first
@@ -169,22 +175,14 @@ def _greedy(shares: list[int], total: int, first: int, n: int) -> list[int]:
     return out
 
 
-def _whole_shares(weights: list[float], size: int) -> list[int]:
-    """Weights as the smallest whole numbers in their ratio, as written in decimals.
-
-    If neither their sum nor the blend is as short as MOST_PERIOD they are rounded to it; a share moves by one
-    part in MOST_PERIOD then, and no weight above zero becomes zero.
-    """
+def _whole_shares(weights: list[float]) -> list[int]:
+    """Weights as the smallest whole numbers in their ratio, as written in decimals."""
     exact = [Fraction(str(w)) for w in weights]
     if min(exact) < 0 or not any(exact):
         raise ValueError("weights must not be negative, nor all zero")
     parts = math.lcm(*(x.denominator for x in exact))
     whole = [int(x * parts) for x in exact]
-    whole = [x // math.gcd(*whole) for x in whole]
-    total = sum(whole)
-    if min(total, size) <= MOST_PERIOD:
-        return whole
-    return [max(1, round(x * MOST_PERIOD / total)) if x else 0 for x in whole]
+    return [x // math.gcd(*whole) for x in whole]
 
 
 def blend_greedy(spark, weights: list[float], sizes: list[int], size: int) -> DataFrame:
@@ -194,9 +192,11 @@ def blend_greedy(spark, weights: list[float], sizes: list[int], size: int) -> Da
     positions as they sum to every deficit is back at zero: the sequence is one opening period and then
     one period repeated. Two periods are walked; positions are arithmetic on them.
     """
-    shares = _whole_shares(weights, size)
+    shares = _whole_shares(weights)
     total = sum(shares)
     period = min(total, size)
+    if period > MOST_PERIOD:
+        return _blend_by_walks(spark, shares, sizes, size)
     parts = []
     for part, seq in ((0, _greedy(shares, total, 0, period)), (1, _greedy(shares, total, total, period) if size > total else [])):
         owner = np.array(seq, np.int64)
@@ -215,6 +215,38 @@ def blend_greedy(spark, weights: list[float], sizes: list[int], size: int) -> Da
     )
 
 
+def _blend_by_walks(spark, shares: list[int], sizes: list[int], size: int) -> DataFrame:
+    """:func:`blend_greedy` of a long period: the driver keeps the counts at every ``WALK``-th position of a period, tasks walk the rest."""
+    total = sum(shares)
+    marks: list[list[tuple[int, list[int]]]] = []
+    for first in (0, total) if size > total else (0,):
+        counts, marks = [0] * len(shares), [*marks, []]
+        length = min(total, size - first)
+        for at in range(0, length, WALK):
+            marks[-1].append((at, list(counts)))
+            _greedy(shares, total, first, min(WALK, length - at), counts, at)
+    rows = [
+        (period, at, min(WALK, total - at, size - period * total - at), counts)
+        for period in range(-(-size // total))
+        for at, counts in marks[min(period, 1)]
+        if period * total + at < size
+    ]
+    walks = spark.createDataFrame(rows, "period long, at long, n long, counts array<long>").repartition(len(rows))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            nth = row["period"] * np.array(shares) + np.array(row["counts"])
+            owner = np.array(_greedy(shares, total, total if row["period"] else 0, row["n"], row["counts"], row["at"]), np.int64)
+            sample = np.zeros(len(owner), np.int64)
+            for d, n in enumerate(sizes):
+                mine = np.flatnonzero(owner == d)
+                sample[mine] = (nth[d] + np.arange(len(mine))) % max(n, 1)
+            idx = row["period"] * total + row["at"] + np.arange(len(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(owner), pa.array(sample)], names=["idx", "dataset", "sample"])
+
+    return walks.mapInArrow(walk, "idx long, dataset long, sample long")
+
+
 def sample_counts(weights: DataFrame, n: int, weight: str = "weight", margin: float = 1.005) -> DataFrame:
     """Samples to draw per dataset: ``ceil(n * share * margin)``. One row per dataset."""
     total = weights.agg(F.sum(weight)).first()[0]
