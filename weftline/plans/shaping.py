@@ -157,7 +157,7 @@ def _(t):
     rows = views.turn_pairs(t.conversations).select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(words("src"), words("tgt")).alias("t"), F.size(words("src")).alias("a")
     ).withColumn("n", F.size("t"))
-    packed = sh.pack_chunks(rows, "id", "n", 4096, "sequential", seed=6)
+    packed = sh.pack_in_order(rows, "id", "n", 4096, seed=6)
     out = sh.fill_packs(packed, rows, "id", "t", "a", "<pad>")
     return out.select(
         "bin",
