@@ -16,12 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import spread
 
-#: largest index (bytes of float64) that is broadcast
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+#: largest index (bytes of float64) that is broadcast: every Python worker keeps a copy
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+#: a side is cut into blocks of the size asked for up to this number; beyond it blocks grow, up to BLOCK_BYTES of
+#: vectors, as every row is sent to as many tasks as the other side has blocks
+FEW_BLOCKS = 16
+BLOCK_BYTES = 16 * 1024 * 1024
 #: vectors an approximate index is fitted on
 FIT_SAMPLE = 65_536
+#: vectors of these that the code words are fitted on; lists that hold a vector; times that what is left is coded again
+WORD_SAMPLE = 16_384
+HOMES = 2
+ROUNDS = 3
 OUT = "qid long, nid long, score double"
+_NONE = pa.table({"qid": pa.array([], pa.int64()), "nid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -36,30 +47,44 @@ def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy())
 
 
-def block_top_k(qid, q, qgroup, nid, x, ngroup, k: int, metric: str, exclude: bool, rows: int = 512):
+def block_top_k(qid, q, qgroup, nid, x, ngroup, k: int, metric: str, exclude: bool, rows: int = 512, cols: int = 4096, hidden=None):
     """Top k of every query against one index block: highest score first, ties by smaller id.
 
-    The score is the inner product, or the negative squared distance.
+    The score is the inner product, or the negative squared distance. Scores are held for ``rows`` x ``cols`` pairs at
+    a time. ``hidden`` is a table of booleans by query and class, and a class for every index row (-1: none): rows of
+    a class that is true for the query are left out.
     """
-    out_q, out_n, out_s = [], [], []
+    order = np.argsort(nid, kind="stable")
+    nid, x, ngroup = nid[order], x[order], ngroup[order]
     norms = (x * x).sum(axis=1)
+    out = []
     for at in range(0, len(qid), rows):
-        part = q[at : at + rows]
-        s = part @ x.T
-        if metric == "l2":
-            s = 2 * s - norms[None, :] - (part * part).sum(axis=1)[:, None]
-        if exclude:
-            s = np.where(qgroup[at : at + rows, None] == ngroup[None, :], -np.inf, s)
-        cut = max(s.shape[1] - k, 0)
-        floor = np.partition(s, cut, axis=1)[:, cut] if s.shape[1] else np.full(len(part), -np.inf)
-        for r in range(len(part)):
-            c = np.flatnonzero((s[r] >= floor[r]) & (s[r] > -np.inf))
-            c = c[np.lexsort((nid[c], -s[r][c]))][:k]
-            out_q.append(np.full(len(c), qid[at + r]))
-            out_n.append(nid[c])
-            out_s.append(s[r][c])
-    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    return pa.table({"qid": cat(out_q, "int64"), "nid": cat(out_n, "int64"), "score": cat(out_s, "float64")})
+        part, groups = q[at : at + rows], qgroup[at : at + rows]
+        own, every = (part * part).sum(axis=1), np.arange(len(part))
+        floor = np.full(len(part), -np.inf)
+        r, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for lo in range(0, len(nid), cols):
+            s = part @ x[lo : lo + cols].T
+            if metric == "l2":
+                s = 2 * s - norms[None, lo : lo + cols] - own[:, None]
+            if exclude:
+                s[groups[:, None] == ngroup[None, lo : lo + cols]] = -np.inf
+            if hidden is not None:
+                of = hidden[1][order[lo : lo + cols]]
+                s[hidden[0][at : at + rows][:, of] & (of >= 0)[None, :]] = -np.inf
+            hits = s > floor[:, None]  # ids ascend: an equal score comes too late
+            if s.shape[1] > k and np.count_nonzero(hits) > 4 * k * len(part):
+                hits &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+            hr, hc = np.nonzero(hits)
+            r, ids, scores = np.concatenate([r, hr]), np.concatenate([ids, nid[lo + hc]]), np.concatenate([scores, s[hr, hc]])
+            best = np.lexsort((ids, -scores, r))
+            first, upto = np.searchsorted(r[best], every), np.searchsorted(r[best], every, side="right")
+            best = best[np.arange(len(best)) - first[r[best]] < k]
+            r, ids, scores = r[best], ids[best], scores[best]
+            full = np.flatnonzero(upto - first >= k)
+            floor[full] = scores[np.searchsorted(r, full) + k - 1]
+        out.append(pa.table({"qid": np.asarray(qid[at : at + rows][r], np.int64), "nid": np.asarray(ids, np.int64), "score": scores}))
+    return pa.concat_tables(out) if out else _NONE
 
 
 def _side(df: DataFrame, id_col: str, vec: str, group: str | None, prefix: str) -> DataFrame:
@@ -87,8 +112,7 @@ def knn(
     values are never neighbours."""
     q, x = _side(queries, id_col, vec, exclude_same, "q"), _side(index, id_col, vec, exclude_same, "n")
     exclude = exclude_same is not None
-    n = x.count()
-    dim = x.select(F.max(F.size("nv"))).first()[0] or 0
+    n, dim = x.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("nv")), F.lit(0))).first()
     if n * dim * 8 <= max_broadcast:
         table = x.toArrow()
         spark = queries.sparkSession
@@ -101,10 +125,16 @@ def knn(
                     found = block_top_k(_numbers(b.column(0)), _matrix(b.column(1)), _numbers(b.column(2)), nid, mat, ng, k, metric, exclude)
                     yield from found.to_batches()
 
-        return _final(q.mapInArrow(search, OUT), k)
-    sizes = (F.lit(-(-q.count() // block)).cast("long"), F.lit(-(-n // block)).cast("long"))
+        return _final(spread(q).mapInArrow(search, OUT), k)
+    sizes = tuple(_block_count(F.lit(rows).cast("long"), block, dim) for rows in (q.count(), n))
     one = F.lit(0).cast("long")
-    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, _whole_vectors(k, metric, exclude), block, sizes)
+    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, _whole_vectors(k, metric, exclude), block, dim, sizes)
+
+
+def _block_count(rows: Column, block: int, dim: int) -> Column:
+    asked = F.ceil(rows / block).cast("long")
+    largest = max(block, BLOCK_BYTES // (8 * max(dim, 1)))
+    return F.when(asked <= FEW_BLOCKS, asked).otherwise(F.greatest(F.lit(FEW_BLOCKS), F.ceil(rows / largest)).cast("long"))
 
 
 #: (list, query numbers, query vectors, query groups, index numbers, index values, index groups) -> local top k
@@ -115,13 +145,14 @@ def _whole_vectors(k: int, metric: str, exclude: bool) -> Compare:
     return lambda _, qid, q, qg, nid, x, ng: block_top_k(qid, q, qg, nid, _matrix(x), ng, k, metric, exclude)
 
 
-def _blocked(q: DataFrame, x: DataFrame, k: int, compare: Compare, block: int, sizes: tuple[Column, Column] | None = None) -> DataFrame:
-    """Top k within equal ``list`` values, list by list cut into blocks of about ``block`` rows per side.
+def _blocked(q: DataFrame, x: DataFrame, k: int, compare: Compare, block: int, dim: int, sizes: tuple[Column, Column] | None = None) -> DataFrame:
+    """Top k within equal ``list`` values, list by list cut into blocks per side, of about ``block`` rows or,
+    in large lists, of up to BLOCK_BYTES of vectors.
 
     Block counts are one row per list; a list that holds most of the data gets proportionally more
     blocks, so no task grows with it.
     """
-    blocks = lambda d, name: d.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias(name))
+    blocks = lambda d, name: d.groupBy("list").agg(_block_count(F.count(F.lit(1)), block, dim).alias(name))
     if sizes is None:
         plan = blocks(q, "nq").join(blocks(x, "nx"), "list")
         sized = lambda d: d.join(plan, "list")
@@ -134,7 +165,7 @@ def _blocked(q: DataFrame, x: DataFrame, k: int, compare: Compare, block: int, s
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({"qid": pa.array([], pa.int64()), "nid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return _NONE
         return compare(
             a.column("list")[0].as_py(), _numbers(a.column("qid")), _matrix(a.column("qv")), _numbers(a.column("qg")),
             _numbers(b.column("nid")), b.column("nv"), _numbers(b.column("ng")),
@@ -192,41 +223,55 @@ def _clusters(x: np.ndarray, n: int, seed: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ProductIndex:
-    """Coarse centres, and for each slice of the residuals its code words (one byte names one)."""
+    """Coarse centres, and for each slice of the residuals its code words (one byte names one), round by round."""
 
     centres: np.ndarray
-    books: np.ndarray
+    books: np.ndarray  # round, slice, word, dimension
 
     def nearest(self, v: np.ndarray, n: int) -> np.ndarray:
         c = self.centres
         return np.argsort((c * c).sum(1) - 2 * (v @ c.T), axis=1, kind="stable")[:, :n]
 
-    def codes(self, v: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = (v - self.centres[lists]).reshape(len(v), len(self.books), -1)
-        far = (self.books**2).sum(2)[None] - 2 * np.einsum("npd,pwd->npw", rest, self.books)
-        return far.argmin(2).astype(np.uint8)
+    def codes(self, v: np.ndarray, lists: np.ndarray, rows: int = 1024) -> np.ndarray:
+        """A byte per round and slice: a round codes what the ones before leave."""
+        parts = self.books.shape[1]
+        out = np.zeros((len(v), len(self.books), parts), np.uint8)
+        for at in range(0, len(v), rows):
+            rest = (v[at : at + rows] - self.centres[lists[at : at + rows]]).reshape(-1, parts, v.shape[1] // parts)
+            for i, book in enumerate(self.books):
+                code = _words(rest, book)
+                out[at : at + rows, i] = code
+                rest = rest - book[np.arange(parts), code]
+        return out.reshape(len(v), -1)
+
+    def decoded(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for: centre plus code words."""
+        parts = self.books.shape[1]
+        rest = sum(book[np.arange(parts), c] for book, c in zip(self.books, codes.reshape(len(codes), -1, parts).transpose(1, 0, 2)))
+        return self.centres[lists] + rest.reshape(len(codes), -1)
+
 
-    def scores(self, list_: int, v: np.ndarray, codes: np.ndarray, metric: str) -> np.ndarray:
-        """Scores of one query against the codes of one list, from a table of its slices against all code words."""
-        centre = self.centres[list_]
-        if metric == "l2":
-            rest = (v - centre).reshape(len(self.books), 1, -1)
-            table, base = -((rest - self.books) ** 2).sum(2), 0.0
-        else:
-            table, base = np.einsum("pd,pwd->pw", v.reshape(len(self.books), -1), self.books), float(v @ centre)
-        return base + table[np.arange(len(self.books)), codes].sum(1)
+def _words(rest: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Nearest code word of every slice."""
+    return ((book**2).sum(2)[None] - 2 * np.einsum("npd,pwd->npw", rest, book, optimize=True)).argmin(2)
 
 
 def fit_product_index(df: DataFrame, vec: str, n_lists: int, parts: int, seed: int, words: int = 256, sample: int = FIT_SAMPLE) -> ProductIndex:
-    """Centres and code words of at most ``sample`` vectors, those with the smallest digests; every vector can then be coded."""
+    """Centres of at most ``sample`` vectors, those with the smallest digests, and code words of the first
+    WORD_SAMPLE of these; every vector can then be coded."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col(vec).cast("string")))
     x = _matrix(df.select(F.col(vec).cast("array<double>").alias("v"), key.alias("k")).orderBy("k").limit(sample).select("v").toArrow().column("v"))
     if x.shape[1] % parts:
         raise ValueError(f"{x.shape[1]} dimensions don't divide into {parts} parts")
     centres = _clusters(x, n_lists, seed)
+    x = x[:WORD_SAMPLE]
     own = ((centres * centres).sum(1) - 2 * (x @ centres.T)).argmin(1)
     rest = (x - centres[own]).reshape(len(x), parts, -1)
-    return ProductIndex(centres, np.stack([_clusters(rest[:, p], words, seed + 1 + p) for p in range(parts)]))
+    books = []
+    for i in range(ROUNDS):
+        books.append(np.stack([_clusters(rest[:, p], words, seed + 1 + i * parts + p) for p in range(parts)]))
+        rest = np.concatenate([part - books[i][np.arange(parts), _words(part, books[i])] for part in np.array_split(rest, -(-len(rest) // 1024))])
+    return ProductIndex(centres, np.stack(books))
 
 
 def approximate_knn(
@@ -246,36 +291,42 @@ def approximate_knn(
 ) -> DataFrame:
     """k nearest neighbours by product-quantised codes: (qid, nid, score, rank).
 
-    Every vector lies in the list of its nearest centre as ``parts`` bytes. A query looks its slices up
-    against the code words in its ``n_probe`` nearest lists; the ``widen`` * k best by code are scored on the
-    whole vectors. Lists are cut into blocks as in the exact search.
+    Every vector is coded from its nearest centre, as ROUNDS times ``parts`` bytes, and lies in the lists of its HOMES
+    nearest centres. A query is compared with what the codes in its ``n_probe`` nearest lists stand for, with each
+    vector once; the ``widen`` * k best by code are scored on the whole vectors. Lists are cut into blocks as in the
+    exact search.
     """
     fitted = fit_product_index(index, vec, n_lists, parts, seed)
     exclude = exclude_same is not None
     q, x = _side(queries, id_col, vec, exclude_same, "q"), _side(index, id_col, vec, exclude_same, "n")
-    shipped = q.sparkSession.sparkContext.broadcast(fitted)  # n_lists + 256 vectors
+    shipped = q.sparkSession.sparkContext.broadcast(fitted)  # n_lists + ROUNDS * 256 vectors
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 v = _matrix(b.column(1))
-                lists = shipped.value.nearest(v, 1)[:, 0]
-                codes = [c.tobytes() for c in shipped.value.codes(v, lists)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary()), b.column(2), pa.array(lists, pa.int64())], names=["nid", "nv", "ng", "list"])
-
-    def near(list_: int, qid, qv, qg, nid, codes, ng) -> pa.Table:
-        table = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(nid), -1)
-        found = []
-        for i in range(len(qid)):
-            s = shipped.value.scores(list_, qv[i], table, metric)
-            s = np.where(ng == qg[i], -np.inf, s) if exclude else s
-            best = np.argpartition(-s, widen * k - 1)[: widen * k] if len(s) > widen * k else np.arange(len(s))
-            best = best[s[best] > -np.inf]
-            found.append(pa.table({"qid": np.full(len(best), qid[i]), "nid": nid[best], "score": s[best]}))
-        return pa.concat_tables(found)
+                homes = shipped.value.nearest(v, HOMES)
+                codes = shipped.value.codes(v, homes[:, 0])
+                packed = pa.array([h.tobytes() + c.tobytes() for h, c in zip(homes.astype(np.int32), codes)], pa.binary())
+                for i in range(homes.shape[1]):
+                    lists = pa.array(np.ascontiguousarray(homes[:, i]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0), packed, b.column(2), lists], names=["nid", "nv", "ng", "list"])
+
+    def near(list_: int, qid, qv, qg, nid, packed, ng) -> pa.Table:
+        fitted = shipped.value
+        table = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(nid), -1)
+        n_homes = min(HOMES, len(fitted.centres))
+        homes = table[:, : 4 * n_homes].copy().view(np.int32)
+        # a vector counts in the nearest of its lists that the query looks into
+        place = (homes == list_).argmax(1)
+        probed = np.zeros((len(qid), len(fitted.centres)), bool)
+        np.put_along_axis(probed, fitted.nearest(qv, n_probe), True, axis=1)
+        stands = fitted.decoded(table[:, 4 * n_homes :], homes[:, 0])
+        hidden = (probed, np.where(place > 0, homes[:, 0], -1))
+        return block_top_k(qid, qv, qg, nid, stands, ng, widen * k, metric, exclude, hidden=hidden)
 
     centres = _assign(q, fitted.centres, "qv", n_probe)
-    rows = _blocked(centres, x.mapInArrow(coded, "nid long, nv binary, ng long, list long"), widen * k, near, block)
+    rows = _blocked(centres, x.mapInArrow(coded, "nid long, nv binary, ng long, list long"), widen * k, near, block, fitted.centres.shape[1])
     pairs = rows.select("qid", "nid").join(q.select("qid", "qv"), "qid").join(x.select("nid", "nv"), "nid")
     dot = F.aggregate(F.zip_with("qv", "nv", lambda a, b: a * b if metric == "ip" else -(a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
     return _final(pairs.select("qid", "nid", dot.alias("score")), k)
