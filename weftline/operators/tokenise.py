@@ -498,8 +498,22 @@ def merges_model(alphabet: list[str], merges: list[tuple[str, str]], unk: str =
     return model.to_str()
 
 
+#: characters that are encoded at a time; every one may become a token of some hundred bytes until its id is taken
+PIECE_CHARS = 256 * 1024
+
+
+def _slices(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of at most ``chars`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, before = 0, 0
+    while first < batch.num_rows:
+        upto = max(int(np.searchsorted(ends, before + chars, side="right")), first + 1)
+        yield batch.slice(first, upto - first)
+        first, before = upto, int(ends[upto - 1])
+
+
 def apply_subwords(df: DataFrame, col: str, model: str, kind: str = "tokenizers", out: str = "ids") -> DataFrame:
-    """Apply a pretrained subword model to whole texts, an Arrow batch at a time.
+    """Apply a pretrained subword model to whole texts, some of an Arrow batch at a time.
 
     ``model`` is a serialised ``tokenizers`` model or the path of a SentencePiece model added with
     ``SparkContext.addFile``. The model is loaded once per Python worker task.
@@ -520,8 +534,9 @@ def apply_subwords(df: DataFrame, col: str, model: str, kind: str = "tokenizers"
             loaded = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(shipped.value))
             encode = loaded.encode
         for batch in batches:
-            texts = [x or "" for x in batch.column(batch.schema.get_field_index(col)).to_pylist()]
-            ids = pa.array(encode(texts), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
+            at = batch.schema.get_field_index(col)
+            for piece in _slices(batch, at, PIECE_CHARS):
+                ids = pa.array(encode([x or "" for x in piece.column(at).to_pylist()]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*piece.schema.names, out])
 
     return df.mapInArrow(run, schema)
