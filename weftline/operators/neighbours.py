@@ -50,33 +50,92 @@ def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def block_top_k(qid, q, qgroup, nid, x, ngroup, k: int, metric: str, exclude: bool, rows: int = 512, cols: int = 4096, hidden=None):
     """Top k of every query against one index block: highest score first, ties by smaller id.
 
-    The score is the inner product, or the negative squared distance. Scores are held for ``rows`` x ``cols`` pairs at
-    a time. ``hidden`` is a table of booleans by query and class, and a class for every index row (-1: none): rows of
+    The score is the inner product, or the negative squared distance. Pairs are looked through in single precision,
+    ``rows`` x ``cols`` at a time; those that may be among the best, by the bound of its rounding, are scored in double
+    precision. ``hidden`` is a table of booleans by query and class, and a class for every index row (-1: none): rows of
     a class that is true for the query are left out.
     """
     order = np.argsort(nid, kind="stable")
     nid, x, ngroup = nid[order], x[order], ngroup[order]
-    norms = (x * x).sum(axis=1)
+    norms, l2 = (x * x).sum(axis=1), metric == "l2"
+    times = 2.0 if l2 else 1.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough_x, rough_norms, rough_q = x.astype(np.float32), norms.astype(np.float32), (times * q).astype(np.float32)
+    longest = float(np.sqrt(norms.max(initial=0.0)))
+    # sums of so many products in single precision; twice what rounding can make, and what is too small for it
+    unit, least = (x.shape[1] + 8) * 2.0**-23, (x.shape[1] + 8) * 1e-37
+    safe = len(nid) > 0 and all(np.abs(v).max(initial=0) < 1e15 for v in (q, x))
+    # a narrow tile first, which sets the floors
+    edges = [0, *range(min(cols, 512), len(nid), cols), len(nid)] if len(nid) else [0]
     out = []
     for at in range(0, len(qid), rows):
         part, groups = q[at : at + rows], qgroup[at : at + rows]
         own, every = (part * part).sum(axis=1), np.arange(len(part))
+        if not l2:
+            own[:] = 0
+        far = np.sqrt((part * part).sum(axis=1)) * longest
+        slip = unit * (times * far + (longest * longest if l2 else 0)) + least
         floor = np.full(len(part), -np.inf)
+        same = (slip - least) * 2.0**-29  # as much in double precision
+        many = max(4 * k, 64) * len(part)
         r, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for lo in range(0, len(nid), cols):
-            s = part @ x[lo : lo + cols].T
-            if metric == "l2":
-                s = 2 * s - norms[None, lo : lo + cols] - own[:, None]
-            if exclude:
-                s[groups[:, None] == ngroup[None, lo : lo + cols]] = -np.inf
+
+        def out_of(hr, hc):
+            """Which pairs are left out."""
+            gone = groups[hr] == ngroup[hc] if exclude else np.zeros(np.broadcast(hr, hc).shape, bool)
             if hidden is not None:
-                of = hidden[1][order[lo : lo + cols]]
-                s[hidden[0][at : at + rows][:, of] & (of >= 0)[None, :]] = -np.inf
-            hits = s > floor[:, None]  # ids ascend: an equal score comes too late
-            if s.shape[1] > k and np.count_nonzero(hits) > 4 * k * len(part):
-                hits &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
-            hr, hc = np.nonzero(hits)
-            r, ids, scores = np.concatenate([r, hr]), np.concatenate([ids, nid[lo + hc]]), np.concatenate([scores, s[hr, hc]])
+                of = hidden[1][order[hc]]
+                gone = gone | (hidden[0][at + hr, of] & (of >= 0))
+            return gone
+
+        def scored(hr, hc, lo):
+            """Row by row, so that copies have equal scores."""
+            hc = hc + lo
+            a, b = part[hr], x[hc]
+            if not l2:
+                return hr, hc, np.einsum("ij,ij->i", a, b)
+            a -= b
+            return hr, hc, -np.einsum("ij,ij->i", a, a)
+
+        for lo, hi in zip(edges, edges[1:]):
+            here = np.arange(lo, hi)
+            found = None
+            if safe:
+                s = rough_q[at : at + rows] @ rough_x[lo:hi].T
+                if l2:
+                    s -= rough_norms[lo:hi]
+                hits = s > (floor + own - slip).astype(np.float32)[:, None]
+                if len(here) > k and np.count_nonzero(hits) > 4 * k * len(part):
+                    if exclude or hidden is not None:
+                        np.copyto(s, -np.inf, where=out_of(every[:, None], here[None, :]))
+                    best = np.partition(s, len(here) - k, axis=1)[:, len(here) - k]
+                    hits &= s >= (best - 2 * slip).astype(np.float32)[:, None]
+                if np.count_nonzero(hits) <= many:
+                    hr, hc = np.divmod(np.flatnonzero(hits), hi - lo)  # faster than nonzero of two dimensions
+                    if exclude or hidden is not None:
+                        kept = ~out_of(hr, hc + lo)
+                        hr, hc = hr[kept], hc[kept]
+                    found = scored(hr, hc, lo)
+            if found is None:  # too many are as good: copies, or numbers beyond single precision
+                s = part @ x[lo:hi].T
+                if l2:
+                    s = 2 * s - norms[None, lo:hi] - own[:, None]
+                if exclude or hidden is not None:
+                    np.copyto(s, -np.inf, where=out_of(every[:, None], here[None, :]))
+                hits = s > (floor + same)[:, None]
+                if s.shape[1] > k and np.count_nonzero(hits) > 2 * k * len(part):
+                    # the first k of those that are equal but for rounding
+                    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    over, upto = s > (kth + same)[:, None], s >= (kth - same)[:, None]
+                    equal = hits & upto & ~over
+                    hits &= over | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k))
+                found = scored(*np.divmod(np.flatnonzero(hits), hi - lo), lo)
+            hr, hc, value = found
+            kept = value > floor[hr]  # ids ascend: an equal score comes too late
+            if not kept.any():
+                continue
+            hr, hc, value = hr[kept], hc[kept], value[kept]
+            r, ids, scores = np.concatenate([r, hr]), np.concatenate([ids, nid[hc]]), np.concatenate([scores, value])
             best = np.lexsort((ids, -scores, r))
             first, upto = np.searchsorted(r[best], every), np.searchsorted(r[best], every, side="right")
             best = best[np.arange(len(best)) - first[r[best]] < k]
