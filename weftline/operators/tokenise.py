@@ -21,8 +21,11 @@ from weftline.operators.ordered import running
 from weftline.operators.quantiles import exact_quantiles
 from weftline.session import cut_lineage
 
-#: largest vocabulary that is sent to every executor; bigger ones are joined
+#: largest vocabulary that is sent to every executor; of a bigger one FREQUENT words are sent, the others are joined
 MAX_BROADCAST_VOCAB = 2_000_000
+#: these are the most frequent ones of about so many rows
+FREQUENT = 500_000
+FREQUENT_ROWS = 32_768
 
 
 class Tokenizer:
@@ -63,7 +66,7 @@ def vocabulary(df: DataFrame, tokens: Column, order: list[str], by: list[str] |
     """token -> id by first appearance (row order, then position); ``known`` ids stay and are extended."""
     by = by or []
     seen = (
-        df.select(*by, *order, F.posexplode(tokens).alias("_pos", "token"))
+        _first_seen(df.select(*by, *order, tokens.alias("_tokens")), len(by), len(order))
         .groupBy(*by, "token")
         .agg(F.min(F.struct(*order, "_pos")).alias("_first"))
     )
@@ -79,6 +82,40 @@ def vocabulary(df: DataFrame, tokens: Column, order: list[str], by: list[str] |
     return fresh if known is None else known.select("token", "id").unionByName(fresh)
 
 
+def _first_seen(rows: DataFrame, n_by: int, n_order: int) -> DataFrame:
+    """Columns of the first ``n_by`` and ``n_order``, _pos and token: a batch's first place of every token of a group.
+
+    Most words go here, before anything is sorted or shuffled.
+    """
+    named = rows.schema.fields[: n_by + n_order]
+    schema = T.StructType([*named, T.StructField("_pos", T.IntegerType()), T.StructField("token", T.StringType())])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [(f"c{i}", "ascending") for i in range(n_by, n_by + n_order)]
+            table = pa.table({f"c{i}": c for i, c in enumerate(batch.columns)})
+            table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start")).combine_chunks()
+            column = table.column(table.num_columns - 1)
+            if not table.num_rows or not pc.sum(pc.list_value_length(column)).as_py():
+                continue
+            column = column.chunk(0)
+            row = pc.list_parent_indices(column).to_numpy()
+            words = column.flatten().dictionary_encode()
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in range(n_by):
+                group = table.column(i).combine_chunks().dictionary_encode(null_encoding="encode")
+                part = group.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                _, code = np.unique(part[row] * (code.max() + 1) + code, return_inverse=True)
+            _, at = np.unique(code, return_index=True)
+            lengths = np.bincount(row, minlength=table.num_rows)
+            pos = at - (np.cumsum(lengths) - lengths)[row[at]]
+            held = table.select(range(n_by + n_order)).take(pa.array(row[at])).combine_chunks()
+            columns = [c.chunk(0) for c in held.columns] + [pa.array(pos.astype(np.int32)), words.take(pa.array(at)).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(firsts, schema)
+
+
 def frequency_vocabulary(df: DataFrame, token: str, reserved: list[str]) -> DataFrame:
     """Reserved labels first, then labels by falling frequency, ties by label."""
     counts = df.filter(~F.col(token).isin(reserved)).groupBy(F.col(token).alias("token")).agg(F.count(F.lit(1)).alias("n"))
@@ -132,24 +169,43 @@ def _equals(value: str) -> Callable[[Column], Column]:
     return lambda x: x == value
 
 
-def encode_tokens(df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | None, out: str = "ids", key: list[str] | None = None) -> DataFrame:
+def encode_tokens(
+    df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | None, out: str = "ids", key: list[str] | None = None, keep: list[str] | None = None
+) -> DataFrame:
     """Replace tokens by vocabulary ids; unknown ones become ``unk`` or vanish if it is None.
 
     A vocabulary up to ``MAX_BROADCAST_VOCAB`` entries is shipped once per executor and looked up a
-    whole Arrow batch at a time; nothing is shuffled. A larger one is joined (``key`` names the row).
+    whole Arrow batch at a time; nothing is shuffled. Of a larger one the frequent words are shipped, and only the
+    places of the other words are joined. ``key`` names the row, ``keep`` the columns to return beside ``out``.
     """
-    spark = df.sparkSession
-    size = vocab.limit(MAX_BROADCAST_VOCAB + 1).count()
-    if size > MAX_BROADCAST_VOCAB:
-        if not key:
-            # numbers are written out, so a recomputed partition can't change them
-            numbered = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
-            return _encode_by_join(numbered, tokens, vocab, unk, out, ["_row"]).drop("_row")
-        return _encode_by_join(df, tokens, vocab, unk, out, key)
-    pairs = vocab.select("token", "id").toArrow()
-    table = spark.sparkContext.broadcast((pairs.column("token").combine_chunks(), pairs.column("id").combine_chunks()))
-    source = df.withColumn(out, tokens)
-    schema = T.StructType([f if f.name != out else T.StructField(out, T.ArrayType(T.LongType())) for f in source.schema.fields])
+    vocab = cut_lineage(vocab.select("token", "id"))
+    source = df.withColumn(out, tokens).select(*[c for c in keep or df.columns if c != out], out)
+    if vocab.limit(MAX_BROADCAST_VOCAB + 1).count() <= MAX_BROADCAST_VOCAB:
+        return _filled(_looked_up(source, vocab, out), out, unk)
+    return _encode_by_join(source, F.col(out), vocab, unk, out, key, _frequent(source, out, vocab))
+
+
+def _frequent(source: DataFrame, tokens: str, vocab: DataFrame) -> DataFrame:
+    """Entries of at most FREQUENT words, the most frequent ones of some rows; which ones they are changes no result."""
+    some = source.count() // FREQUENT_ROWS + 1
+    rows = source.filter(F.pmod(F.xxhash64(tokens), F.lit(some)) == 0) if some > 1 else source
+    counts = cut_lineage(rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    least, held = None, 0
+    for r in counts.filter("n > 1").groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["n"]
+    return vocab.join(counts.filter(F.col("n") >= least) if least else counts.limit(0), "token", "left_semi")
+
+
+def _looked_up(source: DataFrame, vocab: DataFrame, out: str) -> DataFrame:
+    """Ids for the tokens ``out``, null for those not in ``vocab``, which stand in ``_rest``."""
+    pairs = vocab.toArrow()
+    table = source.sparkSession.sparkContext.broadcast((pairs.column("token").combine_chunks(), pairs.column("id").combine_chunks()))
+    schema = T.StructType(
+        [f if f.name != out else T.StructField(out, T.ArrayType(T.LongType())) for f in source.schema.fields] + [T.StructField("_rest", T.ArrayType(T.StringType()))]
+    )
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(zip(*(x.to_pylist() for x in table.value)))  # once per task
@@ -159,32 +215,66 @@ def encode_tokens(df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | No
             coded = column.flatten().dictionary_encode()
             ids = pa.array([known.get(w) for w in coded.dictionary.to_pylist()], pa.int64())
             value = pc.take(ids, coded.indices)
+            rest = pc.is_null(value)
+            words = pc.filter(coded, rest).cast(pa.string())
+            lists = [_lists(value, pc.fill_null(pc.list_value_length(column), 0)), _lists(words, _held(column, rest))]
+            columns = [lists[0] if i == at else batch.column(i) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, lists[1]], names=schema.names)
+
+    return source.mapInArrow(lookup, schema)
+
+
+def _held(lists: pa.Array, mask: pa.Array) -> np.ndarray:
+    """Entries under ``mask`` (one for each entry) in each list."""
+    rows = pc.filter(pc.list_parent_indices(lists), mask).to_numpy(zero_copy_only=False)
+    return np.bincount(rows, minlength=len(lists)) if len(rows) else np.zeros(len(lists), np.int64)
+
+
+def _lists(values: pa.Array, lengths) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.asarray(lengths))]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+def _filled(looked: DataFrame, out: str, unk: int | None, codes: str | None = None) -> DataFrame:
+    """The nulls in the lists ``out`` become the entries of the lists ``codes``, and ``unk`` where these are null too."""
+    named = [f for f in looked.schema.fields if f.name not in ("_rest", codes)]
+    rows = looked.select(*[f.name for f in named], *([codes] if codes else []))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(out)
+            column = batch.column(at)
+            value = column.flatten()
             lengths = pc.fill_null(pc.list_value_length(column), 0)
+            if codes and value.null_count:
+                value = pc.replace_with_mask(value, pc.is_null(value), batch.column(batch.num_columns - 1).flatten())
             if unk is None:
-                keep = pc.is_valid(value)
-                rows = pc.list_parent_indices(column)
-                kept = pc.filter(rows, keep)
-                counts = np.bincount(kept.to_numpy(zero_copy_only=False), minlength=len(column)) if len(kept) else np.zeros(len(column), dtype="int64")
-                lengths = pa.array(counts)
-                value = pc.filter(value, keep)
+                some = pc.is_valid(value)
+                lengths, value = _held(column, some), pc.filter(value, some)
             else:
                 value = pc.fill_null(value, unk)
-            ends = np.concatenate([[0], np.cumsum(np.asarray(lengths))]).astype("int32")
-            lists = pa.ListArray.from_arrays(pa.array(ends), value.cast(pa.int64()))
-            columns = [lists if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            columns = [_lists(value, lengths) if i == at else batch.column(i) for i in range(len(named))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in named])
 
-    return source.mapInArrow(lookup, schema)
+    return rows.mapInArrow(fill, T.StructType(named))
 
 
-def _encode_by_join(df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | None, out: str, key: list[str]) -> DataFrame:
-    flat = df.select(*key, F.posexplode(tokens).alias("_pos", "_token"))
+def _encode_by_join(
+    df: DataFrame, tokens: Column, vocab: DataFrame, unk: int | None, out: str, key: list[str] | None, frequent: DataFrame | None = None
+) -> DataFrame:
+    """Tokens that aren't ``frequent`` are joined, one row a place."""
+    source = df.withColumn(out, tokens)
+    looked = _looked_up(source, vocab.limit(0) if frequent is None else frequent, out)
+    if not key:
+        # numbers are written out, so a recomputed partition can't change them
+        looked = looked.withColumn("_row", F.monotonically_increasing_id())
+    looked, row = cut_lineage(looked), key or ["_row"]
+    flat = looked.select(*row, F.posexplode("_rest").alias("_pos", "_token"))
     coded = flat.join(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code")), "_token", "left")
-    if unk is None:
-        coded = coded.filter(F.col("_code").isNotNull())
-    pair = F.struct("_pos", F.coalesce("_code", F.lit(unk)).alias("_code"))
-    lists = coded.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["_code"]).alias(out))
-    return df.join(lists, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<bigint>")))
+    lists = coded.groupBy(*row).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_code"))), lambda x: x["_code"]).alias("_codes"))
+    joined = looked.drop("_rest").join(lists, row, "left")
+    joined = joined.select(*[c for c in looked.columns if c not in ("_rest", "_row")], F.coalesce("_codes", F.array().cast("array<bigint>")).alias("_codes"))
+    return _filled(joined, out, unk, "_codes")
 
 
 def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, sep: str, out: str = "text") -> DataFrame:
