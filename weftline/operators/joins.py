@@ -200,12 +200,15 @@ def random_negatives(queries: DataFrame, query: str, n: int, pool_size: int, see
 def neighbour_text(chunks: DataFrame, neighbours: DataFrame, chunk: str, text: str) -> DataFrame:
     """Chunk text with, per neighbour, the matching chunk and the one that follows it.
 
-    ``neighbours``: chunk id, rank, neighbour (one row each).
+    ``neighbours``: chunk id, rank, neighbour (one row each), and the chunk's own text if it is at hand; the text
+    of a chunk is then sent only to where its neighbours are.
     """
-    here = chunks.select(F.col(chunk), F.col(text).alias("text"))
     match = chunks.select(F.col(chunk).alias("neighbour"), F.col(text).alias("match"))
     after = chunks.select((F.col(chunk) - 1).alias("neighbour"), F.col(text).alias("continuation"))
-    out = neighbours.join(match, "neighbour").join(after, "neighbour", "left").join(here, chunk)
+    if text not in neighbours.columns:
+        neighbours = neighbours.join(chunks.select(chunk, text), chunk)
+    own = neighbours.select(chunk, "rank", "neighbour", F.col(text).alias("text"))
+    out = own.join(match, "neighbour").join(after, "neighbour", "left")
     return out.select(chunk, "rank", "neighbour", "text", "match", F.coalesce("continuation", F.lit("")).alias("continuation"))
 
 

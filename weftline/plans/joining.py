@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.text import sample_key, words
+from weftline.functions.text import fragments, sample_key, words
 from weftline.functions.tokens import char_ngrams
 from weftline.metrics.classify import top_k_accuracy
 from weftline.operators import joins as jn
@@ -190,9 +190,10 @@ CHUNKS = (
 def chunk_table(t):
     from weftline.operators.shape import retrieval_chunks
 
-    toks = t.documents.select("doc_id", words("text").alias("tokens"))
-    out = retrieval_chunks(toks, "doc_id", "tokens", 64, 64)
-    return out.select("chunk_id", "doc_id", F.array_join("chunk", " ").alias("chunk_text"))
+    # joined first: a text is smaller than the list of its words
+    texts = t.documents.select("doc_id", fragments(words("text"), 64, 64).alias("texts"))
+    out = retrieval_chunks(texts, "doc_id", "texts", 1, 1)
+    return out.select("chunk_id", "doc_id", F.element_at("chunk", 1).alias("chunk_text"))
 
 
 @query(
@@ -205,7 +206,7 @@ def chunk_table(t):
 def _(t):
     chunks = cut_lineage(chunk_table(t))  # read by four steps
     n = chunks.count()
-    ranks = chunks.select("chunk_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("rank"))
+    ranks = chunks.select("chunk_id", "chunk_text", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("rank"))
     from weftline.functions.seeded import seeded_int
 
     found = ranks.withColumn("neighbour", seeded_int(5, "chunk_id", "rank") % n)
