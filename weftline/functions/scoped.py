@@ -15,3 +15,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     variable it is not.
     """
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def once(value: Column) -> Column:
+    """``value`` as a column of its own: what explode gives isn't worked out again where it is used, nor moved into filters."""
+    return F.explode(F.array(value))

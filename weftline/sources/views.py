@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.scoped import once
 from weftline.functions.text import words
 
 UNKNOWN, ADDED = "<unk>", "<added>"
@@ -37,18 +38,18 @@ def pairs_view(documents: DataFrame, normalise=None) -> DataFrame:
     to the text first.
     """
     text = F.lower(F.regexp_replace("utt", "[^ -~]", ""))
-    ref = words(normalise(text) if normalise else text)
+    # in plain ASCII without control characters only spaces part words
+    ref = words(normalise(text)) if normalise else F.array_remove(F.split(text, " "), "")
     seventh = F.col("pos") % 2 == 1
+    # a missing word is null, which the join leaves out
     heard = lambda w, i: (
-        F.when((i + 1) % 7 == 0, F.when(seventh, F.array(w, F.lit(ADDED))).otherwise(F.array().cast("array<string>")))
-        .when((i + 1) % 5 == 0, F.array(F.lit(UNKNOWN)))
-        .otherwise(F.array(w))
+        F.when((i + 1) % 7 == 0, F.when(seventh, F.concat(w, F.lit(" " + ADDED)))).when((i + 1) % 5 == 0, F.lit(UNKNOWN)).otherwise(w)
     )
     return (
         utterances(documents)
-        .select("doc_id", "pos", "lang", "source", ref.alias("r"))
+        .select("doc_id", "pos", "lang", "source", once(ref).alias("r"))
         .filter(F.size("r") > 0)
-        .withColumn("h", F.flatten(F.transform("r", heard)))
+        .select("*", once(F.split(F.array_join(F.transform("r", heard), " "), " ")).alias("h"))
     )
 
 
