@@ -1,13 +1,14 @@
 """Edit distance, alignment and overlap of word arrays and texts.
 
-Word lists go to Arrow functions that number the words of a whole batch and run the kernels of
-``functions/pairs``. Short texts are compared by the built-in ``levenshtein``, long ones by bit vectors.
+Word lists and texts go to Arrow functions that number the words or characters of a whole batch and run the
+kernels of ``functions/pairs``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +16,6 @@ from pyspark.sql import types as T
 from weftline.functions import pairs
 from weftline.functions.scoped import let
 
-#: Cells of a text pair's cost matrix up to which the built-in distance is the faster one.
-CHAR_CELLS = 1 << 20
-
 
 @F.arrow_udf(T.LongType())
 def word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
@@ -40,21 +38,10 @@ def filler_distance(ref: Column, hyp: Column) -> Column:
 
 
 @F.arrow_udf(T.LongType())
-def _long_char_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    def codes(text: str) -> np.ndarray:
-        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-    out: list[int | None] = []
-    for a, b in zip(ref, hyp):
-        a, b = a.as_py(), b.as_py()
-        out.append(None if a is None or b is None else pairs.long_distance(codes(a), codes(b)))
-    return pa.array(out, pa.int64())
-
-
-def char_distance(ref: Column, hyp: Column) -> Column:
-    """Character-level edit distance; only long pairs leave the JVM."""
-    long = F.length(ref).cast("long") * F.length(hyp) > CHAR_CELLS
-    return F.when(long, _long_char_distance(F.when(long, ref), F.when(long, hyp))).otherwise(F.levenshtein(ref, hyp).cast("long"))
+def char_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Character-level edit distance of two texts (null: null)."""
+    none = pc.or_(ref.is_null(), hyp.is_null())
+    return pa.array(pairs.char_distances(ref, hyp), pa.int64(), mask=none.to_numpy(zero_copy_only=False))
 
 
 _KINDS = ("errors", "insertions", "deletions", "substitutions")
@@ -79,11 +66,7 @@ def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
 def correct_marks(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     """Per hypothesis word: is it matched in the alignment (from the end: match or sub, then del, then ins)?"""
     words = pairs.Words.of(ref, hyp)
-    marks = np.zeros(int(words.size[1].sum()), bool)
-    for i, path in pairs.alignments(words, kinds=True):
-        both = path[(path >= 0).all(1)]
-        at = words.start[1][i] + both[:, 1]
-        marks[at] = words.codes[0][words.start[0][i] + both[:, 0]] == words.codes[1][at]
+    marks = pairs.matches(words)
     offsets = np.append(words.start[1], len(marks)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(marks))
 

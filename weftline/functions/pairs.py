@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cells of a group's rows, and of the matrices a group or a stretch of a long pair holds.
 ROW_CELLS, CELLS = 1 << 19, 1 << 21
@@ -156,6 +157,87 @@ def long_distance(a: np.ndarray, b: np.ndarray) -> int:
     return _distance_long(*((a, b) if len(a) <= len(b) else (b, a)))
 
 
+#: Blocks of 64 characters of the shorter text that a group of pairs is held in; longer ones are taken pair by pair.
+LADDER = np.array([1, 2, 3, 4, 6, 8, 12, 16])
+#: Characters of a run of pairs, and 64-bit words of a group's table of places.
+RUN_CHARS, TABLE = 1 << 21, 1 << 20
+
+
+def char_distances(ref: pa.Array, hyp: pa.Array) -> np.ndarray:
+    """Edit distance of the characters of every pair of texts (null: empty)."""
+    size = np.zeros(len(ref), np.int64)
+    for x in (ref, hyp):
+        size += pc.binary_length(x).fill_null(0).to_numpy(zero_copy_only=False)
+    out, lo, ends = [np.zeros(0, np.int64)], 0, np.cumsum(size)
+    while lo < len(ref):
+        hi = max(lo + 1, int(np.searchsorted(ends, RUN_CHARS + (ends[lo - 1] if lo else 0), "right")))
+        out.append(_char_distances(ref[lo:hi].fill_null("").to_pylist(), hyp[lo:hi].fill_null("").to_pylist()))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _char_distances(ref: list[str], hyp: list[str]) -> np.ndarray:
+    codes = np.frombuffer("".join([*ref, *hyp]).encode("utf-32-le", "surrogatepass"), "<u4")
+    seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    seen[codes] = True
+    codes, kinds = (np.cumsum(seen) - 1)[codes], max(1, int(np.count_nonzero(seen)))
+    size = np.fromiter(map(len, [*ref, *hyp]), np.int64, 2 * len(ref))
+    start = (np.cumsum(size) - size).reshape(2, -1)
+    size = size.reshape(2, -1)
+    side, every = (size[1] < size[0]).astype(np.int64), np.arange(len(ref))  # the side of the shorter text
+    n, m, at, to = size[side, every], size[1 - side, every], start[side, every], start[1 - side, every]
+    out = np.where(n == 0, m, 0)
+    step = np.searchsorted(LADDER, -(-n // 64))
+    for k in np.unique(step[n > 0]).tolist():
+        rows = np.flatnonzero((step == k) & (n > 0))
+        rows, lo = rows[np.argsort(m[rows], kind="stable")], 0
+        blocks = int(LADDER[k]) if k < len(LADDER) else 0
+        while lo < len(rows):
+            fit = int(np.searchsorted(np.arange(1, len(rows) - lo + 1) * m[rows[lo:]], ROW_CELLS, "right"))
+            part = rows[lo : lo + max(1, min(fit, TABLE // (kinds * max(1, blocks))))]
+            lo += len(part)
+            if blocks and len(part) >= 8 * blocks:
+                out[part] = _char_bits(codes, kinds, blocks, at[part], n[part], to[part], m[part])
+                continue
+            for i in part.tolist():  # too few to advance together
+                out[i] = _distance_long(codes[at[i] : at[i] + n[i]], codes[to[i] : to[i] + m[i]])
+    return out
+
+
+def _char_bits(codes: np.ndarray, kinds: int, blocks: int, at: np.ndarray, n: np.ndarray, to: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Distances of pairs sorted by ``m``, the size of the longer text; the shorter one fits ``blocks`` words of 64 bits."""
+    full, one, top = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1), np.uint64(63)
+    base = np.arange(len(n)) * kinds
+    places = np.zeros((blocks, len(n) * kinds), np.uint64)
+    by_size = np.argsort(n, kind="stable")
+    sizes = n[by_size]
+    for i in range(int(sizes[-1])):
+        on = by_size[int(np.searchsorted(sizes, i, "right")) :]
+        places[i >> 6, base[on] + codes[at[on] + i]] |= one << np.uint64(i & 63)
+    up, down = np.full((blocks, len(n)), full), np.zeros((blocks, len(n)), np.uint64)
+    first = np.searchsorted(m, np.arange(int(m[-1])), "right").tolist()
+    for j, lo in enumerate(first):
+        here = base[lo:] + codes[to[lo:] + j]
+        plus_in, minus_in = one, np.uint64(0)
+        for b in range(blocks):
+            p, q, eq = up[b, lo:], down[b, lo:], places[b][here]
+            free = eq | q
+            eq |= minus_in
+            zero = (((eq & p) + p) ^ p) | eq
+            plus, minus = q | ~(zero | p), zero & p
+            plus_out, minus_out = plus >> top, minus >> top
+            plus, minus = plus << one | plus_in, minus << one | minus_in
+            up[b, lo:], down[b, lo:] = minus | ~(free | plus), plus & free
+            plus_in, minus_in = plus_out, minus_out
+    # the last column of the costs: the size of the longer text, then up or down by one a character
+    out = m.copy()
+    for b in range(blocks):
+        inside = np.clip(n - 64 * b, 0, 64)
+        mask = np.where(inside == 64, full, (one << np.minimum(inside, 63).astype(np.uint64)) - one)
+        out += np.bitwise_count(up[b] & mask).astype(np.int64) - np.bitwise_count(down[b] & mask).astype(np.int64)
+    return out
+
+
 def distances(words: Words) -> np.ndarray:
     """Edit distance of every pair."""
     return _by_bits(words, _distance_bits, _distance_long)
@@ -293,36 +375,62 @@ def _path(a: np.ndarray, b: np.ndarray, kinds: bool) -> Iterator[tuple[int, int]
     yield from stretch(0, len(a), np.arange(len(b) + 1, dtype=kind) * gap)
 
 
+def _short_and_long(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose cost matrix is held whole, and the others."""
+    large = (words.size[0] + 1) * (words.size[1] + 1) > CELLS // 8
+    return np.flatnonzero(~large), np.flatnonzero(large)
+
+
+def _steps(words: Words, rows: np.ndarray, kinds: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the end of the best alignments of a group of short pairs: which pairs have a step here, its place on either
+    side (-1: none), and whether it is a match."""
+    ref, hyp = words.padded(0, rows), words.padded(1, rows)
+    i, j = words.size[0][rows].copy(), words.size[1][rows].copy()
+    unit = (i + j + 1 if kinds else np.ones_like(i))[:, None]
+    gap = unit + 1 if kinds else unit
+    ramp = np.arange(hyp.shape[1] + 1) * gap
+    cost = [ramp]
+    for k in range(ref.shape[1]):
+        cost.append(_next_row(cost[-1], hyp == ref[:, k : k + 1], unit, gap, ramp))
+    matrix, at = np.stack(cost, 1), np.arange(len(rows))
+    unit, gap = unit[:, 0], gap[:, 0]
+    while (on := (i > 0) | (j > 0)).any():
+        here, up, left = matrix[at, i, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        same = ref[at, up] == hyp[at, left] if ref.shape[1] and hyp.shape[1] else np.zeros(len(rows), bool)
+        both = on & (i > 0) & (j > 0) & (here == matrix[at, up, left] + np.where(same, 0, unit))
+        gone = on & ~both & (i > 0) & (here == matrix[at, up, j] + gap)
+        new = on & ~both & ~gone
+        yield on, np.where(both | gone, up, -1), np.where(both | new, left, -1), both & same
+        i, j = np.where(both | gone, up, i), np.where(both | new, left, j)
+
+
 def alignments(words: Words, kinds: bool) -> Iterator[tuple[int, np.ndarray]]:
     """(pair, index pairs in order) of every pair's best alignment; -1 marks a missing side.
 
     Of several best alignments the one is taken that, from the end, prefers matches and substitutions, then
     deletions, then insertions; with ``kinds`` it has the most substitutions.
     """
-    every = np.arange(len(words.size[0]))
-    large = (words.size[0] + 1) * (words.size[1] + 1) > CELLS // 8
-    for rows in words.groups(every[~large], lambda n, m: (n + 1) * (m + 1), CELLS):
-        ref, hyp = words.padded(0, rows), words.padded(1, rows)
-        i, j = words.size[0][rows].copy(), words.size[1][rows].copy()
-        unit = (i + j + 1 if kinds else np.ones_like(i))[:, None]
-        gap = unit + 1 if kinds else unit
-        ramp = np.arange(hyp.shape[1] + 1) * gap
-        cost = [ramp]
-        for k in range(ref.shape[1]):
-            cost.append(_next_row(cost[-1], hyp == ref[:, k : k + 1], unit, gap, ramp))
-        matrix, at = np.stack(cost, 1), np.arange(len(rows))
-        unit, gap = unit[:, 0], gap[:, 0]
-        steps = []
-        while (on := (i > 0) | (j > 0)).any():
-            here, up, left = matrix[at, i, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-            same = ref[at, up] == hyp[at, left] if ref.shape[1] and hyp.shape[1] else np.zeros(len(rows), bool)
-            both = on & (i > 0) & (j > 0) & (here == matrix[at, up, left] + np.where(same, 0, unit))
-            gone = on & ~both & (i > 0) & (here == matrix[at, up, j] + gap)
-            new = on & ~both & ~gone
-            steps.append(np.stack((np.where(both | gone, up, -1), np.where(both | new, left, -1), on), 1))
-            i, j = np.where(both | gone, up, i), np.where(both | new, left, j)
+    short, large = _short_and_long(words)
+    for rows in words.groups(short, lambda n, m: (n + 1) * (m + 1), CELLS):
+        steps = [np.stack((up, left, on), 1) for on, up, left, _ in _steps(words, rows, kinds)]
         path = np.stack(steps, 1) if steps else np.empty((len(rows), 0, 3), np.int64)
         for k, row in enumerate(rows.tolist()):
             yield row, path[k, path[k, :, 2] > 0, :2][::-1]
-    for row in every[large].tolist():
+    for row in large.tolist():
         yield row, np.array(list(_path(words.list(0, row), words.list(1, row), kinds)), np.int64).reshape(-1, 2)[::-1]
+
+
+def matches(words: Words) -> np.ndarray:
+    """For the words of all hypotheses, one after the other: are they matched in the alignment with the most substitutions?"""
+    marks = np.zeros(int(words.size[1].sum()), bool)
+    short, large = _short_and_long(words)
+    for rows in words.groups(short, lambda n, m: (n + 1) * (m + 1), CELLS):
+        start = words.start[1][rows]
+        for _, _, left, match in _steps(words, rows, True):
+            marks[start[match] + left[match]] = True
+    for i in large.tolist():
+        a, b = words.list(0, i), words.list(1, i)
+        for up, left in _path(a, b, True):
+            if up >= 0 and left >= 0 and a[up] == b[left]:
+                marks[words.start[1][i] + left] = True
+    return marks

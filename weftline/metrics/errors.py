@@ -127,8 +127,8 @@ def segment_metrics(df: DataFrame, ref: str = "r", hyp: str = "h", edge: int = 5
         {
             "wer": word_distance(F.col(ref), F.col(hyp)) / n_ref * 100,
             "cer": char_distance(a, b) / n_chars * 100,
-            "start_cer": char_distance(head(a), head(b)) / edge * 100,
-            "end_cer": char_distance(tail(a), tail(b)) / edge * 100,
+            "start_cer": F.levenshtein(head(a), head(b)) / edge * 100,
+            "end_cer": F.levenshtein(tail(a), tail(b)) / edge * 100,
             "len_diff_ratio": F.abs(_n(F.col(ref)) - _n(F.col(hyp))) / n_ref,
         }
     )
