@@ -9,8 +9,10 @@ values one bit apart one is even.
 
 Sets of an anchor whose block values, sizes and check bits are near are candidates. All candidates of a
 thinly settled anchor are checked on the whole sets. In a dense one (a large group of near copies) a spanning
-forest of the candidates is checked first, then all candidates that the links found leave in different
-components. Only links of similarity 0.8 or more count, so a text is never called a near copy without being one.
+forest of the candidates is checked first. What such forests hold together, and the links found leave in
+different components, is then compared whole, all sets with all, in tiles of bounded size; a tile gives a
+spanning forest of its links, so pairs grow with the sets, not with the square of a group. Only links of
+similarity 0.8 or more count, so a text is never called a near copy without being one.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ BITS = 23
 #: Differing check bits (of 64) beyond which two sets aren't candidates: four deviations above the mean at 0.8.
 CHECK = 22
 #: Candidate pairs per row of an anchor up to which it is thinly settled.
-THIN = 16
+THIN = 1
 #: An anchor with more sets is cut into slices that are compared pair by pair in tasks of their own.
 SLICE = 32_768
+#: Shingles of a slice of a dense group; a tile compares two slices.
+TILE = 1 << 20
 #: Up to so many sets that have a candidate are looked up by broadcast, so that the other texts don't move.
 BROADCAST = 1_000_000
 #: Cells of a comparison at a time.
@@ -125,28 +129,27 @@ def _crowded(sets: DataFrame) -> DataFrame:
     return counts.filter(F.col("n") > SLICE).select("cell", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
 
 
-def _settled(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """cell (block and anchor), i, j (slices), home, value, check, node, size and root, a row for each anchor of each set.
+def _settled(sets: DataFrame) -> DataFrame:
+    """cell (block and anchor), i, j (slices), home, value, check, node and size, a row for each anchor of each set.
 
-    A slice of the homes of a crowded anchor meets every slice of its sets. ``only`` names the cells to give.
+    A slice of the homes of a crowded anchor meets every slice of its sets.
     """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "home", "value", "check", "node", "size", "root"]
+        names = ["cell", "home", "value", "check", "node", "size"]
         for b in batches:
             words = _words(b.column(2))
-            kept = [b.column(k).to_numpy() for k in (0, 1, 3)]
+            kept = [b.column(k).to_numpy() for k in (0, 1)]
             check = np.zeros(b.num_rows, np.uint64)  # from the bits that no block uses
             for k in range(4):
                 check |= (words[:, k] >> np.uint64(46) & np.uint64(0xFFFF)) << np.uint64(16 * k)
             for block, value in _values(words):
                 row, anchor, home = settle(value)
-                node, size, root = (x[row] for x in kept)
-                columns = ((block << 12 | anchor).astype(np.int32), home, value[row].astype(np.int32), check[row].view(np.int64), node, size, root)
+                node, size = (x[row] for x in kept)
+                columns = ((block << 12 | anchor).astype(np.int32), home, value[row].astype(np.int32), check[row].view(np.int64), node, size)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    rows = sets.select("node", "size", "bits", "root").mapInArrow(place, "cell int, home boolean, value int, check long, node long, size int, root long")
-    rows = rows if only is None else rows.join(F.broadcast(only), "cell", "left_semi")
+    rows = sets.select("node", "size", "bits").mapInArrow(place, "cell int, home boolean, value int, check long, node long, size int")
     rows = rows.join(F.broadcast(cut_lineage(_crowded(sets))), "cell", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own, every = F.pmod(F.xxhash64("node"), F.col("slices").cast("long")).cast("int"), F.sequence(F.lit(0), F.col("slices") - 1)
     place_at = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
@@ -154,28 +157,29 @@ def _settled(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     homes = F.when(F.col("home"), F.transform(every, lambda j: place_at(own, j, F.lit(True)))).otherwise(none)
     guests = F.transform(every, lambda i: place_at(i, own, F.lit(False)))
     at = F.when(F.col("slices") == 1, F.array(place_at(F.lit(0), F.lit(0), F.col("home")))).otherwise(F.concat(homes, guests))
-    return rows.withColumn("at", F.explode(at)).select("cell", "at.i", "at.j", "at.home", "value", "check", "node", "size", "root")
+    return rows.withColumn("at", F.explode(at)).select("cell", "at.i", "at.j", "at.home", "value", "check", "node", "size")
 
 
 class _Anchor:
     """Sets that meet at one anchor."""
 
     def __init__(self, t: pa.Table) -> None:
-        self.home, self.value, self.check, self.node, self.size, self.root = (t.column(c).to_numpy() for c in ("home", "value", "check", "node", "size", "root"))
+        order = np.argsort(t.column("node").to_numpy())  # so that the forests of all anchors begin at the same sets
+        self.home, self.value, self.check, self.node, self.size = (t.column(c).to_numpy()[order] for c in ("home", "value", "check", "node", "size"))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which of the rows ``a`` (down) and ``b`` (across) are candidates; rows of one root aren't."""
+        """Which of the rows ``a`` (down) and ``b`` (across) are candidates."""
         found = np.bitwise_count(self.value[a][:, None] ^ self.value[b]) <= 1
         if found.any():
             x, y = np.nonzero(found)
             p, q = a[x], b[y]
             small, large = np.minimum(self.size[p], self.size[q]).astype(np.int64), np.maximum(self.size[p], self.size[q])
-            ok = (self.root[p] != self.root[q]) & (5 * small >= 4 * large.astype(np.int64))
+            ok = (self.node[p] != self.node[q]) & (5 * small >= 4 * large.astype(np.int64))
             ok &= np.bitwise_count((self.check[p] ^ self.check[q]).view(np.uint64)) <= CHECK
             found[x, y] = ok
         return found
 
-    def pairs(self, limit: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+    def pairs(self, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
         """Candidate pairs of nodes, smaller first; None if there are more than ``limit``."""
         homes, every = np.flatnonzero(self.home), np.arange(len(self.node))
         step, total, out = max(1, CELLS // max(1, len(every))), 0, []
@@ -183,7 +187,7 @@ class _Anchor:
             part = homes[lo : lo + step]
             x, y = np.nonzero(self.near(part, every))
             total += len(x)
-            if limit is not None and total > 2 * limit:  # two homes meet twice
+            if total > 2 * limit:  # two homes meet twice
                 return None
             out.append(np.stack((self.node[part[x]], self.node[y]), 1))
         both = np.concatenate([*out, np.empty((0, 2), np.int64)])
@@ -195,8 +199,9 @@ class _Anchor:
         rest, a, b = np.arange(len(self.node)), [], []
         while len(rest):
             queue, rest = [int(rest[0])], rest[1:]
-            while queue and len(rest):
-                i = queue.pop()
+            for i in queue:  # grows
+                if not len(rest):
+                    break
                 near = self.near(np.array([i]), rest)[0] & (self.home[rest] | self.home[i])
                 new, rest = rest[near], rest[~near]
                 queue += new.tolist()
@@ -206,26 +211,21 @@ class _Anchor:
         return np.minimum(a, b), np.maximum(a, b)
 
 
-def _candidates(settled: DataFrame, dense: bool) -> DataFrame:
-    """(a, b, cell): candidate pairs (cell null), and a row for each dense anchor (a and b null).
-
-    With ``dense`` all candidates are given; without, those of dense anchors are thinned to a forest.
-    """
+def _candidates(settled: DataFrame) -> DataFrame:
+    """(a, b, dense): candidate pairs, those of dense anchors thinned to a forest."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, 3):
             if t.num_rows < 2 or not (rows := _Anchor(t)).home.any():
                 continue
-            found = rows.pairs(None if dense else THIN * t.num_rows)
-            marks = found is None
-            a, b = rows.forest() if found is None else found
-            columns = [pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32())]
-            if marks:
-                columns = [pa.concat_arrays([c, x]) for c, x in zip(columns, (pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([t.column("cell")[0].as_py()], pa.int32())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "cell"])
+            found = rows.pairs(THIN * t.num_rows)
+            dense = found is None
+            a, b = rows.forest() if dense else found
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), dense))], names=["a", "b", "dense"])
 
     keys = ["cell", "i", "j"]
-    return settled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, cell int")
+    found = settled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, dense boolean")
+    return found.groupBy("a", "b").agg(F.max("dense").alias("dense"))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -248,40 +248,87 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _checked(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
+def _read(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its shingles ``s`` for each of the distinct ``nodes``."""
 
     @F.arrow_udf("array<long>")
     def of(batch: pa.Array) -> pa.Array:
         return pa.array([shingles(t.as_py()) for t in batch], pa.list_(pa.int64()))
 
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut_lineage(sets.select("node", "digest").join(met, "node", "left_semi"))
+    wanted = cut_lineage(sets.select("node", "digest").join(nodes, "node", "left_semi"))
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
     # texts of one digest are equal, sets of one node as well
     texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text"))
-    read = cut_lineage(texts.select("node", of("text").alias("s")))
+    return cut_lineage(texts.select("node", of("text").alias("s")))
+
+
+def _checked(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
+    read = _read(docs, sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     both = pairs.join(read.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(read.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
     return both.filter(shared * 5 >= (F.size("s") + F.size("t") - shared) * 4).select("a", "b")
 
 
+def tile_links(node: np.ndarray, root: np.ndarray, of: np.ndarray, sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of similarity 0.8 or more between rows that ``of`` marks and all rows, enough to join the roots that are linked."""
+    size = sets.value_lengths().to_numpy().astype(np.int64)
+    start, (_, code) = np.cumsum(size) - size, np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    holder = np.repeat(np.arange(len(size)), size)[np.argsort(code, kind="stable")]
+    ends = np.cumsum(np.bincount(code))
+    name, a, b = np.unique(root, return_inverse=True)[1], [], []
+    for x in np.flatnonzero(of).tolist():
+        mine = code[start[x] : start[x] + size[x]]
+        shared = np.zeros(len(size), np.int64)
+        for c in mine.tolist():
+            shared[holder[ends[c - 1] if c else 0 : ends[c]]] += 1  # a row holds a shingle once
+        for y in np.flatnonzero((9 * shared >= 4 * (size + size[x])) & (name != name[x])).tolist():
+            if name[y] != name[x]:
+                a.append(node[x])
+                b.append(node[y])
+                name[name == name[y]] = name[x]
+        if a and (name == name[x]).all():
+            break
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _left_apart(docs: DataFrame, sets: DataFrame, dense: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between sets that the pairs ``dense`` hold together and the links ``found`` leave in different components.
+
+    A group of over TILE shingles is cut into slices; every two of them meet in a tile.
+    """
+    groups, roots = components(dense).withColumnRenamed("root", "cluster"), components(found)
+    members = sets.select("node", "size").join(groups, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = cut_lineage(members)
+    apart = members.groupBy("cluster").agg(F.sum("size").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    slices = F.ceil(F.col("n") / TILE).cast("int")
+    members = cut_lineage(members.join(apart.select("cluster", slices.alias("slices")), "cluster"))
+    own = F.pmod(F.xxhash64("node"), F.col("slices").cast("long")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    rows = members.join(_read(docs, sets, members.select("node")), "node").select("cluster", "node", "root", "s", own.alias("own"), F.explode(tiles).alias("at"))
+    rows = rows.select("cluster", "at.i", "at.j", "own", "node", "root", "s")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, 3):
+            own, node, root = (t.column(c).to_numpy() for c in ("own", "node", "root"))
+            a, b = tile_links(node, root, own == t.column("i")[0].as_py(), t.column("s").combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    keys = ["cluster", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
+
+
 def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Links (a, b) between sets of similarity 0.8 or more, enough to connect the candidates that are linked."""
     sets = cut_lineage(marked.groupBy("node").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("bits").alias("bits")))
-    first = cut_lineage(_candidates(_settled(sets.filter("size > 0").withColumn("root", F.col("node"))), dense=False))
-    pairs = cut_lineage(first.filter("cell is null").select("a", "b").distinct())
-    found = cut_lineage(_checked(docs, sets, pairs))
-    dense = cut_lineage(first.filter("cell is not null").select("cell").distinct())  # at most BLOCKS * 4096
+    pairs = cut_lineage(_candidates(_settled(sets.filter("size > 0"))))
+    found = cut_lineage(_checked(docs, sets, pairs.select("a", "b")))
+    dense = pairs.filter("dense").select("a", "b")
     if dense.isEmpty():
         return found
-    # what the forests of dense anchors have left apart
-    roots = components(found).withColumnRenamed("node", "_n")
-    named = sets.filter("size > 0").join(roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _candidates(_settled(named, dense), dense=True)
-    more = cut_lineage(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    return found.unionByName(_checked(docs, sets, more))
+    return found.unionByName(cut_lineage(_left_apart(docs, sets, dense, found)))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
