@@ -299,12 +299,15 @@ def _left_apart(docs: DataFrame, sets: DataFrame, dense: DataFrame, found: DataF
 
     A group of over TILE shingles is cut into slices; every two of them meet in a tile.
     """
-    groups, roots = components(dense).withColumnRenamed("root", "cluster"), components(found)
-    members = sets.select("node", "size").join(groups, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = cut_lineage(components(found))
+    rooted = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    between = dense.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    groups = components(between.filter("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    members = sets.select("node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(groups, "root")
     members = cut_lineage(members)
-    apart = members.groupBy("cluster").agg(F.sum("size").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    apart = members.groupBy("cluster").agg(F.sum("size").alias("n"))
     slices = F.ceil(F.col("n") / TILE).cast("int")
-    members = cut_lineage(members.join(apart.select("cluster", slices.alias("slices")), "cluster"))
+    members = members.join(apart.select("cluster", slices.alias("slices")), "cluster")
     own = F.pmod(F.xxhash64("node"), F.col("slices").cast("long")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
     rows = members.join(_read(docs, sets, members.select("node")), "node").select("cluster", "node", "root", "s", own.alias("own"), F.explode(tiles).alias("at"))
