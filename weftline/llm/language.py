@@ -329,9 +329,10 @@ def costs_by_join(docs: DataFrame, models: Models, columns: list[Column], aside:
         alpha = values.filter("not context").select("k", "gram", F.col("v").alias("alpha"))
         gamma = values.filter("context").select("k", F.col("gram").alias("ctx"), F.col("v").alias("gamma"))
         met = salted_join(salted_join(grams, alpha, ["k", "gram"], "word", "left"), gamma, ["k", "ctx"], "word", "left")
-        chars = met.groupBy("word", "place").agg(F.array_sort(F.collect_list(F.struct("k", "alpha", "gamma"))).alias("x"))  # at most ``order`` entries
+        chars = met.groupBy("word", "place").agg(F.array_sort(F.collect_list(F.struct("k", "alpha", "gamma")), lambda a, b: a["k"] - b["k"]).alias("x"))  # at most ``order`` entries; maps have no order
         of = lambda m, lang, none: F.coalesce(F.element_at(m, F.lit(lang)), F.lit(none))
-        p = [F.aggregate("x", F.lit(1.0 / ALPHABET), lambda p, g, lang=lang: of(g["alpha"], lang, 0.0) + of(g["gamma"], lang, 1.0) * p) for lang in langs]
+        step = lambda lang: lambda p, g: of(g["alpha"], lang, 0.0) + of(g["gamma"], lang, 1.0) * p
+        p = [F.aggregate("x", F.lit(1.0 / ALPHABET), step(lang)) for lang in langs]
         bits = [(-F.log2(F.greatest(x, F.lit(1e-12)))).alias(f"b{i}") for i, x in enumerate(p)]
         word = chars.select("word", *bits).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"b{i}").alias(f"b{i}") for i in range(len(langs))])
         total = salted_join(worded, word, ["word"], "digest").groupBy("digest").agg(F.sum(F.col("n") * F.col("times")).alias("n"), *[F.sum(F.col(f"b{i}") * F.col("times")).alias(f"b{i}") for i in range(len(langs))])
