@@ -23,18 +23,20 @@ def word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.array(pairs.distances(pairs.Words.of(ref, hyp)), pa.int64())
 
 
+def _coded(tokens: Column, vocabulary: Column) -> Column:
+    """A text of one character a word: its first place in ``vocabulary``."""
+    # from U+10000 on no number is a surrogate
+    code = lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0xFFFF), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-32")
+
+
 def filler_distance(ref: Column, hyp: Column) -> Column:
     """Word-level edit distance of two short word lists, for use inside array functions, where no Arrow function can be.
 
     Words of the pair become letters by their first place in it, so the cost is quadratic in its words.
     """
 
-    def letters(tokens: Column, vocabulary: Column) -> Column:
-        # from U+10000 on no number is a surrogate
-        code = lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0xFFFF), 8, "0")
-        return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-32")
-
-    return let(F.array_distinct(F.concat(ref, hyp)), lambda v: F.levenshtein(letters(ref, v), letters(hyp, v)).cast("long"))
+    return let(F.array_distinct(F.concat(ref, hyp)), lambda v: F.levenshtein(_coded(ref, v), _coded(hyp, v)).cast("long"))
 
 
 @F.arrow_udf(T.LongType())
