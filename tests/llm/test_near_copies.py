@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from weftline.llm import components
 from weftline.llm import near_copies as nc
 
 
@@ -55,3 +56,35 @@ def test_links_of_a_tile():
             if 9 * x >= 4 * (len(sets[i]) + len(sets[j])):
                 want[want == want[i]] = want[j]
     assert len(set(zip(name.tolist(), want.tolist()))) == len(set(name.tolist())) == len(set(want.tolist()))
+
+
+def test_a_set_of_a_large_group_is_checked_once(docs_of, monkeypatch):
+    """In place of each pair of each anchor's forest; the rest is compared whole."""
+    monkeypatch.setattr(nc, "THIN", 0)  # every anchor is dense
+    rows = groups(120)
+    docs, checked, plain = docs_of(rows), [], nc._checked
+    monkeypatch.setattr(nc, "_checked", lambda d, s, pairs: checked.append(pairs.count()) or plain(d, s, pairs))
+    got = [r["component_id"] for r in nc.near_copies(docs).orderBy("doc_id").collect()]
+    assert got == components_of([nc.shingles(t) for _, t in rows])
+    assert sum(checked) < len(rows)
+
+
+def test_components_of_a_small_table_take_few_tasks(spark, monkeypatch):
+    links = spark.range(200).selectExpr("id AS a", "id + 1 + 50 * (id % 3) AS b")
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    parts, plain = [], components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda d: parts.append(plain(d)) or parts[-1])
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["node"]: r["root"] for r in components.components(links).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    name = list(range(302))
+    for i in range(200):
+        a, b = name[i], name[i + 1 + 50 * (i % 3)]
+        name = [min(a, b) if x in (a, b) else x for x in name]
+    assert got == {i: name[i] for i in {*range(200), *(i + 1 + 50 * (i % 3) for i in range(200))}}
+    assert all(d.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism for d in parts[1:])

@@ -9,10 +9,11 @@ values one bit apart one is even.
 
 Sets of an anchor whose block values, sizes and check bits are near are candidates. All candidates of a
 thinly settled anchor are checked on the whole sets. In a dense one (a large group of near copies) a spanning
-forest of the candidates is checked first. What such forests hold together, and the links found leave in
-different components, is then compared whole, all sets with all, in tiles of bounded size; a tile gives a
-spanning forest of its links, so pairs grow with the sets, not with the square of a group. Only links of
-similarity 0.8 or more count, so a text is never called a near copy without being one.
+forest of the candidates is made, of which a pair for each set is checked first. What such forests hold
+together, and the links found leave in different components, is then compared whole, all sets with all, in
+tiles of bounded size; a tile gives a spanning forest of its links, so pairs grow with the sets, not with the
+square of a group. Only links of similarity 0.8 or more count, so a text is never called a near copy without
+being one.
 """
 
 from __future__ import annotations
@@ -327,8 +328,10 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Links (a, b) between sets of similarity 0.8 or more, enough to connect the candidates that are linked."""
     sets = cut_lineage(marked.groupBy("node").agg(F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("bits").alias("bits")))
     pairs = cut_lineage(_candidates(_settled(sets.filter("size > 0"))))
-    found = cut_lineage(_checked(docs, sets, pairs.select("a", "b")))
     dense = pairs.filter("dense").select("a", "b")
+    # one of a set's pairs in the forests; what the others hold together and links don't is compared whole
+    least = dense.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = cut_lineage(_checked(docs, sets, pairs.filter("not dense").select("a", "b").unionByName(least)))
     if dense.isEmpty():
         return found
     return found.unionByName(cut_lineage(_left_apart(docs, sets, dense, found)))
