@@ -137,13 +137,12 @@ def _(t):
         ),
         " ",
     )
-    rows = views.utterances(t.documents).filter(F.size(tx.words("utt")) > 0).withColumn("marked", marked)
-    stamps = tx.stamped_words("marked", 0.08)
-    return rows.select("doc_id", "pos", stamps.alias("s"), tx.stamped_plain("marked").alias("plain")).select(
+    rows = views.utterances(t.documents).filter(tx.has_word("utt")).withColumn("marked", marked)
+    return rows.select("doc_id", "pos", "marked", tx.stamped_words("marked", 0.08).alias("s")).select(
         "doc_id",
         "pos",
         F.size("s").cast("long").alias("words"),
-        "plain",
+        tx.stamped_plain("marked", "s").alias("plain"),
         F.element_at("s", -1)["end_offset"].alias("last_end"),
         F.round(F.element_at("s", -1)["end"], 6).alias("last_second"),
     )
