@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scoped import let
+from weftline.functions.scoped import let, once
 from weftline.functions.text import conversation_clean, words
 from weftline.operators.ordered import running
 from weftline.session import cut_lineage
@@ -69,6 +71,29 @@ def block_rows(lines: DataFrame, order: str, is_break: Column) -> DataFrame:
     return out.filter(~F.col("_brk")).drop("_brk").withColumn("sent_id", F.col("sent_id").cast("long"))
 
 
+def file_blocks(files: DataFrame, order: str, lines: Column, is_break: Callable[[Column], Column], blocks: Column | None = None) -> DataFrame:
+    """Blocks of whole files, one row each: (sent_id, lines), numbered on from file to file in ``order``.
+
+    ``lines`` are those of a file, as an array. A break line ends its block, which may be empty, and goes; lines after the last
+    break are a block too. ``blocks`` says how many a file has, where that is known, so that lines are made once; a file
+    that has another number is an error. Files move once, to be numbered; their lines never do.
+    """
+
+    def ends(x: Column) -> Column:
+        at = F.filter(F.transform(x, lambda l, i: F.when(is_break(l), i)), lambda i: i.isNotNull())
+        rest = F.when(F.coalesce(is_break(F.try_element_at(x, F.lit(-1))), F.size(x) == 0), F.array().cast("array<int>"))
+        return F.coalesce(F.concat(at, F.coalesce(rest, F.array(F.size(x)))), F.array().cast("array<int>"))
+
+    told = F.size(let(lines, ends)) if blocks is None else blocks
+    numbered = running(files.withColumn("_n", told.cast("long")), [order], sums={"_upto": F.col("_n")})
+    made = numbered.select((F.col("_upto") - F.col("_n")).alias("_first"), "_n", once(lines).alias("lines"))
+    right = F.when(F.size("_ends") == F.col("_n"), F.col("_ends")).otherwise(F.raise_error(F.lit("a file has another number of blocks than told")))
+    cut = made.select("_first", "_n", "lines", once(ends(F.col("lines"))).alias("_ends"))
+    rows = cut.select("_first", "lines", "_ends", F.posexplode(right).alias("_i", "_end"))
+    start = F.when(F.col("_i") > 0, F.get("_ends", F.col("_i") - 1) + 1).otherwise(0)
+    return rows.select((F.col("_first") + F.col("_i")).alias("sent_id"), F.slice("lines", start + 1, F.col("_end") - start).alias("lines"))
+
+
 def iob_to_sentences(lines: DataFrame, order: str, token: str, label: str, max_length: int | None = None) -> DataFrame:
     """Blank-line separated ``token label`` lines to sentences.
 
@@ -108,13 +133,14 @@ def iob_to_sentences(lines: DataFrame, order: str, token: str, label: str, max_l
     ).filter(F.size("words") > 0)
 
 
-def tagged_blocks(lines: DataFrame, order: str, value: str) -> DataFrame:
-    """``class TAB written TAB spoken`` lines in blocks that end with an ``<eos>`` line."""
-    parts = F.split(value, "\t")
-    blocks = block_rows(lines, order, parts[0] == "<eos>")
-    return blocks.select(
-        "sent_id", order, parts[0].alias("cls"), F.get(parts, 1).alias("written"), F.get(parts, 2).alias("spoken")
-    )
+def tagged_blocks(files: DataFrame, order: str, lines: Column, blocks: Column | None = None) -> DataFrame:
+    """Whole files of ``class TAB written TAB spoken`` lines, in blocks that end with an ``<eos>`` line: a row of arrays each.
+
+    A line without a written or spoken form has null there.
+    """
+    rows = file_blocks(files, order, lines, lambda x: (x == "<eos>") | x.startswith("<eos>\t"), blocks)
+    parts = F.transform("lines", lambda x: let(F.split(x, "\t"), lambda p: F.struct(p[0].alias("cls"), F.get(p, F.lit(1)).alias("written"), F.get(p, F.lit(2)).alias("spoken"))))
+    return rows.select("sent_id", once(parts).alias("_x")).select("sent_id", "_x.cls", "_x.written", "_x.spoken")
 
 
 def parse_transcript(
