@@ -94,43 +94,37 @@ def file_blocks(files: DataFrame, order: str, lines: Column, is_break: Callable[
     return rows.select((F.col("_first") + F.col("_i")).alias("sent_id"), F.slice("lines", start + 1, F.col("_end") - start).alias("lines"))
 
 
-def iob_to_sentences(lines: DataFrame, order: str, token: str, label: str, max_length: int | None = None) -> DataFrame:
-    """Blank-line separated ``token label`` lines to sentences.
+def cut_sentences(sents: DataFrame, max_length: int) -> DataFrame:
+    """Sentences (sent_id, words, labels) in parts of at most ``max_length`` words.
 
-    A sentence over ``max_length`` is cut after the last ``O`` among its first ``max_length`` labels
-    (after its first token if there is none), again and again.
+    A longer one is cut after the last ``O`` among its first ``max_length`` labels (after its first token if there is
+    none), again and again; empty ones go.
     """
+    codes = F.array_join(F.transform("labels", lambda l: F.when(l == "O", "O").otherwise("B")), "")
+    # the rest if it fits, else up to the last O, else one token
+    cuts = F.regexp_extract_all(codes, F.lit(rf".{{1,{max_length}}}\z|.{{0,{max_length - 1}}}O|."), F.lit(0))
+    ends = F.aggregate(cuts, F.array(F.lit(0)), lambda at, c: F.concat(at, F.array(F.element_at(at, -1) + F.length(c))))
+    parts = sents.withColumn("_e", ends).select("*", F.posexplode(F.slice("_e", F.lit(2), F.size("_e") - 1)).alias("part", "_end"))
+    at = F.get("_e", F.col("part"))
+    piece = lambda c: F.slice(c, at + 1, F.col("_end") - at).alias(c)
+    return parts.select("sent_id", F.col("part").cast("long").alias("part"), piece("words"), piece("labels"))
+
+
+def iob_to_sentences(lines: DataFrame, order: str, token: str, label: str, max_length: int | None = None) -> DataFrame:
+    """Blank-line separated ``token label`` lines, a row each, to sentences; see ``cut_sentences`` for ``max_length``."""
     blocks = block_rows(lines, order, F.coalesce(F.trim(token), F.lit("")) == "")
     sents = blocks.groupBy("sent_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(token).alias("w"), F.col(label).alias("l")))).alias("_t")
     )
     sents = sents.select("sent_id", F.transform("_t", lambda x: x["w"]).alias("words"), F.transform("_t", lambda x: x["l"]).alias("labels"))
-    if max_length is None:
-        return sents.withColumn("part", F.lit(0).cast("long"))
+    return sents.withColumn("part", F.lit(0).cast("long")) if max_length is None else cut_sentences(sents, max_length)
 
-    def cut(labels: Column) -> Column:
-        n = F.size(labels)
 
-        def step(starts: Column, _: Column) -> Column:
-            at = F.element_at(starts, -1)
-            window = F.slice(labels, at + 1, F.lit(max_length))
-            last_o = F.size(window) - F.array_position(F.reverse(window), "O") + 1
-            nxt = at + F.when(F.array_contains(window, "O"), last_o).otherwise(F.lit(1))
-            return F.when(n - at > max_length, F.concat(starts, F.array(nxt.cast("int")))).otherwise(starts)
-
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(F.lit(0)), step)
-
-    starts = let(F.col("labels"), cut)
-    parts = sents.withColumn("_s", starts).select(
-        "*", F.posexplode("_s").alias("part", "_at")
-    )
-    size = F.when(F.col("part") + 1 < F.size("_s"), F.get("_s", F.col("part") + 1) - F.col("_at")).otherwise(F.size("words") - F.col("_at"))
-    return parts.select(
-        "sent_id",
-        F.col("part").cast("long").alias("part"),
-        F.slice("words", F.col("_at") + 1, size).alias("words"),
-        F.slice("labels", F.col("_at") + 1, size).alias("labels"),
-    ).filter(F.size("words") > 0)
+def iob_files(files: DataFrame, order: str, lines: Column, max_length: int, blocks: Column | None = None) -> DataFrame:
+    """Whole files of (token, label) lines with blank lines between sentences, to sentences cut as in ``cut_sentences``."""
+    rows = file_blocks(files, order, lines, lambda x: F.coalesce(F.trim(x["token"]), F.lit("")) == "", blocks)
+    sents = rows.select("sent_id", F.col("lines.token").alias("words"), F.col("lines.label").alias("labels"))
+    return cut_sentences(sents, max_length)
 
 
 def tagged_blocks(files: DataFrame, order: str, lines: Column, blocks: Column | None = None) -> DataFrame:
