@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scoped import once
 from weftline.functions.text import words
+from weftline.operators.ordered import running
 
 UNKNOWN, ADDED = "<unk>", "<added>"
+#: where an utterance of a text ends
+UTTERANCE_END = r"[.!?]\s+|\n"
 
 
 def manifest_view(events: DataFrame) -> DataFrame:
@@ -26,10 +29,18 @@ def manifest_view(events: DataFrame) -> DataFrame:
 def utterances(documents: DataFrame) -> DataFrame:
     """Whole documents cut into utterances: (doc_id, lang, source, pos, utt)."""
     return documents.select(
-        "doc_id", "lang", "source", F.posexplode(F.split("text", r"[.!?]\s+|\n")).alias("pos", "utt")
+        "doc_id", "lang", "source", F.posexplode(F.split("text", UTTERANCE_END)).alias("pos", "utt")
     ).withColumn("pos", F.col("pos").cast("long"))
 
 
+def numbered_utterances(documents: DataFrame) -> DataFrame:
+    """Utterances with their number ``n`` (from 1) by doc_id and pos: (doc_id, pos, n, utt). Whole texts move to be numbered."""
+    counted = documents.select("doc_id", "text", F.coalesce(F.size(F.split("text", UTTERANCE_END)), F.lit(0)).cast("long").alias("_n"))
+    numbered = running(counted, ["doc_id"], sums={"_upto": F.col("_n")})
+    rows = numbered.select("doc_id", (F.col("_upto") - F.col("_n")).alias("_before"), F.posexplode(F.split("text", UTTERANCE_END)).alias("pos", "utt"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.col("_before") + F.col("pos") + 1).alias("n"), "utt")
+
+
 def pairs_view(documents: DataFrame, normalise=None) -> DataFrame:
     """Reference and hypothesis words of every utterance.
 
