@@ -47,13 +47,13 @@ def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy())
 
 
-def block_top_k(qid, q, qgroup, nid, x, ngroup, k: int, metric: str, exclude: bool, rows: int = 512, cols: int = 4096, hidden=None):
+def block_top_k(qid, q, qgroup, nid, x, ngroup, k: int, metric: str, exclude: bool, rows: int = 512, cols: int = 4096, hidden=None, floors=None):
     """Top k of every query against one index block: highest score first, ties by smaller id.
 
     The score is the inner product, or the negative squared distance. Pairs are looked through in single precision,
     ``rows`` x ``cols`` at a time; those that may be among the best, by the bound of its rounding, are scored in double
     precision. ``hidden`` is a table of booleans by query and class, and a class for every index row (-1: none): rows of
-    a class that is true for the query are left out.
+    a class that is true for the query are left out. ``floors`` are scores that a pair must be over, one per query.
     """
     order = np.argsort(nid, kind="stable")
     nid, x, ngroup = nid[order], x[order], ngroup[order]
@@ -75,7 +75,7 @@ def block_top_k(qid, q, qgroup, nid, x, ngroup, k: int, metric: str, exclude: bo
             own[:] = 0
         far = np.sqrt((part * part).sum(axis=1)) * longest
         slip = unit * (times * far + (longest * longest if l2 else 0)) + least
-        floor = np.full(len(part), -np.inf)
+        floor = np.full(len(part), -np.inf) if floors is None else floors[at : at + rows].copy()
         same = (slip - least) * 2.0**-29  # as much in double precision
         many = max(4 * k, 64) * len(part)
         r, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -146,6 +146,25 @@ def block_top_k(qid, q, qgroup, nid, x, ngroup, k: int, metric: str, exclude: bo
     return pa.concat_tables(out) if out else _NONE
 
 
+def pieces_top_k(q, qgroup, nid, ngroup, vectors: Callable[[slice], np.ndarray], k: int, metric: str, exclude: bool, piece: int, hidden=None):
+    """Top k as of ``block_top_k``, by place of the query, of an index whose vectors are made ``piece`` rows at a time; ``nid`` ascends."""
+    floors = np.full(len(q), -np.inf)
+    places = np.arange(len(q))
+    r, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for lo in range(0, len(nid), piece):
+        at = slice(lo, lo + piece)
+        part = None if hidden is None else (hidden[0], hidden[1][at])
+        found = block_top_k(places, q, qgroup, nid[at], vectors(at), ngroup[at], k, metric, exclude, hidden=part, floors=floors)
+        r, ids, scores = (np.concatenate([a, _numbers(found.column(c))]) for a, c in ((r, "qid"), (ids, "nid"), (scores, "score")))
+        best = np.lexsort((ids, -scores, r))
+        best = best[np.arange(len(best)) - np.searchsorted(r[best], places)[r[best]] < k]
+        r, ids, scores = r[best], ids[best], scores[best]
+        upto = np.searchsorted(r, places, side="right")
+        full = np.flatnonzero(np.bincount(r, minlength=len(q)) >= k)
+        floors[full] = scores[upto[full] - 1]
+    return r, ids, scores
+
+
 def _side(df: DataFrame, id_col: str, vec: str, group: str | None, prefix: str) -> DataFrame:
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
     return df.select(F.col(id_col).cast("long").alias(f"{prefix}id"), F.col(vec).cast("array<double>").alias(f"{prefix}v"), g.alias(f"{prefix}g"))
@@ -187,7 +206,7 @@ def knn(
         return _final(spread(q).mapInArrow(search, OUT), k)
     sizes = tuple(_block_count(F.lit(rows).cast("long"), block, dim) for rows in (q.count(), n))
     one = F.lit(0).cast("long")
-    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, _whole_vectors(k, metric, exclude), block, dim, sizes)
+    return _blocked(q.withColumn("list", one), x.withColumn("list", one), k, _whole_vectors(k, metric, exclude), sizes)
 
 
 def _block_count(rows: Column, block: int, dim: int) -> Column:
@@ -204,16 +223,16 @@ def _whole_vectors(k: int, metric: str, exclude: bool) -> Compare:
     return lambda _, qid, q, qg, nid, x, ng: block_top_k(qid, q, qg, nid, _matrix(x), ng, k, metric, exclude)
 
 
-def _blocked(q: DataFrame, x: DataFrame, k: int, compare: Compare, block: int, dim: int, sizes: tuple[Column, Column] | None = None) -> DataFrame:
-    """Top k within equal ``list`` values, list by list cut into blocks per side, of about ``block`` rows or,
-    in large lists, of up to BLOCK_BYTES of vectors.
+def _blocked(q: DataFrame, x: DataFrame, k: int, compare: Compare, sizes: tuple) -> DataFrame:
+    """Top k within equal ``list`` values, list by list cut into blocks per side; ``sizes`` are how many, or functions that
+    tell it from the rows of a list.
 
     Block counts are one row per list; a list that holds most of the data gets proportionally more
     blocks, so no task grows with it.
     """
-    blocks = lambda d, name: d.groupBy("list").agg(_block_count(F.count(F.lit(1)), block, dim).alias(name))
-    if sizes is None:
-        plan = blocks(q, "nq").join(blocks(x, "nx"), "list")
+    if not isinstance(sizes[0], Column):
+        blocks = lambda d, count, name: d.groupBy("list").agg(count(F.count(F.lit(1))).alias(name))
+        plan = blocks(q, sizes[0], "nq").join(blocks(x, sizes[1], "nx"), "list")
         sized = lambda d: d.join(plan, "list")
     else:
         sized = lambda d: d.withColumns({"nq": sizes[0], "nx": sizes[1]})
@@ -353,12 +372,15 @@ def approximate_knn(
     Every vector is coded from its nearest centre, as ROUNDS times ``parts`` bytes, and lies in the lists of its HOMES
     nearest centres. A query is compared with what the codes in its ``n_probe`` nearest lists stand for, with each
     vector once; the ``widen`` * k best by code are scored on the whole vectors. Lists are cut into blocks as in the
-    exact search.
+    exact search, but a block of coded vectors holds BLOCK_BYTES of codes: it meets a query once, and is decoded piece by piece.
     """
     fitted = fit_product_index(index, vec, n_lists, parts, seed)
     exclude = exclude_same is not None
     q, x = _side(queries, id_col, vec, exclude_same, "q"), _side(index, id_col, vec, exclude_same, "n")
     shipped = q.sparkSession.sparkContext.broadcast(fitted)  # n_lists + ROUNDS * 256 vectors
+    dim = fitted.centres.shape[1]
+    piece = max(block, BLOCK_BYTES // (8 * dim))
+    coded_rows = max(block, BLOCK_BYTES // (4 * HOMES + ROUNDS * parts + 32))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,19 +395,24 @@ def approximate_knn(
 
     def near(list_: int, qid, qv, qg, nid, packed, ng) -> pa.Table:
         fitted = shipped.value
-        table = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(nid), -1)
+        order = np.argsort(nid, kind="stable")
+        nid, ng = nid[order], ng[order]
+        table = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(nid), -1)[order]
         n_homes = min(HOMES, len(fitted.centres))
         homes = table[:, : 4 * n_homes].copy().view(np.int32)
         # a vector counts in the nearest of its lists that the query looks into
         place = (homes == list_).argmax(1)
         probed = np.zeros((len(qid), len(fitted.centres)), bool)
         np.put_along_axis(probed, fitted.nearest(qv, n_probe), True, axis=1)
-        stands = fitted.decoded(table[:, 4 * n_homes :], homes[:, 0])
         hidden = (probed, np.where(place > 0, homes[:, 0], -1))
-        return block_top_k(qid, qv, qg, nid, stands, ng, widen * k, metric, exclude, hidden=hidden)
+        vectors = lambda at: fitted.decoded(table[at, 4 * n_homes :], homes[at, 0])
+        of, ids, scores = pieces_top_k(qv, qg, nid, ng, vectors, widen * k, metric, exclude, piece, hidden)
+        return pa.table({"qid": np.asarray(qid[of], np.int64), "nid": np.asarray(ids, np.int64), "score": scores})
 
     centres = _assign(q, fitted.centres, "qv", n_probe)
-    rows = _blocked(centres, x.mapInArrow(coded, "nid long, nv binary, ng long, list long"), widen * k, near, block, fitted.centres.shape[1])
+    # a query's best pairs take room beside its vector: three numbers each
+    sizes = (lambda n: _block_count(n, block, dim + 3 * widen * k), lambda n: F.ceil(n / coded_rows).cast("long"))
+    rows = _blocked(centres, x.mapInArrow(coded, "nid long, nv binary, ng long, list long"), widen * k, near, sizes)
     pairs = rows.select("qid", "nid").join(q.select("qid", "qv"), "qid").join(x.select("nid", "nv"), "nid")
     dot = F.aggregate(F.zip_with("qv", "nv", lambda a, b: a * b if metric == "ip" else -(a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
     return _final(pairs.select("qid", "nid", dot.alias("score")), k)
