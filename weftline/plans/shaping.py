@@ -340,9 +340,9 @@ def _(t):
     + "SELECT id, is_next, array_to_string(CASE WHEN front THEN a[len(a) - ka + 1:] ELSE a[1:ka] END, ' ') AS a, array_to_string(CASE WHEN front THEN b[len(b) - kb + 1:] ELSE b[1:kb] END, ' ') AS b FROM m",
 )
 def _(t):
-    utt = views.numbered_utterances(t.documents).select(F.concat_ws(":", "doc_id", "pos").alias("id"), "utt", "n")
+    utt = views.numbered_utterances(t.documents).select(F.concat_ws(":", "doc_id", "pos").alias("id"), "utt", "n", "after")
     total = views.utterances(t.documents).count()
-    return sh.next_sentence_pairs(utt, "id", "utt", 31, 24, number="n", total=total)
+    return sh.next_sentence_pairs(utt, "id", "utt", 31, 24, number="n", after="after", total=total)
 
 
 @query("corrupt_spans", "I12")

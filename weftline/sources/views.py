@@ -34,11 +34,15 @@ def utterances(documents: DataFrame) -> DataFrame:
 
 
 def numbered_utterances(documents: DataFrame) -> DataFrame:
-    """Utterances with their number ``n`` (from 1) by doc_id and pos: (doc_id, pos, n, utt). Whole texts move to be numbered."""
-    counted = documents.select("doc_id", "text", F.coalesce(F.size(F.split("text", UTTERANCE_END)), F.lit(0)).cast("long").alias("_n"))
+    """Utterances by doc_id and pos with their number ``n`` (from 1) and the one after them, null at the end of a text:
+    (doc_id, pos, n, utt, after). Whole texts move to be numbered."""
+    parts = F.split("text", UTTERANCE_END)
+    counted = documents.select("doc_id", "text", F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("_n"))
     numbered = running(counted, ["doc_id"], sums={"_upto": F.col("_n")})
-    rows = numbered.select("doc_id", (F.col("_upto") - F.col("_n")).alias("_before"), F.posexplode(F.split("text", UTTERANCE_END)).alias("pos", "utt"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.col("_before") + F.col("pos") + 1).alias("n"), "utt")
+    made = numbered.select("doc_id", (F.col("_upto") - F.col("_n")).alias("_before"), once(parts).alias("_parts"))
+    rows = made.select("doc_id", "_before", "_parts", F.posexplode("_parts").alias("pos", "utt"))
+    number = F.col("_before") + F.col("pos") + 1
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), number.alias("n"), "utt", F.get("_parts", F.col("pos") + 1).alias("after"))
 
 
 def pairs_view(documents: DataFrame, normalise=None) -> DataFrame:
